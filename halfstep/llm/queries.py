@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .langid import op1_cross_parsing
 from .mixing import op4_pareto_mix
 from .sharding import op10_label_propagation
+from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_cross_parsing": op1_cross_parsing,
     "op4_pareto_mix": op4_pareto_mix,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bpe": op7_bpe,
+    "op9_token_counts": op9_token_counts,
     "op10_label_propagation": op10_label_propagation,
 }
 
