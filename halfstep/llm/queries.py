@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .jaccard_join import op8_jaccard_join
 from .langid import op1_cross_parsing
 from .mixing import op4_pareto_mix
 from .sharding import op10_label_propagation
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_pareto_mix": op4_pareto_mix,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_label_propagation": op10_label_propagation,
 }
