@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .html_text import op3_block_lstm
 from .jaccard_join import op8_jaccard_join
 from .langid import op1_cross_parsing
+from .merkle import OP5_SQL, op5_merkle_audit
 from .mixing import op4_pareto_mix
 from .sharding import op10_label_propagation
 from .token_counts import op9_token_counts
 
 QUERIES = {
     "op1_cross_parsing": op1_cross_parsing,
+    "op3_block_lstm": op3_block_lstm,
     "op4_pareto_mix": op4_pareto_mix,
+    "op5_merkle_audit": op5_merkle_audit,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_jaccard_join": op8_jaccard_join,
@@ -20,4 +24,4 @@ QUERIES = {
     "op10_label_propagation": op10_label_propagation,
 }
 
-SQL = {"op6_exact_dedup": OP6_SQL}
+SQL = {"op5_merkle_audit": OP5_SQL, "op6_exact_dedup": OP6_SQL}
