@@ -74,7 +74,7 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
         x, y = levels[k]
         if suspects is not None:
             over_files = k >= in_files - 1
-            up = [F.lit(0).cast("long") if False else (F.floor(F.col("file") / FANOUT) if over_files else F.col("file")).cast("long").alias("_file"), (F.lit(0) if over_files else F.floor(F.col("i") / FANOUT)).cast("long").alias("_i")]
+            up = [(F.floor(F.col("file") / FANOUT) if over_files else F.col("file")).cast("long").alias("_file"), (F.lit(0) if over_files else F.floor(F.col("i") / FANOUT)).cast("long").alias("_i")]
             above = small(suspects.select(F.col("file").alias("_file"), F.col("i").alias("_i")), BROADCAST_NODES)
             x, y = (z.select("*", *up).join(above, ["_file", "_i"], "left_semi").drop("_file", "_i") for z in (x, y))
         x = x.select("file", "i", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("hash").alias("hash_a"))

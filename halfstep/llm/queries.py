@@ -9,11 +9,13 @@ from .jaccard_join import op8_jaccard_join
 from .langid import op1_cross_parsing
 from .merkle import OP5_SQL, op5_merkle_audit
 from .mixing import op4_pareto_mix
+from .progressive_jpeg import op2_progressive_jpeg
 from .sharding import op10_label_propagation
 from .token_counts import op9_token_counts
 
 QUERIES = {
     "op1_cross_parsing": op1_cross_parsing,
+    "op2_progressive_jpeg": op2_progressive_jpeg,
     "op3_block_lstm": op3_block_lstm,
     "op4_pareto_mix": op4_pareto_mix,
     "op5_merkle_audit": op5_merkle_audit,
