@@ -65,4 +65,22 @@ def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[Column]
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inner = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.join(starts, keys).withColumn(name, F.col("_start") + inner - 1).drop("_bucket", "_start")
+    starts = starts.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_start")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return df.join(starts, same).drop(*(f"_of_{k}" for k in keys)).withColumn(name, F.col("_start") + inner - 1).drop("_bucket", "_start")
+
+
+def drop_rows(docs: DataFrame, key: Column, doc_id: str, lost: DataFrame, twice: DataFrame, most: int) -> DataFrame:
+    """docs without the rows whose (key, doc_id) is in lost (_key, _id), and with one row only of those in twice. Either
+    table is broadcast if it has at most so many rows. Rows alike in key and id are merged before they are shuffled."""
+
+    def match(other: DataFrame) -> Column:
+        return (F.col("_whole") == other["_key"]) & F.col(doc_id).eqNullSafe(other["_id"])
+
+    lost, twice = cut(lost), cut(twice)
+    left = docs.withColumn("_whole", key).join(small(lost, most), match(lost), "left_anti")
+    if twice.isEmpty():
+        return left.drop("_whole")
+    near = small(twice, most)
+    once = left.join(near, match(twice), "left_anti")
+    return once.unionByName(left.join(near, match(twice), "left_semi").dropDuplicates(["_whole", doc_id])).drop("_whole")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, small, table
+from .common import ascii_lower, cut, drop_rows, small, table
 
 #: Candidate groups up to this many are broadcast (about 20 bytes each); more are joined by a shuffle.
 BROADCAST_GROUPS = 500_000
@@ -61,20 +61,11 @@ def drop_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = cut(refined(docs, text).select(F.col(doc_id).alias("_id"), "_sha"))
     same = rows.filter("_sha is not null").groupBy("_sha", "_id").agg(F.count(F.lit(1)).alias("_copies"))
     best = same.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.sum("_copies").alias("_n")).filter("_n > 1")
-    lost = cut(rows.filter("_sha is not null").join(best, "_sha").filter(~F.col("_id").eqNullSafe(F.col("_keep"))).select("_sha", "_id").distinct())
-    twice = same.filter("_copies > 1").join(best, "_sha").filter(F.col("_id").eqNullSafe(F.col("_keep"))).select("_sha", "_id")
-    twice = cut(twice)
+    hashed = rows.filter("_sha is not null").join(small(cut(best), BROADCAST_GROUPS), "_sha")
+    lost = hashed.filter(~F.col("_id").eqNullSafe(F.col("_keep"))).select(F.col("_sha").alias("_key"), "_id").distinct()
+    twice = same.filter("_copies > 1").join(best, "_sha").filter(F.col("_id").eqNullSafe(F.col("_keep"))).select(F.col("_sha").alias("_key"), "_id")
     whole = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256))
-    lost, twice = small(lost, BROADCAST_GROUPS), small(twice, BROADCAST_GROUPS)
-    keyed_rows = docs.withColumn("_whole", whole)
-
-    def match(other: DataFrame) -> F.Column:
-        return (F.col("_whole") == other["_sha"]) & F.col(doc_id).eqNullSafe(other["_id"])
-
-    left = keyed_rows.join(lost, match(lost), "left_anti")
-    once = left.join(twice, match(twice), "left_anti").drop("_whole")
-    repeated = left.join(twice, match(twice), "left_semi").dropDuplicates(["_whole"]).drop("_whole")
-    return once.unionByName(repeated)
+    return drop_rows(docs, whole, doc_id, lost, twice, BROADCAST_GROUPS)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, small, table, unit
+from .common import WORD, cut, ranked, small, table, unit
 
 #: Bins over which a source's ranks are summed; only the bin in which the words run out is sorted.
 BINS = 4096
@@ -78,16 +78,19 @@ def pareto_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed rows of docs: each as often as it is taken, with all its columns."""
     picks = pareto_mix(docs, doc_id, text, source, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "_key", "copies")
-    picks = cut(picks.groupBy("_id", "_from", "_key").agg(F.max("copies").alias("_high"), F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
+    picks = picks.groupBy("_id", "_from", "_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    picks = cut(picks.filter("_copies > 0"))
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     rows = keyed.join(picks, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_from")) & (F.col("_hash") == F.col("_key")))
-    # rows that are alike in id, source and text share their copies: all but one get the same number, one the remainder
-    alike = Window.partitionBy("_id", "_from", "_key").orderBy(F.lit(1))
-    one = rows.filter("_rows = 1").withColumn("_times", F.col("_copies"))
-    many = rows.filter("_rows > 1").withColumn("_place", F.row_number().over(alike))
-    each = F.floor(F.col("_copies") / F.col("_rows"))
-    many = many.withColumn("_times", each + (F.col("_place") <= F.col("_copies") - each * F.col("_rows")).cast("long")).drop("_place")
-    out = one.unionByName(many).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    out = rows.filter("_rows = 1").withColumn("_times", F.col("_copies"))
+    if not picks.filter("_rows > 1").isEmpty():
+        # rows alike in id, source and text share their copies: each gets as many, the first ones one more
+        many = cut(rows.filter("_rows > 1").withColumn("_row", F.monotonically_increasing_id()))
+        many = ranked(many, ["_id", "_from", "_key"], F.pmod(F.xxhash64("_row"), F.lit(64)).cast("int"), [F.col("_row")], "_place")
+        each = F.floor(F.col("_copies") / F.col("_rows"))
+        many = many.withColumn("_times", each + (F.col("_place") < F.col("_copies") - each * F.col("_rows")).cast("long"))
+        out = out.unionByName(many.drop("_place", "_row"))
+    out = out.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return out.select(*docs.columns)
 
 
