@@ -29,5 +29,5 @@ def stack_features(grid: DataFrame, features_1d: list[str], components: dict[str
     of = [(F.col("variable") == v) & F.col("y").isNull() for v in features_1d] + [(F.col("variable") == v) & (F.col("y") == j) for v, n in components.items() for j in range(n)]
     wide = grid.groupBy("timestep", "x").agg(*(F.max(F.when(c, F.col("value"))).alias(f"_v{k}") for k, c in enumerate(of)), *(F.count(F.when(c, F.lit(1))).alias(f"_n{k}") for k, c in enumerate(of)), F.count(F.lit(1)).alias("_all"))
     where = F.concat(F.lit(" at timestep "), F.col("timestep").cast("string"), F.lit(", x "), F.col("x").cast("string"))
-    checked = [F.when(F.col(f"_n{k}") != 1, F.raise_error(F.concat(F.lit(f"feature '{n}' has not exactly one value"), where))).when(F.col("_all") != len(names), F.raise_error(F.concat(F.lit("a 2D feature has more components than at the first timestep"), where))).otherwise(F.col(f"_v{k}")) for k, n in enumerate(names)]
+    checked = [F.when(F.col(f"_n{k}") != 1, F.raise_error(F.concat(F.lit(f"feature '{n}' has not exactly one value"), where))).when(F.col("_all") > len(names), F.raise_error(F.concat(F.lit("a 2D feature has more components than at the first timestep"), where))).otherwise(F.col(f"_v{k}")) for k, n in enumerate(names)]
     return wide.select("timestep", "x", *(c.cast("float").cast(dtype).alias(n) for c, n in zip(checked, names, strict=True)))
