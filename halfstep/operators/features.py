@@ -26,8 +26,22 @@ def stack_features(grid: DataFrame, features_1d: list[str], components: dict[str
     """(timestep, x, one column for each feature) from rows (variable, timestep, x, y, value), in one shuffle. A grid
     point that lacks a feature, or has one twice, is an error."""
     names = feature_names(features_1d, components)
-    of = [(F.col("variable") == v) & F.col("y").isNull() for v in features_1d] + [(F.col("variable") == v) & (F.col("y") == j) for v, n in components.items() for j in range(n)]
-    wide = grid.groupBy("timestep", "x").agg(*(F.max(F.when(c, F.col("value"))).alias(f"_v{k}") for k, c in enumerate(of)), *(F.count(F.when(c, F.lit(1))).alias(f"_n{k}") for k, c in enumerate(of)), F.count(F.lit(1)).alias("_all"))
+    position, at = F.lit(None).cast("int"), 0
+    for v in features_1d:
+        position, at = F.when((F.col("variable") == v) & F.col("y").isNull(), F.lit(at)).otherwise(position), at + 1
+    for v, n in components.items():
+        position, at = F.when((F.col("variable") == v) & (F.col("y") < n), F.col("y") + at).otherwise(position), at + n
+    # as many values as there are features meet at a grid point
+    points = grid.groupBy("timestep", "x").agg(F.array_sort(F.collect_list(F.struct(position.alias("p"), "value"))).alias("_f"))
+    found, want = F.col("_f.p"), F.sequence(F.lit(0), F.lit(len(names) - 1))
     where = F.concat(F.lit(" at timestep "), F.col("timestep").cast("string"), F.lit(", x "), F.col("x").cast("string"))
-    checked = [F.when(F.col(f"_n{k}") != 1, F.raise_error(F.concat(F.lit(f"feature '{n}' has not exactly one value"), where))).when(F.col("_all") > len(names), F.raise_error(F.concat(F.lit("a 2D feature has more components than at the first timestep"), where))).otherwise(F.col(f"_v{k}")) for k, n in enumerate(names)]
-    return wide.select("timestep", "x", *(c.cast("float").cast(dtype).alias(n) for c, n in zip(checked, names, strict=True)))
+    lacks = F.get(F.array_except(want, found), F.lit(0))
+    twice = F.get(F.filter(want, lambda k: F.size(F.filter(found, lambda p: p == k)) > 1), F.lit(0))
+    name = F.get(F.array(*map(F.lit, names)), F.coalesce(lacks, twice))
+    checked = (
+        F.when(found == want, F.col("_f.value"))
+        .when(F.exists(found, F.isnull), F.raise_error(F.concat(F.lit("a 2D feature has more components than at the first timestep"), where)))
+        .otherwise(F.raise_error(F.concat(F.lit("feature '"), name, F.lit("' has not exactly one value"), where)))
+    )
+    wide = points.select("timestep", "x", checked.alias("_v"))
+    return wide.select("timestep", "x", *(F.get("_v", F.lit(k)).cast("float").cast(dtype).alias(n) for k, n in enumerate(names)))

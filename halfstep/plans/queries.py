@@ -57,7 +57,9 @@ def max_nhsteps_by_prefix(spark, sf_dir):
 
 
 def class_histogram_dense(spark, sf_dir):
-    return class_histogram(steps(spark, sf_dir).filter(F.col("p_size").isin(1, 4, 8, 32)))
+    """Classes of squared sizes, among which class 1 doesn't occur."""
+    squares = read(spark, sf_dir, "part").select((F.col("p_size") * F.col("p_size")).alias("ncsteps"))
+    return class_histogram(with_nhsteps(squares, "ncsteps"))
 
 
 def onehot_long_query(spark, sf_dir):
@@ -100,19 +102,18 @@ def feature_registry(spark, sf_dir):
 
 
 def feature_stack(spark, sf_dir):
-    """label and the first components of each vector as columns."""
+    """label and the components of each vector as columns."""
     base = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("float").alias("label"), "embedding")
-    wide = slices_wide(base, ["vec_id", "label"], "embedding", INPUTS, "embedding")
-    return wide.select("vec_id", "label", *(f"embedding_{j}" for j in range(8)))
+    return slices_wide(base, ["vec_id", "label"], "embedding", INPUTS, "embedding")
 
 
 def feature_stack_long(spark, sf_dir):
     """Features stacked from the long form that the grid source gives: a scalar variable and a component variable of
     every vector, brought together on (timestep, x) in one shuffle."""
-    base = read(spark, sf_dir, "embeddings").select(F.lit(1).alias("timestep"), F.col("vec_id").cast("int").alias("x"), F.col("label").cast("float").alias("label"), F.slice("embedding", 1, 4).alias("e"))
+    base = read(spark, sf_dir, "embeddings").select(F.lit(1).alias("timestep"), F.col("vec_id").cast("int").alias("x"), F.col("label").cast("float").alias("label"), F.col("embedding").alias("e"))
     one = base.select(F.lit("label").alias("variable"), "timestep", "x", F.lit(None).cast("int").alias("y"), F.col("label").alias("value"))
     two = base.select(F.lit("embedding").alias("variable"), "timestep", "x", F.posexplode("e").alias("y", "value"))
-    return stack_features(one.unionByName(two), ["label"], {"embedding": 4}).select(F.col("x").cast("long").alias("vec_id"), "label", *(f"embedding_{j}" for j in range(4)))
+    return stack_features(one.unionByName(two), ["label"], {"embedding": INPUTS}).select(F.col("x").cast("long").alias("vec_id"), "label", *(f"embedding_{j}" for j in range(INPUTS)))
 
 
 def dense_hidden(spark, sf_dir):

@@ -25,7 +25,7 @@ SQL = {
     "nhsteps": f"SELECT p_partkey, p_size, nhsteps FROM ({STEPS})",
     "max_nhsteps": f"SELECT max(nhsteps) AS max_nhsteps FROM ({STEPS})",
     "max_nhsteps_by_prefix": f"SELECT CAST(n AS INTEGER) AS num_timesteps, max(nhsteps) AS max_nhsteps FROM ({STEPS}) JOIN range(1, 4) t(n) ON timestep <= n GROUP BY n",
-    "class_histogram_dense": f"WITH s AS (SELECT nhsteps FROM ({STEPS}) WHERE p_size IN (1, 4, 8, 32)) SELECT CAST(j AS INTEGER) AS cls, count(nhsteps) AS n FROM range((SELECT max(nhsteps) + 1 FROM s)) t(j) LEFT JOIN s ON s.nhsteps = j GROUP BY j",
+    "class_histogram_dense": "WITH s AS (SELECT CAST(round_even(log2(CAST(p_size AS DOUBLE) * p_size), 0) AS INTEGER) AS nhsteps FROM part) SELECT CAST(j AS INTEGER) AS cls, count(nhsteps) AS n FROM range((SELECT max(nhsteps) + 1 FROM s)) t(j) LEFT JOIN s ON s.nhsteps = j GROUP BY j",
     "onehot_long": f"WITH s AS ({STEPS}) SELECT p_partkey, CAST(j AS INTEGER) AS cls, CAST(nhsteps = j AS INTEGER) AS target FROM s, range((SELECT max(nhsteps) + 1 FROM s)) t(j)",
     "onehot_wide": "SELECT p_partkey, " + ", ".join(f"CAST(nhsteps = {j} AS INTEGER) AS target_{j}" for j in range(7)) + f" FROM ({STEPS})",
     "onehot_array": f"WITH s AS ({STEPS}), m AS (SELECT max(nhsteps) AS m FROM s) SELECT p_partkey, repeat('0', nhsteps) || '1' || repeat('0', m - nhsteps) AS target FROM s, m",
@@ -33,8 +33,8 @@ SQL = {
     "float32_cast": "SELECT p_partkey, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS price FROM part",
     "slice_unpack": "SELECT vec_id, CAST(i AS INTEGER) AS component, embedding[i + 1] AS value FROM embeddings, range(len(embedding)) t(i)",
     "feature_registry": "WITH n AS (SELECT max(len(embedding)) AS n FROM embeddings) SELECT 0 AS pos, 'p_retailprice' AS name UNION ALL SELECT CAST(j + 1 AS INTEGER), 'embedding_' || j FROM range((SELECT n FROM n)) t(j)",
-    "feature_stack": "SELECT vec_id, CAST(label AS FLOAT) AS label, " + ", ".join(f"embedding[{j + 1}] AS embedding_{j}" for j in range(8)) + " FROM embeddings",
-    "feature_stack_long": "SELECT vec_id, CAST(label AS FLOAT) AS label, " + ", ".join(f"embedding[{j + 1}] AS embedding_{j}" for j in range(4)) + " FROM embeddings",
+    "feature_stack": "SELECT vec_id, CAST(label AS FLOAT) AS label, " + ", ".join(f"embedding[{j + 1}] AS embedding_{j}" for j in range(INPUTS)) + " FROM embeddings",
+    "feature_stack_long": "SELECT vec_id, CAST(label AS FLOAT) AS label, " + ", ".join(f"embedding[{j + 1}] AS embedding_{j}" for j in range(INPUTS)) + " FROM embeddings",
     "dense_hidden": f"WITH {NET} SELECT vec_id, h AS unit, round(v, {DIGITS}) AS v FROM hid",
     "relu_hidden": f"WITH {NET} SELECT vec_id, h AS unit, round(v, {DIGITS}) AS v FROM act",
     "dense_output": f"WITH {NET} SELECT vec_id, k AS cls, round(z, {DIGITS}) AS z FROM z",
