@@ -46,7 +46,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     rows = cut(rows.select(F.col(doc_id).alias("doc_id"), "_sha", *extra, F.monotonically_increasing_id().alias("_row")))
     best = F.max(F.struct("doc_id", "_row"))
     groups = rows.filter("_sha is not null").groupBy("_sha").agg(best.alias("_best"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    out = rows.join(groups, "_sha", "left")
+    # a table of its own: its join may broadcast, and else Spark can split a key that has very many rows
+    out = rows.join(small(cut(groups), BROADCAST_GROUPS), "_sha", "left")
     columns = {
         "keep_id": F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_best.doc_id")),
         "group_size": F.coalesce("_n", F.lit(1)).cast("long"),
