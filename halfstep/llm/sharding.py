@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked (each to the hub of its group). Shards start from a hash of the document; then in
 each round every group names the shard that holds most of it, and its members elsewhere ask to move there. Moves from
-shard i to shard j are granted up to a quota: as many as ask to go the other way, plus room left below the capacity.
-Whole groups are granted before parts. At the end surplus rows (unlinked ones first) go to the shards that lack some, so
+shard i to shard j are granted up to a quota: as many as ask to go the other way, plus j's room for linked rows below its
+capacity (an even share of all rows; unlinked rows make way later). Whole groups are granted before parts. At the end surplus rows (unlinked ones first) go to the shards that lack some, so
 that counts are at most one apart: law `rows`. Groups larger than a shard are spread over several.
 
 A null text has no bytes and is linked with other empty ones. Repeated rows are rows of their own. Empty tables give
@@ -22,9 +22,10 @@ BINS = 4096
 WINDOW_ROWS = 50_000
 
 
-def propagate(linked: DataFrame, loads: list[int], shards: int, rounds: int, slack: float) -> DataFrame:
-    """linked (_row, _key, shard) with the shards that label propagation gives. loads: rows in each shard, all rows."""
-    capacity = -(-sum(loads) * (1 + slack) // shards)
+def propagate(linked: DataFrame, capacity: int, shards: int, rounds: int) -> DataFrame:
+    """linked (_row, _key, shard) with the shards that label propagation gives, none of which gains beyond the capacity."""
+    by_shard = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}
+    loads = [by_shard.get(s, 0) for s in range(shards)]
     spark = linked.sparkSession
     for k in range(rounds):
         held = linked.groupBy("_key", "shard").agg(F.count(F.lit(1)).alias("_n"))
@@ -51,7 +52,7 @@ def propagate(linked: DataFrame, loads: list[int], shards: int, rounds: int, sla
     return linked
 
 
-def balanced_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, slack: float = 0.02) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", rounds: int = 3) -> DataFrame:
     """A row for each document: doc_id, size, text_crc32, shard, slot."""
     whole = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).cast("long").alias("text_crc32"), F.unhex(F.md5(whole)).alias("_key"))
@@ -59,10 +60,8 @@ def balanced_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     base = cut(base)
     groups = base.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     linked = cut(base.select("_row", "_key", "shard").join(groups.select("_key"), "_key", "left_semi"))
-    by_shard = {r["shard"]: r["count"] for r in base.groupBy("shard").count().collect()}
-    loads = [by_shard.get(s, 0) for s in range(shards)]
-    total = sum(loads)
-    moved = propagate(linked, loads, shards, rounds, slack).select("_row", F.col("shard").alias("_home"))
+    total = base.count()
+    moved = propagate(linked, total // shards, shards, rounds).select("_row", F.col("shard").alias("_home"))
     now = base.join(moved, "_row", "left").withColumn("_linked", F.col("_home").isNotNull()).withColumn("shard", F.coalesce("_home", "shard")).drop("_home", "_key")
     # _home is null in rows without an equal, and they may be moved first
     buckets = max(32, total // (shards * WINDOW_ROWS) + 1)
