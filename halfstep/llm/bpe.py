@@ -146,12 +146,13 @@ def coder(file: str) -> Bpe:
 
 
 def with_ids(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
-    """docs with the ids of each text and, if wanted, the text that the ids decode to. The text column itself is dropped
-    (join by your key, or name it twice, to keep it)."""
+    """docs with the ids of each text and, if wanted, the text that the ids decode to, in place of the text column and of
+    columns that have these names already (to keep the text, name it twice)."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     at = docs.columns.index(text)
-    fields = [f for f in docs.schema.fields if f.name != text]
+    fields = [f for f in docs.schema.fields if f.name not in (text, ids, decoded)]
+    kept = [docs.columns.index(f.name) for f in fields]
     new = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,7 @@ def with_ids(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str
                 raw = [c.encode(t) for t in part.to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(raw), np.int32)
-                columns = [x.slice(done, len(part)) for k, x in enumerate(batch.columns) if k != at]
+                columns = [batch.column(k).slice(done, len(part)) for k in kept]
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
                 if decoded:
                     columns.append(pa.array([c.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string()))

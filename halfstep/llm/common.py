@@ -75,12 +75,13 @@ def drop_rows(docs: DataFrame, key: Column, doc_id: str, lost: DataFrame, twice:
     table is broadcast if it has at most so many rows. Rows alike in key and id are merged before they are shuffled."""
 
     def match(other: DataFrame) -> Column:
-        return (F.col("_whole") == other["_key"]) & F.col(doc_id).eqNullSafe(other["_id"])
+        return (F.col("_whole") == other["_key"]) & F.col("_own").eqNullSafe(other["_id"])
 
     lost, twice = cut(lost), cut(twice)
-    left = docs.withColumn("_whole", key).join(small(lost, most), match(lost), "left_anti")
-    if twice.isEmpty():
-        return left.drop("_whole")
-    near = small(twice, most)
-    once = left.join(near, match(twice), "left_anti")
-    return once.unionByName(left.join(near, match(twice), "left_semi").dropDuplicates(["_whole", doc_id])).drop("_whole")
+    # a row goes as a struct, so its columns can have any names
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_whole"), F.col(doc_id).alias("_own"))
+    left = rows.join(small(lost, most), match(lost), "left_anti")
+    if not twice.isEmpty():
+        near = small(twice, most)
+        left = left.join(near, match(twice), "left_anti").unionByName(left.join(near, match(twice), "left_semi").dropDuplicates(["_whole", "_own"]))
+    return left.select("_row.*")

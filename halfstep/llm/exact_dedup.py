@@ -29,21 +29,22 @@ def keyed(docs: DataFrame, text: str, prefix_chars: int) -> DataFrame:
     return docs.withColumns({"_length": F.octet_length(whole), "_prefix": F.xxhash64(ascii_lower(F.substring(whole, 1, prefix_chars)))})
 
 
-def refined(docs: DataFrame, text: str = "text", prefix_chars: int = 64) -> DataFrame:
-    """docs with _sha, the hash of the whole normalised text, for rows of surviving groups and null for all others,
-    which have no equal."""
-    alive = small(cut(candidate_groups(docs, text, prefix_chars)), BROADCAST_GROUPS).withColumn("_alive", F.lit(True))
-    whole = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    rows = keyed(docs, text, prefix_chars).join(alive, ["_length", "_prefix"], "left")
+def refined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_chars: int = 64) -> DataFrame:
+    """doc_id and text with _sha, the hash of the whole normalised text, for rows of surviving groups and null for all
+    others, which have no equal."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    alive = small(cut(candidate_groups(docs, "text", prefix_chars)), BROADCAST_GROUPS).withColumn("_alive", F.lit(True))
+    whole = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    rows = keyed(docs, "text", prefix_chars).join(alive, ["_length", "_prefix"], "left")
     return rows.withColumn("_sha", F.when(F.col("_alive"), F.unhex(F.sha2(whole, 256)))).drop("_length", "_prefix", "_alive")
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept; with digest also text_sha256, which has the whole
     text of every document hashed."""
-    rows = refined(docs, text)
-    extra = [F.coalesce("_sha", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256))).alias("_digest")] if digest else []
-    rows = cut(rows.select(F.col(doc_id).alias("doc_id"), "_sha", *extra, F.monotonically_increasing_id().alias("_row")))
+    rows = refined(docs, doc_id, text)
+    extra = [F.coalesce("_sha", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))).alias("_digest")] if digest else []
+    rows = cut(rows.select("doc_id", "_sha", *extra, F.monotonically_increasing_id().alias("_row")))
     best = F.max(F.struct("doc_id", "_row"))
     groups = rows.filter("_sha is not null").groupBy("_sha").agg(best.alias("_best"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     # a table of its own: its join may broadcast, and else Spark can split a key that has very many rows
@@ -59,7 +60,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
 
 def drop_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    rows = cut(refined(docs, text).select(F.col(doc_id).alias("_id"), "_sha"))
+    rows = cut(refined(docs, doc_id, text).select(F.col("doc_id").alias("_id"), "_sha"))
     same = rows.filter("_sha is not null").groupBy("_sha", "_id").agg(F.count(F.lit(1)).alias("_copies"))
     best = same.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.sum("_copies").alias("_n")).filter("_n > 1")
     hashed = rows.filter("_sha is not null").join(small(cut(best), BROADCAST_GROUPS), "_sha")

@@ -192,8 +192,10 @@ def chunks(texts: pa.Array, chars: int) -> Iterator[pa.Array]:
         at = upto
 
 
-def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and phrase_rate, from labelled text by language."""
+def identify(docs: DataFrame, texts: dict[str, str], text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "phrase_rate")) -> DataFrame:
+    """docs with the language, score and phrases a character of each text, from labelled text by language. Columns that
+    have these names already are replaced."""
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(texts))
     at = docs.columns.index(text)
 
@@ -205,9 +207,9 @@ def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> Data
                 lang, score, rate = p.predict(part.to_pylist())
                 langs, scores, rates = langs + lang, [*scores, score], [*rates, rate]
             new = [pa.array(langs, pa.string()), *(pa.array(np.concatenate(x) if x else np.zeros(0), pa.float64()) for x in (scores, rates))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score", "phrase_rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrase_rate", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))])
     return docs.mapInArrow(predict, schema)
 
 

@@ -80,8 +80,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     picks = pareto_mix(docs, doc_id, text, source, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "_key", "copies")
     picks = picks.groupBy("_id", "_from", "_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     picks = cut(picks.filter("_copies > 0"))
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = keyed.join(picks, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_from")) & (F.col("_hash") == F.col("_key")))
+    # a row goes as a struct, so its columns can have any names
+    keyed = docs.select(F.struct("*").alias("_whole_row"), F.col(doc_id).alias("_own"), F.col(source).alias("_of"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"))
+    rows = keyed.join(picks, F.col("_own").eqNullSafe(F.col("_id")) & F.col("_of").eqNullSafe(F.col("_from")) & (F.col("_hash") == F.col("_key")))
     out = rows.filter("_rows = 1").withColumn("_times", F.col("_copies"))
     if not picks.filter("_rows > 1").isEmpty():
         # rows alike in id, source and text share their copies: each gets as many, the first ones one more
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         many = many.withColumn("_times", each + (F.col("_place") < F.col("_copies") - each * F.col("_rows")).cast("long"))
         out = out.unionByName(many.drop("_place", "_row"))
     out = out.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    return out.select(*docs.columns)
+    return out.select("_whole_row.*")
 
 
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

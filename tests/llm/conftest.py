@@ -33,7 +33,10 @@ def rows() -> list[tuple]:
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that the operators use inside.
-EXTRA = ("size", "shard", "score", "node", "key", "copies", "_key", "row")
+EXTRA = (
+    "size", "shard", "score", "lang_pred", "ids", "decoded", "node", "key", "root", "th", "k", "n", "token", "copies", "row", "slot", "law", "target", "taken", "keep_id", "kept", "source_size", "n_bytes", "n_tokens",
+    "_key", "_id", "_row", "_sha", "_length", "_prefix", "_alive", "_whole", "_own", "_copies", "_rows", "_hash", "_from", "_of", "_times", "_copy", "_bucket", "_start", "_whole_row", "_to", "_bin", "_n",
+)
 
 
 @pytest.fixture(scope="session")
