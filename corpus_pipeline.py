@@ -24,9 +24,9 @@ FOREIGN_RATE, LEAST_CHARS = 0.6, 40
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages; those without a letter and those in none of them go."""
-    found = identify(docs, sample(docs))
-    foreign = (F.col("phrase_rate") > FOREIGN_RATE) & (F.length("text") >= LEAST_CHARS)
-    return found.filter((F.col("lang_pred") != "und") & ~foreign).select(*docs.columns)
+    found = identify(docs, sample(docs), names=("_stage_lang", "_stage_score", "_stage_rate"))
+    foreign = (F.col("_stage_rate") > FOREIGN_RATE) & (F.length("text") >= LEAST_CHARS)
+    return found.filter((F.col("_stage_lang") != "und") & ~foreign).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
