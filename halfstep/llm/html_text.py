@@ -29,7 +29,7 @@ from .langid import chunks
 
 PATHS, LEAVES, WORDS, FIGURES = 256, 64, 128, 8
 WIDTH = PATHS + LEAVES + WORDS + FIGURES
-HIDDEN, PAGES, EPOCHS, BATCH, RATE = 24, 700, 6, 20, 0.01
+HIDDEN, PAGES, EPOCHS, BATCH, RATE = 24, 900, 7, 20, 0.01
 
 #: Elements that begin and end a block (fixed values of HTML).
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav object ol optgroup option p pre search section select summary table tbody td template tfoot th thead tr ul".split())
@@ -38,6 +38,8 @@ HIDDEN_TEXT = frozenset("script style noscript template svg math iframe object t
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes if it is open (the nearest one, up to the barrier).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+#: The end of one of them ends any other.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BARRIER = frozenset("ul ol menu dl table tbody thead tfoot select body article section div".split())
 CLOSE_P = BLOCK - {"button", "label", "option", "optgroup", "body", "html", "head", "legend", "caption", "iframe", "object", "template"}
 
@@ -99,13 +101,14 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            ends = HEADINGS if tag in HEADINGS else {tag}
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ends), None)
             if k is not None:
                 del stack[k:]
             continue
         if tag == "hr":
             continue
-        if tag in CLOSE_P and stack and stack[-1][0] == "p":
+        if stack and ((tag in CLOSE_P and stack[-1][0] == "p") or (tag in HEADINGS and stack[-1][0] in HEADINGS)):
             stack.pop()
         if tag in CLOSES:
             for k in range(len(stack) - 1, -1, -1):
@@ -139,7 +142,7 @@ def features(pages: list[list[Block]]) -> np.ndarray:
             w = [PATHS + LEAVES + bucket(x.strip(".,;:!?()\"'"), WORDS) for x in words]
             rows.append(np.full(len(f) + len(w), at))
             columns.append(np.array(f + w))
-            values.append(np.concatenate([np.ones(len(f)), np.full(len(w), len(w) ** -0.5)]))
+            values.append(np.ones(len(f) + len(w)))
             n, letters = len(b.text), sum(map(str.isalpha, b.text[:400]))
             figures[at] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1, b.links / n), min(1, sum(map(b.text.count, ".,;!?")) / (1 + len(words))), letters / min(n, 400), b.text[-1] in ".!?", k / len(page), len(b.path) / 8)
             at += 1
@@ -148,6 +151,8 @@ def features(pages: list[list[Block]]) -> np.ndarray:
         flat = np.concatenate(rows) * WIDTH + np.concatenate(columns)
         x = np.bincount(flat, np.concatenate(values), at * WIDTH).reshape(at, WIDTH).astype(np.float32)
         x[:, :PATHS] = np.minimum(x[:, :PATHS], 1)
+        words = x[:, PATHS + LEAVES : PATHS + LEAVES + WORDS]
+        words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1)
         x[:, -FIGURES:] = figures
     return x
 
@@ -275,9 +280,9 @@ class Maker:
         self.add(f"<{tag}>{text}</{tag}>" if self.r.random() < 0.5 else f"<div>{text}</div>" if self.r.random() < 0.3 else text, 0)
 
     def paragraph(self) -> None:
-        n = self.r.choice((1, 1, 2, 3, 8, 15, 30, 60, 120))
+        n = self.r.choice((1, 1, 2, 3, 8, 15, 30, 60, 120)) if self.r.random() < 0.98 else self.r.choice((500, 2000))
         kind = self.r.random()
-        text = self.sentences(n)
+        text = self.sentences(n) if n < 500 or self.r.random() < 0.5 else f"{self.words(1)} " * n
         if kind < 0.15:
             self.add(f"<p><b>{text}<br>" if self.r.random() < 0.7 else f"<p><b>{text}</b></p>", 1)
         elif kind < 0.25:

@@ -171,6 +171,7 @@ def test_pages(spark):
 def test_decoding_of_references_and_unclosed_tags():
     found = H.blocks("a<p>b &lt;c&gt; &#233;<p>d<div class='x y'>e<li>f<li>g</div><a href=q>h</a> i<textarea>no</textarea>")
     assert [b.text for b in found] == ["a", "b <c> é", "d", "e", "f", "g", "h i"]
+    assert [b.path for b in H.blocks("<h2>a</h3><p>b<h1>c<h2>d</h2>e")] == [(("h2",),), (("p",),), (("h1",),), (("h2",),), ()]
     assert found[3].path == (("div", "x", "y"),) and found[-1].links == 1
 
 
