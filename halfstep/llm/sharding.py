@@ -30,6 +30,7 @@ def propagate(linked: DataFrame, capacity: int, shards: int, rounds: int) -> Dat
     for k in range(rounds):
         held = linked.groupBy("_key", "shard").agg(F.count(F.lit(1)).alias("_n"))
         wish = held.groupBy("_key").agg(F.max_by("shard", F.struct("_n", -F.col("shard"))).alias("_to"))
+        wish = cut(wish)  # so that Spark can split a key with very many rows in the join
         asked = linked.join(wish, "_key").withColumn("_bin", F.floor(unit("_key", seed=100 + k) * BINS).cast("int"))
         asked = cut(asked)
         bins = asked.filter("shard <> _to").groupBy(F.col("shard").alias("_i"), F.col("_to").alias("_j"), "_bin").agg(F.count(F.lit(1)).alias("_n"))
@@ -59,7 +60,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     base = base.withColumn("_row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("doc_id", "_key"), F.lit(shards)).cast("int"))
     base = cut(base)
     groups = base.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    linked = cut(base.select("_row", "_key", "shard").join(groups.select("_key"), "_key", "left_semi"))
+    linked = cut(base.select("_row", "_key", "shard").join(cut(groups.select("_key")), "_key", "left_semi"))
     total = base.count()
     moved = propagate(linked, total // shards, shards, rounds).select("_row", F.col("shard").alias("_home"))
     now = base.join(moved, "_row", "left").withColumn("_linked", F.col("_home").isNotNull()).withColumn("shard", F.coalesce("_home", "shard")).drop("_home", "_key")
