@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import lean, table
 from .langid import chunks
 
-SHORT, CACHE, NONE = 128, 600_000, 1 << 60
+SHORT, CACHE, NONE = 128, 250_000, 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -157,9 +157,9 @@ def with_ids(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(shared.value)
-        for batch in batches:
+        for batch in lean(batches):
             done = 0
-            for part in chunks(batch.column(at), 4_000_000):
+            for part in chunks(batch.column(at), 1_500_000):
                 raw = [c.encode(t) for t in part.to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(raw), np.int32)

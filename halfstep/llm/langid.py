@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, unit
+from .common import lean, table, unit
 
 ROWS, SAMPLE_CHARS, LEAST_CHARS = 48, 16_384, 4_096
 #: Characters in a block, characters parsed at once, and letters with a column of their own in the table.
-BLOCK, CHUNK, LETTERS = 2_048, 6_000_000, 250
+BLOCK, CHUNK, LETTERS = 2_048, 2_000_000, 250
 
 
 def held_out(doc_id: Column) -> Column:
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, texts: dict[str, str], text: str = "text", names:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(shared.value)
-        for batch in batches:
+        for batch in lean(batches):
             langs, scores, rates = [], [], []
             for part in chunks(batch.column(at), CHUNK):
                 lang, score, rate = p.predict(part.to_pylist())

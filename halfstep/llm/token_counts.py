@@ -18,13 +18,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, unit
+from .common import lean, table, unit
 from .langid import chunks
 
 #: Pattern of the byte-level pre-tokenizer (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rows and characters of each from which frequent pre-tokens are taken; entries of the table; entries of a cache.
-SAMPLE_ROWS, SAMPLE_CHARS, FREQUENT, CACHE = 1_024, 16_384, 65_536, 400_000
+SAMPLE_ROWS, SAMPLE_CHARS, FREQUENT, CACHE = 1_024, 16_384, 65_536, 250_000
 
 
 class Counter2:
@@ -75,7 +75,7 @@ def frequent_words(docs: DataFrame, text: str = "text") -> list[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in lean(batches):
             for t in batch.column(0).to_pylist():
                 seen.update(regex.findall(PATTERN, t))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
@@ -99,8 +99,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(shared.value)
-        for batch in batches:
-            out = [n for part in chunks(batch.column(2), 4_000_000) for n in c.counts(part.to_pylist())]
+        for batch in lean(batches):
+            out = [n for part in chunks(batch.column(2), 1_500_000) for n in c.counts(part.to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(out, np.int64))], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("t"))
