@@ -1,10 +1,16 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked (each to the hub of its group). Shards start from a hash of the document; then in
-each round every group names the shard that holds most of it, and its members elsewhere ask to move there. Moves from
-shard i to shard j are granted up to a quota: as many as ask to go the other way, plus j's room for linked rows below its
-capacity (an even share of all rows; unlinked rows make way later). Whole groups are granted before parts. At the end surplus rows (unlinked ones first) go to the shards that lack some, so
-that counts are at most one apart: law `rows`. Groups larger than a shard are spread over several.
+Documents with equal texts are linked (each to the hub of its group). Shards start from a hash of the document; then
+every group names the shard that holds most of it (by a hash of group and shard if several do), and its members ask to
+be there. Groups are let in whole, the larger ones first, up to the quota of the shard, its even share of all rows; a
+group whose shard is full names the shard with most room, if that has room for all of it. Only numbers of groups by
+named shard and size come to the driver. After one round every group that was let in is whole and in the shard that it
+names, so a further round would move nothing.
+
+Groups larger than a shard fill empty shards and go on in another one; what fits nowhere is cut last, when all other
+groups are placed. Then each shard has less room than any such group has rows, so there are fewer of them than shards,
+groups larger than a shard apart. At the end surplus unlinked rows go to the shards that lack some, so that counts are
+at most one apart: law `rows`. As linked rows never exceed a shard's share, this cuts no group.
 
 A null text has no bytes and is linked with other empty ones. Repeated rows are rows of their own. Empty tables give
 empty results.
@@ -12,49 +18,97 @@ empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import heapq
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, ranked, small, table, unit
 
-BINS = 4096
-#: Rows that one window of the ranking holds, on average, at most.
-WINDOW_ROWS = 50_000
+#: Rows that one window of the ranking holds, on average, at most, and rows of ranges of groups that are broadcast.
+WINDOW_ROWS, BROADCAST_RANGES = 50_000, 500_000
+
+
+def deal(classes: dict[tuple[int, int], int], want: list[int]) -> tuple[list[tuple], list[tuple]]:
+    """Where groups go, from the number of groups by (named shard, size) and the rows that each shard is to have at most:
+    ranges (named, size, from, upto, shard) of places of whole groups among those of their class, and ranges
+    (named, size, place, from, upto, shard) of rows of the groups that are cut."""
+    room, whole, parts, late = list(want), [], [], []
+    shards = range(len(want))
+    ends: dict[int, list[tuple[int, int, int, int]]] = {}  # of groups larger than a shard: (named, size, place, rows placed) by rows left
+    heap = [-n for n in {n for _, n in classes}]
+    heapq.heapify(heap)
+
+    def emptiest() -> int:
+        return max(shards, key=lambda s: (room[s], -s))
 
+    def cut_off(left: int, named: int, n: int, place: int, begun: int, to: int) -> tuple[int, int]:
+        some = min(left, room[to])
+        parts.append((named, n, place, begun, begun + some, to))
+        room[to] -= some
+        return left - some, begun + some
 
-def propagate(linked: DataFrame, capacity: int, shards: int, rounds: int) -> DataFrame:
-    """linked (_row, _key, shard) with the shards that label propagation gives, none of which gains beyond the capacity."""
-    by_shard = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}
-    loads = [by_shard.get(s, 0) for s in range(shards)]
+    while heap:
+        n = -heapq.heappop(heap)
+        while heap and -heap[0] == n:
+            heapq.heappop(heap)
+        for named, size, place, begun in ends.pop(n, []):
+            if room[to := emptiest()] >= n:
+                cut_off(n, named, size, place, begun, to)
+            else:
+                late.append((n, named, size, place, begun))
+        at = [0] * len(want)
+        for s in shards:
+            at[s] = min(classes.get((s, n), 0), room[s] // n)
+            room[s] -= at[s] * n
+            if at[s]:
+                whole.append((s, n, 0, at[s], s))
+        for s in shards:
+            while (count := classes.get((s, n), 0) - at[s]) > 0 and room[to := emptiest()] >= n:
+                some = min(count, room[to] // n)
+                whole.append((s, n, at[s], at[s] + some, to))
+                at[s], room[to] = at[s] + some, room[to] - some * n
+            for place in range(at[s], classes.get((s, n), 0)):
+                left, begun = n, 0
+                while left > max(want) and room[to := emptiest()] == want[to] > 0:
+                    left, begun = cut_off(left, s, n, place, begun, to)
+                if not begun:
+                    late.append((n, s, n, place, 0))
+                elif left:
+                    ends.setdefault(left, []).append((s, n, place, begun))
+                    heapq.heappush(heap, -left)
+    for left, named, size, place, begun in late:
+        while left:
+            left, begun = cut_off(left, named, size, place, begun, emptiest())
+    return whole, parts
+
+
+def propagate(linked: DataFrame, want: list[int]) -> DataFrame:
+    """_row and shard of linked (_row, _key, shard), after label propagation; no shard has more rows than it is to have."""
     spark = linked.sparkSession
-    for k in range(rounds):
-        held = linked.groupBy("_key", "shard").agg(F.count(F.lit(1)).alias("_n"))
-        wish = held.groupBy("_key").agg(F.max_by("shard", F.struct("_n", -F.col("shard"))).alias("_to"))
-        wish = cut(wish)  # so that Spark can split a key with very many rows in the join
-        asked = linked.join(wish, "_key").withColumn("_bin", F.floor(unit("_key", seed=100 + k) * BINS).cast("int"))
-        asked = cut(asked)
-        bins = asked.filter("shard <> _to").groupBy(F.col("shard").alias("_i"), F.col("_to").alias("_j"), "_bin").agg(F.count(F.lit(1)).alias("_n"))
-        moves = {(r["_i"], r["_j"]): r["_n"] for r in bins.groupBy("_i", "_j").agg(F.sum("_n").alias("_n")).collect()}  # shards squared at most
-        if not moves:
-            return asked.select("_row", "_key", "shard")
-        into = {j: sum(n for (_, b), n in moves.items() if b == j) for j in range(shards)}
-        quota = [(i, j, int(min(n, min(n, moves.get((j, i), 0)) + max(0, capacity - loads[j]) * n // into[j]))) for (i, j), n in moves.items()]
-        quotas = spark.createDataFrame(quota, "_i int, _j int, _quota long")
-        before = F.sum("_n").over(Window.partitionBy("_i", "_j").orderBy("_bin")) - F.col("_n")
-        grant = bins.join(F.broadcast(quotas), ["_i", "_j"]).withColumn("_part", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_quota") - before) / F.col("_n"))))
-        grant = cut(grant.select("_i", "_j", F.col("_bin").alias("_b"), "_part"))  # shards squared times BINS at most
-        on = (F.col("shard") == F.col("_i")) & (F.col("_to") == F.col("_j")) & (F.col("_bin") == F.col("_b"))
-        goes = unit("_row", seed=200 + k) < F.coalesce("_part", F.lit(0.0))
-        linked = cut(asked.join(small(grant, shards * shards * BINS), on, "left").select("_row", "_key", F.when(goes, F.col("_to")).otherwise(F.col("shard")).alias("shard"), (goes & (F.col("shard") != F.col("_to"))).alias("_went"), F.col("shard").alias("_was")))
-        for r in linked.filter("_went").groupBy("_was", "shard").count().collect():
-            loads[r["_was"]] -= r["count"]
-            loads[r["shard"]] += r["count"]
-        linked = linked.select("_row", "_key", "shard")
-    return linked
+    held = linked.groupBy("_key", "shard").agg(F.count(F.lit(1)).alias("_n"))
+    named = held.withColumn("_tie", unit("_key", "shard", seed=100)).groupBy("_key").agg(F.sum("_n").alias("_size"), F.max_by("shard", F.struct("_n", "_tie")).alias("_named"))
+    named = cut(named)
+    classes = {(r["_named"], r["_size"]): r["count"] for r in named.groupBy("_named", "_size").count().collect()}  # sizes differ, so at most shards times the root of twice the rows
+    whole, parts = deal(classes, want)
+    buckets = max(1, sum(classes.values()) // WINDOW_ROWS + 1)
+    placed = ranked(named, ["_named", "_size"], F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"), [F.col("_key")], "_place")
+    ranges = spark.createDataFrame(whole, "_w int, _m long, _from long, _upto long, _to int")
+    within = (F.col("_named") == F.col("_w")) & (F.col("_size") == F.col("_m")) & (F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_upto"))
+    ranges = F.broadcast(ranges) if len(whole) <= BROADCAST_RANGES else ranges
+    placed = cut(placed.join(ranges, within, "left").select("_key", "_named", "_size", "_place", "_to"))  # so that Spark can split a key with very many rows in the join
+    there = cut(linked.join(placed.select("_key", "_to"), "_key").select("_row", "_key", "_to"))
+    of = spark.createDataFrame(parts, "_named int, _size long, _place long, _from long, _upto long, _part int")
+    pieces = cut(placed.filter("_to is null").join(F.broadcast(of), ["_named", "_size", "_place"]).select(F.col("_key").alias("_cut"), "_from", "_upto", "_part"))
+    torn = there.filter("_to is null").select("_row", "_key")
+    torn = ranked(torn, ["_key"], F.pmod(F.xxhash64("_row"), F.lit(max(32, sum(n for _, n in classes) // WINDOW_ROWS + 1))).cast("int"), [F.col("_row")], "_nth")
+    torn = torn.join(F.broadcast(pieces), (F.col("_key") == F.col("_cut")) & (F.col("_nth") >= F.col("_from")) & (F.col("_nth") < F.col("_upto")))
+    return there.filter("_to is not null").select("_row", F.col("_to").alias("shard")).union(torn.select("_row", F.col("_part").alias("shard")))
 
 
 def balanced_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", rounds: int = 3) -> DataFrame:
-    """A row for each document: doc_id, size, text_crc32, shard, slot."""
+    """A row for each document: doc_id, size, text_crc32, shard, slot. One round of propagation is all there is to do; with
+    none, rows stay where their hash puts them."""
     whole = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).cast("long").alias("text_crc32"), F.unhex(F.md5(whole)).alias("_key"))
     base = base.withColumn("_row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("doc_id", "_key"), F.lit(shards)).cast("int"))
@@ -62,14 +116,14 @@ def balanced_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     groups = base.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     linked = cut(base.select("_row", "_key", "shard").join(cut(groups.select("_key")), "_key", "left_semi"))
     total = base.count()
-    moved = propagate(linked, total // shards, shards, rounds).select("_row", F.col("shard").alias("_home"))
+    want = [total // shards + (s < total % shards) for s in range(shards)]
+    moved = (propagate(linked, want) if rounds else linked).select("_row", F.col("shard").alias("_home"))
     now = base.join(moved, "_row", "left").withColumn("_linked", F.col("_home").isNotNull()).withColumn("shard", F.coalesce("_home", "shard")).drop("_home", "_key")
     # _home is null in rows without an equal, and they may be moved first
     buckets = max(32, total // (shards * WINDOW_ROWS) + 1)
     bucket = F.col("_linked").cast("int") * buckets + F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int")
     now = cut(ranked(now, ["shard"], bucket, [F.col("_row")], "_place"))
     have = {r["shard"]: r["count"] for r in now.groupBy("shard").count().collect()}
-    want = [total // shards + (s < total % shards) for s in range(shards)]
     over = [max(0, have.get(s, 0) - want[s]) for s in range(shards)]
     lack = [max(0, want[s] - have.get(s, 0)) for s in range(shards)]
     number, to = F.lit(None).cast("long"), F.lit(0)

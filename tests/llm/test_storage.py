@@ -203,3 +203,23 @@ def test_groups_stay_together(spark):
     out = balanced_shards(df, rounds=4).join(df, "doc_id")
     cut_groups = out.filter("text like 'group%'").groupBy("text").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count()
     assert cut_groups < 20  # of 80; by hash alone nearly all are cut
+
+
+@pytest.mark.parametrize("kind", ["pairs", "hot", "mixed"])
+def test_groups_that_fit_a_shard_are_whole(spark, kind):
+    """Only groups larger than a shard, and fewer others than there are shards, are cut; counts stay even."""
+    if kind == "pairs":
+        rows = [(k, f"pair {k // 2}") for k in range(4000)]
+    elif kind == "hot":
+        rows = [(k, "hot") for k in range(1334)] + [(2000 + k, f"pair {k // 2}") for k in range(1866)] + [(5000 + k, f"single {k}") for k in range(800)]
+    else:
+        sizes = [300, 250, 250, 200, 120, 90, 90, 60, *([7] * 100), *([3] * 300), *([2] * 400)]
+        rows = [(k, f"group {g}") for k, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = balanced_shards(df).join(df, "doc_id")
+    counts = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert sum(counts) == len(rows) and max(counts) - min(counts) <= 1
+    cut_groups = out.groupBy("text").agg(F.countDistinct("shard").alias("n"), F.count(F.lit(1)).alias("rows")).filter("n > 1").collect()
+    print(kind, "cut groups:", len(cut_groups))
+    assert len([r for r in cut_groups if r["rows"] <= len(rows) // 8]) < 8
+    assert all(r["n"] <= -(-r["rows"] // (len(rows) // 8)) + 1 for r in cut_groups if r["rows"] > len(rows) // 8)
