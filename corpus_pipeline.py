@@ -20,6 +20,8 @@ from halfstep.llm.mixing import mix
 #: A text of at least LEAST_CHARS characters that needs more phrases a character than this in its best language is in
 #: none of the languages learned (running text of a learned language stays below 0.4).
 FOREIGN_RATE, LEAST_CHARS = 0.6, 40
+#: Near copies share this many in a hundred of their shingles of so many words, at least. (op8 has numbers of its own.)
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of the n-gram Jaccard join connect."""
-    return drop_near(docs)
+    """One document of each group that links connect: a Jaccard similarity of 0.8 or more of the sets of five-word
+    shingles."""
+    return drop_near(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document's set is its distinct shingles of four words (64-bit hashes). Two documents link when the Jaccard similarity
-of their sets is at least 0.85. Equal sets are one class; classes are what is compared.
+A document's set is its distinct shingles of `words` words (64-bit hashes). Two documents link when the Jaccard similarity
+of their sets is at least `percent` in a hundred: four words and 85 unless told otherwise, as op8 has it. Equal sets are
+one class; classes are what is compared.
 
 Shingles are hashed into GROUPS groups; the counts by group are a class's point. The overlap of two sets is at most the
 sum of the coordinate minima of their points, and with a box of points at most that of the minima with its upper corner.
-Points are dealt to trees by shingle: linked sets must share a shingle among their (1 - 0.85) n + 1 rarest ones, so each
+Points are dealt to trees by shingle: linked sets must share a shingle among their (1 - percent / 100) n + 1 rarest ones, so each
 shingle has a tree of the classes that have it there. How often shingles occur, which only sets their order, is counted
 over all documents in BUCKETS counters.
 
@@ -23,8 +24,9 @@ rows of one class. A null doc_id is never the smallest one unless all others are
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,6 @@ LEAF, TREE, CHUNK, BROADCAST_NODES = 32, 50_000, 1_000_000, 500_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE, _INVERSE = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-_PLACES = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 _LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -54,7 +55,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw = [(t or "").encode() for t in texts.to_pylist()]
     lengths = np.array([len(r) for r in raw], np.int64)
@@ -81,15 +82,16 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     np.cumprod(back, out=back)
     word = mixed(word * back[first])
     upto = np.searchsorted(first, np.concatenate([[0], ends]))
-    full = sum((word[k : len(word) - WORDS + 1 + k] * _PLACES[k] for k in range(WORDS)), np.uint64(0)) if len(word) >= WORDS else np.zeros(0, np.uint64)
+    places = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(words)], np.uint64)
+    full = sum((word[k : len(word) - words + 1 + k] * places[k] for k in range(words)), np.uint64(0)) if len(word) >= words else np.zeros(0, np.uint64)
     full = mixed(full)
     out = []
     for a, b in zip(upto[:-1], upto[1:], strict=True):
-        if b - a >= WORDS:
-            s = np.sort(full[a : b - WORDS + 1])
+        if b - a >= words:
+            s = np.sort(full[a : b - words + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
-            whole = (word[a:b] * _PLACES[: b - a]).sum() + np.uint64(b - a)
+            whole = (word[a:b] * places[: b - a]).sum() + np.uint64(b - a)
             out.append(mixed(np.array([whole], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -117,7 +119,7 @@ def half(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFrame:
     """Rows (doc_id, th, n, k, key, point, fine, marks), and at the end of each task rows (bucket, count)."""
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("th long, n long, k long, key binary, point binary, fine binary, marks array<long>, bucket int, occurrences long").fields])
@@ -128,7 +130,7 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for batch in lean(batches):
             arrow, done = batch.schema.field(0).type, 0
             for part in chunks(batch.column(2), CHUNK):
-                sets = shingle_sets(part)
+                sets = shingle_sets(part, words)
                 counts += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                 m = len(sets)
                 columns = [batch.column(0).slice(done, m), batch.column(1).slice(done, m), pa.array([len(s) for s in sets], pa.int64())]
@@ -150,7 +152,7 @@ def text_hash(text: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def entries(docs: DataFrame, text: str, seen: np.ndarray, tree: int = TREE) -> DataFrame:
+def entries(docs: DataFrame, text: str, seen: np.ndarray, tree: int = TREE, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(token, salt, k) for the rarest shingles of each class: enough of them that linked sets share one. k is half of
     the class's key. A class met again in the same task is left out. Shingles whose counter is very high are salted."""
     shared = docs.sparkSession.sparkContext.broadcast(seen)
@@ -162,12 +164,12 @@ def entries(docs: DataFrame, text: str, seen: np.ndarray, tree: int = TREE) -> D
         for batch in lean(batches):
             for part in chunks(batch.column(0), CHUNK):
                 tokens, keys = [], []
-                for s in shingle_sets(part):
+                for s in shingle_sets(part, words):
                     if not len(s) or (key := key_of(s)) in met:
                         continue
                     if len(met) < 100_000:
                         met.add(key)
-                    take = len(s) - (PERCENT * len(s) + 99) // 100 + 1
+                    take = len(s) - (percent * len(s) + 99) // 100 + 1
                     order = (often[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(24)) | (s >> np.uint64(40))
                     tokens.append(s[order <= np.partition(order, take - 1)[take - 1]])
                     keys.append(half(key))
@@ -212,9 +214,19 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield told(t, s, k, True, was)[0]
 
 
-def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Overlap from which sets of these sizes link: overlap >= PERCENT / (100 + PERCENT) * (n + m), rounded up."""
-    return -(-PERCENT * (n + m) // (100 + PERCENT))
+def needed(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Overlap from which sets of these sizes link: overlap >= percent / (100 + percent) * (n + m), rounded up."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def bound(function: Callable, **numbers: int) -> Callable:
+    """The function of batches with these arguments, under its own name."""
+
+    @functools.wraps(function)
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(batches, **numbers)
+
+    return of_batches
 
 
 def bounded(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -228,7 +240,7 @@ def wide(raw: list[bytes], groups: int = GROUPS) -> np.ndarray:
     return p
 
 
-def tree_join(n: np.ndarray, p: np.ndarray, component: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tree_join(n: np.ndarray, p: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that the bound allows, in different components and, where side differs within the tree, on
     different sides. Rows are packed into leaves by size and leading counts; leaves, then upper boxes, have the maxima of
     their points as corner. Boxes are joined from the top."""
@@ -253,12 +265,12 @@ def tree_join(n: np.ndarray, p: np.ndarray, component: np.ndarray, side: np.ndar
             y = (b[i : i + step, None, None] * fan + np.arange(fan)[None, None, :]).repeat(fan, 1).ravel()
             ok = (x < len(lo)) & (y < len(lo)) & (x < y if level == 1 else x <= y)
             x, y = x[ok], y[ok]
-            ok = (PERCENT * lo[y] <= 100 * hi[x]) & ((c[x] != d[y]) | (c[y] != d[x]))
+            ok = (percent * lo[y] <= 100 * hi[x]) & ((c[x] != d[y]) | (c[y] != d[x]))
             if level == 1 and split:
                 ok &= side[x] != side[y]
             x, y = x[ok], y[ok]
             near = [bounded(top[x[j : j + 65_536]], top[y[j : j + 65_536]]) for j in range(0, len(x), 65_536)]
-            ok = np.concatenate([*near, np.zeros(0, np.int64)]) >= needed(lo[x], lo[y])
+            ok = np.concatenate([*near, np.zeros(0, np.int64)]) >= needed(lo[x], lo[y], percent)
             x, y = x[ok], y[ok]
             if level == 1:
                 found.append((x, y))
@@ -292,7 +304,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatc
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """First round: rows (token, salt, mark, n, node) in this order; each with the one before it, if they share the mark
     and their sizes allow a link."""
     last = None
@@ -304,14 +316,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate([x, y]) for x, y in zip(last, columns, strict=True)]
         last = [x[-1:] for x in columns]
         t, s, mark, n, node = columns
-        ok = (t[1:] == t[:-1]) & (s[1:] == s[:-1]) & (mark[1:] == mark[:-1]) & (node[1:] != node[:-1]) & (PERCENT * n[1:] <= 100 * n[:-1])
+        ok = (t[1:] == t[:-1]) & (s[1:] == s[:-1]) & (mark[1:] == mark[:-1]) & (node[1:] != node[:-1]) & (percent * n[1:] <= 100 * n[:-1])
         i = np.flatnonzero(ok)
         pairs = np.stack([np.minimum(node[i], node[i + 1]), np.maximum(node[i], node[i + 1])], 1)
         pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _pairs_of_trees(t: np.ndarray, block: np.ndarray, side: np.ndarray, n: np.ndarray, node: np.ndarray, component: np.ndarray, p: np.ndarray) -> np.ndarray:
+def _pairs_of_trees(t: np.ndarray, block: np.ndarray, side: np.ndarray, n: np.ndarray, node: np.ndarray, component: np.ndarray, p: np.ndarray, percent: int) -> np.ndarray:
     """Pairs of nodes of whole trees that stand one after another."""
     edges = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (block[1:] != block[:-1])) + 1, [len(t)]])
     sizes = np.diff(edges)
@@ -324,17 +336,17 @@ def _pairs_of_trees(t: np.ndarray, block: np.ndarray, side: np.ndarray, n: np.nd
         if not len(i):
             break
         j = i - lag
-        ok = (component[i] != component[j]) & (PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
+        ok = (component[i] != component[j]) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
         i, j = i[ok], j[ok]
-        ok = bounded(p[i], p[j]) >= needed(n[i], n[j])
+        ok = bounded(p[i], p[j]) >= needed(n[i], n[j], percent)
         pairs.append(np.stack([node[i[ok]], node[j[ok]]], 1))
     for a, b in zip(edges[:-1][sizes > LEAF], edges[1:][sizes > LEAF], strict=True):
-        x, y = tree_join(n[a:b], p[a:b], component[a:b], side[a:b])
+        x, y = tree_join(n[a:b], p[a:b], component[a:b], side[a:b], percent)
         pairs.append(np.stack([node[a:b][x], node[a:b][y]], 1))
     return np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _trees(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Second round: rows (first, block, token, side, n, node, component, point) in this order. Pairs are named once for
     all trees of the same first node and block."""
     begun, seen = None, np.zeros((0, 2), np.int64)
@@ -342,7 +354,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, block, t, side, n, node, component = (batch.column(k).to_numpy() for k in range(7))
         p = wide(batch.column(7).to_pylist())
         for a, b in _ranges(first, block):
-            found = _pairs_of_trees(*(x[a:b] for x in (t, block, side, n, node, component, p)))
+            found = _pairs_of_trees(*(x[a:b] for x in (t, block, side, n, node, component, p)), percent)
             if begun == (first[a], block[a]):
                 both = np.concatenate([seen, found])
                 _, at = np.unique(both, axis=0, return_index=True)
@@ -371,48 +383,48 @@ def _ranges(*columns: np.ndarray) -> list[tuple[int, int]]:
     return out + ([(a, len(columns[0]))] if a < len(columns[0]) else [])
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, n of a, n of b, fine point of a, of b), the pairs that the bound allows."""
     for batch in lean(batches):
         a, b, n, m = (batch.column(k).to_numpy() for k in range(4))
         ok = np.zeros(len(a), bool)
         for i in range(0, len(a), 2048):
             p, q = (wide(batch.column(k).slice(i, 2048).to_pylist(), FINE) for k in (4, 5))
-            ok[i : i + 2048] = bounded(p, q) >= needed(n[i : i + 2048], m[i : i + 2048])
+            ok[i : i + 2048] = bounded(p, q) >= needed(n[i : i + 2048], m[i : i + 2048], percent)
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, text of a, text of b), the pairs that link."""
     for batch in lean(batches):
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         ok = np.zeros(len(a), bool)
         for i in range(0, len(a), 256):
-            x, y = shingle_sets(batch.column(2).slice(i, 256)), shingle_sets(batch.column(3).slice(i, 256))
+            x, y = (shingle_sets(batch.column(c).slice(i, 256), words) for c in (2, 3))
             for k, (s, r) in enumerate(zip(x, y, strict=True)):
                 both = len(np.intersect1d(s, r, assume_unique=True))
-                ok[i + k] = 100 * both >= PERCENT * (len(s) + len(r) - both)
+                ok[i + k] = 100 * both >= percent * (len(s) + len(r) - both)
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of nodes that link: those the fine bound allows, by the whole texts of one document of each."""
     fine = classes.select("node", "n", "fine")
     both = pairs.join(fine.toDF("a", "n_a", "fine_a"), "a").join(fine.toDF("b", "n_b", "fine_b"), "b")
-    pairs = cut(both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(_close, "a long, b long"))
+    pairs = cut(both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(bound(_close, percent=percent), "a long, b long"))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = small(cut(classes.join(nodes, "node", "left_semi").select("node", "th")), BROADCAST_NODES)
     texts = docs.select(text_hash(text).alias("th"), F.col(text).alias("text")).join(wanted, "th").groupBy("node").agg(F.first("text").alias("text"))
     texts = cut(texts)
     with_a = pairs.join(texts.toDF("a", "text_a"), "a")
     both = with_a.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verified, "a long, b long")
+    return both.mapInArrow(bound(_verified, words=words, percent=percent), "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE) -> DataFrame:
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each document: doc_id, th (hash of its text), n_shingles, class (null without shingles), root (the node
     of its component), and links, those its class was found to have before its component was known."""
-    scanned = cut(scan(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
+    scanned = cut(scan(docs, doc_id, text, words).withColumn("row", F.monotonically_increasing_id()))
     rows = scanned.filter("bucket is null").select(F.col(doc_id).alias("doc_id"), "th", "n", "key", "row")
     counters = np.zeros(BUCKETS, np.int64)
     for r in scanned.filter("bucket is not null").groupBy("bucket").agg(F.sum("occurrences").alias("m")).collect():  # BUCKETS rows at most
@@ -421,12 +433,12 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     heads = cut(keyed.groupBy("key").agg(F.min("row").alias("row")).select("row"))
     columns = ["key", F.col("row").alias("node"), "k", "th", "n", "point", "fine", "marks"]
     classes = cut(keyed.join(small(heads, BROADCAST_NODES), "row", "left_semi").select(*columns))
-    dealt = entries(docs, text, counters, tree).repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token", "salt", "k")
+    dealt = entries(docs, text, counters, tree, words, percent).repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token", "salt", "k")
     shared = cut(dealt.mapInArrow(_shared_tokens, "token long, salt int, k long"))
     at = cut(shared.join(classes.select("k", "node", "n", "marks"), "k").select("token", "salt", F.element_at("marks", F.pmod("token", F.lit(MARKS)).cast("int") + 1).alias("mark"), "n", "node"))
     chained = at.repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token", "salt", "mark", "n", "node")
-    first = cut(chained.mapInArrow(_neighbours, "a long, b long").distinct())
-    links = cut(verify(first, docs, classes, text))
+    first = cut(chained.mapInArrow(bound(_neighbours, percent=percent), "a long, b long").distinct())
+    links = cut(verify(first, docs, classes, text, words, percent))
     roots = components(links)
 
     labelled = cut(at.join(roots, "node", "left").select("token", "n", "node", F.coalesce("root", "node").alias("component")).distinct())
@@ -438,8 +450,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     block = (F.least("side", "_with") * F.col("_parts") + F.greatest("side", "_with")).cast("long")
     dealt = open_.withColumn("block", block).join(classes.select("node", "point"), "node").select("first", "block", "token", "side", "n", "node", "component", "point")
     dealt = dealt.repartition(F.col("first"), F.col("block")).sortWithinPartitions("first", "block", "token")
-    second = cut(dealt.mapInArrow(_trees, "a long, b long").distinct())
-    more = cut(verify(second, docs, classes, text))
+    second = cut(dealt.mapInArrow(bound(_trees, percent=percent), "a long, b long").distinct())
+    more = cut(verify(second, docs, classes, text, words, percent))
     links = links.union(more)
     roots = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
@@ -448,17 +460,17 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("node").alias("class"), "root", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each document: doc_id, th, n_shingles, component_id (the smallest doc_id that links reach), links."""
-    found = cut(jaccard_classes(docs, doc_id, text, tree))
+    found = cut(jaccard_classes(docs, doc_id, text, tree, words, percent))
     least = cut(found.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("_least")))
     out = found.join(small(least, BROADCAST_NODES), "root", "left")
     return out.select("doc_id", "th", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"), "links")
 
 
-def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE) -> DataFrame:
+def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, that with the smallest doc_id; rows with an empty set all stay."""
-    found = cut(jaccard_classes(docs, doc_id, text, tree).filter("root is not null").select("root", "doc_id", "th"))
+    found = cut(jaccard_classes(docs, doc_id, text, tree, words, percent).filter("root is not null").select("root", "doc_id", "th"))
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")
     best = cut(found.groupBy("root").agg(F.min(who).alias("_best"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
     rows = found.join(small(best, BROADCAST_NODES), "root").withColumn("_stays", F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("th") == F.col("_best.th")))

@@ -161,3 +161,24 @@ def test_long_chains_are_one_component(spark):
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert got == {**{k: 0 for k in range(1, 3001)}, 5001: 5000, 5002: 5000}
     assert components(links.limit(0)).count() == 0
+
+
+def test_the_near_stage_links_from_four_fifths_of_five_word_shingles(spark, monkeypatch):
+    """Pairs between 0.80 and 0.85, and some below, against all pairs."""
+    stage = pytest.importorskip("corpus_pipeline").near_dedup
+    rows = []
+    for g, (n, more, changes) in enumerate([(500, 90, 0), (500, 120, 0), (500, 130, 0), (600, 0, 12), (600, 0, 13), (600, 0, 16), (100, 20, 0), (100, 25, 0)]):
+        base = [f"g{g}w{k}" for k in range(n)]
+        other = base + [f"g{g}m{k}" for k in range(more)]
+        for k in range(changes):
+            other[20 + k * (n - 40) // changes] = f"g{g}c{k}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setitem(globals(), "shingles", lambda text, n=5, of=shingles: of(text, n))
+    want = by_brute_force(rows, 80)
+    linked = {d // 2 for d, _, c in want if d != c}
+    assert 3 <= len(linked) < 8 and len(linked) > len({d // 2 for d, _, c in by_brute_force(rows, 85) if d != c})
+    assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == sorted({c for _, _, c in want})
+    for tree in (J.TREE, 3):
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs, tree=tree, words=5, percent=80).collect()]
+        assert sorted(got) == sorted(want)
