@@ -14,20 +14,28 @@ from halfstep.llm.bpe import with_ids
 from halfstep.llm.common import cut, table
 from halfstep.llm.exact_dedup import drop_exact
 from halfstep.llm.jaccard_join import drop_near
-from halfstep.llm.langid import identify, sample
+from halfstep.llm.langid import held_out, identify, sample
 from halfstep.llm.mixing import mix
 
 #: A text of at least LEAST_CHARS characters that needs more phrases a character than this in its best language is in
-#: none of the languages learned (running text of a learned language stays below 0.4).
-FOREIGN_RATE, LEAST_CHARS = 0.6, 40
+#: none of the languages learned (running text of a learned language of few letters stays below 0.4). A language has MARGIN
+#: times the rate below which 99 % of its labelled rows stay that were not learned from, if that is more, up to MOST_RATE:
+#: a text of letters never seen has 1.
+FOREIGN_RATE, LEAST_CHARS, MARGIN, MOST_RATE = 0.6, 40, 1.5, 0.99
 #: Near copies share this many in a hundred of their shingles of so many words, at least. (op8 has numbers of its own.)
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages; those without a letter and those in none of them go."""
-    found = identify(docs, sample(docs), names=("_stage_lang", "_stage_score", "_stage_rate"))
-    foreign = (F.col("_stage_rate") > FOREIGN_RATE) & (F.length("text") >= LEAST_CHARS)
+    texts, names = sample(docs), ("_stage_lang", "_stage_score", "_stage_rate")
+    found = identify(docs, texts, names=names)
+    apart = docs.select("doc_id", "lang", "text").filter(held_out(F.col("doc_id")) & F.col("lang").isin(*texts) & (F.length("text") >= LEAST_CHARS))
+    rates = identify(apart, texts, names=names).filter("lang = _stage_lang").groupBy("lang").agg(F.percentile_approx("_stage_rate", 0.99).alias("rate"))
+    most = F.lit(FOREIGN_RATE)
+    for r in rates.collect():  # a row for each language
+        most = F.when(F.col("_stage_lang") == r["lang"], F.lit(min(MOST_RATE, max(FOREIGN_RATE, MARGIN * r["rate"])))).otherwise(most)
+    foreign = (F.col("_stage_rate") > most) & (F.length("text") >= LEAST_CHARS)
     return found.filter((F.col("_stage_lang") != "und") & ~foreign).select(*docs.columns)
 
 

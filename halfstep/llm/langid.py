@@ -3,7 +3,8 @@
 For each language a suffix automaton of labelled text is built. A text is parsed against it from left to right into the
 longest phrases that occur in the labelled text; the language that needs fewest phrases a character wins (the first in
 code-point order if equal). The automaton with its restarts is one table of states by characters, so many texts are
-parsed in step by numpy.
+parsed in step by numpy. The LETTERS most common letters have columns in that table; the edges of all others are in one
+sorted list, looked up where a text has such a letter, so every letter of the labelled text counts.
 
 Text is lower-cased letters with one space for each run of anything else. A phrase doesn't cross a border between blocks
 of BLOCK characters, so very long texts are parsed in parallel too. Null texts and texts without a letter give `und`
@@ -28,7 +29,8 @@ from pyspark.sql import types as T
 from .common import lean, table, unit
 
 ROWS, SAMPLE_CHARS, LEAST_CHARS = 48, 16_384, 4_096
-#: Characters in a block, characters parsed at once, and letters with a column of their own in the table.
+#: Characters in a block, characters parsed at once, and letters with a column of their own in the table (this only
+#: affects memory and speed).
 BLOCK, CHUNK, LETTERS = 2_048, 2_000_000, 250
 
 
@@ -91,7 +93,6 @@ class Parser:
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         #: 0: no letter; 1: a letter that no labelled text has; above: letters of the labelled texts.
-        self.kind = np.zeros(0x110000, np.uint8)
         folded = {cp: low for cp in range(0x110000) if (ch := chr(cp)).isalpha() for low in [ch.lower() if len(ch.lower()) == 1 else ch]}
         common: dict[str, int] = {}
         for t in texts.values():
@@ -99,15 +100,20 @@ class Parser:
                 if ch.isalpha():
                     low = folded[ord(ch)]
                     common[low] = common.get(low, 0) + 1
-        letters = {ch: k + 2 for k, ch in enumerate(sorted(common, key=lambda ch: (-common[ch], ch))[:LETTERS])}
+        letters = {ch: k + 2 for k, ch in enumerate(sorted(common, key=lambda ch: (-common[ch], ch)))}
+        self.kinds = len(letters) + 2
+        self.kind = np.zeros(0x110000, np.min_scalar_type(self.kinds - 1))
         self.kind[list(folded)] = [letters.get(low, 1) for low in folded.values()]
-        self.width = len(letters) + 2
+        self.width = min(len(letters), LETTERS) + 2
         tables, starts, at = [], [], 0
+        rare: list[tuple[int, int]] = []  # of letters without a column: state and letter as one number, and the next state
         for lang in self.languages:
             codes, _ = self.normalised(texts[lang])
             step = suffix_automaton(codes.tolist())
             t = np.full((len(step), self.width), -1, np.int64)
             for s, edges in enumerate(step):
+                rare += [((at + s) * self.kinds + c, at + to) for c, to in edges.items() if c >= self.width]
+                edges = {c: to for c, to in edges.items() if c < self.width}
                 t[s, list(edges)] = list(edges.values())
             first = t[0].copy()
             again, ends = np.where(first < 0, 0, first), np.where(first < 0, 2, 1)  # an unread character is a phrase too
@@ -118,6 +124,20 @@ class Parser:
             at += len(step)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.starts = np.array(starts, np.int64)
+        self.rare = np.array(sorted(rare), np.int64).reshape(-1, 2)
+
+    def rare_steps(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The entries that the table would have for letters without a column, by states of each language (rows)."""
+
+        def step(state: np.ndarray) -> np.ndarray:
+            key = state // self.width * self.kinds + code
+            found = np.minimum(np.searchsorted(self.rare[:, 0], key), len(self.rare) - 1)
+            return np.where(self.rare[found, 0] == key, self.rare[found, 1] * self.width, -1)
+
+        start = np.broadcast_to(self.starts[:, None], state.shape)
+        on, first = step(state), step(start)
+        again = np.where(first >= 0, first << 2 | 1, start << 2 | np.where(state == start, 1, 2))
+        return np.where(on >= 0, on << 2, again)
 
     def normalised(self, text: str, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The kinds of the characters of texts that stand one after another, runs without letters made one; how many
@@ -145,9 +165,16 @@ class Parser:
         begin, size, owner = begin[order], size[order], owner[order]
         state = np.repeat(self.starts[:, None], len(size), 1)
         count = np.zeros(state.shape, np.int32)
+        many = self.kinds > self.width
         active = len(size) - np.searchsorted(size[::-1], np.arange(size[0] if len(size) else 0), side="right")
         for t, n in enumerate(active):
-            x = self.table[state[:, :n] + codes[begin[:n] + t]]
+            code = codes[begin[:n] + t]
+            if many and len(at := np.flatnonzero(code >= self.width)):
+                rare = self.rare_steps(state[:, at], code[at].astype(np.int64))
+                x = self.table[state[:, :n] + np.where(code < self.width, code, 1)]
+                x[:, at] = rare
+            else:
+                x = self.table[state[:, :n] + code]
             count[:, :n] += x & 3
             state[:, :n] = x >> 2
         count += state != self.starts[:, None]

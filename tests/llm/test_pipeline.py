@@ -22,3 +22,18 @@ def test_queries_are_registered():
 
     names = list(e.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_scripts_of_many_letters_are_not_foreign(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    odds = 1 / np.arange(1, 1501)
+
+    def some(n):
+        return "".join(chr(0x4E00 + int(k)) for k in r.choice(1500, n, p=odds / odds.sum()))
+
+    rows = [(k, some(300), "zh") for k in range(60)] + [(100 + k, "plain words of a script with few letters " * 3, "en") for k in range(20)]
+    rows.append((500, "".join(chr(0xAC00 + k) for k in range(90)), None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {d for d, _, _ in rows} - {500}

@@ -177,3 +177,27 @@ def test_decoding_of_references_and_unclosed_tags():
 
 def test_environment_leaves_no_threads():
     assert os.environ.get("TOKENIZERS_PARALLELISM", "false") in ("false", "0")
+
+
+def test_letters_beyond_the_common_ones_count(monkeypatch):
+    """Parses of scripts of many letters are those of a table with a column for each letter."""
+    from halfstep.llm import langid as L
+
+    r = np.random.default_rng(5)
+    letters = [chr(0x4E00 + k) for k in range(1500)]
+    odds = 1 / np.arange(1, 1501)
+
+    def some(n, shift):
+        return "".join(letters[(k + shift) % 1500] if k % 7 else " " for k in r.choice(1500, n, p=odds / odds.sum()))
+
+    texts = {"a": some(4000, 0), "b": some(4000, 400), "c": "plain words of another script " * 20}
+    probes = [texts["a"][500:900], texts["b"][3:2900], some(300, 0), some(300, 400), "plain words", "一", "龠" * 9, ""]
+    capped = L.Parser(texts)
+    assert capped.kinds > capped.width
+    got = capped.predict(probes)
+    monkeypatch.setattr(L, "LETTERS", 100_000)
+    want = L.Parser(texts).predict(probes)
+    assert got[0] == want[0] and got[0][:5] == ["a", "b", "a", "b", "c"]
+    assert got[1].tolist() == want[1].tolist() and got[2].tolist() == want[2].tolist()
+    assert got[2][0] < 0.01  # the labelled text itself is one phrase
+
