@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 200_000
+#: Bits of a broadcast filter (8 MB).
+BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,27 +26,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, one of our own, but on this machine's
+    cores only: elsewhere executors wouldn't see the driver's folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="halfstep-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: later jobs neither recompute it nor depend on the
-    executors that made it. The files go when the application ends."""
+_made: list[list[DataFrame]] = []
+
+
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder, in a folder for each value of `by` if that is given, and reads it back:
+    later jobs neither recompute it nor depend on the executors that made it. The files go with done(), at the end of scratch(), or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/halfstep-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.repartition(F.col(by)).write.partitionBy(by) if by else df.write).parquet(path)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    for made in _made:
+        made.append(out)
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Deletes the files of tables that cut() gave and that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a cut() whose tables stay; all others that are made meanwhile are deleted at the end."""
+    made: list[DataFrame] = []
+    stay: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        stay.append(cut(df))
+        return stay[-1]
+
+    _made.append(made)
+    try:
+        yield keep
+    finally:
+        _made.remove(made)
+        done(*(t for t in made if all(t is not s for s in stay)))
 
 
 def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +102,10 @@ def unit(*cols: Column | str, seed: int) -> Column:
     return (bits.cast("double") + 0.5) / float(2**53)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most this many rows; else as it is, for a shuffled join."""
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most this many rows, BROADCAST_ROWS unless told otherwise; else as it is, for
+    a shuffled join. For tables whose rows are keys, hashes and numbers, of at most about a hundred bytes."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -79,9 +123,51 @@ def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[Column]
     return df.join(starts, same).drop(*(f"_of_{k}" for k in keys)).withColumn(name, F.col("_start") + inner - 1).drop("_bucket", "_start")
 
 
-def drop_rows(docs: DataFrame, key: Column, doc_id: str, lost: DataFrame, twice: DataFrame, most: int) -> DataFrame:
+def bitmaps(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """A filter of the keys of df: (_b, _bits), bits by the keys' hash modulo BITS, in BITS / 8 bytes at most."""
+    at = df.select(F.pmod(F.xxhash64(*keys), F.lit(BITS)).alias("_at"))
+    return at.groupBy(F.bitmap_bucket_number("_at").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+
+
+def with_maybe(df: DataFrame, marks: DataFrame, name: str, *keys: Column | str) -> DataFrame:
+    """df with a boolean: false only where the keys are surely not among those of marks, which bitmaps() gave. That is
+    told where the rows are; nothing but the marks is sent."""
+    hashed = df.withColumn("_marks_at", F.pmod(F.xxhash64(*keys), F.lit(BITS)))
+    both = hashed.join(F.broadcast(marks.toDF("_marks_of", "_marks_bits")), F.bitmap_bucket_number("_marks_at") == F.col("_marks_of"), "left")
+    place = F.bitmap_bit_position("_marks_at")
+    byte = F.conv(F.hex(F.substring("_marks_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0
+    return both.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_marks_at", "_marks_of", "_marks_bits")
+
+
+def occurrences(df: DataFrame, keys: list[str], name: str, order: list[Column] | None = None, bucket: Column | None = None) -> DataFrame:
+    """df, a table that cut() gave, with the 0-based place of each row among those alike in keys. Only rows that have such
+    are shuffled, and those of one key go to many tasks. Which of the rows alike in all columns gets which place is
+    open, which makes no difference to the rows as a whole."""
+    alike = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*(F.col(k).alias(f"_as_{k}") for k in keys)))
+    if alike.isEmpty():
+        return df.withColumn(name, F.lit(0).cast("long"))
+    near, same = small(alike), [F.col(k).eqNullSafe(F.col(f"_as_{k}")) for k in keys]
+    many = cut(df.join(near, same, "left_semi").withColumn("_mine", F.monotonically_increasing_id()))
+    bucket = F.pmod(F.xxhash64("_mine"), F.lit(64)).cast("int") if bucket is None else bucket
+    many = ranked(many, keys, bucket, [*(order or []), F.col("_mine")], name).drop("_mine")
+    return df.join(near, same, "left_anti").withColumn(name, F.lit(0).cast("long")).unionByName(many.withColumn(name, F.col(name).cast("long")))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the 0-based place of each row in this order: rows are dealt by ranges, sorted there, and only the numbers
+    of rows of the ranges are summed."""
+    place = F.monotonically_increasing_id()
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.shiftrightunsigned(place, 33), "_in_range": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_in_range")).drop("_range", "_in_range", "_start")
+
+
+def drop_rows(docs: DataFrame, key: Column, doc_id: str, lost: DataFrame, twice: DataFrame) -> DataFrame:
     """docs without the rows whose (key, doc_id) is in lost (_key, _id), and with one row only of those in twice. Either
-    table is broadcast if it has at most so many rows. Rows alike in key and id are merged before they are shuffled."""
+    table is broadcast if it is small; if not, rows whose key is surely in neither pass as they are, and only the others
+    are shuffled. Rows alike in key and id are merged before that."""
 
     def match(other: DataFrame) -> Column:
         return (F.col("_whole") == other["_key"]) & F.col("_own").eqNullSafe(other["_id"])
@@ -89,8 +175,12 @@ def drop_rows(docs: DataFrame, key: Column, doc_id: str, lost: DataFrame, twice:
     lost, twice = cut(lost), cut(twice)
     # a row goes as a struct, so its columns can have any names
     rows = docs.select(F.struct("*").alias("_row"), key.alias("_whole"), F.col(doc_id).alias("_own"))
-    left = rows.join(small(lost, most), match(lost), "left_anti")
+    away, sure = small(lost), None
+    if away is lost:
+        rows = with_maybe(rows, cut(bitmaps(lost.select("_key").union(twice.select("_key")), "_key")), "_maybe", "_whole")
+        sure, rows = rows.filter("not _maybe").drop("_maybe"), rows.filter("_maybe").drop("_maybe")
+    left = rows.join(away, match(lost), "left_anti")
     if not twice.isEmpty():
-        near = small(twice, most)
+        near = small(twice)
         left = left.join(near, match(twice), "left_anti").unionByName(left.join(near, match(twice), "left_semi").dropDuplicates(["_whole", "_own"]))
-    return left.select("_row.*")
+    return (left if sure is None else sure.unionByName(left)).select("_row.*")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, done
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,12 +41,13 @@ def components(links: DataFrame) -> DataFrame:
     e = cut(links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).filter("u <> v").mapInArrow(_contract, stars).distinct())
     seen = None
     while True:
-        both = e.union(e.select("v", "u").toDF("u", "v"))
+        both, was = e.union(e.select("v", "u").toDF("u", "v")), e
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = cut(both.join(low, "u").filter("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        rest = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(rest.union(low.toDF("u", "v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        rest = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(rest.union(least.toDF("u", "v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        done(was, low, large, least)
         state = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen:
             return e.toDF("node", "root")

@@ -1,9 +1,13 @@
 """Exact deduplication by progressive refinement.
 
-Rows are grouped by byte length, then by the hash of a short prefix; only groups that still hold two rows or more have
-their whole text hashed. Texts are equal when they are identical after lower-casing A-Z. A null text counts as empty.
-Of equal texts the row with the largest doc_id stays (null ids lose against any id); of rows equal in id and text too,
-one stays. Empty tables give empty results; columns other than id and text are carried along untouched.
+Rows are grouped by byte length; those whose length others have too, by the hash of a short prefix; and only those that
+still share both with another row have their whole text hashed. What a level leaves is told to the next one by a broadcast
+filter of fixed size, which may let a row through that has no equal but never stops one that has: the next, finer grouping
+decides. So texts are never shuffled, only lengths and hashes are.
+
+Texts are equal when they are identical after lower-casing A-Z. A null text counts as empty. Of equal texts the row with
+the largest doc_id stays (null ids lose against any id); of rows equal in id and text too, one stays. Empty tables give
+empty results; columns other than id and text are carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,32 +15,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, drop_rows, small, table
+from .common import ascii_lower, bitmaps, cut, drop_rows, small, table, with_maybe
 
-#: Candidate groups up to this many are broadcast (about 20 bytes each); more are joined by a shuffle.
-BROADCAST_GROUPS = 500_000
 
-
-def candidate_groups(docs: DataFrame, text: str = "text", prefix_chars: int = 64) -> DataFrame:
-    """(length, prefix_hash) of the groups that the first two refinements leave with two rows or more."""
-    groups = cut(keyed(docs, text, prefix_chars).groupBy("_length", "_prefix").agg(F.count(F.lit(1)).alias("_rows")))
-    lengths = groups.groupBy("_length").agg(F.sum("_rows").alias("_same")).filter("_same > 1")
-    return groups.join(lengths, "_length", "left_semi").filter("_rows > 1").select("_length", "_prefix")
-
-
-def keyed(docs: DataFrame, text: str, prefix_chars: int) -> DataFrame:
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"_length": F.octet_length(whole), "_prefix": F.xxhash64(ascii_lower(F.substring(whole, 1, prefix_chars)))})
+def with_survivors(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with whether others have the same keys too (never false if so); rows without keys have no others."""
+    counts = rows.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return with_maybe(rows, cut(bitmaps(counts.filter("_rows > 1"), *keys)), name, *keys).withColumn(name, F.col(name) & F.col(keys[-1]).isNotNull())
 
 
 def refined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_chars: int = 64) -> DataFrame:
-    """doc_id and text with _sha, the hash of the whole normalised text, for rows of surviving groups and null for all
-    others, which have no equal."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    alive = small(cut(candidate_groups(docs, "text", prefix_chars)), BROADCAST_GROUPS).withColumn("_alive", F.lit(True))
-    whole = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    rows = keyed(docs, "text", prefix_chars).join(alive, ["_length", "_prefix"], "left")
-    return rows.withColumn("_sha", F.when(F.col("_alive"), F.unhex(F.sha2(whole, 256)))).drop("_length", "_prefix", "_alive")
+    """doc_id and text with _sha, the hash of the whole normalised text, for rows that the first two levels leave and null
+    for all others, which have no equal."""
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("_length", F.octet_length(whole))
+    rows = with_survivors(rows, ["_length"], "_same_length")
+    rows = rows.withColumn("_prefix", F.when(F.col("_same_length"), F.xxhash64(ascii_lower(F.substring(whole, 1, prefix_chars)))))
+    rows = with_survivors(rows, ["_length", "_prefix"], "_alive")
+    return rows.select("doc_id", "text", F.when(F.col("_alive"), F.unhex(F.sha2(ascii_lower(whole), 256))).alias("_sha"))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -48,7 +44,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     best = F.max(F.struct("doc_id", "_row"))
     groups = rows.filter("_sha is not null").groupBy("_sha").agg(best.alias("_best"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     # a table of its own: its join may broadcast, and else Spark can split a key that has very many rows
-    out = rows.join(small(cut(groups), BROADCAST_GROUPS), "_sha", "left")
+    out = rows.join(small(cut(groups)), "_sha", "left")
     columns = {
         "keep_id": F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_best.doc_id")),
         "group_size": F.coalesce("_n", F.lit(1)).cast("long"),
@@ -63,11 +59,11 @@ def drop_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = cut(refined(docs, doc_id, text).select(F.col("doc_id").alias("_id"), "_sha"))
     same = rows.filter("_sha is not null").groupBy("_sha", "_id").agg(F.count(F.lit(1)).alias("_copies"))
     best = same.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.sum("_copies").alias("_n")).filter("_n > 1")
-    hashed = rows.filter("_sha is not null").join(small(cut(best), BROADCAST_GROUPS), "_sha")
+    hashed = rows.filter("_sha is not null").join(small(cut(best)), "_sha")
     lost = hashed.filter(~F.col("_id").eqNullSafe(F.col("_keep"))).select(F.col("_sha").alias("_key"), "_id").distinct()
     twice = same.filter("_copies > 1").join(best, "_sha").filter(F.col("_id").eqNullSafe(F.col("_keep"))).select(F.col("_sha").alias("_key"), "_id")
     whole = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256))
-    return drop_rows(docs, whole, doc_id, lost, twice, BROADCAST_GROUPS)
+    return drop_rows(docs, whole, doc_id, lost, twice)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +76,6 @@ WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
 ), h AS (SELECT doc_id, sha256(norm) AS text_sha256 FROM t)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, text_sha256
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM h WINDOW w AS (PARTITION BY text_sha256)
 """
