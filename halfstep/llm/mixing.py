@@ -7,91 +7,130 @@ documents are ranked by the odds of a random number over the odds of their inclu
 ones are taken once more until the words are nearest to the rest.
 
 The odds of inclusion are f / (1 - f) * (size / mean size) ** exponent, f being the rest over the source's size.
-Random numbers come from doc_id and text alone, so reruns agree. Null texts have size 0. Repeated rows are rows of their
-own; documents of size 0 go with the certain copies only. Empty tables give empty results.
+Random numbers come from doc_id, text and, for rows alike in these and the source, their place among those, so reruns
+agree and repeated rows are drawn on their own. Ranks are summed by bins of even width; only the bin in which a source's
+words run out is sorted. Whether a row is taken is told where it is, from the table of sources, unless it is in that bin
+or repeated: texts of those alone are shuffled.
+
+Null texts have size 0; documents of size 0 go with the certain copies only. Empty tables give empty results. Columns
+other than id, text and source are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, ranked, small, table, unit
+from .common import WORD, cut, numbered, occurrences, ranked, small, table, unit
 
-#: Bins over which a source's ranks are summed; only the bin in which the words run out is sorted.
+#: Bins over which a source's ranks are summed.
 BINS = 4096
-#: Sources up to this many are broadcast.
-BROADCAST_SOURCES = 100_000
 
 
 def targets(sizes: DataFrame, source: str = "source", max_copies: float = 3.0) -> DataFrame:
-    """sizes (source, source_size) with target. Sources whose cap binds come first in the order of cap / weight; the
-    level at which the others share what is left is found by running sums over the sources."""
-    order = Window.orderBy(F.col(source).asc_nulls_last())
-    t = sizes.withColumn("_w", ((F.row_number().over(order) - 1) % 3 + 1).cast("double")).withColumn("_cap", F.col("source_size") * max_copies)
-    by_level = Window.orderBy(F.col("_cap") / F.col("_w"), F.col(source).asc_nulls_last())
-    upto, everything = by_level.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    t = t.withColumns({
-        "_left": F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(upto), F.lit(0.0)),
-        "_weights": F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(upto), F.lit(0.0)),
-    })
-    t = t.withColumn("_share", F.col("_left") / F.col("_weights"))
-    # the first source in this order that its cap doesn't hold fixes the level for itself and all after it
-    free = F.min(F.when(F.col("_cap") > F.col("_share") * F.col("_w"), F.col("_cap") / F.col("_w"))).over(everything)
-    level = F.min(F.when(F.col("_cap") / F.col("_w") == free, F.col("_share"))).over(everything)
-    t = t.withColumns({"_free": free, "_level": level})
-    held = F.col("_free").isNull() | (F.col("_cap") / F.col("_w") < F.col("_free"))
-    return t.select(source, "source_size", F.when(held, F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_w") * F.col("_level"))).alias("target"))
+    """sizes (source, source_size) with target. The share of a unit of weight grows as sources above their cap are held
+    there, until no other is above; four numbers come to the driver each time."""
+    t = numbered(sizes, [F.col(source).asc_nulls_last()], "_nth").withColumns({"_w": (F.col("_nth") % 3 + 1).cast("double"), "_cap": F.col("source_size") * max_copies})
+    t = cut(t)
+    total, weights = t.agg(F.sum("source_size"), F.sum("_w")).first()
+    held, share = -1, (total or 0) / (weights or 1)
+    while True:
+        above = F.col("_w") * share > F.col("_cap")
+        count, caps, of = t.filter(above).agg(F.count(F.lit(1)), F.sum("_cap"), F.sum("_w")).first()
+        if count == held or not weights or weights == of:
+            break
+        held, share = count, (total - (caps or 0)) / (weights - (of or 0))
+    return t.select(source, "source_size", F.least(F.col("_cap"), F.col("_w") * share).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_copies: float = 3.0, exponent: float = 0.5, seed: int = 11) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, copies, taken, and _key, a hash of its text."""
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str, *more: Column) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    base = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key")))
-    sources = cut(targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")).select("source", "source_size"), "source", max_copies))
-    counts = base.filter("size > 0").groupBy("source").agg(F.count(F.lit(1)).alias("_docs"))
-    both = sources.join(counts, sources["source"].eqNullSafe(counts["source"]), "left").select(sources["*"], F.coalesce("_docs", F.lit(0)).alias("_docs"))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    both = both.withColumn("_ratio", ratio).withColumn("_whole", F.floor(F.col("_ratio") + 1e-12)).withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))
-    both = cut(both.withColumnRenamed("source", "_source"))
-    t = base.join(small(both, BROADCAST_SOURCES), base["source"].eqNullSafe(both["_source"]))
-    u, f = unit("doc_id", "_key", seed=seed), F.col("_rest") / F.col("source_size")
+    return docs.select(*more, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_key"))
+
+
+def _binned(rows: DataFrame, sources: DataFrame, exponent: float, seed: int, nth: Column) -> DataFrame:
+    """rows (doc_id, source, size, _key) with their source's numbers, the rank _q of those that take part in the sample,
+    and its bin."""
+    t = rows.join(small(sources), rows["source"].eqNullSafe(sources["_source"]))
+    u, f = unit("doc_id", "_key", nth, seed=seed), F.col("_rest") / F.col("source_size")
     odds = f / (1 - f) * F.pow(F.col("size") / (F.col("source_size") / F.col("_docs")), F.lit(exponent))
     takes_part = (F.col("size") > 0) & (F.col("_rest") >= 0.5) & (f < 1)
     t = t.withColumn("_q", F.when(takes_part, u / (1 - u) / odds))
     # q -> q / (1 / f - 1 + q) is even over (0, 1) for equal odds, and keeps the order
-    t = t.withColumn("_bin", F.when(F.col("_q").isNotNull(), F.least(F.lit(BINS - 1), F.floor(BINS * F.col("_q") / ((1 - f) / f + F.col("_q"))))).cast("int"))
-    bins = t.filter("_bin is not null").groupBy("_source", "_bin").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_goal"))
-    running = F.sum("_words").over(Window.partitionBy("_source").orderBy("_bin"))
-    edge = bins.withColumn("_upto", running).filter("_upto > _goal").groupBy("_source").agg(F.min_by(F.struct("_bin", (F.col("_upto") - F.col("_words")).alias("_before")), "_bin").alias("_edge"))
-    edge = cut(edge.select(F.col("_source").alias("_edge_source"), F.col("_edge._bin").alias("_edge_bin"), F.col("_edge._before").alias("_before")))
-    t = t.join(small(edge, BROADCAST_SOURCES), F.col("_source").eqNullSafe(F.col("_edge_source")), "left")
-    sure = t.filter("_bin is null or _edge_bin is null or _bin <> _edge_bin").withColumn("_more", F.col("_bin").isNotNull() & (F.col("_edge_bin").isNull() | (F.col("_bin") < F.col("_edge_bin"))))
-    ranks = Window.partitionBy("_source").orderBy("_q", "doc_id", "_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    close = t.filter("_bin = _edge_bin").withColumn("_sum", F.col("_before") + F.sum("size").over(ranks))
-    # the document that crosses the rest is taken if that leaves less of a gap
-    close = close.withColumn("_more", F.col("_sum") - F.col("_rest") <= F.col("size") / 2).drop("_sum")
-    t = sure.unionByName(close).withColumn("copies", (F.col("_whole") + F.col("_more").cast("long")).cast("long"))
-    return t.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "_key")
-
-
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    return t.withColumn("_bin", F.when(F.col("_q").isNotNull(), F.least(F.lit(BINS - 1), F.floor(BINS * F.col("_q") / ((1 - f) / f + F.col("_q"))))).cast("int"))
+
+
+class Plan:
+    """What a mix takes: the slim rows, the table of sources with the bin in which each one's words run out, and the rows
+    of those bins that are taken once more."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, source: str, max_copies: float, exponent: float, seed: int):
+        self.exponent, self.seed = exponent, seed
+        base = cut(_sized(docs, doc_id, text, source))
+        self.base = base = cut(occurrences(base, ["doc_id", "source", "_key"], "_nth"))
+        by = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("_docs"))
+        by = cut(by)
+        both = targets(by.select("source", "source_size"), "source", max_copies).join(by.select(F.col("source").alias("_s"), "_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        both = both.withColumn("_whole", F.floor(ratio + 1e-12)).withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))
+        both = cut(both.withColumnRenamed("source", "_source"))
+        t = _binned(base, both, exponent, seed, F.col("_nth"))
+        bins = t.filter("_bin is not null").groupBy("_source", "_bin").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_goal"))
+        running = F.sum("_words").over(Window.partitionBy("_source").orderBy("_bin"))
+        edge = bins.withColumn("_upto", running).filter("_upto > _goal").groupBy("_source").agg(F.min_by(F.struct("_bin", (F.col("_upto") - F.col("_words")).alias("_before")), "_bin").alias("_edge"))
+        edge = edge.select(F.col("_source").alias("_e"), F.col("_edge._bin").alias("_edge_bin"), F.col("_edge._before").alias("_before"))
+        self.sources = cut(both.join(edge, F.col("_source").eqNullSafe(F.col("_e")), "left").drop("_e"))
+        close = self.rows(base, F.col("_nth")).filter("_bin = _edge_bin")
+        ranks = Window.partitionBy("_source").orderBy("_q", "doc_id", "_key", "_nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = F.col("_before") + F.sum("size").over(ranks)
+        # the document that crosses the rest is taken if that leaves less of a gap
+        self.close = cut(close.withColumn("copies", F.col("_whole") + (upto - F.col("_rest") <= F.col("size") / 2).cast("long")))
+
+    def rows(self, rows: DataFrame, nth: Column) -> DataFrame:
+        return _binned(rows, self.sources, self.exponent, self.seed, nth)
+
+    def sure(self, t: DataFrame) -> DataFrame:
+        """Rows outside the bins in which words run out, with their copies."""
+        more = F.col("_bin").isNotNull() & (F.col("_edge_bin").isNull() | (F.col("_bin") < F.col("_edge_bin")))
+        return t.filter("_bin is null or _edge_bin is null or _bin <> _edge_bin").withColumn("copies", F.col("_whole") + more.cast("long"))
+
+
+def pareto_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_copies: float = 3.0, exponent: float = 0.5, seed: int = 11) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, copies and taken (copies by size)."""
+    plan = Plan(docs, doc_id, text, source, max_copies, exponent, seed)
+    t = plan.sure(plan.rows(plan.base, F.col("_nth"))).unionByName(plan.close)
+    return t.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_copies: float = 3.0, exponent: float = 0.5, seed: int = 11) -> DataFrame:
     """The mixed rows of docs: each as often as it is taken, with all its columns."""
-    picks = pareto_mix(docs, doc_id, text, source, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "_key", "copies")
-    picks = picks.groupBy("_id", "_from", "_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    picks = cut(picks.filter("_copies > 0"))
+    plan = Plan(docs, doc_id, text, source, max_copies, exponent, seed)
+    keys = ["doc_id", "source", "_key"]
+    alike = cut(plan.base.filter("_nth > 0").select(*keys).distinct())
     # a row goes as a struct, so its columns can have any names
-    keyed = docs.select(F.struct("*").alias("_whole_row"), F.col(doc_id).alias("_own"), F.col(source).alias("_of"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"))
-    rows = keyed.join(picks, F.col("_own").eqNullSafe(F.col("_id")) & F.col("_of").eqNullSafe(F.col("_from")) & (F.col("_hash") == F.col("_key")))
-    out = rows.filter("_rows = 1").withColumn("_times", F.col("_copies"))
-    if not picks.filter("_rows > 1").isEmpty():
+    rows = _sized(docs, doc_id, text, source, F.struct("*").alias("_whole_row"))
+
+    def match(other: DataFrame) -> Column:
+        return F.col("doc_id").eqNullSafe(other["_i"]) & F.col("source").eqNullSafe(other["_s"]) & (F.col("_key") == other["_k"])
+
+    named = [F.col(k).alias(n) for k, n in zip(keys, ("_i", "_s", "_k"), strict=True)]
+    every, repeated = rows, not alike.isEmpty()
+    if repeated:
+        same = alike.select(*named)
+        rows = every.join(small(same), match(same), "left_anti")
+    t = plan.rows(rows, F.lit(0).cast("long"))
+    out = plan.sure(t).select("_whole_row", "copies")
+    taken = cut(plan.close.filter("copies > 0").select(*named, F.col("copies").alias("copies")))
+    out = out.unionByName(t.filter("_bin = _edge_bin").join(small(taken), match(taken)).select("_whole_row", "copies"))
+    if repeated:
         # rows alike in id, source and text share their copies: each gets as many, the first ones one more
-        many = cut(rows.filter("_rows > 1").withColumn("_row", F.monotonically_increasing_id()))
-        many = ranked(many, ["_id", "_from", "_key"], F.pmod(F.xxhash64("_row"), F.lit(64)).cast("int"), [F.col("_row")], "_place")
+        picks = plan.sure(plan.rows(plan.base, F.col("_nth"))).unionByName(plan.close).join(small(same), match(same), "left_semi")
+        picks = cut(picks.groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).select(*named, "_copies", "_rows"))
+        many = cut(every.join(small(picks), match(picks)).withColumn("_row", F.monotonically_increasing_id()))
+        many = ranked(many, keys, F.pmod(F.xxhash64("_row"), F.lit(64)).cast("int"), [F.col("_row")], "_place")
         each = F.floor(F.col("_copies") / F.col("_rows"))
-        many = many.withColumn("_times", each + (F.col("_place") < F.col("_copies") - each * F.col("_rows")).cast("long"))
-        out = out.unionByName(many.drop("_place", "_row"))
-    out = out.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+        out = out.unionByName(many.select("_whole_row", (each + (F.col("_place") < F.col("_copies") - each * F.col("_rows")).cast("long")).alias("copies")))
+    out = out.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
     return out.select("_whole_row.*")
 
 
