@@ -12,8 +12,9 @@ groups are placed. Then each shard has less room than any such group has rows, s
 groups larger than a shard apart. At the end surplus unlinked rows go to the shards that lack some, so that counts are
 at most one apart: law `rows`. As linked rows never exceed a shard's share, this cuts no group.
 
-A null text has no bytes and is linked with other empty ones. Repeated rows are rows of their own. Empty tables give
-empty results.
+Ties are broken by doc_id, text and, for rows alike in both, their place among those, so the shards don't depend on how
+the rows were dealt to tasks. A null text has no bytes and is linked with other empty ones. Repeated rows are rows of their
+own. Empty tables give empty results; columns other than id and text may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ranked, small, table, unit
+from .common import cut, occurrences, ranked, small, table, unit
 
 #: Rows that one window of the ranking holds, on average, at most, and rows of ranges of groups that are broadcast.
 WINDOW_ROWS, BROADCAST_RANGES = 50_000, 500_000
@@ -84,7 +85,7 @@ def deal(classes: dict[tuple[int, int], int], want: list[int]) -> tuple[list[tup
 
 
 def propagate(linked: DataFrame, want: list[int]) -> DataFrame:
-    """_row and shard of linked (_row, _key, shard), after label propagation; no shard has more rows than it is to have."""
+    """_row and shard of linked (_row, doc_id, _nth, _key, shard), after label propagation; no shard has more rows than it is to have."""
     spark = linked.sparkSession
     held = linked.groupBy("_key", "shard").agg(F.count(F.lit(1)).alias("_n"))
     named = held.withColumn("_tie", unit("_key", "shard", seed=100)).groupBy("_key").agg(F.sum("_n").alias("_size"), F.max_by("shard", F.struct("_n", "_tie")).alias("_named"))
@@ -97,12 +98,12 @@ def propagate(linked: DataFrame, want: list[int]) -> DataFrame:
     within = (F.col("_named") == F.col("_w")) & (F.col("_size") == F.col("_m")) & (F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_upto"))
     ranges = F.broadcast(ranges) if len(whole) <= BROADCAST_RANGES else ranges
     placed = cut(placed.join(ranges, within, "left").select("_key", "_named", "_size", "_place", "_to"))  # so that Spark can split a key with very many rows in the join
-    there = cut(linked.join(placed.select("_key", "_to"), "_key").select("_row", "_key", "_to"))
+    there = cut(linked.join(placed.select("_key", "_to"), "_key").select("_row", "_key", "_to", "doc_id", "_nth"))
     of = spark.createDataFrame(parts, "_named int, _size long, _place long, _from long, _upto long, _part int")
     pieces = cut(placed.filter("_to is null").join(F.broadcast(of), ["_named", "_size", "_place"]).select(F.col("_key").alias("_cut"), "_from", "_upto", "_part"))
-    torn = there.filter("_to is null").select("_row", "_key")
-    torn = ranked(torn, ["_key"], F.pmod(F.xxhash64("_row"), F.lit(max(32, sum(n for _, n in classes) // WINDOW_ROWS + 1))).cast("int"), [F.col("_row")], "_nth")
-    torn = torn.join(F.broadcast(pieces), (F.col("_key") == F.col("_cut")) & (F.col("_nth") >= F.col("_from")) & (F.col("_nth") < F.col("_upto")))
+    torn = there.filter("_to is null").select("_row", "_key", "doc_id", "_nth")
+    torn = ranked(torn, ["_key"], F.pmod(F.xxhash64("doc_id", "_nth"), F.lit(max(32, sum(n for _, n in classes) // WINDOW_ROWS + 1))).cast("int"), [F.col("doc_id"), F.col("_nth")], "_turn")
+    torn = torn.join(F.broadcast(pieces), (F.col("_key") == F.col("_cut")) & (F.col("_turn") >= F.col("_from")) & (F.col("_turn") < F.col("_upto")))
     return there.filter("_to is not null").select("_row", F.col("_to").alias("shard")).union(torn.select("_row", F.col("_part").alias("shard")))
 
 
@@ -111,18 +112,19 @@ def balanced_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     none, rows stay where their hash puts them."""
     whole = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).cast("long").alias("text_crc32"), F.unhex(F.md5(whole)).alias("_key"))
-    base = base.withColumn("_row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("doc_id", "_key"), F.lit(shards)).cast("int"))
-    base = cut(base)
+    base = occurrences(cut(base), ["doc_id", "_key"], "_nth").withColumn("_row", F.monotonically_increasing_id())
+    base = cut(base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "_key", "_nth"), F.lit(shards)).cast("int")))
     groups = base.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    linked = cut(base.select("_row", "_key", "shard").join(cut(groups.select("_key")), "_key", "left_semi"))
+    linked = cut(base.select("_row", "doc_id", "_nth", "_key", "shard").join(cut(groups.select("_key")), "_key", "left_semi"))
     total = base.count()
     want = [total // shards + (s < total % shards) for s in range(shards)]
     moved = (propagate(linked, want) if rounds else linked).select("_row", F.col("shard").alias("_home"))
-    now = base.join(moved, "_row", "left").withColumn("_linked", F.col("_home").isNotNull()).withColumn("shard", F.coalesce("_home", "shard")).drop("_home", "_key")
+    now = base.join(moved, "_row", "left").withColumn("_linked", F.col("_home").isNotNull()).withColumn("shard", F.coalesce("_home", "shard")).drop("_home")
     # _home is null in rows without an equal, and they may be moved first
     buckets = max(32, total // (shards * WINDOW_ROWS) + 1)
-    bucket = F.col("_linked").cast("int") * buckets + F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int")
-    now = cut(ranked(now, ["shard"], bucket, [F.col("_row")], "_place"))
+    bucket = F.col("_linked").cast("int") * buckets + F.pmod(F.xxhash64("doc_id", "_key", "_nth"), F.lit(buckets)).cast("int")
+    order = [F.col("doc_id"), F.col("_key"), F.col("_nth")]
+    now = cut(ranked(now, ["shard"], bucket, order, "_place"))
     have = {r["shard"]: r["count"] for r in now.groupBy("shard").count().collect()}
     over = [max(0, have.get(s, 0) - want[s]) for s in range(shards)]
     lack = [max(0, want[s] - have.get(s, 0)) for s in range(shards)]
@@ -132,7 +134,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     for s in range(shards):
         to = F.when(F.col("_number") >= sum(lack[:s]), F.lit(s)).otherwise(to) if lack[s] else to
     even = now.withColumn("_number", number).withColumn("shard", F.when(F.col("_number").isNotNull(), to).otherwise(F.col("shard")))
-    placed = ranked(even.select("doc_id", "size", "text_crc32", "shard", "_row"), ["shard"], F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int"), [F.col("_row")], "slot")
+    placed = ranked(even.select("doc_id", "size", "text_crc32", "shard", "_key", "_nth"), ["shard"], F.pmod(F.xxhash64("doc_id", "_key", "_nth"), F.lit(buckets)).cast("int"), order, "slot")
     return placed.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
