@@ -1,12 +1,17 @@
 """Merkle fixity audit of WARC replicas.
 
-Each page is a WARC record. Records are dealt to files by ranges of (page_id, digest), so that each file is a run of
-records with known offsets. A record's SHA-256 is a leaf; FANOUT neighbours hash to a node that covers their offset
-range, up to one root for each file, and on over the files to one root for the replica. Two replicas are compared at
-their roots; only children of nodes that differ are compared below, down to the records.
-
-Null ids sort first; null urls and bodies count as empty. Repeated rows are records of their own, in the same place of
-both replicas. Empty tables have no root and no difference. A record that only one replica has is a difference too.
+Each page is a WARC record, kept in order of its key's hash. Where a record lies in the tree follows from that hash alone:
+its first bits name the file, more of them the leaf (about LEAF_RECORDS records), and each FANOUT neighbours have a node
+above, up to one root. A node's SHA-256 covers, in order, the offset ranges of its children within it and their hashes; a
+record's is that of its bytes. So a lost, added or changed record changes the nodes on its own path and no others.
+
+Replicas are laid out each on its own. They are compared at their roots; only children of nodes that differ are read
+below, and of the tables of records only the files with such nodes. Within a leaf that differs, records are compared by
+key, so one of them makes one difference.
+
+A record's key is its page_id, url and, among records alike in these, its place by digest (a change among those may show
+as two). Null ids and urls are values like others; a null body counts as empty. Empty tables have no difference. Columns
+other than id, url and body may have any names.
 """
 
 from __future__ import annotations
@@ -14,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, occurrences, small, table
 
-FANOUT, FILE_RECORDS, BROADCAST_NODES = 16, 4_096, 200_000
+LEAF_RECORDS, STEP, FILE_BITS = 16, 4, 12
 DATE = "1970-01-01T00:00:00Z"
+KEY = ["page_id", "url", "nth"]
 
 
 def warc_record(page_id: str = "page_id", url: str = "url", body: str = "html") -> Column:
@@ -29,86 +35,113 @@ def warc_record(page_id: str = "page_id", url: str = "url", body: str = "html")
     return F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in head), html, F.lit("\r\n\r\n"))
 
 
-def layout(records: DataFrame, order: list[str]) -> DataFrame:
-    """records (with length) dealt to files in this order: file, ordinal and offset are added."""
-    files = max(1, -(-records.count() // FILE_RECORDS))
-    dealt = records.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    place = F.monotonically_increasing_id()
-    dealt = cut(dealt.withColumns({"file": F.shiftrightunsigned(place, 33).cast("long"), "ordinal": place.bitwiseAND(F.lit((1 << 33) - 1))}))
-    before = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return cut(dealt.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")))
+def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+    """page_id, url, length and digest of the record of each page."""
+    record = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), warc_record(page_id, url, body).alias("_record"))
+    return record.select("page_id", "url", F.octet_length("_record").cast("long").alias("length"), F.unhex(F.sha2("_record", 256)).alias("digest"))
+
+
+def top(k: Column | str, bits: int, of: int = 64) -> Column:
+    """The first bits of numbers of so many bits."""
+    return F.lit(0).cast("long") if bits == 0 else F.shiftrightunsigned(k, of - bits) if bits < of else F.col(k)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Records with nth and k, the hash of their key."""
+    first_byte = F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int")
+    return occurrences(cut(rows), ["page_id", "url"], "nth", [F.col("digest")], first_byte).withColumn("k", F.xxhash64(*KEY))
+
+
+def hashed(children: Column) -> Column:
+    """Of structs with length and hash, in order: their offset ranges and hashes, as (length, hash)."""
+    start = F.struct(F.lit(0).cast("long").alias("length"), F.lit("").alias("said"))
+    said = F.aggregate(children, start, lambda got, x: F.struct((got["length"] + x["length"]).alias("length"), F.concat(got["said"], F.format_string("%d-%d %s;", got["length"], got["length"] + x["length"], F.hex(x["hash"]))).alias("said")))
+    return F.transform(F.array(said), lambda s: F.struct(s["length"].alias("length"), F.unhex(F.sha2(s["said"], 256)).alias("hash")))[0]
+
+
+class Tree:
+    """A replica's records, in files by the hash of their key, and the nodes above them: levels[0] are the leaves, the
+    last level is the root."""
 
+    def __init__(self, rows: DataFrame, bits: int):
+        self.bits, self.file_bits = bits, min(bits, FILE_BITS)
+        slim = rows.select(*KEY, "k", "length", F.col("digest").alias("hash"), top("k", bits).alias("node"), top("k", self.file_bits).alias("file"))
+        self.records = cut(slim, by="file")
+        leaf = F.array_sort(F.collect_list(F.struct("k", *KEY, "length", "hash")))  # about LEAF_RECORDS, as keys differ
+        self.levels = [cut(self.records.groupBy("node").agg(hashed(leaf).alias("_n")).select("node", "_n.*"))]
+        while bits:
+            bits -= STEP
+            level = self.levels[-1].withColumn("_up", F.shiftrightunsigned("node", STEP))
+            nodes = F.array_sort(F.collect_list(F.struct("node", "length", "hash")))
+            self.levels.append(cut(level.groupBy("_up").agg(hashed(nodes).alias("_n")).select(F.col("_up").alias("node"), "_n.*")))
 
-def parents(level: DataFrame, over_files: bool) -> DataFrame:
-    """The nodes above: (file, i, start, end, hash). At most FANOUT children are gathered for each."""
-    up = level.withColumn("_at", F.col("file") if over_files else F.col("i"))
-    up = up.withColumns({"_file": F.lit(0).cast("long") if over_files else F.col("file"), "_i": F.floor(F.col("_at") / FANOUT).cast("long")})
-    children = F.transform(F.array_sort(F.collect_list(F.struct("_at", "hash"))), lambda x: x["hash"])
-    up = up.groupBy("_file", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.unhex(F.sha2(F.concat_ws("", F.transform(children, F.hex)), 256)).alias("hash"))
-    return up.select(F.col("_i" if over_files else "_file").alias("file"), (F.lit(0).cast("long") if over_files else F.col("_i")).alias("i"), "start", "end", "hash")
+    def places(self, files: list[int]) -> DataFrame:
+        """Offsets of the records of these files."""
+        of = self.records.filter(F.col("file").isin(files))
+        before = Window.partitionBy("file").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("node").orderBy("k", *KEY).rowsBetween(Window.unboundedPreceding, -1)
+        starts = self.levels[0].withColumn("file", top("node", self.file_bits, self.bits) if self.bits else F.lit(0).cast("long")).filter(F.col("file").isin(files))
+        starts = starts.select("node", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("_before"))
+        return of.join(starts, "node").withColumn("start", F.col("_before") + F.coalesce(F.sum("length").over(within), F.lit(0))).drop("_before")
 
 
-def merkle_levels(leaves: DataFrame, files: int, most: int) -> list[DataFrame]:
-    """The levels of a replica's tree from leaves (file, ordinal, offset, length, digest) to its root. files and most:
-    over both replicas, the number of files and of records in the largest one."""
-    level = leaves.select("file", F.col("ordinal").alias("i"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), F.col("digest").alias("hash"))
-    levels = [level]
-    for count, over_files in ((most, False), (files, True)):
-        while count > 1:
-            levels.append(cut(parents(levels[-1], over_files)))
-            count = -(-count // FANOUT)
-    return levels
+def bits_for(count: int) -> int:
+    bits = 0
+    while count > LEAF_RECORDS << bits:
+        bits += STEP
+    return bits
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The records in which two replicas differ: file, ordinal, start, end (offsets in the first replica, else in the
-    second), hash_a, hash_b (null where a replica lacks the record)."""
-    sizes = a.select("file", "ordinal").union(b.select("file", "ordinal")).agg(F.max("file"), F.max("ordinal")).first()
-    files, most = (0 if x is None else x + 1 for x in sizes)
-    levels = list(zip(merkle_levels(a, files, most), merkle_levels(b, files, most), strict=True))
-    in_files = len(levels)
-    while files > 1:
-        in_files, files = in_files - 1, -(-files // FANOUT)
+    """The records in which two replicas differ, from rows (page_id, url, length, digest) of each: page_id, url, nth, file,
+    start (offset in the first replica's file, null where it lacks the record), hash_a, hash_b (null where the replica
+    lacks it)."""
+    bits = bits_for(max(a.count(), b.count()))
+    trees = [Tree(keyed(x), bits) for x in (a, b)]
     suspects = None
-    for k in range(len(levels) - 1, -1, -1):
-        x, y = levels[k]
+    for x, y in reversed(list(zip(*(t.levels for t in trees), strict=True))):
         if suspects is not None:
-            over_files = k >= in_files - 1
-            up = [(F.floor(F.col("file") / FANOUT) if over_files else F.col("file")).cast("long").alias("_file"), (F.lit(0) if over_files else F.floor(F.col("i") / FANOUT)).cast("long").alias("_i")]
-            above = small(suspects.select(F.col("file").alias("_file"), F.col("i").alias("_i")), BROADCAST_NODES)
-            x, y = (z.select("*", *up).join(above, ["_file", "_i"], "left_semi").drop("_file", "_i") for z in (x, y))
-        x = x.select("file", "i", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("hash").alias("hash_a"))
-        y = y.select("file", "i", "start", "end", F.col("hash").alias("hash_b"))
-        both = x.join(y, ["file", "i"], "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
-        suspects = cut(both.select("file", "i", F.coalesce("_s", "start").alias("start"), F.coalesce("_e", "end").alias("end"), "hash_a", "hash_b"))
-    return suspects.withColumnRenamed("i", "ordinal")
+            above = small(suspects.withColumnRenamed("node", "_up"))
+            x, y = (z.withColumn("_up", F.shiftrightunsigned("node", STEP)).join(above, "_up", "left_semi") for z in (x, y))
+        both = x.select("node", F.col("hash").alias("_a")).join(y.select("node", F.col("hash").alias("_b")), "node", "full")
+        suspects = cut(both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("node"))
+        if suspects.isEmpty():
+            break
+    file = top("node", trees[0].file_bits, bits) if bits else F.lit(0).cast("long")
+    files = [r["file"] for r in suspects.select(file.alias("file")).distinct().collect()]  # two to the power FILE_BITS at most
+    mine = trees[0].places(files).join(small(suspects), "node", "left_semi").select("node", *KEY, "file", "start", F.col("hash").alias("hash_a"))
+    other = trees[1].records.filter(F.col("file").isin(files)).join(small(suspects), "node", "left_semi").select(*(F.col(c).alias(f"_{c}") for c in ("node", *KEY, "file")), F.col("hash").alias("hash_b"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("node", *KEY)]
+    found = mine.join(other, same, "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+    ours = F.col("hash_a").isNotNull()
+    return found.select(*(F.when(ours, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in (*KEY, "file")), "start", "hash_a", "hash_b")
 
 
 def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits the pages as WARC records against a replica in which the first byte of about one record in 256 has
-    changed (those whose id's MD5 begins with 00). Returns page_id, length, record_sha256, replica_sha256 and corrupt of
-    every page."""
+    """Audits the pages as WARC records against a replica, laid out on its own, in which about one record in 256 has
+    another first byte and one in 256 is lost (those whose id's MD5 begins with 00 and 01). Returns page_id, length,
+    record_sha256, replica_sha256 (null if lost) and corrupt of every page."""
     pages = table(spark, sf_dir, "pages")
-    record = warc_record()
-    changed = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2) == "00"
-    replica = F.when(changed, F.concat(F.lit("w"), F.substring("_record", 2, 2**31 - 1))).otherwise(F.col("_record"))
-    rows = pages.withColumn("_record", record).select("page_id", F.octet_length("_record").cast("long").alias("length"), F.unhex(F.sha2("_record", 256)).alias("digest"), F.unhex(F.sha2(replica, 256)).alias("found"))
-    rows = layout(cut(rows.withColumn("_row", F.monotonically_increasing_id())), ["page_id", "digest", "_row"])
-    leaves = ["file", "ordinal", "offset", "length"]
-    broken = audit(rows.select(*leaves, "digest"), rows.select(*leaves, F.col("found").alias("digest")))
-    broken = small(broken.select("file", "ordinal", "hash_b"), BROADCAST_NODES)
-    out = rows.join(broken, ["file", "ordinal"], "left")
-    return out.select("page_id", "length", F.lower(F.hex("digest")).alias("record_sha256"), F.lower(F.hex(F.coalesce("hash_b", "digest"))).alias("replica_sha256"), F.col("hash_b").isNotNull().alias("corrupt"))
+    mark = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2)
+    sound = cut(records(pages))
+    record = F.concat(F.when(mark == "00", F.lit("w")).otherwise(F.lit("W")), F.substring(warc_record(), 2, 2**31 - 1))
+    replica = pages.filter(mark != "01").select("page_id", "url", record.alias("_record"))
+    replica = cut(replica.select("page_id", "url", F.octet_length("_record").cast("long").alias("length"), F.unhex(F.sha2("_record", 256)).alias("digest")))
+    broken = audit(sound, replica).filter("hash_a is not null").select(*(F.col(c).alias(f"_{c}") for c in KEY), "hash_b", F.lit(True).alias("_broken"))
+    rows = keyed(sound)
+    out = rows.join(small(cut(broken)), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY], "left")
+    corrupt = F.coalesce("_broken", F.lit(False))
+    return out.select("page_id", "length", F.lower(F.hex("digest")).alias("record_sha256"), F.lower(F.hex(F.when(corrupt, F.col("hash_b")).otherwise(F.col("digest")))).alias("replica_sha256"), corrupt.alias("corrupt"))
 
 
 OP5_SQL = f"""
 WITH t AS (
   SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS body,
          md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS m,
-         md5(coalesce(CAST(page_id AS VARCHAR), '')) LIKE '00%' AS corrupt
+         substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS mark
   FROM pages
 ), r AS (
-  SELECT page_id, corrupt,
+  SELECT page_id, mark,
          'ARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
          || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12)
          || '>' || chr(13) || chr(10) || 'WARC-Date: {DATE}' || chr(13) || chr(10) || 'WARC-Target-URI: ' || uri || chr(13) || chr(10)
@@ -117,6 +150,7 @@ WITH t AS (
   FROM t
 )
 SELECT page_id, CAST(octet_length(encode(rest)) + 1 AS BIGINT) AS length, sha256('W' || rest) AS record_sha256,
-       sha256(CASE WHEN corrupt THEN 'w' ELSE 'W' END || rest) AS replica_sha256, corrupt
+       CASE WHEN mark <> '01' THEN sha256(CASE WHEN mark = '00' THEN 'w' ELSE 'W' END || rest) END AS replica_sha256,
+       mark IN ('00', '01') AS corrupt
 FROM r
 """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from halfstep.llm import merkle as M
 from halfstep.llm import progressive_jpeg as J
+from halfstep.llm.common import unit
 from halfstep.llm.mixing import mix, pareto_mix, targets
 from halfstep.llm.sharding import balanced_shards
 
@@ -94,28 +95,57 @@ def test_media_rows(docs, empty, clashing):
     assert len(t["rgb"]) == 3 * t["height"] * t["width"]
 
 
-@pytest.fixture(scope="module")
-def leaves(spark):
-    rows = [(f, k, 100 * k, 100, hashlib.sha256(f"{f} {k}".encode()).digest()) for f in range(20) for k in range(300 if f == 3 else 1 + f)]
-    return spark.createDataFrame(rows, "file long, ordinal long, offset long, length long, digest binary").repartition(3)
-
-
-def test_audit_finds_just_the_changed_records(leaves):
-    changed = {(3, 0), (3, 299), (3, 17), (19, 4), (0, 0)}
-    hit = F.concat_ws(" ", "file", "ordinal").isin([f"{f} {k}" for f, k in changed])
-    other = leaves.withColumn("digest", F.when(hit, F.unhex(F.sha2(F.lit("x"), 256))).otherwise(F.col("digest")))
-    got = M.audit(leaves, other).collect()
-    assert {(r["file"], r["ordinal"]) for r in got} == changed
-    assert all((r["start"], r["end"]) == (100 * r["ordinal"], 100 * r["ordinal"] + 100) for r in got)
-    assert M.audit(leaves, leaves).count() == 0
-
-
-def test_audit_of_missing_records_and_of_nothing(leaves):
-    less = leaves.filter("not (file = 3 and ordinal >= 298)")
-    got = M.audit(leaves, less).collect()
-    assert {(r["file"], r["ordinal"], r["hash_b"]) for r in got} == {(3, 298, None), (3, 299, None)}
-    none = leaves.limit(0)
-    assert M.audit(none, none).count() == 0
+def recorded(spark, rows):
+    digest = lambda t: hashlib.sha256(t.encode()).digest()
+    return spark.createDataFrame([(d, u, len(t), digest(t)) for d, u, t in rows], "page_id long, url string, length long, digest binary")
+
+
+def test_audit_finds_just_the_records_that_differ(spark):
+    """Lost, added, changed and swapped records, among repeated ones and null ids."""
+    rows = [(k, f"u{k}", f"text {k}" * (1 + k % 3)) for k in range(700)] + [(None, None, "same")] * 40 + [(900, "u", f"version {k}") for k in range(5)]
+    other = list(rows)
+    other[17] = (17, "u17", "other bytes")
+    other[20], other[21] = (20, "u20", rows[21][2]), (21, "u21", rows[20][2])
+    other[600] = (600, "u600", rows[600][2] + " longer")
+    del other[300]
+    other.append((5000, "new", "added"))
+    got = M.audit(recorded(spark, rows).repartition(3), recorded(spark, other).repartition(5)).collect()
+    assert {(r["page_id"], r["hash_a"] is None, r["hash_b"] is None) for r in got} == {(17, False, False), (20, False, False), (21, False, False), (600, False, False), (300, False, True), (5000, True, False)}
+    assert len(got) == 6 and all((r["start"] is None) == (r["hash_a"] is None) for r in got)
+    # offsets within files are those of the records laid one after another by the hash of their keys
+    by_file = {}
+    keys = M.keyed(recorded(spark, rows)).collect()
+    bits = M.bits_for(len(rows))
+    for r in sorted(keys, key=lambda r: r["k"] & (2**64 - 1)):
+        by_file.setdefault((r["k"] & (2**64 - 1)) >> (64 - min(bits, M.FILE_BITS)), []).append(r)
+    place = {}
+    for f, part in by_file.items():
+        at = 0
+        for r in part:
+            place[r["page_id"], r["nth"]] = (f, at)
+            at += r["length"]
+    assert bits == 8 and all((r["file"], r["start"]) == place[r["page_id"], r["nth"]] for r in got if r["start"] is not None)
+    assert M.audit(recorded(spark, rows), recorded(spark, rows[::-1])).count() == 0
+
+
+def test_audit_of_lost_copies_and_of_nothing(spark):
+    rows = [(None, None, "same")] * 50 + [(1, "a", "x")]
+    got = M.audit(recorded(spark, rows), recorded(spark, rows[3:])).collect()
+    assert sorted((r["nth"], r["hash_b"]) for r in got) == [(47, None), (48, None), (49, None)]
+    none = recorded(spark, rows).limit(0)
+    assert M.audit(none, none).count() == 0 and M.audit(none, recorded(spark, rows[-1:])).count() == 1
+
+
+def test_only_nodes_on_the_path_of_a_change_differ(spark):
+    rows = [(k, "u", f"text {k}") for k in range(600)]
+    one, other = (M.Tree(M.keyed(recorded(spark, x)), 8) for x in (rows, rows[:-1]))
+    for x, y in zip(one.levels, other.levels, strict=True):
+        a, b = ({r["node"]: r["hash"] for r in z.collect()} for z in (x, y))
+        assert sum(a.get(n) != b.get(n) for n in {*a, *b}) == 1
+    swapped = M.hashed(F.array(*(F.struct(F.lit(n).cast("long").alias("length"), F.unhex(F.lit(h)).alias("hash")) for n, h in ((3, "01"), (2, "02")))))
+    apart = M.hashed(F.array(*(F.struct(F.lit(n).cast("long").alias("length"), F.unhex(F.lit(h)).alias("hash")) for n, h in ((2, "01"), (3, "02")))))
+    r = spark.range(1).select(swapped.alias("a"), apart.alias("b")).first()
+    assert r["a"]["length"] == r["b"]["length"] == 5 and r["a"]["hash"] != r["b"]["hash"]  # ranges are part of the hash
 
 
 def test_records(spark, tmp_path):
@@ -123,7 +153,7 @@ def test_records(spark, tmp_path):
     text = df.select(M.warc_record().alias("r")).first()["r"]
     head, body = text.split("\r\n\r\n", 1)
     assert body == "<p>é</p>\r\n\r\n" and "Content-Length: 9" in head and head.startswith("WARC/1.0\r\nWARC-Type: resource")
-    df.write.parquet(str(tmp_path / "pages.parquet"))
+    df.withColumn("k", F.lit(7)).withColumn("nth", F.lit(7)).write.parquet(str(tmp_path / "pages.parquet"))
     rows = M.op5_merkle_audit(spark, str(tmp_path)).collect()
     assert len(rows) == 4 and all((r["record_sha256"] != r["replica_sha256"]) == r["corrupt"] for r in rows)
 
@@ -183,6 +213,51 @@ def test_inclusion_follows_the_odds(spark):
     assert long > 1.1 * short > 0
 
 
+def mix_by_hand(rows, max_copies=3.0, exponent=0.5, random=None):
+    """Copies of each of rows (id, size, source), by sorting all of a source's ranks; random gives a row's number."""
+    sizes = {}
+    for _, n, s in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    goal, out = water(sizes), {}
+    for s, total in sizes.items():
+        mine = [(d, n) for d, n, of in rows if of == s]
+        whole = int(goal[s] / total + 1e-12) if total else 0
+        rest = max(0.0, goal[s] - whole * total)
+        f = rest / total if total else 0
+        filled, ranks = 0, []
+        for d, n in mine:
+            out[d] = whole
+            if n > 0 and rest >= 0.5 and f < 1:
+                u = random[d]
+                ranks.append((u / (1 - u) / (f / (1 - f) * (n / (total / sum(1 for _, m in mine if m > 0))) ** exponent), d, n))
+        for _, d, n in sorted(ranks):
+            if filled + n - rest > n / 2:
+                break
+            filled += n
+            out[d] += 1
+    return out
+
+
+def test_the_choice_by_sorting_all_ranks(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, int(r.integers(0, 60)), "abcd"[int(k % 7 % 4)]) for k in range(900)]
+    df = spark.createDataFrame([(k, " ".join(["w"] * n), s) for k, n, s in rows], "doc_id long, text string, source string").repartition(3)
+    numbers = {x["doc_id"]: x["u"] for x in df.select("doc_id", unit("doc_id", F.unhex(F.md5("text")), F.lit(0).cast("long"), seed=11).alias("u")).collect()}
+    want = mix_by_hand(rows, random=numbers)
+    got = {x["doc_id"]: x["copies"] for x in pareto_mix(df).collect()}
+    assert got == want and len(set(got.values())) > 2
+
+
+def test_repeated_rows_are_drawn_on_their_own(spark):
+    rows = [(None, "same words here", "a", 1)] * 400 + [(k, f"other {k}", "b", 2) for k in range(100)] + [(500 + k, f"third text number {k}", "c", 3) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(5)
+    out = pareto_mix(df).filter("source = 'a'").collect()
+    assert {r["copies"] for r in out} == {0, 1} and abs(sum(r["taken"] for r in out) - out[0]["target"]) <= 3
+    mixed = mix(df)
+    assert mixed.columns == df.columns and mixed.filter("source = 'a'").count() == sum(r["copies"] for r in out)
+    assert mixed.count() == pareto_mix(df).agg(F.sum("copies")).first()[0]
+
+
 def test_shards(spark, docs, empty, clashing):
     out = balanced_shards(docs).collect()
     assert len(out) == docs.count()
@@ -223,3 +298,10 @@ def test_groups_that_fit_a_shard_are_whole(spark, kind):
     print(kind, "cut groups:", len(cut_groups))
     assert len([r for r in cut_groups if r["rows"] <= len(rows) // 8]) < 8
     assert all(r["n"] <= -(-r["rows"] // (len(rows) // 8)) + 1 for r in cut_groups if r["rows"] > len(rows) // 8)
+
+
+def test_shards_do_not_depend_on_how_rows_were_dealt(spark, docs):
+    rows = [(None if k % 3 == 0 else k, f"text {k % 90}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, other = (sorted(map(str, balanced_shards(df.repartition(n)).collect())) for n in (1, 7))
+    assert one == other
