@@ -3,11 +3,13 @@
 A word is held as an array of part boundaries with the ranks of adjacent pairs beside it. The least rank is found by a
 scan, the boundary within that pair is deleted, and the ranks of its two neighbours are refreshed, until no pair has a
 rank. Words of over SHORT parts use a heap over the same ranks, with the same result. Each worker keeps the ids of words
-it has met.
+it has met, up to CACHE bytes of them.
 
 Text goes the way of the tokenizer's file: special tokens first, in the text as it is; then NFC, white space, lower case
-by single characters; then words by the file's pattern; then bytes. Decoding joins the tokens with a space, as the file
-names no decoder. Null counts as empty; an empty text has no ids and decodes to an empty text.
+by single characters; then words by the file's pattern; then bytes. Texts with characters from U+0300 on are normalised
+and cut into words by the library, so that its version of Unicode holds. Decoding joins the tokens with a space, as the
+file names no decoder. Null counts as empty; an empty text has no ids and decodes to an empty text. Repeated rows are
+coded alike, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from .common import lean, table
 from .langid import chunks
 
-SHORT, CACHE, NONE = 128, 250_000, 1 << 60
+SHORT, CACHE, NONE = 128, 48 << 20, 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -40,7 +42,7 @@ class Bpe:
     """Encoder and decoder of a tokenizer's file, for one worker."""
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         spec = json.loads(file)
         model = spec["model"]
@@ -58,12 +60,16 @@ class Bpe:
         letters = byte_letters()
         self.inner = [vocabulary[c] for c in letters]
         self.last = [vocabulary[c + end] for c in letters]
-        self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.find = regex.compile(pattern).findall
+        self.cut_by_library = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.beyond = regex.compile("[^\\x00-\\u02ff]").search
         self.normalised = Tokenizer.from_str(file).normalizer.normalize_str  # the file's Unicode version, not Python's
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.hints = {content[0] for content in self.special}
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def word(self, word: str) -> list[int]:
         raw = word.encode()
@@ -108,14 +114,15 @@ class Bpe:
         return [p for p in parts if p >= 0]
 
     def words(self, text: str) -> list[str]:
-        plain = text.isascii() or not self.beyond(text)  # such text is its own NFC
-        return self.find(text.lower() if plain else self.normalised(text))
+        if text.isascii() or not self.beyond(text):  # such text is its own NFC
+            return self.find(text.lower())
+        return [w for w, _ in self.cut_by_library(self.normalised(text))]
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as 32-bit numbers."""
         if not text:
             return b""
-        if "<" in text and len(parts := self.at_special.split(text)) > 1:
+        if any(h in text for h in self.hints) and len(parts := self.at_special.split(text)) > 1:
             return b"".join(np.int32(self.special[p]).tobytes() if k % 2 else self.encode_plain(p) for k, p in enumerate(parts))
         return self.encode_plain(text)
 
@@ -124,11 +131,17 @@ class Bpe:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) > CACHE:
+            if self.held > CACHE:
                 known.clear()
-            for w in set(words).difference(known):
-                known[w] = np.array(self.word(w), np.int32).tobytes()
-            return b"".join([known[w] for w in words])
+                self.held = 0
+            more = {w: np.array(self.word(w), np.int32).tobytes() for w in set(words).difference(known)}
+            size = sum(len(w) + len(ids) + 180 for w, ids in more.items())
+            if self.held + size <= 2 * CACHE:
+                known.update(more)
+                self.held += size
+                return b"".join([known[w] for w in words])
+            # a text with so many words of its own is coded from a table of its own
+            return b"".join([known[w] if w in known else more[w] for w in words])
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))

@@ -1,9 +1,14 @@
 """Token counts by a map-side lookup in two tiers.
 
 A text is cut into pre-tokens by the tokenizer's pattern. The first tier is a table of the token counts of frequent
-pre-tokens, from a bounded sample of rows, broadcast to all workers. The second is each worker's cache: what the table
-lacks is encoded once by the tokenizer's model and kept. Pre-tokens are never shuffled. The strings of special tokens
-count as one token each, as the tokenizers library takes them. Null and empty texts have none.
+pre-tokens, from a bounded sample of texts, broadcast as one string with a byte for each count. The second is each worker's
+cache: what the table lacks is encoded by the tokenizer's model and kept, up to CACHE bytes. Pre-tokens are never
+shuffled: those of the sample are counted on the driver, to which at most SAMPLE_ROWS texts of SAMPLE_BYTES come. The
+sample only affects speed: every pre-token of every whole text is counted.
+
+The strings of special tokens count as one token each, as the tokenizers library takes them. Texts with characters from
+U+0300 on are cut by the library, so that its version of Unicode holds. Null and empty texts have no tokens. Repeated rows
+count alike, and an empty table gives an empty one; columns other than id and text may have any names.
 """
 
 from __future__ import annotations
@@ -18,70 +23,89 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table, unit
+from .common import lean, table
 from .langid import chunks
 
 #: Pattern of the byte-level pre-tokenizer (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Rows and characters of each from which frequent pre-tokens are taken; entries of the table; entries of a cache.
-SAMPLE_ROWS, SAMPLE_CHARS, FREQUENT, CACHE = 1_024, 16_384, 65_536, 250_000
+#: Different texts in the sample, and how long each may be; entries of the table; bytes of a cache.
+SAMPLE_ROWS, SAMPLE_BYTES, FREQUENT, CACHE = 1_024, 65_536, 65_536, 32 << 20
 
 
-class Counter2:
-    """Counts tokens of texts for one worker."""
+class TokenCounter:
+    """Counts tokens of texts for one worker. words are separated by U+0000, which no frequent pre-token has."""
 
-    def __init__(self, tokenizer: str, words: list[str], counts: bytes):
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer: str, words: str, counts: bytes):
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True  # pre-tokens hold no special token: texts are split at those before
-        self.frequent = dict(zip(words, counts, strict=True))
-        self.known = dict(self.frequent)
-        self.find = regex.compile(PATTERN).findall
+        self.frequent = (words, counts)
+        self.find, self.beyond = regex.compile(PATTERN).findall, regex.compile("[^\\x00-\\u02ff]").search
+        self.cut_by_library = pre_tokenizers.Split(Regex(PATTERN), "isolated").pre_tokenize_str
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-
-    def counts(self, texts: list[str | None]) -> list[int]:
-        pieces, extra = [], []
-        for text in texts:
-            parts = self.special.split(text or "") if self.special else [text or ""]
-            extra.append(len(parts) - 1)
-            pieces.append([w for part in parts for w in self.find(part)] if len(parts) > 1 else self.find(parts[0]))
-        if len(self.known) > CACHE + len(self.frequent):
-            self.known = dict(self.frequent)
-        new = list(set().union(*pieces).difference(self.known))
-        self.known.update((w, len(e.ids)) for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
-        get = self.known.__getitem__
-        return [sum(map(get, p)) + n for p, n in zip(pieces, extra, strict=True)]
+        self.reset()
+
+    def reset(self) -> None:
+        words, counts = self.frequent
+        self.known: dict[str, int] = dict(zip(words.split("\0") if counts else (), counts, strict=True))
+        self.held = 0
+
+    def pieces(self, text: str) -> list[str]:
+        if text.isascii() or not self.beyond(text):
+            return self.find(text)
+        return [w for w, _ in self.cut_by_library(text)]
+
+    def count(self, text: str | None) -> int:
+        if not text:
+            return 0
+        parts = self.special.split(text) if self.special else [text]
+        words = self.pieces(parts[0]) if len(parts) == 1 else [w for part in parts for w in self.pieces(part)]
+        try:
+            return sum(map(self.known.__getitem__, words)) + len(parts) - 1
+        except KeyError:
+            return self.count_new(words) + len(parts) - 1
+
+    def count_new(self, words: list[str]) -> int:
+        if self.held > CACHE:
+            self.reset()
+        new, known = list(set(words).difference(self.known)), self.known
+        size = sum(map(len, new)) + 150 * len(new)
+        if self.held + size > 2 * CACHE:  # a text with so many pre-tokens of its own is counted by a table of its own
+            known = dict(self.known)
+        else:
+            self.held += size
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
+            known.update((w, len(e.ids)) for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True))
+        return sum(map(known.__getitem__, words))
 
 
 _counters: dict[int, tuple] = {}
 
 
-def counter(key: tuple) -> Counter2:
+def counter(key: tuple) -> TokenCounter:
     """Built once in each worker for a broadcast value."""
     if id(key) not in _counters:
         _counters.clear()
-        _counters[id(key)] = (key, Counter2(*key))
+        _counters[id(key)] = (key, TokenCounter(*key))
     return _counters[id(key)][1]
 
 
 def frequent_words(docs: DataFrame, text: str = "text") -> list[str]:
-    """The most frequent pre-tokens of a bounded sample of rows, most frequent first."""
-    rows = docs.filter(F.col(text).isNotNull())
-    odds = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
-    some = rows.select(F.substring(text, 1, SAMPLE_CHARS).alias("t"), unit(text, seed=5).alias("u")).filter(F.col("u") <= odds).limit(2 * SAMPLE_ROWS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in lean(batches):
-            for t in batch.column(0).to_pylist():
-                seen.update(regex.findall(PATTERN, t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
-
-    words = some.select("t").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in words.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()]
+    """The most frequent pre-tokens of a sample, most frequent first: the SAMPLE_ROWS different texts of at most
+    SAMPLE_BYTES bytes that have the least hashes."""
+    t = docs.select(F.col(text).alias("t"), F.xxhash64(F.lit(5), text).alias("h")).filter(F.octet_length("t").between(1, SAMPLE_BYTES))
+    least = [r["h"] for r in t.groupBy("h").agg(F.lit(1)).orderBy("h").limit(SAMPLE_ROWS).select("h").collect()]
+    few = docs.sparkSession.createDataFrame([(h,) for h in least], "h long")
+    texts = t.join(F.broadcast(few), "h").groupBy("h").agg(F.min("t").alias("t"))
+    seen: Counter = Counter()
+    find = regex.compile(PATTERN).findall
+    for r in texts.collect():  # SAMPLE_ROWS at most
+        seen.update(w for w in find(r["t"]) if "\0" not in w)
+    return [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -95,12 +119,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_i
     model.encode_special_tokens = True
     lengths = [len(e.ids) for e in model.encode_batch(words, add_special_tokens=False)]
     table = [(w, n) for w, n in zip(words, lengths, strict=True) if n < 256]
-    shared = docs.sparkSession.sparkContext.broadcast((tokenizer, [w for w, _ in table], bytes(n for _, n in table)))
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer, "\0".join(w for w, _ in table), bytes(n for _, n in table)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(shared.value)
         for batch in lean(batches):
-            out = [n for part in chunks(batch.column(2), 1_500_000) for n in c.counts(part.to_pylist())]
+            out = [c.count(t) for part in chunks(batch.column(2), 1_500_000) for t in part.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(out, np.int64))], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("t"))
