@@ -6,8 +6,14 @@ LSTM in numpy reads all blocks of a page in order and labels each as main text o
 page. It is trained here, by gradient descent on pages made by rules with made-up words, for which the labels are known:
 articles in many kinds of markup among menus, notices, adverts, forms, comments and the like.
 
-Whole pages are read, without caps. A page that is null or has no main text gives an empty text. Repeated pages are
-labelled alike. Tags may be unclosed or misnested.
+Whole pages are read, without caps; features of very long pages are made in lots of LOT blocks. A page that is null or has
+no main text gives an empty text. Repeated pages are labelled alike, and an empty table gives an empty one. Tags may be
+unclosed or misnested: an element that hides its content and is never closed hides what follows only if HTML says so (as
+for script); of others only the start tag is passed over. Columns other than id, url and page may have any names.
+
+The labeller is trained on the driver at the start of each session, by float32 products whose last bits may depend on the
+machine's library; pages whose odds lie near one half could then be labelled otherwise. Within a session all workers use
+the same weights.
 """
 
 from __future__ import annotations
@@ -29,12 +35,14 @@ from .langid import chunks
 
 PATHS, LEAVES, WORDS, FIGURES = 256, 64, 128, 8
 WIDTH = PATHS + LEAVES + WORDS + FIGURES
-HIDDEN, PAGES, EPOCHS, BATCH, RATE = 24, 900, 7, 20, 0.01
+HIDDEN, PAGES, EPOCHS, BATCH, RATE, LOT = 24, 900, 7, 20, 0.01, 20_000
 
 #: Elements that begin and end a block (fixed values of HTML).
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav object ol optgroup option p pre search section select summary table tbody td template tfoot th thead tr ul".split())
-#: Elements whose content is no text of the page.
-HIDDEN_TEXT = frozenset("script style noscript template svg math iframe object title textarea noframes canvas audio video".split())
+#: Elements whose content is text up to their own end tag, which is not shown (fixed values of HTML).
+RAW = frozenset("script style title textarea iframe noframes noscript".split())
+#: Elements whose content, with the elements in it, is not shown.
+UNSHOWN = frozenset("template svg math object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes if it is open (the nearest one, up to the barrier).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
@@ -43,7 +51,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BARRIER = frozenset("ul ol menu dl table tbody thead tfoot select body article section div".split())
 CLOSE_P = BLOCK - {"button", "label", "option", "optgroup", "body", "html", "head", "legend", "caption", "iframe", "object", "template"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+#: A tag's name, then its attributes: a name, and after = a value in quotes or up to white space or the tag's end.
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|</(?=[^a-zA-Z])[^>]*>?|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[\s/]+|=?[^\s/>=]+(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*|(?=>)))?|=)*)>?", re.S)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PIECES = re.compile(r"[a-z]+")
 
@@ -62,35 +71,56 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links = in_link = at = 0
 
+    unshown: list[str] = []  # open elements whose content isn't shown, from the outermost
+
     def flush() -> None:
         nonlocal parts, links
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
             out.append(Block(tuple(stack), text, links))
         parts, links = [], 0
 
     def said(text: str) -> None:
         nonlocal links
-        if text:
+        if text and not unshown:
             parts.append(text)
             links += len(text) if in_link else 0
 
+    ends: dict[str, int] = {}  # how many end tags of an element that isn't shown are still to come
+
+    def closed_later(tag: str) -> bool:
+        if tag not in ends:
+            ends[tag] = len(re.findall(rf"</{tag}(?=[\s/>])", page[at:], re.I))
+        return ends[tag] > unshown.count(tag)
+
     while at < len(page):
         m = TOKEN.search(page, at)
         if not m:
-            said(page[at:])
+            said(html.unescape(page[at:]))
             break
-        said(page[at : m.start()])
+        said(html.unescape(page[at : m.start()]))
         at = m.end()
-        if m["cdata"] is not None:
-            said(m["cdata"].replace("&", "&amp;"))
+        if m["cdata"] is not None and any(tag in ("svg", "math") for tag in unshown):
+            continue
+        if m["cdata"] is not None:  # outside svg and math it is a comment, up to the first >
+            at = page.find(">", m.start()) + 1 or len(page)
         if m["tag"] is None:
             continue
         tag, closing = m["tag"].lower(), bool(m["close"])
-        if tag in HIDDEN_TEXT and not closing:
-            if not m["rest"].rstrip().endswith("/") or tag not in ("svg", "math"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if tag in UNSHOWN:
+            if closing:
+                ends[tag] = ends.get(tag, 1) - 1
+                if tag in unshown:
+                    del unshown[len(unshown) - 1 - unshown[::-1].index(tag) :]
+            elif not (m["rest"].rstrip().endswith("/") and (tag in ("svg", "math") or "svg" in unshown or "math" in unshown)) and closed_later(tag):
+                unshown.append(tag)
+            continue
+        if tag in RAW:
+            if not closing:
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                at = end.end() if end else len(page) if tag in ("script", "style") else at
+            continue
+        if unshown:
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -132,28 +162,35 @@ def bucket(word: str, size: int) -> int:
 
 def features(pages: list[list[Block]]) -> np.ndarray:
     """A row for each block of the pages, one page after another."""
-    rows, columns, values, at = [], [], [], 0
-    figures = np.zeros((sum(map(len, pages)), FIGURES), np.float32)
-    for page in pages:
-        for k, b in enumerate(page):
-            f = [bucket("n:" + x, PATHS) if j else bucket("t:" + x, PATHS) for names in b.path for j, x in enumerate(names)]
-            f.append(PATHS + bucket(b.path[-1][0] if b.path else "", LEAVES))
-            words = b.text.lower().split()
-            w = [PATHS + LEAVES + bucket(x.strip(".,;:!?()\"'"), WORDS) for x in words]
-            rows.append(np.full(len(f) + len(w), at))
-            columns.append(np.array(f + w))
-            values.append(np.ones(len(f) + len(w)))
-            n, letters = len(b.text), sum(map(str.isalpha, b.text[:400]))
-            figures[at] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1, b.links / n), min(1, sum(map(b.text.count, ".,;!?")) / (1 + len(words))), letters / min(n, 400), b.text[-1] in ".!?", k / len(page), len(b.path) / 8)
-            at += 1
-    x = np.zeros((at, WIDTH), np.float32)
-    if at:
-        flat = np.concatenate(rows) * WIDTH + np.concatenate(columns)
-        x = np.bincount(flat, np.concatenate(values), at * WIDTH).reshape(at, WIDTH).astype(np.float32)
-        x[:, :PATHS] = np.minimum(x[:, :PATHS], 1)
-        words = x[:, PATHS + LEAVES : PATHS + LEAVES + WORDS]
-        words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1)
-        x[:, -FIGURES:] = figures
+    return np.concatenate([*feature_lots(pages), np.zeros((0, WIDTH), np.float32)])
+
+
+def feature_lots(pages: list[list[Block]]) -> Iterator[np.ndarray]:
+    """The rows of features(), LOT at a time."""
+    flat = [(b, k, len(page)) for page in pages for k, b in enumerate(page)]
+    for i in range(0, len(flat), LOT):
+        yield _features(flat[i : i + LOT])
+
+
+def _features(some: list[tuple[Block, int, int]]) -> np.ndarray:
+    at, column, times, figures = [], [], [], np.zeros((len(some), FIGURES), np.float32)
+    for row, (b, k, of) in enumerate(some):
+        f = {bucket("n:" + x, PATHS) if j else bucket("t:" + x, PATHS): 1 for names in b.path for j, x in enumerate(names)}
+        f[PATHS + bucket(b.path[-1][0] if b.path else "", LEAVES)] = 1
+        words = b.text.lower().split()
+        for x in words:
+            w = PATHS + LEAVES + bucket(x.strip(".,;:!?()\"'"), WORDS)
+            f[w] = f.get(w, 0) + 1
+        at.append(np.full(len(f), row))
+        column.append(np.fromiter(f, np.int64, len(f)))
+        times.append(np.fromiter(f.values(), np.float32, len(f)))
+        n, letters = len(b.text), sum(map(str.isalpha, b.text))
+        figures[row] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1, b.links / n), min(1, sum(map(b.text.count, ".,;!?")) / (1 + len(words))), letters / n, b.text[-1] in ".!?", k / of, len(b.path) / 8)
+    x = np.zeros((len(some), WIDTH), np.float32)
+    x[np.concatenate(at), np.concatenate(column)] = np.concatenate(times)
+    words = x[:, PATHS + LEAVES : PATHS + LEAVES + WORDS]
+    words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1)
+    x[:, -FIGURES:] = figures
     return x
 
 
@@ -176,15 +213,18 @@ class Labeller:
             gates[HIDDEN : 2 * HIDDEN] = 1  # to remember at first
             self.w |= {d + "x": start(WIDTH, 4 * HIDDEN), d + "h": start(HIDDEN, 4 * HIDDEN), d + "b": gates}
 
-    def run(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
-        """The hidden rows of sequences that stand one after another in x; with keep also what backward() needs."""
+    def run(self, x: np.ndarray | list[np.ndarray], lengths: np.ndarray, keep: bool = False):
+        """The hidden rows of sequences that stand one after another in x, or in its lots; with keep also what gradient()
+        needs."""
+        lots = x if isinstance(x, list) else [x]
+        rows = int(lengths.sum())
         order = np.argsort(-lengths, kind="stable")
         starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
         steps = int(sizes[0]) if len(sizes) else 0
         active = [int((sizes > t).sum()) for t in range(steps)] if steps < 64 else (len(sizes) - np.searchsorted(sizes[::-1], np.arange(steps), side="right")).tolist()
-        out, kept = np.zeros((len(x), 2 * HIDDEN), np.float32), {}
+        out, kept = np.zeros((rows, 2 * HIDDEN), np.float32), {}
         for k, d in enumerate("fb"):
-            given = x @ self.w[d + "x"] + self.w[d + "b"]
+            given = np.concatenate([lot @ self.w[d + "x"] + self.w[d + "b"] for lot in lots]) if len(lots) > 1 else lots[0] @ self.w[d + "x"] + self.w[d + "b"]
             h, c = np.zeros((len(sizes), HIDDEN), np.float32), np.zeros((len(sizes), HIDDEN), np.float32)
             trace = []
             for t, n in enumerate(active):
@@ -202,7 +242,7 @@ class Labeller:
             kept[d] = trace
         return (out, kept, len(sizes)) if keep else out
 
-    def odds(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def odds(self, x: np.ndarray | list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
         return _sigmoid(self.run(x, lengths) @ self.w["out"] + self.w["bias"])[:, 0]
 
     def gradient(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -418,7 +458,7 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 7) -> Labeller
 def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
     found = [blocks(p or "") for p in pages]
     lengths = np.array([len(f) for f in found], np.int64)
-    odds = model.odds(features(found), lengths) if lengths.sum() else np.zeros(0)
+    odds = model.odds(list(feature_lots(found)), lengths) if lengths.sum() else np.zeros(0)
     ends = np.cumsum(lengths)
     return ["\n".join(b.text for b, p in zip(f, odds[e - len(f) : e], strict=True) if p >= 0.5) for f, e in zip(found, ends, strict=True)]
 
