@@ -1,7 +1,7 @@
 """A training corpus from the documents: language ID, exact dedup, near dedup, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents. An empty table passes through all of them.
 """
 
 from __future__ import annotations
@@ -11,52 +11,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halfstep.llm.bpe import with_ids
-from halfstep.llm.common import cut, table
+from halfstep.llm.common import done, scratch, table
 from halfstep.llm.exact_dedup import drop_exact
 from halfstep.llm.jaccard_join import drop_near
 from halfstep.llm.langid import held_out, identify, sample
 from halfstep.llm.mixing import mix
 
-#: A text of at least LEAST_CHARS characters that needs more phrases a character than this in its best language is in
-#: none of the languages learned (running text of a learned language of few letters stays below 0.4). A language has MARGIN
-#: times the rate below which 99 % of its labelled rows stay that were not learned from, if that is more, up to MOST_RATE:
-#: a text of letters never seen has 1.
-FOREIGN_RATE, LEAST_CHARS, MARGIN, MOST_RATE = 0.6, 40, 1.5, 0.99
+#: A text is in none of the languages learned if it needs over SLACK + rate * letters phrases in the one that fits best. A
+#: text of letters never seen needs one a letter. The rate is FOREIGN_RATE (running text of a learned language of few
+#: letters stays below 0.4), or MARGIN times that below which 99 % of a language's labelled rows stay that were not learned
+#: from, if that is more, up to MOST_RATE.
+FOREIGN_RATE, SLACK, MARGIN, MOST_RATE = 0.6, 8, 1.5, 0.99
 #: Near copies share this many in a hundred of their shingles of so many words, at least. (op8 has numbers of its own.)
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages; those without a letter and those in none of them go."""
-    texts, names = sample(docs), ("_stage_lang", "_stage_score", "_stage_rate")
+    """Documents in one of the labelled languages; those without a letter (or null) and those in none of them go. Repeated
+    rows share their fate; with no labelled row at all none stays."""
+    texts, names = sample(docs), ("_stage_lang", "_stage_score", "_stage_phrases", "_stage_letters")
     found = identify(docs, texts, names=names)
-    apart = docs.select("doc_id", "lang", "text").filter(held_out(F.col("doc_id")) & F.col("lang").isin(*texts) & (F.length("text") >= LEAST_CHARS))
-    rates = identify(apart, texts, names=names).filter("lang = _stage_lang").groupBy("lang").agg(F.percentile_approx("_stage_rate", 0.99).alias("rate"))
+    apart = docs.select("doc_id", "lang", "text").filter(held_out(F.col("doc_id")) & F.col("lang").isin(*texts))
+    rate = F.greatest(F.col("_stage_phrases") - SLACK, F.lit(0)) / F.col("_stage_letters")
+    rates = identify(apart, texts, names=names).filter("lang = _stage_lang").groupBy("lang").agg(F.percentile_approx(rate, 0.99).alias("rate"))
     most = F.lit(FOREIGN_RATE)
-    for r in rates.collect():  # a row for each language
+    for r in rates.collect():  # a row for each language learned
         most = F.when(F.col("_stage_lang") == r["lang"], F.lit(min(MOST_RATE, max(FOREIGN_RATE, MARGIN * r["rate"])))).otherwise(most)
-    foreign = (F.col("_stage_rate") > most) & (F.length("text") >= LEAST_CHARS)
+    foreign = F.col("_stage_phrases") > SLACK + most * F.col("_stage_letters")
     return found.filter((F.col("_stage_lang") != "und") & ~foreign).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
+    """Of equal texts (null counts as empty) the document with the largest doc_id, null being less than any."""
     return drop_exact(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links connect: a Jaccard similarity of 0.8 or more of the sets of five-word
-    shingles."""
+    shingles. Texts without a word all stay."""
     return drop_near(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, which may be never; texts without a word go with certain copies only."""
     return mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and the SHA-256 of the text that the ids decode to."""
+    """doc_id, lang, source, n_tokens, ids, and the SHA-256 of the text that the ids decode to, for every row; null counts
+    as empty and has no ids."""
     coded = with_ids(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -68,7 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = given = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch() as keep:  # what a stage writes for itself goes when its result is written
+            out = keep(stage(spark, docs, sf_dir))
+        if docs is not given:
+            done(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)

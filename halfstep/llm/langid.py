@@ -1,17 +1,21 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built. A text is parsed against it from left to right into the
-longest phrases that occur in the labelled text; the language that needs fewest phrases a character wins (the first in
-code-point order if equal). The automaton with its restarts is one table of states by characters, so many texts are
-parsed in step by numpy. The LETTERS most common letters have columns in that table; the edges of all others are in one
-sorted list, looked up where a text has such a letter, so every letter of the labelled text counts.
-
-Text is lower-cased letters with one space for each run of anything else. A phrase doesn't cross a border between blocks
-of BLOCK characters, so very long texts are parsed in parallel too. Null texts and texts without a letter give `und`
-with score 0. The score is 1 - fewest / second fewest phrases. With no labelled row every text with a letter is `und`.
-
-Labelled text is a bounded sample: at most ROWS rows a language, of each the first characters, SAMPLE_CHARS in all. All
-languages get equally much, unless one has under LEAST_CHARS.
+longest phrases that occur in the labelled text. A phrase costs the logarithm of the labelled text's length, as it is
+named by a place there; the language in which the text costs least wins (the first in code-point order if equal). The
+automaton with its restarts is one table of states by characters, so many texts are parsed in step by numpy. The LETTERS
+most common letters have columns in that table; the edges of all others are in one sorted list, looked up where a text has
+such a letter, so every letter of the labelled text counts.
+
+Text is lower-cased letters with one space for each run of anything else. Long texts are parsed in blocks side by side;
+blocks are parsed again from the state in which the one before them ends until no such state changes, so a text has just
+the phrases of one parse from its beginning to its end. Null texts and texts without a letter give `und` with score 0. The
+score is 1 - least / second least cost. With no labelled row every text with a letter is `und`.
+
+Labelled text is a bounded sample of labelled rows, read whole: for each of the MOST_LANGUAGES labels that most rows have,
+the different texts of least hash, up to ROWS of them and until they have SAMPLE_CHARS characters; texts of over LONG
+characters come after all others, and those of over LONGEST are not learned from. Rows that repeat a text count once, so
+neither they nor another language take a language's place.
 """
 
 from __future__ import annotations
@@ -22,13 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, table, unit
+from .common import lean, table
 
-ROWS, SAMPLE_CHARS, LEAST_CHARS = 48, 16_384, 4_096
+#: Bounds of the sample, and the length that a phrase's cost is at least taken from.
+ROWS, SAMPLE_CHARS, LONG, LONGEST, MOST_LANGUAGES, LEAST_CHARS = 48, 24_576, 4_096, 65_536, 256, 4_096
 #: Characters in a block, characters parsed at once, and letters with a column of their own in the table (this only
 #: affects memory and speed).
 BLOCK, CHUNK, LETTERS = 2_048, 2_000_000, 250
@@ -39,22 +44,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, rows: int = ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Labelled text for each language, from rows that aren't held out. Only rows with a small hash come to the driver,
-    about four times as many as are used."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
+    """Labelled text for each language, from rows that aren't held out. Hashes are ranked for each language where the rows
+    are, so at most `rows` texts a language come to the driver."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text")
+    names = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    if not names:
         return {}
-    odds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * rows / n))])
-    some = usable.withColumn("_u", unit("doc_id", F.xxhash64("text"), seed=3)).filter(F.col("_u") < odds[F.col("lang")])
-    some = some.select("lang", F.substring("text", 1, chars).alias("text"), (F.col("_u") / odds[F.col("lang")]).alias("_u"))
-    kept: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in some.orderBy("_u", "text").limit(8 * rows * len(counts)).collect():
-        if len(kept[r["lang"]]) < rows:
-            kept[r["lang"]].append(r["text"])
-    texts = {lang: " ".join(t[: max(chars // len(part), 1)] for t in part) for lang, part in kept.items() if part}
-    least = max(LEAST_CHARS, min(map(len, texts.values()), default=0))
-    return {lang: texts[lang][:least] for lang in sorted(texts)}
+    usable = usable.filter(F.col("lang").isin(names)).withColumns({"n": F.length("text"), "h": F.xxhash64(F.lit(3), "text")})
+    usable = usable.filter(F.col("n").between(1, LONGEST))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.when(F.col("n") > LONG, F.col("n")).otherwise(0), "h"))
+    chosen = usable.select("lang", "n", "h").distinct().withColumn("nth", rank).filter(F.col("nth") <= rows).collect()
+    few = docs.sparkSession.createDataFrame([(r["lang"], r["h"], r["nth"]) for r in chosen], "lang string, h long, nth int")
+    texts = usable.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
+    kept: dict[str, list[str]] = {}
+    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["nth"])):
+        part = kept.setdefault(r["lang"], [])
+        if sum(map(len, part)) < chars:
+            part.append(r["text"])
+    return {lang: " ".join(part) for lang, part in kept.items()}
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -92,6 +99,7 @@ class Parser:
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
+        self.cost = np.log2([max(LEAST_CHARS, len(texts[lang])) for lang in self.languages])
         #: 0: no letter; 1: a letter that no labelled text has; above: letters of the labelled texts.
         folded = {cp: low for cp in range(0x110000) if (ch := chr(cp)).isalpha() for low in [ch.lower() if len(ch.lower()) == 1 else ch]}
         common: dict[str, int] = {}
@@ -161,9 +169,26 @@ class Parser:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = (np.cumsum(lengths) - lengths)[owner] + nth * BLOCK
         size = np.minimum(BLOCK, lengths[owner] - nth * BLOCK)
+        enter = np.repeat(self.starts[:, None], len(size), 1)
+        count, leave = self.parsed(codes, begin, size, enter)
+        while True:
+            again = np.flatnonzero((nth > 0) & (np.roll(leave, 1, 1) != enter).any(0))
+            if not len(again):
+                break
+            enter[:, again] = leave[:, again - 1]
+            count[:, again], leave[:, again] = self.parsed(codes, begin[again], size[again], enter[:, again])
+        last = np.ones(len(owner), bool)
+        last[:-1] = owner[1:] != owner[:-1]
+        count += (leave != self.starts[:, None]) & last
+        out = np.zeros((len(lengths), len(self.languages)), np.int64)
+        for k in range(len(self.languages)):
+            out[:, k] = np.bincount(owner, count[k], len(lengths))
+        return out
+
+    def parsed(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each block, and the states after it, from the states before it (languages by blocks)."""
         order = np.argsort(-size, kind="stable")
-        begin, size, owner = begin[order], size[order], owner[order]
-        state = np.repeat(self.starts[:, None], len(size), 1)
+        begin, size, state = begin[order], size[order], enter[:, order]
         count = np.zeros(state.shape, np.int32)
         many = self.kinds > self.width
         active = len(size) - np.searchsorted(size[::-1], np.arange(size[0] if len(size) else 0), side="right")
@@ -177,25 +202,23 @@ class Parser:
                 x = self.table[state[:, :n] + code]
             count[:, :n] += x & 3
             state[:, :n] = x >> 2
-        count += state != self.starts[:, None]
-        out = np.zeros((len(lengths), len(self.languages)), np.int64)
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(owner, count[k], len(lengths))
-        return out
+        back = np.argsort(order)
+        return count[:, back], state[:, back]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Languages, scores, and phrases a character in the language that wins (0 for `und`)."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, scores, phrases in the language that wins (0 for `und`), and how many characters were parsed."""
         texts = [t or "" for t in texts]
         codes, lengths = self.normalised("".join(texts), np.array([len(t) for t in texts], np.int64))
         if not self.languages or not len(codes):
-            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64), lengths
         need = self.phrases(codes, lengths)
-        best = need.argmin(1)
-        two = np.sort(need, 1)[:, :2]
+        cost = need * self.cost
+        best = cost.argmin(1)
+        two = np.sort(cost, 1)[:, :2]
         some = lengths > 0
-        score = np.where(some, 1 - two[:, 0] / np.maximum(two[:, 1], 1), 0.0) if need.shape[1] > 1 else np.where(some, 1 - need[:, 0] / np.maximum(lengths + 1, 1), 0.0)
-        rate = np.where(some, two[:, 0] / np.maximum(lengths, 1), 0.0)
-        return [self.languages[k] if ok else "und" for k, ok in zip(best, some, strict=True)], score, rate
+        second = two[:, 1] if cost.shape[1] > 1 else (lengths + 1) * self.cost[0]
+        score = np.where(some, 1 - two[:, 0] / np.maximum(second, 1), 0.0)
+        return [self.languages[k] if ok else "und" for k, ok in zip(best, some, strict=True)], score, need[np.arange(len(need)), best], lengths
 
 
 _parsers: dict[bytes, Parser] = {}
@@ -219,9 +242,12 @@ def chunks(texts: pa.Array, chars: int) -> Iterator[pa.Array]:
         at = upto
 
 
-def identify(docs: DataFrame, texts: dict[str, str], text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "phrase_rate")) -> DataFrame:
-    """docs with the language, score and phrases a character of each text, from labelled text by language. Columns that
-    have these names already are replaced."""
+NAMES = ("lang_pred", "score", "phrases", "letters")
+
+
+def identify(docs: DataFrame, texts: dict[str, str], text: str = "text", names: tuple[str, str, str, str] = NAMES) -> DataFrame:
+    """docs with the language and score of each text, its phrases, and the number of its letters and the spaces between
+    them, from labelled text by language. Columns that have these names already are replaced."""
     docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(texts))
     at = docs.columns.index(text)
@@ -229,19 +255,17 @@ def identify(docs: DataFrame, texts: dict[str, str], text: str = "text", names:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(shared.value)
         for batch in lean(batches):
-            langs, scores, rates = [], [], []
-            for part in chunks(batch.column(at), CHUNK):
-                lang, score, rate = p.predict(part.to_pylist())
-                langs, scores, rates = langs + lang, [*scores, score], [*rates, rate]
-            new = [pa.array(langs, pa.string()), *(pa.array(np.concatenate(x) if x else np.zeros(0), pa.float64()) for x in (scores, rates))]
+            found = [p.predict(part.to_pylist()) for part in chunks(batch.column(at), CHUNK)]
+            new = [pa.array([x for f in found for x in f[0]], pa.string())]
+            new += [pa.array(np.concatenate([f[k] for f in found]) if found else [], kind) for k, kind in ((1, pa.float64()), (2, pa.int64()), (3, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))])
-    return docs.mapInArrow(predict, schema)
+    kinds = (T.StringType(), T.DoubleType(), T.LongType(), T.LongType())
+    return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, kinds, strict=True))]))
 
 
 def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, phrase_rate of every row of documents."""
+    """doc_id, held_out, lang_pred, score, phrases, letters of every row of documents."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return identify(rows, sample(docs)).select("doc_id", "held_out", "lang_pred", "score", "phrase_rate")
+    return identify(rows, sample(docs)).select("doc_id", "held_out", *NAMES)
