@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import one_hot
-from .operators import feature_names, max_nhsteps, stack_features, with_nhsteps
-from .sources import read_grid, variable_shape
+from .operators import feature_names, max_nhsteps, stack_ranges, with_nhsteps
+from .sources import read_grid, read_ranges, variable_shape
+from .storage import cut
 
 TARGET = "ncsteps"
 DTYPES = {"float": "float", "float32": "float", "double": "double", "float64": "double", "int": "int", "int32": "int"}
@@ -46,20 +47,28 @@ class NetCDFDataLoader:
         return self._features
 
     def load_target_data(self) -> DataFrame:
-        """timestep, x, nhsteps, and target, the one-hot array over classes 0 to max_nhsteps, which this sets."""
-        steps = with_nhsteps(read_grid(self.spark, self.data_dir, {TARGET: 1}, self.num_timesteps), "value").select("timestep", "x", "nhsteps")
+        """timestep, x, nhsteps, and target, the one-hot array over classes 0 to max_nhsteps, which this sets. The files
+        are parsed once: their classes are kept as a table in the shared folder."""
+        steps = cut(with_nhsteps(read_grid(self.spark, self.data_dir, {TARGET: 1}, self.num_timesteps), "value").select("timestep", "x", "nhsteps"))
         self._max_nhsteps = max_nhsteps(steps)
         return steps.withColumn("target", one_hot(F.col("nhsteps"), self._max_nhsteps))
 
     def load_feature_data(self, dtype: str = "float") -> DataFrame:
-        """timestep, x, and a column for each feature. Values pass through 32-bit floats whatever the dtype."""
+        """timestep, x, and a column for each feature. Values pass through 32-bit floats whatever the dtype. Null values
+        are errors, as are names that clash with each other or with timestep and x."""
+        if dtype not in DTYPES:
+            raise ValueError(f"dtype must be one of {', '.join(DTYPES)}, not '{dtype}'")
         components = {v: variable_shape(self.spark, self.data_dir, v)[0] for v in self._features_2d}
         ranks = dict.fromkeys(self._features_1d, 1) | dict.fromkeys(self._features_2d, 2)
         if not ranks:
             raise ValueError("there are no features to load")
-        grid = read_grid(self.spark, self.data_dir, ranks, self.num_timesteps)
-        self._features = feature_names(self._features_1d, components)
-        return stack_features(grid, self._features_1d, components, DTYPES[dtype])
+        names = feature_names(self._features_1d, components)
+        columns = ["timestep", "x", *(n.lower() for n in names)]  # columns are told apart without regard to case
+        clash = sorted({n for n in columns if columns.count(n) > 1})
+        if clash or len(ranks) < len(self._features_1d) + len(self._features_2d):
+            raise ValueError(f"features, timestep and x must have different names: {', '.join(clash) or 'a variable is given twice'}")
+        self._features = names
+        return stack_ranges(read_ranges(self.spark, self.data_dir, ranks, self.num_timesteps), self._features_1d, components, DTYPES[dtype])
 
     def load(self, dtype: str = "float") -> DataFrame:
         """Targets and features of each grid point; one without the other is an error."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,26 +22,59 @@ def slices_wide(df: DataFrame, keys: list[str], array: str, n: int, prefix: str,
     return df.select(*keys, size.alias("_a")).select(*keys, *(F.get("_a", F.lit(j)).cast("float").cast(dtype).alias(f"{prefix}_{j}") for j in range(n)))
 
 
-def stack_features(grid: DataFrame, features_1d: list[str], components: dict[str, int], dtype: str = "float") -> DataFrame:
-    """(timestep, x, one column for each feature) from rows (variable, timestep, x, y, value), in one shuffle. A grid
-    point that lacks a feature, or has one twice, is an error."""
-    names = feature_names(features_1d, components)
+def _positions(features_1d: list[str], components: dict[str, int]) -> Column:
+    """The place of a row's feature among all, from its variable and y; null if it is none of them."""
     position, at = F.lit(None).cast("int"), 0
     for v in features_1d:
         position, at = F.when((F.col("variable") == v) & F.col("y").isNull(), F.lit(at)).otherwise(position), at + 1
     for v, n in components.items():
         position, at = F.when((F.col("variable") == v) & (F.col("y") < n), F.col("y") + at).otherwise(position), at + n
-    # as many values as there are features meet at a grid point
-    points = grid.groupBy("timestep", "x").agg(F.array_sort(F.collect_list(F.struct(position.alias("p"), "value"))).alias("_f"))
-    found, want = F.col("_f.p"), F.sequence(F.lit(0), F.lit(len(names) - 1))
-    where = F.concat(F.lit(" at timestep "), F.col("timestep").cast("string"), F.lit(", x "), F.col("x").cast("string"))
+    return position
+
+
+def _checked(found: Column, names: list[str], where: Column, value: Column) -> Column:
+    """value, if the places found (sorted) are those of all features, each once."""
+    want = F.sequence(F.lit(0), F.lit(len(names) - 1))
     lacks = F.get(F.array_except(want, found), F.lit(0))
     twice = F.get(F.filter(want, lambda k: F.size(F.filter(found, lambda p: p == k)) > 1), F.lit(0))
     name = F.get(F.array(*map(F.lit, names)), F.coalesce(lacks, twice))
-    checked = (
-        F.when(found == want, F.col("_f.value"))
+    return (
+        F.when(found == want, value)
         .when(F.exists(found, F.isnull), F.raise_error(F.concat(F.lit("a 2D feature has more components than at the first timestep"), where)))
         .otherwise(F.raise_error(F.concat(F.lit("feature '"), name, F.lit("' has not exactly one value"), where)))
     )
-    wide = points.select("timestep", "x", checked.alias("_v"))
+
+
+def _at(x: Column) -> Column:
+    return F.concat(F.lit(" at timestep "), F.col("timestep").cast("string"), F.lit(", x "), x.cast("string"))
+
+
+def stack_features(grid: DataFrame, features_1d: list[str], components: dict[str, int], dtype: str = "float") -> DataFrame:
+    """(timestep, x, one column for each feature) from rows (variable, timestep, x, y, value), in one shuffle. A grid
+    point that lacks a feature, or has one twice, is an error."""
+    names = feature_names(features_1d, components)
+    # as many values as there are features meet at a grid point
+    points = grid.groupBy("timestep", "x").agg(F.array_sort(F.collect_list(F.struct(_positions(features_1d, components).alias("p"), "value"))).alias("_f"))
+    wide = points.select("timestep", "x", _checked(F.col("_f.p"), names, _at(F.col("x")), F.col("_f.value")).alias("_v"))
     return wide.select("timestep", "x", *(F.get("_v", F.lit(k)).cast("float").cast(dtype).alias(n) for k, n in enumerate(names)))
+
+
+def stack_ranges(ranges: DataFrame, features_1d: list[str], components: dict[str, int], dtype: str = "float") -> DataFrame:
+    """The same from rows (variable, timestep, y, start, values): the features' arrays of one range of grid points meet,
+    so what is shuffled has a row for thousands of values. Features of other lengths, and nulls, are errors too."""
+    names = feature_names(features_1d, components)
+    parts = ranges.groupBy("timestep", "start").agg(F.array_sort(F.collect_list(F.struct(_positions(features_1d, components).alias("p"), "values"))).alias("_f"))
+    arrays = _checked(F.col("_f.p"), names, _at(F.col("start")), F.col("_f.values"))
+    sizes = F.transform("_v", F.size)
+    short = F.array_position(F.transform(sizes, lambda n: n < F.array_max(sizes)), F.lit(True)).cast("int") - 1
+    where = F.get(sizes, short) + F.col("start")
+    even = F.when(short < 0, F.col("_v")).otherwise(F.raise_error(F.concat(F.lit("feature '"), F.get(F.array(*map(F.lit, names)), short), F.lit("' has not exactly one value"), _at(where))))
+    parts = parts.select("timestep", "start", arrays.alias("_v")).withColumn("_v", even)
+    rows = parts.select("timestep", "start", F.posexplode(F.arrays_zip(*(F.get("_v", F.lit(k)).alias(f"_{k}") for k in range(len(names))))).alias("_i", "_row"))
+    x = (F.col("start") + F.col("_i")).cast("int")
+
+    def filled(k: int, name: str) -> Column:
+        value = F.col("_row").getField(f"_{k}")
+        return F.when(value.isNull(), F.raise_error(F.concat(F.lit(f"feature '{name}' is null"), _at(x)))).otherwise(value).cast("float").cast(dtype).alias(name)
+
+    return rows.select("timestep", x.alias("x"), *(filled(k, n) for k, n in enumerate(names)))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,37 @@ class FCNN:
         if (self.hidden.in_features, self.hidden.out_features, self.output.in_features, self.output.out_features) != (input_size, hidden_size, hidden_size, max_nhsteps + 1):
             raise ValueError("the layers don't have the sizes given")
 
+    @property
+    def parameters(self) -> dict[str, np.ndarray]:
+        """Weights and biases by name: copies, which may be changed."""
+        return {f"{name}.{kind}": getattr(layer, kind).copy() for name, layer in (("hidden", self.hidden), ("output", self.output)) for kind in ("weight", "bias")}
+
+    @classmethod
+    def from_parameters(cls, parameters: dict[str, np.ndarray]) -> FCNN:
+        hidden, output = (Dense(parameters[f"{name}.weight"], parameters[f"{name}.bias"]) for name in ("hidden", "output"))
+        return cls(hidden.in_features, output.out_features - 1, hidden.out_features, hidden=hidden, output=output)
+
+    def to_table(self, spark: SparkSession) -> DataFrame:
+        """(layer, o, i, w): a row for each weight, and one with null i for each bias."""
+        rows = []
+        for name, layer in (("hidden", self.hidden), ("output", self.output)):
+            rows += [(name, o, i, float(layer.weight[o, i])) for o in range(layer.out_features) for i in range(layer.in_features)]
+            rows += [(name, o, None, float(b)) for o, b in enumerate(layer.bias)]
+        return spark.createDataFrame(rows, "layer string, o int, i int, w double")
+
+    @classmethod
+    def from_table(cls, table: DataFrame) -> FCNN:
+        """The network of such a table, which comes to the driver, as the weights of a network do."""
+        found: dict[str, dict] = {"hidden": {}, "output": {}}
+        for r in table.collect():
+            found[r["layer"]][r["o"], r["i"]] = r["w"]
+        parameters = {}
+        for name, w in found.items():
+            sizes = [1 + max(k[j] for k in w if k[j] is not None) for j in (0, 1)]
+            parameters[f"{name}.weight"] = np.array([[w[o, i] for i in range(sizes[1])] for o in range(sizes[0])])
+            parameters[f"{name}.bias"] = np.array([w[o, None] for o in range(sizes[0])])
+        return cls.from_parameters(parameters)
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         z = self.output(np.maximum(self.hidden(x), 0.0))
         e = np.exp(z - z.max(1, keepdims=True))
@@ -90,8 +121,8 @@ class FCNN:
 
 def dense_relational(values: DataFrame, weights: DataFrame, biases: DataFrame, key: str) -> DataFrame:
     """values (key, i, v), weights (o, i, w), biases (o, b) to (key, o, v): a join and a sum for each output."""
-    products = values.join(F.broadcast(weights), "i").groupBy(key, "o").agg(F.sum(F.col("v") * F.col("w")).alias("_s"))
-    return products.join(F.broadcast(biases), "o").select(key, "o", (F.col("_s") + F.col("b")).alias("v"))
+    products = values.join(weights, "i").groupBy(key, "o").agg(F.sum(F.col("v") * F.col("w")).alias("_s"))
+    return products.join(biases, "o").select(key, "o", (F.col("_s") + F.col("b")).alias("v"))
 
 
 def softmax_relational(values: DataFrame, key: str) -> DataFrame:

@@ -1,19 +1,25 @@
 """Each operator applied to a whole table.
 
 `part` stands in for the target: p_size is the number of steps, p_partkey % 3 + 1 the timestep. `embeddings` stands in
-for a 2D variable and for the network's input. The weights are a formula, which the SQL repeats.
+for a 2D variable and for the network's input. The weights are a formula, which the SQL repeats. The queries of the loader
+and of its source write both as files first, and read those.
 """
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..dataset import NetCDFDataLoader
 from ..functions import one_hot, relu, softmax
 from ..operators import FCNN, Dense, class_histogram, dense, dense_relational, max_nhsteps, onehot_long, onehot_wide, slice_unpack, slices_wide, softmax_relational, stack_features, with_nhsteps
 from ..operators.network import argmax
-from ..sources.grid import with_row_numbers
+from ..sources import read_grid, variable_shape, write_cdl
+from ..sources.grid import paths, with_row_numbers
+from ..storage import cut, new_path, numbered
 
 INPUTS, HIDDEN, CLASSES, DIGITS = 64, 50, 10, 6
 
@@ -78,12 +84,17 @@ def onehot_array(spark, sf_dir):
 
 
 def timestep_concat(spark, sf_dir):
-    """Rows of all timesteps in order: x is the place within the timestep, row over all of them."""
+    """Rows of all timesteps in order: x is the place within the timestep, row over all of them. Rows are dealt by ranges
+    of (timestep, p_partkey), so a timestep is sorted by many tasks."""
     part = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3 + 1).cast("int").alias("timestep"))
-    from pyspark.sql import Window
+    return placed(part, "p_partkey").select("p_partkey", "timestep", "x", "row")
+
 
-    grid = part.withColumn("x", (F.row_number().over(Window.partitionBy("timestep").orderBy("p_partkey")) - 1).cast("int"))
-    return with_row_numbers(grid).select("p_partkey", "timestep", "x", "row")
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """df with row, its place by (timestep, key), and x, its place within the timestep."""
+    rows = cut(numbered(df, [F.col("timestep"), F.col(key)], "row"))
+    starts = rows.groupBy("timestep").agg(F.min("row").alias("_start"))
+    return rows.join(F.broadcast(starts), "timestep").withColumn("x", (F.col("row") - F.col("_start")).cast("int")).drop("_start")
 
 
 def float32_cast(spark, sf_dir):
@@ -116,6 +127,117 @@ def feature_stack_long(spark, sf_dir):
     return stack_features(one.unionByName(two), ["label"], {"embedding": INPUTS}).select(F.col("x").cast("long").alias("vec_id"), "label", *(f"embedding_{j}" for j in range(INPUTS)))
 
 
+# ---- the loader: parts and vectors are written as CDL files to the shared folder and loaded from there
+
+
+def grids(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of files: ncsteps is p_size of part; label and embedding are those of the vectors. p_partkey and vec_id
+    modulo 3, plus 1, are the timesteps, and their order that of the grid points."""
+    part = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3 + 1).cast("int").alias("timestep"), "p_size")
+    steps = placed(part, "p_partkey").select(F.lit("ncsteps").alias("variable"), "timestep", "x", F.lit(None).cast("int").alias("y"), F.col("p_size").cast("float").alias("value"))
+    points = cut(placed(read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 3 + 1).cast("int").alias("timestep"), "label", "embedding"), "vec_id"))
+    one = points.select(F.lit("label").alias("variable"), "timestep", "x", F.lit(None).cast("int").alias("y"), F.col("label").cast("float").alias("value"))
+    two = points.select(F.lit("embedding").alias("variable"), "timestep", "x", F.posexplode("embedding").alias("y", "value"))
+    folder = new_path(spark)
+    write_cdl(steps.unionByName(one).unionByName(two), folder)
+    return folder
+
+
+def loader(spark: SparkSession, folder: str, timesteps: int = 3) -> NetCDFDataLoader:
+    return NetCDFDataLoader(["label"], ["embedding"], timesteps, data_dir=folder, spark=spark)
+
+
+def loader_targets(spark, sf_dir):
+    """Targets of the files (the one-hot array as a string), and the largest class that the loader then has."""
+    load = loader(spark, grids(spark, sf_dir))
+    target = load.load_target_data()
+    return target.select("timestep", "x", "nhsteps", F.concat_ws("", F.col("target").cast("array<string>")).alias("target"), F.lit(load.max_nhsteps).alias("max_nhsteps"))
+
+
+def loader_prefixes(spark, sf_dir):
+    """Rows and the largest class of the first 1, 2 and 3 timesteps, each loaded from the files."""
+    folder, out = grids(spark, sf_dir), None
+    for n in (1, 2, 3):
+        load = loader(spark, folder, n)
+        some = load.load_target_data().agg(F.lit(n).alias("num_timesteps"), F.count(F.lit(1)).alias("n_rows"), F.lit(load.max_nhsteps).alias("max_nhsteps"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def loader_features(spark, sf_dir):
+    """Features of the files, a column for each."""
+    return loader(spark, grids(spark, sf_dir)).load_feature_data()
+
+
+def loader_features_double(spark, sf_dir):
+    """1D features as doubles that have passed through 32-bit floats."""
+    return NetCDFDataLoader(["label"], [], 3, data_dir=grids(spark, sf_dir), spark=spark).load_feature_data("double")
+
+
+def loader_feature_names(spark, sf_dir):
+    load = loader(spark, grids(spark, sf_dir))
+    load.load_feature_data()
+    return spark.createDataFrame(list(enumerate(load.features)), "pos int, name string")
+
+
+def loader_aligned(spark, sf_dir):
+    """Targets and features of each grid point, both of the vectors (a label l counts as 2 to the power l modulo 5)."""
+    points = placed(read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 3 + 1).cast("int").alias("timestep"), "label"), "vec_id")
+    rows = points.select("timestep", "x", F.lit(None).cast("int").alias("y"), F.explode(F.array(F.struct(F.lit("ncsteps").alias("variable"), F.pow(F.lit(2.0), F.col("label") % 5).cast("float").alias("value")), F.struct(F.lit("label").alias("variable"), F.col("label").cast("float").alias("value")))).alias("_v"))
+    folder = new_path(spark)
+    write_cdl(rows.select("_v.variable", "timestep", "x", "y", "_v.value"), folder)
+    return NetCDFDataLoader(["label"], [], 3, data_dir=folder, spark=spark).load().select("timestep", "x", "nhsteps", "label")
+
+
+def source_rows_1d(spark, sf_dir):
+    """One variable of rank 1 as rows, over all timesteps, with its place in all."""
+    grid = read_grid(spark, grids(spark, sf_dir), {"ncsteps": 1}, 3)
+    return with_row_numbers(cut(grid)).select("variable", "timestep", "x", "value", "row")
+
+
+def source_rows_2d(spark, sf_dir):
+    """One variable of rank 2 as rows: components by grid points, joined over the timesteps along the grid."""
+    grid = read_grid(spark, grids(spark, sf_dir), {"embedding": 2}, 3)
+    return with_row_numbers(cut(grid)).select("timestep", "x", F.col("y").alias("component"), "value", "row")
+
+
+def source_files(spark, sf_dir):
+    """The files that a loader of two timesteps reads, and the shape that the first one of each variable has."""
+    folder = grids(spark, sf_dir)
+    names = [(v, t, path.rpartition("/")[2]) for v in ("embedding", "label", "ncsteps") for t, path in enumerate(paths(spark, folder, [v], range(1, 3)), 1)]
+    shapes = {v: "x".join(map(str, variable_shape(spark, folder, v))) for v in ("embedding", "label", "ncsteps")}
+    return spark.createDataFrame([(v, t, f, shapes[v]) for v, t, f in names], "variable string, timestep int, file string, shape string")
+
+
+def loader_state(spark, sf_dir):
+    """What the loader says before it has loaded, of a missing folder, and of ranks it doesn't know; and its defaults."""
+    load = loader(spark, grids(spark, sf_dir))
+
+    def said(call) -> str:
+        try:
+            return str(call())
+        except (OSError, RuntimeError, AssertionError) as e:
+            return str(e)
+
+    rows = {
+        "features": lambda: load.features,
+        "max_nhsteps": lambda: load.max_nhsteps,
+        "missing folder": lambda: NetCDFDataLoader([], [], 1, data_dir="/no/such/folder", spark=spark),
+        "rank": lambda: read_grid(spark, load.data_dir, {"label": 3}, 1),
+        "num_timesteps": lambda: load.num_timesteps,
+        "default folder": lambda: inspect.signature(NetCDFDataLoader).parameters["data_dir"].default,
+        "default classes": lambda: FCNN(4).output.out_features,
+        "default hidden": lambda: FCNN(4).hidden.out_features,
+    }
+    return spark.createDataFrame([(k, said(v)) for k, v in rows.items()], "what string, said string")
+
+
+def fcnn_from_table(spark, sf_dir):
+    """The forward pass of a network whose weights were written as a table and read again."""
+    m = FCNN.from_table(cut(model().to_table(spark)))
+    return exploded(m(vectors(spark, sf_dir), "embedding", "p"), "p", "cls", "p_cls").select("vec_id", "cls", F.round("p_cls", DIGITS).alias("p"))
+
+
 def dense_hidden(spark, sf_dir):
     out = dense(vectors(spark, sf_dir), "embedding", model().hidden, "h")
     return exploded(out, "h", "unit", "v").withColumn("v", F.round("v", DIGITS))
@@ -185,6 +307,17 @@ QUERIES = {
     "feature_registry": feature_registry,
     "feature_stack": feature_stack,
     "feature_stack_long": feature_stack_long,
+    "loader_targets": loader_targets,
+    "loader_prefixes": loader_prefixes,
+    "loader_features": loader_features,
+    "loader_features_double": loader_features_double,
+    "loader_feature_names": loader_feature_names,
+    "loader_aligned": loader_aligned,
+    "source_rows_1d": source_rows_1d,
+    "source_rows_2d": source_rows_2d,
+    "source_files": source_files,
+    "loader_state": loader_state,
+    "fcnn_from_table": fcnn_from_table,
     "dense_hidden": dense_hidden,
     "relu_hidden": relu_hidden,
     "dense_output": dense_output,

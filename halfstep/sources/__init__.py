@@ -1,5 +1,5 @@
-"""Readers of gridded variables, one file for each variable and timestep."""
+"""Readers of gridded variables, one file for each variable and timestep, and a writer."""
 
-from .grid import FORMATS, file_name, read_grid, variable_shape
+from .grid import FORMATS, file_name, read_grid, read_ranges, variable_shape, write_cdl
 
-__all__ = ["FORMATS", "file_name", "read_grid", "variable_shape"]
+__all__ = ["FORMATS", "file_name", "read_grid", "read_ranges", "variable_shape", "write_cdl"]

@@ -9,7 +9,7 @@ import numpy as np
 
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 #: Default fill values of the format (fixed values).
-FILLS = {1: -127, 3: -32767, 4: -2147483647, 5: 9.9692099683868690e36, 6: 9.9692099683868690e36}
+FILLS = {1: -127, 3: -32767, 4: -2147483647, 5: 9.9692099683868690e36, 6: 9.9692099683868690e36, 7: 255, 8: 65535, 9: 4294967295, 10: -9223372036854775806, 11: 18446744073709551614}
 
 
 class Header:
@@ -68,13 +68,15 @@ def parse(content: bytes) -> dict[str, np.ma.MaskedArray]:
 
     of_records = [v for v in h.variables if v[1] and h.dims[v[1][0]][1] == 0]
     padded = [size(v) if len(of_records) == 1 else -(-size(v) // 4) * 4 for v in of_records]
+    # a file that was written as a stream has no record count; the bytes from the first record on tell it
+    records = h.records if h.records >= 0 or not of_records else (len(content) - min(v[4] for v in of_records)) // max(1, sum(padded))
     for v in h.variables:
         name, dims, attributes, kind, begin = v
         shape = [h.dims[d][1] for d in dims]
         if v in of_records:
             one = size(v)
-            parts = [content[begin + k * sum(padded) : begin + k * sum(padded) + one] for k in range(h.records)]
-            values, shape[0] = np.frombuffer(b"".join(parts), TYPES[kind]), h.records
+            parts = [content[begin + k * sum(padded) : begin + k * sum(padded) + one] for k in range(records)]
+            values, shape[0] = np.frombuffer(b"".join(parts), TYPES[kind]), records
         else:
             values = np.frombuffer(content, TYPES[kind], size(v) // np.dtype(TYPES[kind]).itemsize, begin)
         if kind == 2:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import cdl, classic, nc4
@@ -20,6 +20,8 @@ from . import cdl, classic, nc4
 #: Extensions, in the order in which a folder is searched for them.
 FORMATS = ("nc", "cdl")
 SCHEMA = "variable string, timestep int, x int, y int, value float"
+#: Grid points whose values go in one array when variables are brought together.
+RANGE = 8_192
 
 
 def parse(content: bytes) -> dict[str, np.ma.MaskedArray]:
@@ -44,20 +46,38 @@ def values_of(content: bytes, variable: str) -> np.ma.MaskedArray:
     return found[variable]
 
 
+def _values(batches: Iterator[pa.RecordBatch], ranks: dict[str, int]) -> Iterator[tuple[str, int, np.ma.MaskedArray]]:
+    """Variable, timestep and values of each file of rows (path, content)."""
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            variable, timestep = _named(path)
+            v = values_of(content.as_py(), variable)
+            if v.ndim != ranks[variable]:
+                raise ValueError(f"'{variable}' was declared with {ranks[variable]} dimension(s) but has {v.ndim} at timestep {timestep}")
+            yield variable, timestep, v
+
+
 def _rows(ranks: dict[str, int]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                variable, timestep = _named(path)
-                v = values_of(content.as_py(), variable)
-                if v.ndim != ranks[variable]:
-                    raise ValueError(f"'{variable}' was declared with {ranks[variable]} dimension(s) but has {v.ndim} at timestep {timestep}")
-                n = v.shape[-1]
-                flat = np.ma.getdata(v).astype(np.float32).ravel()
-                y = pa.array(np.repeat(np.arange(v.shape[0], dtype=np.int32), n)) if v.ndim == 2 else pa.nulls(n, pa.int32())
-                x = np.tile(np.arange(n, dtype=np.int32), flat.size // n if n else 0)
-                columns = [pa.array([variable] * flat.size, pa.string()), pa.array(np.full(flat.size, timestep, np.int32)), pa.array(x), y, pa.array(flat, mask=np.ma.getmaskarray(v).ravel())]
-                yield pa.RecordBatch.from_arrays(columns, ["variable", "timestep", "x", "y", "value"])
+        for variable, timestep, v in _values(batches, ranks):
+            n = v.shape[-1]
+            flat = np.ma.getdata(v).astype(np.float32).ravel()
+            y = pa.array(np.repeat(np.arange(v.shape[0], dtype=np.int32), n)) if v.ndim == 2 else pa.nulls(n, pa.int32())
+            x = np.tile(np.arange(n, dtype=np.int32), flat.size // n if n else 0)
+            columns = [pa.array([variable] * flat.size, pa.string()), pa.array(np.full(flat.size, timestep, np.int32)), pa.array(x), y, pa.array(flat, mask=np.ma.getmaskarray(v).ravel())]
+            yield pa.RecordBatch.from_arrays(columns, ["variable", "timestep", "x", "y", "value"])
+
+    return rows
+
+
+def _ranges(ranks: dict[str, int]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for variable, timestep, v in _values(batches, ranks):
+            for y, line in enumerate(np.ma.atleast_2d(v)):
+                part = [line[k : k + RANGE] for k in range(0, max(1, len(line)), RANGE)]
+                values = pa.array([pa.array(np.ma.getdata(p).astype(np.float32), mask=np.ma.getmaskarray(p)) for p in part], pa.list_(pa.float32()))
+                columns = [pa.array([variable] * len(part), pa.string()), pa.array([timestep] * len(part), pa.int32()), pa.array([y if v.ndim == 2 else None] * len(part), pa.int32()), pa.array(np.arange(len(part)) * RANGE, pa.int64()), values]
+                yield pa.RecordBatch.from_arrays(columns, ["variable", "timestep", "y", "start", "values"])
 
     return rows
 
@@ -71,28 +91,64 @@ def paths(spark: SparkSession, folder: str, variables: list[str], timesteps: ran
     return [file_name(folder, v, t, found) for v in variables for t in timesteps]
 
 
-def read_grid(spark: SparkSession, folder: str, ranks: dict[str, int], num_timesteps: int) -> DataFrame:
-    """Rows of the variables (name: rank, 1 or 2) for timesteps 1 to num_timesteps."""
+def _files(spark: SparkSession, folder: str, ranks: dict[str, int], num_timesteps: int) -> DataFrame:
     if num_timesteps < 1:
         raise ValueError("num_timesteps must be at least 1")
     if any(r not in (1, 2) for r in ranks.values()):
         raise AssertionError("Only feature data with 1 or 2 dimensions are supported.")
     files = paths(spark, folder, list(ranks), range(1, num_timesteps + 1))
-    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(_rows(dict(ranks)), SCHEMA)
+    return spark.read.format("binaryFile").load(files).select("path", "content")
+
+
+def read_grid(spark: SparkSession, folder: str, ranks: dict[str, int], num_timesteps: int) -> DataFrame:
+    """Rows of the variables (name: rank, 1 or 2) for timesteps 1 to num_timesteps."""
+    return _files(spark, folder, ranks, num_timesteps).mapInArrow(_rows(dict(ranks)), SCHEMA)
+
+
+def read_ranges(spark: SparkSession, folder: str, ranks: dict[str, int], num_timesteps: int) -> DataFrame:
+    """The same values as a row for each variable, component and RANGE of grid points: (variable, timestep, y, start,
+    values)."""
+    return _files(spark, folder, ranks, num_timesteps).mapInArrow(_ranges(dict(ranks)), "variable string, timestep int, y int, start long, values array<float>")
 
 
 def variable_shape(spark: SparkSession, folder: str, variable: str) -> tuple[int, ...]:
-    """The shape of a variable at its first timestep."""
+    """The shape of a variable at its first timestep; two numbers at most leave the task that reads the file."""
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([list(values_of(c.as_py(), variable).shape) for c in batch.column(0)], pa.list_(pa.int64()))], ["shape"])
+
     (path,) = paths(spark, folder, [variable], range(1, 2))
-    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
-    return values_of(bytes(content), variable).shape
+    return tuple(spark.read.format("binaryFile").load(path).select("content").mapInArrow(shape, "shape array<long>").first()["shape"])
+
+
+def write_cdl(grid: DataFrame, folder: str) -> None:
+    """Writes rows (variable, timestep, x, y, value), as read_grid() gives them, as CDL files, one for each variable and
+    timestep, null as `_`. A file's lines are sorted and written by one task; only files' names come to the driver."""
+    spark = grid.sparkSession
+    two = F.col("_ny").isNotNull()
+    sizes = grid.groupBy("variable", "timestep").agg((F.max("x") + 1).alias("_nx"), (F.max("y") + 1).alias("_ny"))
+    head = F.concat(F.lit("netcdf "), "variable", F.lit("_"), F.col("timestep").cast("string"), F.lit(" {\ndimensions:\n\tx = "), F.col("_nx").cast("string"), F.lit(" ;\n"), F.when(two, F.concat(F.lit("\ty = "), F.col("_ny").cast("string"), F.lit(" ;\n"))).otherwise(F.lit("")), F.lit("variables:\n\tfloat "), "variable", F.when(two, F.lit("(y, x)")).otherwise(F.lit("(x)")), F.lit(" ;\ndata:\n\n "), "variable", F.lit(" ="))
+    value = F.coalesce(F.col("value").cast("float").cast("string"), F.lit("_"))
+    first = (F.col("x") == 0) & (F.coalesce("y", F.lit(0)) == 0)
+    columns = ["variable", "timestep", "_y", "_x", "line"]
+    top = sizes.withColumns({"_y": F.lit(-1), "_x": F.lit(0), "line": head})
+    end = sizes.withColumns({"_y": F.lit(2**31 - 1), "_x": F.lit(0), "line": F.lit(" ;\n}")})
+    rows = grid.withColumns({"_y": F.coalesce("y", F.lit(0)), "_x": F.col("x"), "line": F.concat(F.when(first, F.lit("  ")).otherwise(F.lit(", ")), value)})
+    lines = top.select(columns).union(rows.select(columns)).union(end.select(columns)).repartition("variable", "timestep").sortWithinPartitions("variable", "timestep", "_y", "_x")
+    out = f"{folder.rstrip('/')}/_lines"
+    lines.select("variable", "timestep", "line").write.partitionBy("variable", "timestep").option("maxRecordsPerFile", 0).text(out)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.globStatus(hadoop.Path(f"{out}/variable=*/timestep=*/part-*")):
+        name, timestep = (p.partition("=")[2] for p in f.getPath().toString().split("/")[-3:-1])
+        fs.rename(f.getPath(), hadoop.Path(file_name(folder, name, int(timestep), "cdl")))
+    fs.delete(hadoop.Path(out), True)
 
 
 def with_row_numbers(df: DataFrame) -> DataFrame:
     """df (timestep, x, ...) with row, the 0-based place of a grid point over all timesteps in order. Only the sizes of
     the timesteps are summed; rows aren't sorted."""
-    from pyspark.sql import Window
-
     sizes = df.groupBy("timestep").agg((F.max("x") + 1).cast("long").alias("_size"))
     before = Window.orderBy("timestep").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("timestep", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))

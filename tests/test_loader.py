@@ -143,3 +143,42 @@ def test_rows_in_order(spark, text_folder):
 
     df = with_row_numbers(read_grid(spark, text_folder, {"one": 1}, 3))
     assert [r["row"] for r in df.orderBy("timestep", "x").select(F.col("row")).collect()] == list(range(30))
+
+
+def test_written_files_are_read_back(spark, tmp_path):
+    from halfstep.sources import write_cdl
+
+    rows = [("one", t, x, None, None if (t, x) == (2, 3) else t + x / 8) for t in (1, 2) for x in range(30)] + [("two", 1, x, y, x * 1e-9 + y * 1e20) for y in range(3) for x in range(5)]
+    write_cdl(spark.createDataFrame(rows, "variable string, timestep int, x int, y int, value float").repartition(4), str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["one_1.cdl", "one_2.cdl", "two_1.cdl"]
+    got = read_grid(spark, str(tmp_path), {"one": 1}, 2).union(read_grid(spark, str(tmp_path), {"two": 2}, 1)).collect()
+    value = lambda v: None if v is None else float(np.float32(v))
+    assert sorted(map(str, map(tuple, got))) == sorted(str((a, b, c, d, value(v))) for a, b, c, d, v in rows)
+    with pytest.raises(Exception, match="feature 'one' is null at timestep 2, x 3"):
+        NetCDFDataLoader(["one"], [], 2, data_dir=str(tmp_path), spark=spark).load_feature_data().collect()
+
+
+def test_grids_of_many_ranges(spark, tmp_path, monkeypatch):
+    n = 20_000
+    (tmp_path / "a_1.nc").write_bytes(classic.write({"a": (["x"], np.arange(n, dtype=np.float32))}))
+    (tmp_path / "b_1.nc").write_bytes(classic.write({"b": (["y", "x"], np.arange(2 * n, dtype=np.float32).reshape(2, n))}))
+    df = NetCDFDataLoader(["a"], ["b"], 1, data_dir=str(tmp_path), spark=spark).load_feature_data("double")
+    assert df.filter("a = x and b_0 = x and b_1 = x + 20000").count() == df.count() == n
+
+
+def test_names_that_clash(spark, tmp_path):
+    for name, v in (("x", np.zeros(3, np.float32)), ("v_0", np.zeros(3, np.float32)), ("v", np.zeros((2, 3), np.float32))):
+        (tmp_path / f"{name}_1.cdl").write_text(cdl_text(name, 1, v))
+    for one, two in ((["x"], []), (["v_0"], ["v"]), (["v_0", "v_0"], [])):
+        with pytest.raises(ValueError, match="different names"):
+            NetCDFDataLoader(one, two, 1, data_dir=str(tmp_path), spark=spark).load_feature_data()
+    with pytest.raises(ValueError, match="dtype must be one of"):
+        NetCDFDataLoader(["v_0"], [], 1, data_dir=str(tmp_path), spark=spark).load_feature_data("half")
+
+
+def test_records_of_a_file_written_as_a_stream():
+    raw = bytearray(classic.write({"v": (["t"], np.arange(4, dtype=np.int32))}))
+    at = raw.index(b"t\0\0\0") + 4
+    raw[at : at + 4] = bytes(4)  # dimension t is the record dimension,
+    raw[4:8] = b"\xff" * 4  # and the number of records isn't told
+    assert classic.parse(bytes(raw))["v"].tolist() == [0, 1, 2, 3]

@@ -53,6 +53,16 @@ def test_output_of_a_matrix(batch):
     assert out.shape == (batch, 6) and out.sum(1) == pytest.approx(np.ones(batch), rel=1e-5)
 
 
+def test_weights_in_and_out(spark, tmp_path):
+    m = FCNN(3, 2, 4, seed=5)
+    again = FCNN.from_parameters(m.parameters)
+    m.to_table(spark).write.parquet(str(tmp_path / "weights"))
+    read = FCNN.from_table(spark.read.parquet(str(tmp_path / "weights")))
+    x = np.random.default_rng(2).normal(size=(5, 3))
+    assert sorted(m.parameters) == ["hidden.bias", "hidden.weight", "output.bias", "output.weight"]
+    assert (again(x) == m(x)).all() and (read(x) == m(x)).all()
+
+
 def test_batches_agree_with_tables(spark):
     x = np.random.default_rng(1).normal(size=(7, 10))
     m = FCNN(10, 5, 12, seed=3)
