@@ -4,22 +4,29 @@ A document's set is its distinct shingles of `words` words (64-bit hashes). Two
 of their sets is at least `percent` in a hundred: four words and 85 unless told otherwise, as op8 has it. Equal sets are
 one class; classes are what is compared.
 
-Shingles are hashed into GROUPS groups; the counts by group are a class's point. The overlap of two sets is at most the
-sum of the coordinate minima of their points, and with a box of points at most that of the minima with its upper corner.
-Points are dealt to trees by shingle: linked sets must share a shingle among their (1 - percent / 100) n + 1 rarest ones, so each
-shingle has a tree of the classes that have it there. How often shingles occur, which only sets their order, is counted
-over all documents in BUCKETS counters.
-
-Trees are joined with themselves in two rounds. In the first, only neighbours are paired, in an order by least hashes
-that puts likely copies side by side. That joins most near copies, however many, without naming all their pairs. The
-second round takes trees whose classes still lie in several components, and pairs all classes of different components
-that the bound allows: no link between components is lost. Trees that begin with the same class, as those of a group of
-copies do, are joined in one task, which names a pair once. Trees of over TREE points are split into blocks, every two of
-which meet in a task of their own. In both rounds the bound is taken again with more groups (FINE) before a pair is
-verified on the whole texts.
-
-Texts that are null or have no word have an empty set, link with nothing, and are their own component. Repeated rows are
-rows of one class. A null doc_id is never the smallest one unless all others are null too.
+Each class has tokens, so chosen that linked sets share one. Of a set of under LONG shingles they are its
+(1 - percent / 100) n + 1 rarest ones. A longer set, in which some of those would be shared by chance, is cut by the
+hashes of its shingles into more parts than linked sets can differ in; one part at least is then the same in both, and the
+parts, hashed, are its tokens (see parts_of). Classes that share a token form a group, named by the least class of the
+token. How often shingles occur, which only sets their order, is counted over all documents in BUCKETS counters. Shingles are hashed into GROUPS groups, and the counts by group are a class's point. The
+overlap of two sets is at most the sum of the coordinate minima of their points, and with a box of points at most that of
+the minima with its upper corner.
+
+First the points of each group meet in a task, where an R-tree over them is joined with itself under that bound; it gives a
+forest of pairs that the bound allows, whose components are all that links can connect. Then the whole texts of such a
+component meet in a task, each text once. Pairs that survive the bound with more groups (FINE) are verified there on the
+sets, likely copies (neighbours in orders by least hashes) first; pairs within a component are passed over from then on.
+Either step writes fewer pairs than it has classes: what is written grows with the classes, not with the pairs, however
+many copies a group has.
+
+What is more than a task is to hold is dealt into blocks twice, by two hashes, which joins nearly all copies. In a second
+round the classes outside a group's largest component meet all classes of the group, block by block, so nothing between
+components is lost.
+
+Links come as verified pairs of classes that span each component, with each document's class beside them. Texts that are
+null or have no word have an empty set, link with nothing, and are their own component. Repeated rows are rows of one
+class. A null doc_id is never the smallest one unless all others are null too. Empty tables give empty results; columns
+other than id and text may have any names.
 """
 
 from __future__ import annotations
@@ -30,19 +37,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_rows, lean, small, table
+from .common import bitmaps, cut, done, drop_rows, lean, small, table, with_maybe
 from .components import components
 from .langid import chunks
 
 WORDS, PERCENT, GROUPS, FINE, MARKS, BUCKETS = 4, 85, 128, 512, 8, 1 << 18
-LEAF, TREE, CHUNK, BROADCAST_NODES = 32, 50_000, 1_000_000, 500_000
+LEAF, CHUNK, LONG = 32, 1_000_000, 512
+#: Points, texts, and bytes of sets that a task holds at once, and how often a shingle must occur to be dealt to several
+#: tasks.
+TREE_ROWS, BLOCK_ROWS, BLOCK_BYTES, HOT = 32_768, 4_096, 16 << 20, 1_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_BASE, _INVERSE = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -55,52 +65,59 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    raw = [(t or "").encode() for t in texts.to_pylist()]
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, one text after another, and how many words come before each text and in all. A word is
+    mixed into its length by blocks of eight bytes."""
+    raw = [(t or "").encode() for t in texts]
     lengths = np.array([len(r) for r in raw], np.int64)
-    data = _LOW[np.frombuffer(b"".join(raw), np.uint8)]
-    ends = np.cumsum(lengths)
-    n = len(data)
-    if not n:
-        return [np.zeros(0, np.uint64)] * len(raw)
-    filled = ~_SPACE[data]
+    data = _LOW[np.frombuffer(b"".join([*raw, bytes(8)]), np.uint8)]
+    n, ends = len(data) - 8, np.cumsum(lengths)
+    filled = ~_SPACE[data[:n]]
     before, after = np.ones(n, bool), np.ones(n, bool)
     before[1:], after[:-1] = ~filled[:-1], ~filled[1:]
     some = lengths > 0
     before[(ends - lengths)[some]] = True
     after[ends[some] - 1] = True
     first, last = np.flatnonzero(filled & before), np.flatnonzero(filled & after)
-    # a word's polynomial is a difference of running sums, moved to its first letter
-    powers = np.full(n, _BASE)
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
-    sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)
-    word = sums[last] - np.where(first > 0, sums[first - 1], np.uint64(0))
-    back = np.full(n, _INVERSE)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    word = mixed(word * back[first])
-    upto = np.searchsorted(first, np.concatenate([[0], ends]))
-    places = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(words)], np.uint64)
-    full = sum((word[k : len(word) - words + 1 + k] * places[k] for k in range(words)), np.uint64(0)) if len(word) >= words else np.zeros(0, np.uint64)
-    full = mixed(full)
+    size = last - first + 1
+    eight = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (n + 1,), (1,))  # the eight bytes from each place on
+    h, at = mixed(size.astype(np.uint64) * _M), np.arange(len(first))
+    done = 0
+    while len(at):
+        block = eight[first[at] + done]
+        rest = size[at] - done
+        part = rest < 8
+        block[part] &= (np.uint64(1) << (8 * rest[part]).astype(np.uint64)) - np.uint64(1)
+        h[at] = mixed(h[at] ^ block)
+        done += 8
+        at = at[rest > 8]
+    return h, np.searchsorted(first, np.concatenate([[0], ends]))
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    word, upto = word_hashes(texts)
+    places, full = _places(words), np.zeros(0, np.uint64)
+    if len(word) >= words:
+        full = word[: len(word) - words + 1] * places[0]
+        for k in range(1, words):
+            full += word[k : len(word) - words + 1 + k] * places[k]
+        full = mixed(full)
     out = []
-    for a, b in zip(upto[:-1], upto[1:], strict=True):
+    for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
         if b - a >= words:
             s = np.sort(full[a : b - words + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
-            whole = (word[a:b] * places[: b - a]).sum() + np.uint64(b - a)
-            out.append(mixed(np.array([whole], np.uint64)))
+            out.append(mixed(np.array([(word[a:b] * places[: b - a]).sum() + np.uint64(b - a)], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
-def point(s: np.ndarray, groups: int) -> bytes:
-    """Counts by group, a power of two of them; 255 stands for any count from there on."""
-    return np.minimum(np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
+@functools.lru_cache(8)
+def _places(words: int) -> np.ndarray:
+    return np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(words)], np.uint64)
 
 
 def marks(s: np.ndarray) -> np.ndarray:
@@ -108,7 +125,18 @@ def marks(s: np.ndarray) -> np.ndarray:
     h = np.sort(mixed(s ^ _M))
     at = np.searchsorted(h, np.arange(MARKS, dtype=np.uint64) << np.uint64(61))
     out = np.append(h, np.uint64(0))[at]
-    return np.where(out >> np.uint64(61) == np.arange(MARKS, dtype=np.uint64), out, np.uint64(0)).view(np.int64)
+    return np.where(out >> np.uint64(61) == np.arange(MARKS, dtype=np.uint64), out, np.uint64(0))
+
+
+def point(s: np.ndarray, groups: int) -> np.ndarray:
+    """Counts by group, a power of two of them."""
+    return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def packed(s: np.ndarray) -> bytes:
+    """A point with one, two or four bytes for a count, as its largest one needs."""
+    p = point(s, GROUPS)
+    return p.astype(np.min_scalar_type(int(p.max()))).tobytes()
 
 
 def key_of(s: np.ndarray) -> bytes:
@@ -119,10 +147,16 @@ def half(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def scan(docs: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFrame:
-    """Rows (doc_id, th, n, k, key, point, fine, marks), and at the end of each task rows (bucket, count)."""
+def text_hash(text: str) -> F.Column:
+    """128 bits."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def scan(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, percent: int = PERCENT, long: int = LONG) -> DataFrame:
+    """Rows (doc_id, th, n, k, key, mark, point), and at the end of each task rows (bucket, occurrences), in which parts of
+    long sets count too."""
     kind = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("th long, n long, k long, key binary, point binary, fine binary, marks array<long>, bucket int, occurrences long").fields])
+    schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("th binary, n long, k long, key binary, mark long, point binary, bucket int, occurrences long").fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -130,51 +164,90 @@ def scan(docs: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFra
         for batch in lean(batches):
             arrow, done = batch.schema.field(0).type, 0
             for part in chunks(batch.column(2), CHUNK):
-                sets = shingle_sets(part, words)
-                counts += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                sets = shingle_sets(part.to_pylist(), words)
+                counts += np.bincount((np.concatenate([*sets, *(parts_of(s, long, percent) for s in sets if len(s) >= long)]) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                keys = [key_of(s) if len(s) else None for s in sets]
                 m = len(sets)
                 columns = [batch.column(0).slice(done, m), batch.column(1).slice(done, m), pa.array([len(s) for s in sets], pa.int64())]
-                keys = [key_of(s) if len(s) else None for s in sets]
                 columns += [pa.array([half(key) if key else None for key in keys], pa.int64()), pa.array(keys, pa.binary())]
-                columns += [pa.array([point(s, g) if len(s) else None for s in sets], pa.binary()) for g in (GROUPS, FINE)]
-                columns.append(pa.array([marks(s) if len(s) else None for s in sets], pa.list_(pa.int64())))
+                columns += [pa.array([int(mixed(s ^ _M).min() >> np.uint64(1)) if len(s) else None for s in sets], pa.int64()), pa.array([packed(s) if len(s) else None for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names)
                 done += m
         if arrow is not None:
             at = np.flatnonzero(counts)
             m = len(at)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, arrow), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))), pa.array(at.astype(np.int32)), pa.array(counts[at])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, arrow), *(pa.nulls(m, t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())), pa.array(at.astype(np.int32)), pa.array(counts[at])], names)
 
     return docs.select(F.col(doc_id), text_hash(text).alias("th"), F.col(text)).mapInArrow(rows, schema)
 
 
-def text_hash(text: str) -> F.Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+def rarest(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """Enough of a set's rarest shingles that linked sets share one."""
+    take = len(s) - (percent * len(s) + 99) // 100 + 1
+    order = (often[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(24)) | (s >> np.uint64(40))
+    return s[order <= np.partition(order, take - 1)[take - 1]]
+
 
+@functools.lru_cache(8)
+def intervals(long: int, percent: int) -> np.ndarray:
+    """Sizes from which the intervals of long sets begin. Sets that link are in the same interval or in adjacent ones."""
+    edges = [long]
+    while edges[-1] < 1 << 40:
+        edges.append(edges[-1] * 100 // percent + 1)
+    return np.array(edges, np.int64)
 
-def entries(docs: DataFrame, text: str, seen: np.ndarray, tree: int = TREE, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(token, salt, k) for the rarest shingles of each class: enough of them that linked sets share one. k is half of
-    the class's key. A class met again in the same task is left out. Shingles whose counter is very high are salted."""
+
+@functools.lru_cache(256)
+def _parts(label: int, long: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """In how many shingles linked sets of the intervals label and label + 1 can differ at most, where in the range of
+    hashes each of a few more parts than that begins, and the parts' names."""
+    differ = 2 * (int(intervals(long, percent)[label + 2]) - 1) * (100 - percent) // (100 + percent)
+    m = differ + 1 + max(2, differ // 40)
+    return differ, np.arange(m, dtype=np.uint64) * np.uint64((1 << 64) // m), mixed(np.arange(m, dtype=np.uint64) + np.uint64(label + 1 << 40))
+
+
+def parts_of(s: np.ndarray, long: int, percent: int) -> np.ndarray:
+    """The parts of a set of at least long shingles, hashed, for the pairs of intervals that it belongs to; the first
+    interval has its pair with shorter sets by their rarest shingles. Empty parts count only if there are so many of them
+    that no other part need be the same in a linked set."""
+    at = int(np.searchsorted(intervals(long, percent), len(s), side="right")) - 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s ^ _M))])
+    out = [np.zeros(0, np.uint64)]
+    for label in range(max(0, at - 1), at + 1):
+        differ, edges, names = _parts(label, long, percent)
+        begin = np.searchsorted(s, edges)
+        end = np.append(begin[1:], len(s))
+        keys, some = mixed((sums[end] - sums[begin]) ^ names), end > begin
+        out.append(keys[some] if len(some) - some.sum() < len(some) - differ else keys)
+    return np.concatenate(out)
+
+
+def tokens_of(s: np.ndarray, often: np.ndarray, long: int, percent: int) -> np.ndarray:
+    short = len(s) < intervals(long, percent)[1]
+    return np.concatenate([rarest(s, often, percent) if short else s[:0], parts_of(s, long, percent) if len(s) >= long else s[:0]])
+
+
+def entries(docs: DataFrame, text: str, seen: np.ndarray, words: int = WORDS, percent: int = PERCENT, most: int = HOT, long: int = LONG) -> DataFrame:
+    """(token, salt, k) for the tokens of each class. k is half of the class's key. A class met again in the same task is
+    left out. Tokens whose counter is over `most` are salted."""
     shared = docs.sparkSession.sparkContext.broadcast(seen)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        hot = max(20 * tree, 4 * int(often.mean()))
+        hot = max(most, 4 * int(often.mean()))
         met: set[bytes] = set()
         for batch in lean(batches):
             for part in chunks(batch.column(0), CHUNK):
-                tokens, keys = [], []
-                for s in shingle_sets(part, words):
+                tokens, keys = [np.zeros(0, np.uint64)], []
+                for s in shingle_sets(part.to_pylist(), words):
                     if not len(s) or (key := key_of(s)) in met:
                         continue
                     if len(met) < 100_000:
                         met.add(key)
-                    take = len(s) - (percent * len(s) + 99) // 100 + 1
-                    order = (often[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(24)) | (s >> np.uint64(40))
-                    tokens.append(s[order <= np.partition(order, take - 1)[take - 1]])
+                    tokens.append(tokens_of(s, often, long, percent))
                     keys.append(half(key))
-                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-                k = np.repeat(np.array(keys, np.int64), [len(t) for t in tokens])
+                flat = np.concatenate(tokens)
+                k = np.repeat(np.array(keys, np.int64), [len(t) for t in tokens[1:]])
                 parts = often[(flat & np.uint64(BUCKETS - 1)).astype(np.int64)] // hot + 1
                 salt = np.where(parts > 1, 1 + mixed(k.view(np.uint64)).astype(np.int64) % parts, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(salt), pa.array(k)], ["token", "salt", "k"])
@@ -182,36 +255,45 @@ def entries(docs: DataFrame, text: str, seen: np.ndarray, tree: int = TREE, word
     return docs.select(text).mapInArrow(rows, "token long, salt int, k long")
 
 
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (token, salt, k) in this order, those whose token has several k or a salt. The last row of a batch waits
-    for the next batch."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, salt, k) in this order, (g, k) of those whose token has several k or a salt: g, the group's name,
+    is the token's least k, or for salted tokens, which many tasks see, a number made of the token. The last row of a
+    batch waits for the next one, with the first k of its run and whether the run has had another."""
     held = None
-    was = None  # the token before the held row, if it has several k
 
-    def told(t: np.ndarray, s: np.ndarray, k: np.ndarray, last: bool, was: int | None) -> tuple[pa.RecordBatch, int | None, int]:
+    def told(t: np.ndarray, s: np.ndarray, k: np.ndarray, head: int | None, many: bool, last: bool) -> tuple[pa.RecordBatch, tuple]:
         new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+        new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1]) | (k[1:] != k[:-1])
         t, s, k = t[new], s[new], k[new]
-        same = np.zeros(len(t) + 1, bool)
-        same[1:-1] = t[1:] == t[:-1]
-        same[0] = was is not None and len(t) > 0 and was == t[0]
-        keep = same[:-1] | same[1:] | (s > 0)
+        begins = np.ones(len(t), bool)
+        begins[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
+        run = np.cumsum(begins) - 1
+        heads = k[begins].copy()
+        if head is not None:
+            heads[0] = head
+        several = np.bincount(run) > 1
+        several[0] |= many
+        keep = (several[run]) | (s > 0)
         end = len(t) if last else len(t) - 1
-        out = pa.RecordBatch.from_arrays([pa.array(x[:end][keep[:end]]) for x in (t, s, k)], ["token", "salt", "k"])
-        return out, (int(t[end - 1]) if end > 0 else was), end
+        if not last:  # the last row's own run may go on
+            keep[end] = False
+        g = np.where(s > 0, mixed(t.view(np.uint64)).view(np.int64), heads[run])
+        keep[end:] = False
+        out = pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(k[keep])], ["g", "k"])
+        return out, (t[-1:], s[-1:], k[-1:], int(heads[-1]), bool(several[-1]))
 
     for batch in batches:
         t, s, k = (batch.column(i).to_numpy() for i in range(3))
         if not len(t):
             continue
+        head, many = None, False
         if held is not None:
-            t, s, k = (np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held, (t, s, k), strict=True))
-        out, was, _ = told(t, s, k, False, was)
-        held = (t[-1], s[-1], k[-1])
+            t, s, k = (np.concatenate([h, x]) for h, x in zip(held[:3], (t, s, k), strict=True))
+            head, many = held[3:]
+        out, held = told(t, s, k, head, many, False)
         yield out
     if held is not None:
-        t, s, k = np.array([held[0]], np.int64), np.array([held[1]], np.int32), np.array([held[2]], np.int64)
-        yield told(t, s, k, True, was)[0]
+        yield told(*held, True)[0]
 
 
 def needed(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -234,53 +316,172 @@ def bounded(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.minimum(p, q).sum(-1, dtype=np.int64)
 
 
-def wide(raw: list[bytes], groups: int = GROUPS) -> np.ndarray:
-    p = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, groups).astype(np.int32)
-    p[p == 255] = 1 << 24
-    return p
-
-
-def tree_join(n: np.ndarray, p: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that the bound allows, in different components and, where side differs within the tree, on
-    different sides. Rows are packed into leaves by size and leading counts; leaves, then upper boxes, have the maxima of
-    their points as corner. Boxes are joined from the top."""
-    split = side.min() != side.max()
-    order = np.lexsort((p[:, 1], p[:, 0] // 4, n))
-    n, p, component, side = n[order], p[order], component[order], side[order]
-    levels = [(n, n, p, component, component)]
-    while len(levels[-1][0]) > 1:
-        lo, hi, top, c, d = levels[-1]
-        at = np.arange(0, len(lo), LEAF if len(levels) == 1 else 8)
-        levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(top, at), np.minimum.reduceat(c, at), np.maximum.reduceat(d, at)))
-    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    found = [(a[:0], b[:0])]
-
-    def descend(a: np.ndarray, b: np.ndarray, level: int) -> None:
-        """Pairs of boxes of a level, a <= b, a bounded number at once."""
-        fan = LEAF if level == 1 else 8
-        lo, hi, top, c, d = levels[level - 1]
-        step = max(1, 400_000 // (fan * fan))
-        for i in range(0, len(a), step):
-            x = (a[i : i + step, None, None] * fan + np.arange(fan)[None, :, None]).repeat(fan, 2).ravel()
-            y = (b[i : i + step, None, None] * fan + np.arange(fan)[None, None, :]).repeat(fan, 1).ravel()
-            ok = (x < len(lo)) & (y < len(lo)) & (x < y if level == 1 else x <= y)
-            x, y = x[ok], y[ok]
-            ok = (percent * lo[y] <= 100 * hi[x]) & ((c[x] != d[y]) | (c[y] != d[x]))
-            if level == 1 and split:
-                ok &= side[x] != side[y]
-            x, y = x[ok], y[ok]
-            near = [bounded(top[x[j : j + 65_536]], top[y[j : j + 65_536]]) for j in range(0, len(x), 65_536)]
-            ok = np.concatenate([*near, np.zeros(0, np.int64)]) >= needed(lo[x], lo[y], percent)
-            x, y = x[ok], y[ok]
-            if level == 1:
-                found.append((x, y))
-            elif len(x):
-                descend(x, y, level - 1)
-
-    if len(levels) > 1:
-        descend(a, b, len(levels) - 1)
-    x, y = (order[np.concatenate([f[k] for f in found])] for k in (0, 1))
-    return x, y
+class Lot:
+    """The classes of whole blocks, and pairs that join their components: verified on the sets, or without sets all that
+    the bound allows."""
+
+    def __init__(self, n: np.ndarray, points: np.ndarray, node: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray] | None = None, percent: int = PERCENT):
+        self.n, self.points, self.node, self.side, self.sets, self.percent = n, points, node, side, sets, percent
+        _, self.label = np.unique(root, return_inverse=True)
+        self.parent = list(range(int(self.label.max(initial=-1)) + 1))
+        self.ids: dict[int, np.ndarray] = {}
+        self.links: list[tuple[int, int]] = []
+        self.verified = 0
+
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], node: np.ndarray, root: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> Lot:
+        n = np.array([len(s) for s in sets], np.int64)
+        kind = np.min_scalar_type(int(n.max(initial=0)))
+        return cls(n, np.stack([point(s, FINE).astype(kind) for s in sets]), node, root, side, sets, percent)
+
+    def component(self) -> np.ndarray:
+        p = np.array(self.parent)
+        while (p[p] != p).any():
+            p = p[p]
+        return p[self.label]
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def overlap(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the sets of rows x and y, by marking the members of one set at a time."""
+        self.verified += len(x)
+        if not self.ids:
+            return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+        if len(np.unique(y)) < len(np.unique(x)):
+            x, y = y, x
+        order = np.argsort(x, kind="stable")
+        edges = np.flatnonzero(np.diff(x[order], prepend=-1, append=-1))
+        out = np.zeros(len(x), np.int64)
+        mark = np.zeros(self.distinct, np.uint8)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            mine = self.ids[int(x[order[a]])]
+            mark[mine] = 1
+            for c in range(a, b, 2048):
+                partners = order[c : min(b, c + 2048)]
+                others = [self.ids[j] for j in y[partners].tolist()]
+                out[partners] = np.add.reduceat(mark[np.concatenate(others)], np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+            mark[mine] = 0
+        return out
+
+    def verify(self, x: np.ndarray, y: np.ndarray) -> bool:
+        """Adds the links among these pairs that join components; whether there were any."""
+        ok = np.ones(len(x), bool)
+        if self.sets is not None:
+            both = self.overlap(x, y)
+            ok = 100 * both >= self.percent * (self.n[x] + self.n[y] - both)
+        before = len(self.links)
+        for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+            a, b = self.find(self.label[i]), self.find(self.label[j])
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                self.links.append((i, j))
+        return len(self.links) > before
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Verifies pairs that the bound allows: the best one for each two components as long as that joins some, then
+        all that are left."""
+        near = bounded(self.points[x], self.points[y])
+        ok = near >= needed(self.n[x], self.n[y], self.percent)
+        x, y, near = x[ok], y[ok], near[ok]
+        going = True
+        while len(x):
+            c = self.component()
+            a, b = np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
+            order = np.lexsort((-near / (self.n[x] + self.n[y]), b, a))
+            order = order[a[order] != b[order]]
+            if not len(order):
+                return
+            if not going or len(order) < 64:
+                self.verify(x[order], y[order])
+                return
+            best = np.ones(len(order), bool)
+            best[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+            going = self.verify(x[order[best]], y[order[best]])
+            x, y, near = (z[order[~best]] for z in (x, y, near))
+
+    def fits(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of two sides whose sizes allow a link."""
+        ok = (self.percent * np.maximum(self.n[x], self.n[y]) <= 100 * np.minimum(self.n[x], self.n[y])) & ((self.side[x] == 2) | (self.side[x] != self.side[y]))
+        return x[ok], y[ok]
+
+    def small_blocks(self, rows: np.ndarray, place: np.ndarray) -> None:
+        """Blocks of at most LEAF rows, all at once: each row with those before it in its block."""
+        for lag in range(1, LEAF):
+            i = rows[place >= lag]
+            if not len(i):
+                return
+            self.join(*self.fits(i, i - lag))
+
+    def large_block(self, rows: np.ndarray, mark: np.ndarray | None = None) -> None:
+        """A block by neighbours in orders by least hashes (one of them is given where there are no sets), then by its
+        R-tree."""
+        if self.sets is not None:
+            flat, index = np.unique(np.concatenate([self.sets[r] for r in rows]), return_inverse=True)
+            self.distinct = len(flat)
+            self.ids = dict(zip(rows.tolist(), np.split(index.astype(np.int32), np.cumsum(self.n[rows])[:-1]), strict=True))
+            least = np.stack([marks(self.sets[r]) for r in rows])
+        else:
+            least = mark[rows, None]
+        for k in range(least.shape[1]):
+            order = np.lexsort((self.n[rows], least[:, k]))
+            same = least[order[1:], k] == least[order[:-1], k]
+            self.join(*self.fits(rows[order[:-1][same]], rows[order[1:][same]]))
+        self.tree(rows)
+        self.ids = {}
+
+    def tree(self, rows: np.ndarray) -> None:
+        """Rows are packed into leaves by size and leading counts; leaves, then upper boxes, have the maxima of their
+        points as corner. Boxes are joined with boxes from the top."""
+        rows = rows[np.lexsort((self.points[rows, 1], self.points[rows, 0] // 4, self.n[rows]))]
+        leaves = np.arange(0, len(rows), LEAF)
+        n, p, c = self.n[rows], self.points[rows], self.component()[rows]
+        if c.min() == c.max():
+            return
+        levels = [(n, n, p, c, c)]
+        while len(levels[-1][0]) > 1:
+            lo, hi, top, c, d = levels[-1]
+            at = np.arange(0, len(lo), LEAF if len(levels) == 1 else 8)
+            levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(top, at), np.minimum.reduceat(c, at), np.maximum.reduceat(d, at)))
+
+        def descend(a: np.ndarray, b: np.ndarray, level: int) -> None:
+            """Pairs of boxes of a level, a <= b, a bounded number at once."""
+            fan = LEAF if level == 1 else 8
+            lo, hi, top, c, d = levels[level - 1]
+            for i in range(0, len(a), max(1, 100_000 // (fan * fan))):
+                some = slice(i, i + max(1, 100_000 // (fan * fan)))
+                if level == 1:  # leaves whose rows have come to be in one component
+                    now = self.component()[rows]
+                    least, most = np.minimum.reduceat(now, leaves), np.maximum.reduceat(now, leaves)
+                    some = np.arange(len(a))[some]
+                    some = some[(least[a[some]] != most[b[some]]) | (least[b[some]] != most[a[some]])]
+                x = (a[some, None, None] * fan + np.arange(fan)[None, :, None]).repeat(fan, 2).ravel()
+                y = (b[some, None, None] * fan + np.arange(fan)[None, None, :]).repeat(fan, 1).ravel()
+                ok = (x < len(lo)) & (y < len(lo)) & (x < y if level == 1 else x <= y)
+                x, y = x[ok], y[ok]
+                ok = (self.percent * lo[y] <= 100 * hi[x]) & ((c[x] != d[y]) | (c[y] != d[x]))
+                x, y = x[ok], y[ok]
+                if level == 1:
+                    ok = now[x] != now[y]
+                    x, y = self.fits(rows[x[ok]], rows[y[ok]])
+                    for j in range(0, len(x), 16_384):
+                        self.join(x[j : j + 16_384], y[j : j + 16_384])
+                    continue
+                near = [bounded(top[x[j : j + 16_384]], top[y[j : j + 16_384]]) for j in range(0, len(x), 16_384)]
+                ok = np.concatenate([*near, np.zeros(0, np.int64)]) >= needed(lo[x], lo[y], self.percent)
+                if ok.any():
+                    descend(x[ok], y[ok], level - 1)
+
+        if len(levels) > 1:
+            descend(np.zeros(1, np.int64), np.zeros(1, np.int64), len(levels) - 1)
+
+    def pairs(self) -> pa.RecordBatch:
+        at = np.array(self.links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(self.node[at[:, k]]) for k in (0, 1)], ["a", "b"])
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -304,182 +505,151 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatc
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """First round: rows (token, salt, mark, n, node) in this order; each with the one before it, if they share the mark
-    and their sizes allow a link."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy() for k in range(5)]
-        if last is not None:
-            columns = [np.concatenate([x, y]) for x, y in zip(last, columns, strict=True)]
-        last = [x[-1:] for x in columns]
-        t, s, mark, n, node = columns
-        ok = (t[1:] == t[:-1]) & (s[1:] == s[:-1]) & (mark[1:] == mark[:-1]) & (node[1:] != node[:-1]) & (percent * n[1:] <= 100 * n[:-1])
-        i = np.flatnonzero(ok)
-        pairs = np.stack([np.minimum(node[i], node[i + 1]), np.maximum(node[i], node[i + 1])], 1)
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def _pairs_of_trees(t: np.ndarray, block: np.ndarray, side: np.ndarray, n: np.ndarray, node: np.ndarray, component: np.ndarray, p: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of nodes of whole trees that stand one after another."""
-    edges = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (block[1:] != block[:-1])) + 1, [len(t)]])
+def _blocks(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """A batch's whole blocks, in lots of about CHUNK of the rows' sizes, and where in each lot a block begins, with the
+    end."""
+    g, block = (batch.column(k).to_numpy() for k in (0, 1))
+    edges = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]) | (block[1:] != block[:-1])) + 1, [len(g)]])
+    ends, upto = np.cumsum(sizes), 0
+    while upto < len(edges) - 1:
+        begin = upto
+        upto = max(begin + 1, int(np.searchsorted(ends[edges[1:] - 1], (ends[edges[begin] - 1] if begin else 0) + CHUNK, side="right")))
+        yield batch.slice(edges[begin], edges[upto] - edges[begin]), edges[begin : upto + 1] - edges[begin]
+
+
+def _solved(lot: Lot, edges: np.ndarray, mark: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(edges)
-    pairs = [np.zeros((0, 2), np.int64)]
-    # trees of one leaf, all at once: each row with those before it
-    short = np.repeat(sizes, sizes) <= LEAF
-    place = np.arange(len(t)) - np.repeat(edges[:-1], sizes)
-    for lag in range(1, LEAF):
-        i = np.flatnonzero(short & (place >= lag))
-        if not len(i):
-            break
-        j = i - lag
-        ok = (component[i] != component[j]) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
-        i, j = i[ok], j[ok]
-        ok = bounded(p[i], p[j]) >= needed(n[i], n[j], percent)
-        pairs.append(np.stack([node[i[ok]], node[j[ok]]], 1))
+    place = np.arange(edges[-1]) - np.repeat(edges[:-1], sizes)
+    few = np.flatnonzero(np.repeat(sizes, sizes) <= LEAF)
+    lot.small_blocks(few, place[few])
     for a, b in zip(edges[:-1][sizes > LEAF], edges[1:][sizes > LEAF], strict=True):
-        x, y = tree_join(n[a:b], p[a:b], component[a:b], side[a:b], percent)
-        pairs.append(np.stack([node[a:b][x], node[a:b][y]], 1))
-    return np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
-
-
-def _trees(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Second round: rows (first, block, token, side, n, node, component, point) in this order. Pairs are named once for
-    all trees of the same first node and block."""
-    begun, seen = None, np.zeros((0, 2), np.int64)
-    for batch in runs(batches, 3):
-        first, block, t, side, n, node, component = (batch.column(k).to_numpy() for k in range(7))
-        p = wide(batch.column(7).to_pylist())
-        for a, b in _ranges(first, block):
-            found = _pairs_of_trees(*(x[a:b] for x in (t, block, side, n, node, component, p)), percent)
-            if begun == (first[a], block[a]):
-                both = np.concatenate([seen, found])
-                _, at = np.unique(both, axis=0, return_index=True)
-                found, seen = found[np.sort(at[at >= len(seen)]) - len(seen)], both[np.sort(at)]
-            else:
-                begun, seen = (first[a], block[a]), found
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-
-def _ranges(*columns: np.ndarray) -> list[tuple[int, int]]:
-    """Where runs of equal rows begin and end; runs of few rows are taken together with the next, as one of them at a
-    time would be slow, up to the first long one."""
-    change = np.zeros(len(columns[0]) - 1, bool)
-    for c in columns:
-        change |= c[1:] != c[:-1]
-    edges = np.concatenate([[0], np.flatnonzero(change) + 1, [len(columns[0])]])
-    out, a = [], 0
-    for b, size in zip(edges[1:].tolist(), np.diff(edges).tolist(), strict=True):
-        if size > 512 and b - size > a:
-            out.append((a, b - size))
-            a = b - size
-        if b - a > 512:
-            out.append((a, b))
-            a = b
-    return out + ([(a, len(columns[0]))] if a < len(columns[0]) else [])
-
-
-def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, n of a, n of b, fine point of a, of b), the pairs that the bound allows."""
-    for batch in lean(batches):
-        a, b, n, m = (batch.column(k).to_numpy() for k in range(4))
-        ok = np.zeros(len(a), bool)
-        for i in range(0, len(a), 2048):
-            p, q = (wide(batch.column(k).slice(i, 2048).to_pylist(), FINE) for k in (4, 5))
-            ok[i : i + 2048] = bounded(p, q) >= needed(n[i : i + 2048], m[i : i + 2048], percent)
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, text of a, text of b), the pairs that link."""
-    for batch in lean(batches):
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        ok = np.zeros(len(a), bool)
-        for i in range(0, len(a), 256):
-            x, y = (shingle_sets(batch.column(c).slice(i, 256), words) for c in (2, 3))
-            for k, (s, r) in enumerate(zip(x, y, strict=True)):
-                both = len(np.intersect1d(s, r, assume_unique=True))
-                ok[i + k] = 100 * both >= percent * (len(s) + len(r) - both)
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
-
-
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of nodes that link: those the fine bound allows, by the whole texts of one document of each."""
-    fine = classes.select("node", "n", "fine")
-    both = pairs.join(fine.toDF("a", "n_a", "fine_a"), "a").join(fine.toDF("b", "n_b", "fine_b"), "b")
-    pairs = cut(both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(bound(_close, percent=percent), "a long, b long"))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = small(cut(classes.join(nodes, "node", "left_semi").select("node", "th")), BROADCAST_NODES)
-    texts = docs.select(text_hash(text).alias("th"), F.col(text).alias("text")).join(wanted, "th").groupBy("node").agg(F.first("text").alias("text"))
-    texts = cut(texts)
-    with_a = pairs.join(texts.toDF("a", "text_a"), "a")
-    both = with_a.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(bound(_verified, words=words, percent=percent), "a long, b long")
-
-
-def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row for each document: doc_id, th (hash of its text), n_shingles, class (null without shingles), root (the node
-    of its component), and links, those its class was found to have before its component was known."""
-    scanned = cut(scan(docs, doc_id, text, words).withColumn("row", F.monotonically_increasing_id()))
-    rows = scanned.filter("bucket is null").select(F.col(doc_id).alias("doc_id"), "th", "n", "key", "row")
+        lot.large_block(np.arange(a, b), mark)
+    if lot.links:
+        yield lot.pairs()
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (g, block, side, node, root, n, mark, point), ordered by g and block: a forest of pairs (a, b) that the bound
+    allows, between classes with different roots. Rows of side 2 are joined with each other, those of sides 0 and 1 with
+    the other side."""
+    for whole in lean(runs(batches, 2)):
+        for batch, edges in _blocks(whole, np.full(whole.num_rows, GROUPS)):
+            side, node, root, n, mark = (batch.column(k).to_numpy() for k in range(2, 7))
+            raw = batch.column(7).to_pylist()
+            width = np.array([len(r) // GROUPS for r in raw])
+            points = np.zeros((len(raw), GROUPS), f"u{width.max()}")
+            for w in np.unique(width).tolist():
+                points[width == w] = np.frombuffer(b"".join(r for r, k in zip(raw, width, strict=True) if k == w), f"u{w}").reshape(-1, GROUPS)
+            yield from _solved(Lot(n, points, node, root, side, None, percent), edges, mark)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (g, block, side, node, root, text) likewise: a forest of verified links (a, b)."""
+    for whole in lean(runs(batches, 2)):
+        lengths = pc.fill_null(pc.binary_length(whole.column(5)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for batch, edges in _blocks(whole, lengths):
+            side, node, root = (batch.column(k).to_numpy() for k in range(2, 5))
+            yield from _solved(Lot.of_sets(shingle_sets(batch.column(5).to_pylist(), words), node, root, side, percent), edges)
+
+
+def forest(members: DataFrame, most: int, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) that join the classes of each group as far as solve joins any two. members has g, node, size (bytes)
+    and more columns; solve gets rows (g, block, side, node, root, ...) and gives pairs of classes of one block that join
+    all that it would join there. A block has about `most` rows or BLOCK_BYTES."""
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_n"))
+    parts = F.ceil(F.greatest(F.col("_rows") / most, F.col("_n") / BLOCK_BYTES)).cast("long")
+    large = cut(sizes.select("g", parts.alias("_parts")).filter("_parts > 1"))
+    dealt = members.join(small(large), "g", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)).cast("long"))
+    first, second = (F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("_parts")) for seed in (1, 2))
+    block = F.explode(F.when(F.col("_parts") > 1, F.array(first, F.col("_parts") + second)).otherwise(F.array(F.lit(0).cast("long"))))
+    more = [c for c in members.columns if c not in ("g", "node", "size")]
+    pairs = solve(dealt.select("g", block.alias("block"), F.lit(2).alias("side"), "node", F.col("node").alias("root"), *more))
+    if large.isEmpty():
+        return pairs
+    labelled = members.join(small(large), "g").join(components(pairs), "node", "left")
+    labelled = cut(labelled.withColumn("root", F.coalesce("root", "node")))
+    by_root = labelled.groupBy("g", "root").agg(F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_n"))
+    main = by_root.groupBy("g").agg(F.max(F.struct("_rows", "_n", "root")).alias("_m"), F.sum("_rows").alias("_all"), F.sum("_n").alias("_size"))
+    left, left_size = F.col("_all") - F.col("_m._rows"), F.col("_size") - F.col("_m._n")
+    main = cut(main.filter(left > 0).select("g", F.col("_m.root").alias("_main"), F.ceil(F.greatest(left / most, left_size / BLOCK_BYTES)).cast("long").alias("_others")))
+    every = labelled.join(small(main), "g")
+    p, q, zero = F.pmod(F.xxhash64("node"), F.col("_parts")), F.pmod(F.xxhash64(F.lit(3), "node"), F.col("_others")), F.lit(0).cast("long")
+    columns = ["g", "block", "side", "node", "root", *more]
+    whole = every.withColumn("_q", F.explode(F.sequence(zero, F.col("_others") - 1))).select("*", (p * F.col("_others") + F.col("_q")).alias("block"), F.lit(0).alias("side"))
+    others = every.filter("root <> _main").withColumn("_p", F.explode(F.sequence(zero, F.col("_parts") - 1))).select("*", (F.col("_p") * F.col("_others") + q).alias("block"), F.lit(1).alias("side"))
+    return pairs.union(solve(whole.select(*columns).union(others.select(*columns))))
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.col("g"), F.col("block")).sortWithinPartitions("g", "block", "side", "node")
+
+
+def with_texts(blocks: DataFrame, docs: DataFrame, doc_id: str, text: str, twice: DataFrame) -> DataFrame:
+    """blocks (g, block, side, node, root, th, id) with the whole text of a row that has that hash and id; twice has the
+    (th, id) of more rows than one, whose text is sent once. Where blocks aren't few, only documents that a filter of
+    their hashes lets through are shuffled."""
+    blocks = cut(blocks)
+    given = docs.select(text_hash(text).alias("_th"), F.col(doc_id).alias("_of"), F.col(text).alias("text"))
+    if small(blocks) is blocks:
+        given = with_maybe(given, cut(bitmaps(blocks, "th")), "_maybe", "_th").filter("_maybe").drop("_maybe")
+    columns = ["g", "block", "side", "node", "root", "text"]
+
+    def told(some: DataFrame) -> DataFrame:
+        return given.join(small(some), (F.col("_th") == F.col("th")) & F.col("_of").eqNullSafe(F.col("id"))).select(*columns)
+
+    if twice.isEmpty():
+        return told(blocks)
+    near, same = small(twice.toDF("_t", "_i")), (F.col("th") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_i"))
+    repeated, rest = cut(blocks.join(near, same, "left_semi")), cut(blocks.join(near, same, "left_anti"))
+    return told(rest).union(told(repeated).dropDuplicates(columns[:4]))
+
+
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A row for each document: doc_id, th (hash of its text), n_shingles, class (null without shingles), and root (the
+    least class of its component)."""
+    scanned = cut(scan(docs, doc_id, text, words, percent, LONG).withColumn("row", F.monotonically_increasing_id()))
+    rows = scanned.filter("bucket is null")
     counters = np.zeros(BUCKETS, np.int64)
     for r in scanned.filter("bucket is not null").groupBy("bucket").agg(F.sum("occurrences").alias("m")).collect():  # BUCKETS rows at most
         counters[r["bucket"]] = r["m"]
-    keyed = scanned.filter("key is not null")
-    heads = cut(keyed.groupBy("key").agg(F.min("row").alias("row")).select("row"))
-    columns = ["key", F.col("row").alias("node"), "k", "th", "n", "point", "fine", "marks"]
-    classes = cut(keyed.join(small(heads, BROADCAST_NODES), "row", "left_semi").select(*columns))
-    dealt = entries(docs, text, counters, tree, words, percent).repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token", "salt", "k")
-    shared = cut(dealt.mapInArrow(_shared_tokens, "token long, salt int, k long"))
-    at = cut(shared.join(classes.select("k", "node", "n", "marks"), "k").select("token", "salt", F.element_at("marks", F.pmod("token", F.lit(MARKS)).cast("int") + 1).alias("mark"), "n", "node"))
-    chained = at.repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token", "salt", "mark", "n", "node")
-    first = cut(chained.mapInArrow(bound(_neighbours, percent=percent), "a long, b long").distinct())
-    links = cut(verify(first, docs, classes, text, words, percent))
-    roots = components(links)
-
-    labelled = cut(at.join(roots, "node", "left").select("token", "n", "node", F.coalesce("root", "node").alias("component")).distinct())
-    trees = labelled.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.min("node").alias("first"))
-    trees = trees.filter("_lo <> _hi").select("token", "first", F.ceil(F.col("_n") / tree).cast("int").alias("_parts"))
-    open_ = labelled.join(cut(trees), "token")
-    side = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
-    open_ = open_.withColumn("side", side).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    block = (F.least("side", "_with") * F.col("_parts") + F.greatest("side", "_with")).cast("long")
-    dealt = open_.withColumn("block", block).join(classes.select("node", "point"), "node").select("first", "block", "token", "side", "n", "node", "component", "point")
-    dealt = dealt.repartition(F.col("first"), F.col("block")).sortWithinPartitions("first", "block", "token")
-    second = cut(dealt.mapInArrow(bound(_trees, percent=percent), "a long, b long").distinct())
-    more = cut(verify(second, docs, classes, text, words, percent))
-    links = links.union(more)
-    roots = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    labels = cut(classes.select("key", "node").join(roots, "node", "left").join(degree, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
-    out = rows.join(labels, "key", "left")
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("node").alias("class"), "root", F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row for each document: doc_id, th, n_shingles, component_id (the smallest doc_id that links reach), links."""
-    found = cut(jaccard_classes(docs, doc_id, text, tree, words, percent))
+    twice = cut(rows.groupBy("th", "doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("th", "doc_id"))
+    heads = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct("row", "k", "th", "doc_id", "n", "mark", "point")).alias("_h"))
+    classes = cut(heads.select("key", F.col("_h.row").alias("node"), "_h.k", "_h.th", F.col("_h.doc_id").alias("id"), "_h.n", "_h.mark", "_h.point"))
+    dealt = entries(docs, text, counters, words, percent, HOT, LONG).repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token", "salt", "k")
+    grouped = cut(dealt.mapInArrow(_grouped, "g long, k long").distinct())
+    pointed = classes.select("k", "node", "n", "mark", "point", F.lit(GROUPS).cast("long").alias("size"))
+    members = cut(grouped.join(pointed, "k").drop("k"))
+    near = forest(members, TREE_ROWS, lambda b: cut(in_blocks(b).mapInArrow(bound(_near, percent=percent), "a long, b long")))
+    done(grouped, members)
+    of = components(near)
+    groups = of.select(F.col("root").alias("g"), "node").union(of.select("root", "root").distinct())
+    close = cut(groups.join(classes.select("node", "th", "id", (F.col("n") * 8).alias("size")), "node"))
+    verify = bound(_linked, words=words, percent=percent)
+    links = forest(close, BLOCK_ROWS, lambda b: cut(in_blocks(with_texts(b, docs, doc_id, text, twice)).mapInArrow(verify, "a long, b long")))
+    labels = cut(classes.select("key", "node").join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    return rows.join(small(labels), "key", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("node").alias("class"), "root")
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A row for each document: doc_id, th, n_shingles, component_id (the smallest doc_id that links reach)."""
+    found = cut(jaccard_classes(docs, doc_id, text, words, percent))
     least = cut(found.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("_least")))
-    out = found.join(small(least, BROADCAST_NODES), "root", "left")
-    return out.select("doc_id", "th", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"), "links")
+    out = found.join(small(least), "root", "left")
+    return out.select("doc_id", "th", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
-def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tree: int = TREE, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, that with the smallest doc_id; rows with an empty set all stay."""
-    found = cut(jaccard_classes(docs, doc_id, text, tree, words, percent).filter("root is not null").select("root", "doc_id", "th"))
+    found = cut(jaccard_classes(docs, doc_id, text, words, percent).filter("root is not null").select("root", "doc_id", "th"))
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")
     best = cut(found.groupBy("root").agg(F.min(who).alias("_best"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
-    rows = found.join(small(best, BROADCAST_NODES), "root").withColumn("_stays", F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("th") == F.col("_best.th")))
+    rows = found.join(small(best), "root").withColumn("_stays", F.col("doc_id").eqNullSafe(F.col("_best.id")) & (F.col("th") == F.col("_best.th")))
     rows = cut(rows.select(F.col("th").alias("_key"), F.col("doc_id").alias("_id"), "_stays"))
     lost = rows.filter("not _stays").select("_key", "_id").distinct()
     twice = rows.filter("_stays").groupBy("_key", "_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key", "_id")
-    return drop_rows(docs, text_hash(text), doc_id, lost, twice, BROADCAST_NODES)
+    return drop_rows(docs, text_hash(text), doc_id, lost, twice)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id, links of every row of documents."""
-    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "links")
+    """doc_id, n_shingles, component_id of every row of documents."""
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -3,10 +3,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from halfstep.llm import common
+from halfstep.llm import exact_dedup as E
 from halfstep.llm import jaccard_join as J
 from halfstep.llm.components import components
 from halfstep.llm.exact_dedup import drop_exact, exact_groups
@@ -77,19 +78,31 @@ def test_exact_of_nothing(empty):
 
 
 def test_a_shuffled_join_gives_the_same(docs, monkeypatch):
-    from halfstep.llm import exact_dedup
-
     want = sorted(map(str, exact_groups(docs).collect()))
-    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert sorted(map(str, exact_groups(docs).collect())) == want
     assert drop_exact(docs).count() == len({(r["text"] or "").translate(LOW) for r in docs.collect()})
 
 
-@pytest.mark.parametrize("tree,leaf", [(50_000, 32), (3, 2)])
-def test_components_by_brute_force(docs, monkeypatch, tree, leaf):
-    monkeypatch.setattr(J, "LEAF", leaf)
+def test_levels_leave_only_rows_that_have_a_twin(spark):
+    rows = [(1, "aaa"), (2, "bbbb"), (3, "cccc"), (4, "x" * 70 + "1"), (5, "x" * 70 + "2"), (6, "X" * 70 + "1"), (7, None), (8, "")]
+    hashed = {r["doc_id"] for r in E.refined(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["_sha"] is not None}
+    assert hashed == {4, 5, 6, 7, 8}  # 1 has no other of its length, 2 and 3 no other of their prefix
+
+
+def test_filters_never_lose_a_key(spark):
+    df = spark.range(5000)
+    marks = common.cut(common.bitmaps(df.filter("id % 3 = 0"), "id"))
+    got = common.with_maybe(df, marks, "m", "id").collect()
+    assert len(got) == 5000 and all(r["m"] for r in got if r["id"] % 3 == 0) and sum(r["m"] for r in got) < 1700
+
+
+@pytest.mark.parametrize("rows_in_block", [4096, 3])
+def test_components_by_brute_force(docs, monkeypatch, rows_in_block):
+    monkeypatch.setattr(J, "BLOCK_ROWS", rows_in_block)
+    monkeypatch.setattr(J, "TREE_ROWS", rows_in_block)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs, tree=tree).collect()]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs).collect()]
     assert sorted(got, key=key) == sorted(by_brute_force(rows), key=key)
 
 
@@ -108,14 +121,20 @@ def near_copies(seed, groups=8, copies=30):
     return [(k, t) for k, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("tree", [50_000, 7])
-def test_near_copies_by_brute_force(spark, tree):
-    rows = near_copies(tree)
+@pytest.mark.parametrize("rows_in_block,most,broadcast", [(4096, 1_000_000, 200_000), (7, 1_000_000, 200_000), (5, 4, 0)])
+def test_near_copies_by_brute_force(spark, monkeypatch, rows_in_block, most, broadcast):
+    """Groups in one block, in many blocks, and with every shingle salted and all joins shuffled."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", rows_in_block)
+    monkeypatch.setattr(J, "TREE_ROWS", rows_in_block)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(J, "HOT", most)
+    monkeypatch.setattr(J, "LONG", {4096: 512, 7: 80, 5: 3}[rows_in_block])
+    rows = near_copies(rows_in_block)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs, tree=tree).collect()]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs).collect()]
     want = by_brute_force(rows)
     assert sorted(got) == sorted(want) and len({c for _, _, c in want}) > 20
-    kept = [r["doc_id"] for r in J.drop_near(docs, tree=tree).collect()]
+    kept = [r["doc_id"] for r in J.drop_near(docs).collect()]
     assert sorted(kept) == sorted({c for _, n, c in want})
 
 
@@ -135,7 +154,7 @@ def test_drop_near_keeps_repeated_rows_once(docs, clashing):
 
 def test_shingle_hashes_tell_sets_apart():
     texts = ["a b c d e", "A  b\tC d\ne", "a b c", "a b", "a  b c ", "", " ", "é é é é", "ab c d e", "a bc d e", None, "a b c d e a b c d"]
-    sets = J.shingle_sets(pa.array(texts))
+    sets = J.shingle_sets(texts)
     for i, s in enumerate(sets):
         assert len(s) == len(shingles(texts[i]))
         for j, t in enumerate(sets):
@@ -143,17 +162,102 @@ def test_shingle_hashes_tell_sets_apart():
             assert len(set(s.tolist()) & set(t.tolist())) == len(shingles(texts[i]) & shingles(texts[j]))
 
 
-def test_tree_join_finds_every_pair_in_bound(monkeypatch):
-    monkeypatch.setattr(J, "LEAF", 4)
-    r = np.random.default_rng(0)
-    base = r.integers(0, 6, (20, J.GROUPS))
-    p = np.maximum(0, base[r.integers(0, 20, 300)] + r.integers(-1, 2, (300, J.GROUPS)) * (r.random((300, J.GROUPS)) < 0.2)).astype(np.int32)
-    n = p.sum(1).astype(np.int64)
-    component, side = r.integers(0, 9, 300), np.zeros(300, np.int64)
-    x, y = J.tree_join(n, p, component, side)
-    got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if component[i] != component[j] and 100 * min(n[i], n[j]) >= 85 * max(n[i], n[j]) and np.minimum(p[i], p[j]).sum() >= J.needed(n[i], n[j])}
-    assert want and got == want
+def morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse():
+    a = morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    hashes, upto = J.word_hashes([f"{a} {b}", None, "A b\tabcdefgh abcdefghi", "a"])
+    assert len(set(hashes.tolist())) == 6 and hashes[2] == hashes[6] and upto.tolist() == [0, 2, 2, 6, 7]
+    one, other = J.shingle_sets([f"x y {a} z", f"x y {b} z"])
+    assert not set(one.tolist()) & set(other.tolist())
+
+
+def sets_of_groups(seed, groups=12, copies=25):
+    r = np.random.default_rng(seed)
+    out = []
+    for g in range(groups):
+        base = np.unique(r.integers(0, 1 << 63, int(r.integers(40, 400)), dtype=np.uint64))
+        for _ in range(copies):
+            keep = base[r.random(len(base)) > r.choice([0, 0.02, 0.06, 0.1])]
+            out.append(np.unique(np.concatenate([keep, r.integers(0, 1 << 63, int(len(base) * r.choice([0, 0.02, 0.06])), dtype=np.uint64)])))
+    return out
+
+
+def roots_of(count, links):
+    root = list(range(count))
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = [min(x, y) if z in (x, y) else z for z in root]
+    return root
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_a_token(percent):
+    """Sets of sizes about the intervals' ends, as unlike as links allow."""
+    r = np.random.default_rng(percent)
+    often = np.ones(J.BUCKETS, np.int64)
+    edges = J.intervals(40, percent).tolist()
+    linked = 0
+    for n in [*range(20, 60), *(e + d for e in edges[1:9] for d in (-2, -1, 0, 1)), 3000]:
+        for _ in range(4):
+            m = int(r.integers(n, n * 100 // percent + 1))
+            both = -(-percent * (n + m) // (100 + percent))
+            if both > n:
+                continue
+            every = np.unique(r.integers(0, 1 << 63, n + m - both, dtype=np.uint64) << np.uint64(1))
+            every = r.permutation(every)
+            a, b = np.sort(every[:n]), np.sort(np.concatenate([every[:both], every[n:]]))
+            assert 100 * both >= percent * (len(a) + len(b) - both)
+            linked += 1
+            assert set(J.tokens_of(a, often, 40, percent).tolist()) & set(J.tokens_of(b, often, 40, percent).tolist()), (n, m)
+    assert linked > 200
+
+
+@pytest.mark.parametrize("sided", [False, True])
+def test_a_block_gives_all_components(sided):
+    sets = sets_of_groups(int(sided))
+    n = len(sets)
+    side = np.arange(n) % 2 if sided else np.full(n, 2)
+    lot = J.Lot.of_sets(sets, np.arange(n), np.arange(n), side)
+    lot.large_block(np.arange(n))
+
+    def linked(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both)
+
+    want = roots_of(n, [(j, i) for i in range(n) for j in range(i) if (not sided or i % 2 != j % 2) and linked(i, j)])
+    assert roots_of(n, lot.links) == want and all(linked(i, j) for i, j in lot.links)
+    assert len(lot.links) == n - len(set(want)) and 12 < len(set(want)) < n // 2
+    small = J.Lot.of_sets(sets[:30], np.arange(30), np.arange(30), side[:30])
+    small.small_blocks(np.arange(30), np.arange(30))
+    assert len(small.links) == len([x for x in lot.links if max(x) < 30]) or roots_of(30, small.links) == roots_of(30, [(j, i) for i in range(30) for j in range(i) if (not sided or i % 2 != j % 2) and linked(i, j)])
+
+
+def test_the_bound_alone_joins_all_that_links_would():
+    sets = sets_of_groups(5)
+    n = len(sets)
+    points = np.stack([J.point(s, J.GROUPS) for s in sets])
+    lot = J.Lot(np.array([len(s) for s in sets]), points, np.arange(n), np.arange(n), np.full(n, 2))
+    lot.large_block(np.arange(n), np.array([int(s.min() >> np.uint64(1)) for s in sets]))
+    allowed = [(j, i) for i in range(n) for j in range(i) if 100 * min(lot.n[i], lot.n[j]) >= 85 * max(lot.n[i], lot.n[j]) and np.minimum(points[i], points[j]).sum() >= J.needed(lot.n[i], lot.n[j])]
+    assert roots_of(n, lot.links) == roots_of(n, allowed) and 12 <= len(set(roots_of(n, allowed))) < n
+
+
+def test_what_is_verified_and_written_grows_with_the_copies():
+    """Groups of near copies: links one fewer than copies, and pairs looked at in proportion to them."""
+    looked = []
+    for copies in (50, 100, 200, 400):
+        r = np.random.default_rng(copies)
+        base = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([np.delete(base, r.integers(0, 300, 6)), r.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(copies)]
+        lot = J.Lot.of_sets(sets, np.arange(copies), np.arange(copies), np.full(copies, 2))
+        lot.large_block(np.arange(copies))
+        assert len(lot.links) == copies - 1
+        looked.append(lot.verified / copies)
+    assert max(looked) < 2 * looked[0] + 2
 
 
 def test_long_chains_are_one_component(spark):
@@ -179,6 +283,5 @@ def test_the_near_stage_links_from_four_fifths_of_five_word_shingles(spark, monk
     linked = {d // 2 for d, _, c in want if d != c}
     assert 3 <= len(linked) < 8 and len(linked) > len({d // 2 for d, _, c in by_brute_force(rows, 85) if d != c})
     assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == sorted({c for _, _, c in want})
-    for tree in (J.TREE, 3):
-        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs, tree=tree, words=5, percent=80).collect()]
-        assert sorted(got) == sorted(want)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(docs, words=5, percent=80).collect()]
+    assert sorted(got) == sorted(want)
