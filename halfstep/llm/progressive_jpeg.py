@@ -7,9 +7,13 @@ them: first bits of DC, luma's low band with one bit less, chroma, luma's high b
 Decoding: the scans of a file are accumulated into coefficient arrays: spectral selection and successive approximation,
 DC and AC, first and refining passes, restart intervals. These are dequantised and inverse-transformed in integers,
 chroma is upsampled and the full-resolution RGB tensor made. All of this is numpy: restart segments of many files are
-decoded in step, each a lane. Any progressive Huffman file with 8-bit samples and one or three components can be decoded.
+decoded in step, each a lane. Any progressive Huffman file with 8-bit samples and one or three components can be decoded. A
+file without its end, with a restart segment too few or too many, or out of order, is an error, and a payload is only
+given if the scans have sent all bits of all coefficients.
 
-Null texts count as empty and are padded to one unit of 192 bytes. Equal payloads give equal files and tensors.
+Null texts count as empty and are padded to one unit of 192 bytes. Equal payloads give equal files and tensors, so repeated
+rows do. Empty tables give empty results; columns other than key and text may have any names. A very long text is one
+file, which one task holds with its coefficients and samples, about 70 bytes for each of the text.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .langid import chunks
 
-UNIT, RESTART, MOST_HIGH, CHUNK = 192, 16, 4_095, 2_000_000
+UNIT, RESTART, MOST_HIGH, CHUNK, ORDERS = 192, 16, 4_095, 2_000_000, 32 << 20
 #: (components, Ss, Se, Ah, Al) of the scans that are written.
 SCANS = [((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((1,), 1, 63, 0, 0), ((2,), 1, 63, 0, 0), ((0,), 6, 63, 0, 0), ((0, 1, 2), 0, 0, 1, 0), ((0,), 1, 5, 1, 0)]
 FACTORS = [(2, 2), (1, 1), (1, 1)]
@@ -164,14 +168,21 @@ class Shape:
 
 
 _orders: dict[tuple, tuple[np.ndarray, np.ndarray, int]] = {}
+_kept = [0]  # bytes of the orders that are kept
 
 
 def order_of(shape: Shape, components: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
     key = (*shape.key, components)
     if key not in _orders:
-        if len(_orders) > 256:
+        out = shape.order(components)
+        size = out[0].nbytes + out[1].nbytes
+        if size > ORDERS // 4:
+            return out
+        if _kept[0] + size > ORDERS:
             _orders.clear()
-        _orders[key] = shape.order(components)
+            _kept[0] = 0
+        _orders[key] = out
+        _kept[0] += size
     return _orders[key]
 
 
@@ -434,7 +445,7 @@ class File:
         at, restart = 2, 0
         if raw[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG file")
-        while at < len(raw):
+        while at + 1 < len(raw):
             marker, (size,) = raw[at + 1], struct.unpack_from(">H", raw, at + 2) if raw[at + 1] != 0xD9 else (0,)
             body = raw[at + 4 : at + 2 + size]
             at += 2 + size
@@ -473,8 +484,17 @@ class File:
                 used = tuple(huffman.get(t >> 4 if se == 0 else 16 | t & 15, b"") for t in tables)
                 self.scans.append(((components, ss, se, a >> 4, a & 15, restart, used), at, stop))
                 at = stop
+        else:
+            raise ValueError("the file ends before its end marker")
         self.quantisers = [quantisers[q] for q in which]
 
+    def whole(self) -> bool:
+        """Whether the scans send every bit of every coefficient."""
+        low = np.full((len(self.ids), 64), 99)
+        for (components, ss, se, _, al, *_), *_ in self.scans:
+            low[list(components), ss : se + 1] = np.minimum(low[list(components), ss : se + 1], al)
+        return not low.any()
+
 
 AFTER_SCAN = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.S)
 _tables: dict[tuple[bytes, bool], Huffman] = {}
@@ -529,11 +549,11 @@ def decode_scan(kind: tuple, files: list[File], bases: list[list[int]], turn: in
     owner = np.repeat(np.arange(len(files)), segments)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(segments) - segments, segments)
     starts = np.sort(np.concatenate([scan_starts, restarts + 2]))
-    if len(starts) != len(owner):  # a broken file: segments are matched as far as they go
-        where = np.searchsorted(scan_starts, starts, side="right") - 1
-        have = np.arange(len(starts)) - np.searchsorted(where, where)
-        ok = have < segments[where]
-        starts, owner, nth = starts[ok], where[ok], have[ok]
+    where = np.searchsorted(scan_starts, starts, side="right") - 1
+    if len(starts) != len(owner) or (where != owner).any():
+        raise ValueError("a scan has another number of restart segments than its blocks need")
+    if (after[restarts] != 0xD0 + (nth[nth > 0] - 1) % 8).any():
+        raise ValueError("restart markers are out of order")
     first = (np.cumsum(counts) - counts)[owner] + nth * units[owner]
     count = np.minimum(units[owner], counts[owner] - nth * units[owner])
     lanes = Lanes(Bits(data[keep]), 8 * upto[starts].astype(np.int64), first, count)
@@ -599,6 +619,8 @@ def tensors(files: list[File], found: list[list[np.ndarray]]) -> list[np.ndarray
 
 
 def payload_of(f: File, planes: list[np.ndarray]) -> bytes:
+    if not f.whole():
+        raise ValueError("scans are missing")
     n = int(f.comment.split()[1])
     _, b, width = order_of(f.shape, (0, 1, 2))
     by = b.reshape(-1, width)

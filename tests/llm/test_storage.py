@@ -1,4 +1,6 @@
 import hashlib
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -78,6 +80,99 @@ def test_no_jpeg():
         J.File(b"text")
 
 
+def test_broken_files_are_errors():
+    (raw,) = J.encode([bytes(range(256)) * 200])
+    f = J.File(raw)
+    assert f.whole()
+    at = raw.index(b"\xff\xd0", f.scans[0][1])
+    broken = [raw[: len(raw) // 2], raw[:-2], raw[:at] + raw[at + 2 :], raw[:at] + b"\xff\xd3" + raw[at + 2 :], raw[:at] + b"\xff\xd0" + raw[at:]]
+    for b in broken:
+        with pytest.raises((ValueError, struct.error)):
+            J.coefficients([J.File(b)])
+    begin, end = raw.index(b"\xff\xda", f.scans[5][2] - 1), f.scans[6][2]
+    without = J.File(raw[:begin] + raw[end:])  # a file that is in order, but for its last scan
+    with pytest.raises(ValueError, match="scans are missing"):
+        J.payload_of(without, J.coefficients([without])[0])
+
+
+def naive(raw: bytes) -> list[np.ndarray]:
+    """Coefficients by reading one bit after another, as the format says."""
+    f = J.File(raw)
+    out = [np.zeros((n, 64), np.int64) for n in f.shape.blocks]
+    for (components, ss, se, ah, al, restart, specs), at, stop in f.scans:
+        segments = re.split(rb"\xff[\xd0-\xd7]", raw[at:stop])
+        component, block, width = f.shape.order(components)
+        tables = []
+        for spec in specs:
+            code, k, table = 0, 16, {}
+            for n in range(1, 17):
+                for _ in range(spec[n - 1] if spec else 0):
+                    table[n, code] = spec[k]
+                    code, k = code + 1, k + 1
+                code <<= 1
+            tables.append(table)
+        for s, data in enumerate(segments):
+            bits = "".join(f"{b:08b}" for b in data.replace(b"\xff\0", b"\xff"))
+            pos, before = 0, [0] * len(out)
+
+            def take(n):
+                nonlocal pos
+                pos += n
+                return int(bits[pos - n : pos] or "0", 2)
+
+            def symbol(table):
+                code = n = 0
+                while (n, code) not in table:
+                    code, n = code << 1 | take(1), n + 1
+                return table[n, code]
+
+            def value(n):
+                v = take(n)
+                return v if n == 0 or v >= 1 << (n - 1) else v - (1 << n) + 1
+
+            eob = 0
+            for k in range(s * restart * width, min(len(block), (s + 1) * restart * width)):
+                c, b = int(component[k]), out[int(component[k])][block[k]]
+                if ss == 0 and ah == 0:
+                    before[c] += value(symbol(tables[components.index(c)]))
+                    b[0] = before[c] << al
+                elif ss == 0:
+                    b[0] |= take(1) << al
+                else:
+                    z = ss
+                    while z <= se and not eob:
+                        r, n = divmod(symbol(tables[0]), 16)
+                        if n == 0 and r < 15:
+                            eob = (1 << r) + take(r)
+                            break
+                        new = value(n) << al if ah == 0 else (0 if n == 0 else (1 if take(1) else -1) << al)
+                        while z <= se:
+                            if ah and b[z]:
+                                b[z] += (take(1) << al) * (1 if b[z] > 0 else -1)
+                            elif r == 0:
+                                break
+                            else:
+                                r -= 1
+                            z += 1
+                        if z <= se:
+                            b[z] = new
+                        z += 1
+                    if eob:
+                        while ah and z <= se:
+                            if b[z]:
+                                b[z] += (take(1) << al) * (1 if b[z] > 0 else -1)
+                            z += 1
+                        eob -= 1
+    return out
+
+
+def test_coefficients_by_reading_bit_after_bit():
+    for raw in J.encode([p for p in payloads() if len(p) <= 192 * 17]):
+        f = J.File(raw)
+        for got, want in zip(J.coefficients([f])[0], naive(raw), strict=True):
+            assert (got == want).all()
+
+
 def test_media_rows(docs, empty, clashing):
     out = J.media_digests(docs).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
