@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,16 +36,48 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
+_made: list[list[DataFrame]] = []
+
+
 def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder, in a folder for each value of `by` if that is given, and reads it back:
-    later jobs neither recompute it nor depend on the executors that made it."""
+    later jobs neither recompute it nor depend on the executors that made it. The files go with done(), at the end of
+    scratch(), or when the application ends."""
     path = new_path(df.sparkSession)
     (df.repartition(F.col(by)).write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    for made in _made:
+        made.append(out)
     return out
 
 
+def done(*tables: DataFrame) -> None:
+    """Deletes the files of tables that cut() gave and that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a cut() whose tables stay; all others that are made meanwhile are deleted at the end."""
+    made: list[DataFrame] = []
+    stay: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        stay.append(cut(df))
+        return stay[-1]
+
+    _made.append(made)
+    try:
+        yield keep
+    finally:
+        _made.remove(made)
+        done(*(t for t in made if all(t is not s for s in stay)))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with the 0-based place of each row in this order: rows are dealt by ranges, sorted there, and only the numbers
     of rows of the ranges are summed."""
