@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut, done, numbered, scratch
+
+__all__ = ["ascii_lower", "bitmaps", "cut", "done", "drop_rows", "lean", "numbered", "occurrences", "ranked", "scratch", "small", "table", "unit", "with_maybe"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,66 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, one of our own, but on this machine's
-    cores only: elsewhere executors wouldn't see the driver's folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_already.isDefined():
-        return set_already.get().rstrip("/")
-    if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="halfstep-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-_made: list[list[DataFrame]] = []
-
-
-def cut(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Writes df as Parquet to the shared folder, in a folder for each value of `by` if that is given, and reads it back:
-    later jobs neither recompute it nor depend on the executors that made it. The files go with done(), at the end of scratch(), or when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/halfstep-{uuid.uuid4().hex}"
-    (df.repartition(F.col(by)).write.partitionBy(by) if by else df.write).parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    for made in _made:
-        made.append(out)
-    return out
-
-
-def done(*tables: DataFrame) -> None:
-    """Deletes the files of tables that cut() gave and that nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._cut_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Gives a cut() whose tables stay; all others that are made meanwhile are deleted at the end."""
-    made: list[DataFrame] = []
-    stay: list[DataFrame] = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        stay.append(cut(df))
-        return stay[-1]
-
-    _made.append(made)
-    try:
-        yield keep
-    finally:
-        _made.remove(made)
-        done(*(t for t in made if all(t is not s for s in stay)))
-
-
 def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches of a task, with memory that Arrow holds for later given back after each."""
     for batch in batches:
@@ -154,16 +94,6 @@ def occurrences(df: DataFrame, keys: list[str], name: str, order: list[Column] |
     return df.join(near, same, "left_anti").withColumn(name, F.lit(0).cast("long")).unionByName(many.withColumn(name, F.col(name).cast("long")))
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with the 0-based place of each row in this order: rows are dealt by ranges, sorted there, and only the numbers
-    of rows of the ranges are summed."""
-    place = F.monotonically_increasing_id()
-    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.shiftrightunsigned(place, 33), "_in_range": place.bitwiseAND(F.lit((1 << 33) - 1))}))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_in_range")).drop("_range", "_in_range", "_start")
-
-
 def drop_rows(docs: DataFrame, key: Column, doc_id: str, lost: DataFrame, twice: DataFrame) -> DataFrame:
     """docs without the rows whose (key, doc_id) is in lost (_key, _id), and with one row only of those in twice. Either
     table is broadcast if it is small; if not, rows whose key is surely in neither pass as they are, and only the others
