@@ -26,9 +26,9 @@ def shingles(text, n=4):
     return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def by_brute_force(rows, percent=85):
+def by_brute_force(rows, percent=85, of=None):
     """Component of each row, by all pairs."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [(of or shingles)(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):

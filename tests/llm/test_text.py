@@ -146,20 +146,20 @@ def test_held_out_accuracy(spark):
     assert found.filter("lang = lang_pred").count() >= 0.97 * found.count() > 0
 
 
-def by_search(text: str, known: dict[str, str]) -> tuple[str, float]:
-    """Language and score by normalising and searching alone."""
+def by_search(text: str, known: dict[str, str]) -> tuple[str, float, int, int]:
+    """Language, score, phrases in it and characters read, by normalising and searching alone."""
     def plain(t):
-        return re.sub(r"[^\W\d_]|.", lambda m: m[0].lower() if m[0].isalpha() else "\n", t, flags=re.S)
+        return "".join(c.lower() if c.isalpha() else "\n" for c in t)
 
     tidy = lambda t: re.sub("\n+", " ", plain(t))
     t = tidy(text).lstrip(" ")  # white space before the first letter isn't read; after the last one it is
     if not t.strip():
-        return "und", 0.0
+        return "und", 0.0, 0, 0
     have = {lang: tidy(x) for lang, x in known.items()}
     letters = {c for x in have.values() for c in x} | {" "}
     t = "".join(c if c in letters else "\0" for c in t)
     cost = sorted((phrases(t, x) * np.log2(max(4096, len(known[lang]))), lang) for lang, x in have.items())
-    return cost[0][1], 1 - cost[0][0] / cost[1][0]
+    return cost[0][1], 1 - cost[0][0] / cost[1][0], phrases(t, have[cost[0][1]]), len(t)
 
 
 def test_languages_and_scores_by_search(spark):
@@ -174,8 +174,9 @@ def test_languages_and_scores_by_search(spark):
     known = sample(docs)
     assert sorted(known) == ["a", "b", "c"]
     for row in identify(docs, known).collect():
-        lang, score = by_search(row["text"] or "", known)
+        lang, score, count, read = by_search(row["text"] or "", known)
         assert (row["lang_pred"], round(row["score"], 9)) == (lang, round(score, 9)), row["doc_id"]
+        assert lang == "und" or (row["phrases"], row["letters"]) == (count, read)
 
 
 def test_no_label_is_starved_by_repeated_rows(spark):
