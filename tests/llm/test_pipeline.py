@@ -96,3 +96,19 @@ def test_scripts_of_many_letters_are_not_foreign(spark):
     rows.append((500, "".join(chr(0xAC00 + k) for k in range(90)), None))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
     assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {d for d, _, _ in rows} - {500}
+
+
+@pytest.mark.parametrize("name", ["op5_merkle_audit", "op6_exact_dedup"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from halfstep.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
+    want, got = con.sql(SQL[name]).df(), QUERIES[name](spark, "/root/testdata/sf0.01").toPandas()
+    columns = sorted(want.columns)
+    order = columns[:1] if name.startswith("op6") else ["page_id"]
+    a, b = (d[columns].sort_values(order).reset_index(drop=True).astype(object).where(d[columns].sort_values(order).reset_index(drop=True).notna(), None) for d in (got, want))
+    assert sorted(got.columns) == columns and a.equals(b)
