@@ -39,12 +39,12 @@ def new_path(spark: SparkSession) -> str:
 _made: list[list[DataFrame]] = []
 
 
-def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None, compression: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder, in a folder for each value of `by` if that is given, and reads it back:
     later jobs neither recompute it nor depend on the executors that made it. The files go with done(), at the end of
     scratch(), or when the application ends."""
     path = new_path(df.sparkSession)
-    (df.repartition(F.col(by)).write.partitionBy(by) if by else df.write).parquet(path)
+    (df.repartition(F.col(by)).write.partitionBy(by) if by else df.write).parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     for made in _made:
