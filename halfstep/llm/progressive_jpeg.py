@@ -13,7 +13,7 @@ given if the scans have sent all bits of all coefficients.
 
 Null texts count as empty and are padded to one unit of 192 bytes. Equal payloads give equal files and tensors, so repeated
 rows do. Empty tables give empty results; columns other than key and text may have any names. A very long text is one
-file, which one task holds with its coefficients and samples, about 70 bytes for each of the text.
+file, which one task holds with its coefficients; scans and samples are made in lots.
 """
 
 from __future__ import annotations
@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, lean, table
 from .langid import chunks
 
 UNIT, RESTART, MOST_HIGH, CHUNK, ORDERS = 192, 16, 4_095, 2_000_000, 32 << 20
+#: Restart segments that are coded at once, and blocks of a file from which its tensor is made band by band.
+LOT, BAND = 2_048, 16_384
 #: (components, Ss, Se, Ah, Al) of the scans that are written.
 SCANS = [((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((1,), 1, 63, 0, 0), ((2,), 1, 63, 0, 0), ((0,), 6, 63, 0, 0), ((0, 1, 2), 0, 0, 1, 0), ((0,), 1, 5, 1, 0)]
 FACTORS = [(2, 2), (1, 1), (1, 1)]
@@ -222,42 +224,36 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         owner = np.repeat(np.arange(len(shapes)), segments)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(segments) - segments, segments)
         first_block = (np.cumsum(counts) - counts)[owner] + nth * mcu_blocks * RESTART
-        if se == 0:
-            values = np.concatenate([_dc_in_order(planes, starts, s, k) for k, s in enumerate(shapes)]) >> al
-            if ah:
-                value, bits = (values & 1).astype(np.uint64), np.ones(len(values), np.int64)
-            else:
-                before = np.empty_like(values)
-                before[1:4], before[6:] = values[:3], 0
-                by_mcu = values.reshape(-1, 6)
-                back = np.zeros_like(by_mcu)
-                back[:, 1:4] = by_mcu[:, :3]
-                back[1:, 0], back[1:, 4:] = by_mcu[:-1, 3], by_mcu[:-1, 4:]
-                fresh = first_block // 6
-                back[fresh, 0], back[fresh, 4:] = 0, 0
-                d = (values - back.ravel()).astype(np.int64)
-                codes, lengths = codes_of(*DC_TABLE)
-                size = SIZE[np.abs(d)].astype(np.int64)
-                extra = np.where(d < 0, d + (1 << size) - 1, d)
-                value, bits = codes[size] << size.astype(np.uint64) | extra.astype(np.uint64), lengths[size].astype(np.int64) + size
-            first = first_block
-        else:
-            value, bits, first = (ac_refine_items if ah else ac_items)(planes[components[0]][:, ss : se + 1], al)
-            first = first[first_block]
-        data, begin = pack(value, bits, first)
-        stuffed = np.flatnonzero(data == 255) + 1
-        goes_on = np.flatnonzero(nth < segments[owner] - 1)
-        restarts = begin[1:][goes_on]
-        place = np.concatenate([stuffed, np.repeat(restarts, 2)])
-        marks = np.stack([np.full(len(goes_on), 255), 0xD0 + nth[goes_on] % 8], 1).ravel()
-        raw = np.insert(data, place, np.concatenate([np.zeros(len(stuffed), np.int64), marks]).astype(np.uint8)).tobytes()
-        ends = begin[np.cumsum(segments)]
-        ends = ends + np.searchsorted(stuffed, ends, side="right") + 2 * np.searchsorted(restarts, ends, side="right")
         head = segment(0xDA, bytes([len(components), *(x for c in components for x in (c + 1, 0)), ss, se, ah << 4 | al]))
-        at = 0
-        for body, end in zip(bodies, ends.tolist(), strict=True):
-            body.append(head + raw[at:end])
-            at = end
+        goes_on = nth < segments[owner] - 1
+        upto = np.append(first_block, counts.sum())
+        values = np.concatenate([_dc_in_order(planes, starts, s, k) for k, s in enumerate(shapes)]) >> al if se == 0 else None
+        for a in range(0, len(owner), LOT):  # segments of a lot
+            some = slice(a, a + LOT)
+            lo, hi = int(upto[a]), int(upto[min(a + LOT, len(owner))])
+            first = first_block[some] - lo
+            if values is not None:
+                value, bits = dc_items(values[lo:hi], first, bool(ah))
+            else:
+                value, bits, items = (ac_refine_items if ah else ac_items)(planes[components[0]][lo:hi, ss : se + 1], al)
+                first = items[first]
+            data, begin = pack(value, bits, first)
+            stuffed = np.flatnonzero(data == 255) + 1
+            more = goes_on[some]
+            restarts = begin[1:][more]
+            place = np.concatenate([stuffed, np.repeat(restarts, 2)])
+            marks = np.stack([np.full(len(restarts), 255), 0xD0 + nth[some][more] % 8], 1).ravel()
+            raw = np.insert(data, place, np.concatenate([np.zeros(len(stuffed), np.int64), marks]).astype(np.uint8)).tobytes()
+            of = owner[some]
+            last = np.flatnonzero(np.append(of[1:] != of[:-1], True))  # of each file in the lot
+            ends = begin[1:][last]
+            ends = ends + np.searchsorted(stuffed, ends, side="right") + 2 * np.searchsorted(restarts, ends, side="right")
+            at = 0
+            for k, end in zip(of[last].tolist(), ends.tolist(), strict=True):
+                if at or nth[a] == 0:
+                    bodies[k].append(head)
+                bodies[k].append(raw[at:end])
+                at = end
     out = []
     for p, s, body in zip(payloads, shapes, bodies, strict=True):
         frame = segment(0xC2, struct.pack(">BHHB", 8, s.height, s.width, 3) + bytes(x for c, (h, v) in enumerate(FACTORS) for x in (c + 1, h << 4 | v, 0)))
@@ -265,6 +261,23 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
+def dc_items(values: np.ndarray, fresh: np.ndarray, refine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bits for DC coefficients of whole MCUs in order; prediction begins anew at the MCUs that start at the
+    blocks in fresh."""
+    if refine:
+        return (values & 1).astype(np.uint64), np.ones(len(values), np.int64)
+    by_mcu = values.reshape(-1, 6)
+    back = np.zeros_like(by_mcu)
+    back[:, 1:4] = by_mcu[:, :3]
+    back[1:, 0], back[1:, 4:] = by_mcu[:-1, 3], by_mcu[:-1, 4:]
+    back[fresh // 6, 0], back[fresh // 6, 4:] = 0, 0
+    d = (values - back.ravel()).astype(np.int64)
+    codes, lengths = codes_of(*DC_TABLE)
+    size = SIZE[np.abs(d)].astype(np.int64)
+    extra = np.where(d < 0, d + (1 << size) - 1, d)
+    return codes[size] << size.astype(np.uint64) | extra.astype(np.uint64), lengths[size].astype(np.int64) + size
+
+
 def _dc_in_order(planes: list[np.ndarray], starts: list[np.ndarray], s: Shape, k: int) -> np.ndarray:
     c, b, n = order_of(s, (0, 1, 2))
     out = np.empty((s.mx * s.my, 6), np.int32)
@@ -310,7 +323,9 @@ class Bits:
 
     def __init__(self, data: np.ndarray):
         padded = np.concatenate([data, np.full(16, 255, np.uint8)]).astype(np.uint32)
-        self.words = (padded[:-3] << np.uint32(24)) | (padded[1:-2] << np.uint32(16)) | (padded[2:-1] << np.uint32(8)) | padded[3:]
+        self.words = padded[:-3] << np.uint32(24)
+        for k, shift in ((1, 16), (2, 8), (3, 0)):
+            self.words |= padded[k : len(padded) - 3 + k] << np.uint32(shift)
         self.most = 8 * len(data) + 64
 
     def peek16(self, at: np.ndarray) -> np.ndarray:
@@ -540,10 +555,6 @@ def decode_scan(kind: tuple, files: list[File], bases: list[list[int]], turn: in
     after[np.cumsum(sizes)[sizes > 0] - 1] = 0xFF  # nothing belongs to the last byte of a scan
     mark = data == 0xFF
     restarts = np.flatnonzero(mark & (after >= 0xD0) & (after <= 0xD7))
-    drop = np.concatenate([np.flatnonzero(mark & (after == 0)) + 1, restarts, restarts + 1])
-    keep = np.ones(len(data), bool)
-    keep[drop] = False
-    upto = np.concatenate([[0], np.cumsum(keep)])
     scan_starts = np.cumsum(sizes) - sizes
     segments = -(-counts // units)
     owner = np.repeat(np.arange(len(files)), segments)
@@ -556,18 +567,28 @@ def decode_scan(kind: tuple, files: list[File], bases: list[list[int]], turn: in
         raise ValueError("restart markers are out of order")
     first = (np.cumsum(counts) - counts)[owner] + nth * units[owner]
     count = np.minimum(units[owner], counts[owner] - nth * units[owner])
-    lanes = Lanes(Bits(data[keep]), 8 * upto[starts].astype(np.int64), first, count)
-    if se == 0 and ah == 0:
-        tables = [table_for(specs[components.index(x)], False) for x in component]
-        decode_dc_first(lanes, tables, target, place, component, al)
-    elif se == 0:
-        at = np.repeat(lanes.start - np.cumsum(count) + count, count) + np.arange(count.sum())
-        blocks = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        target[place[blocks]] |= (lanes.bits.read(np.minimum(at, lanes.bits.most - 32), np.ones(len(at), np.int64)) << al).astype(np.int16)
-    elif ah == 0:
-        decode_ac_first(lanes, table_for(specs[0], True), target, place, ss, se, al)
-    else:
-        decode_ac_refine(lanes, table_for(specs[0], True), target, place, ss, se, al)
+    ends = np.append(starts[1:], len(data))
+    for a in range(0, len(starts), LOT):  # segments of a lot
+        some = slice(a, a + LOT)
+        lo, hi = int(starts[a]), int(ends[some][-1])
+        here, there = restarts[(restarts >= lo) & (restarts < hi)] - lo, np.flatnonzero(mark[lo:hi] & (after[lo:hi] == 0)) + 1
+        keep = np.ones(hi - lo, bool)
+        keep[there] = False
+        keep[here], keep[here + 1] = False, False
+        upto = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
+        lanes = Lanes(Bits(data[lo:hi][keep]), 8 * upto[starts[some] - lo], first[some], count[some])
+        if se == 0 and ah == 0:
+            tables = [table_for(specs[components.index(x)], False) for x in component]
+            decode_dc_first(lanes, tables, target, place, component, al)
+        elif se == 0:
+            n = lanes.count
+            at = np.repeat(lanes.start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            blocks = np.repeat(lanes.first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            target[place[blocks]] |= (lanes.bits.read(np.minimum(at, lanes.bits.most - 32), np.ones(len(at), np.int64)) << al).astype(np.int16)
+        elif ah == 0:
+            decode_ac_first(lanes, table_for(specs[0], True), target, place, ss, se, al)
+        else:
+            decode_ac_refine(lanes, table_for(specs[0], True), target, place, ss, se, al)
 
 
 def transform() -> np.ndarray:
@@ -603,11 +624,12 @@ def planes_to_rgb(shape: Shape, planes: list[np.ndarray]) -> np.ndarray:
     return np.clip(rgb, 0, 255).astype(np.uint8)
 
 
-def tensors(files: list[File], found: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Full-resolution RGB of files. Blocks that share a quantiser are transformed together."""
-    groups = defaultdict(list)
+def bands(files: list[File], found: list[list[np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+    """Full-resolution RGB of files: (file, some of its rows), in order. Files of under BAND blocks come whole; their
+    blocks that share a quantiser are transformed together. Larger ones come in bands of MCU rows."""
+    groups, small = defaultdict(list), [sum(f.shape.blocks) < BAND for f in files]
     for k, f in enumerate(files):
-        for c, q in enumerate(f.quantisers):
+        for c, q in enumerate(f.quantisers if small[k] else ()):
             groups[q.tobytes()].append((k, c))
     done: dict[tuple[int, int], np.ndarray] = {}
     for q, members in groups.items():
@@ -615,7 +637,26 @@ def tensors(files: list[File], found: list[list[np.ndarray]]) -> list[np.ndarray
         all_samples = samples(np.concatenate(parts), np.frombuffer(q, np.int64))
         for (k, c), s in zip(members, np.split(all_samples, np.cumsum([len(p) for p in parts])[:-1]), strict=True):
             done[k, c] = s
-    return [planes_to_rgb(f.shape, [done[k, c] for c in range(len(f.quantisers))]) for k, f in enumerate(files)]
+    for k, f in enumerate(files):
+        if small[k]:
+            yield k, planes_to_rgb(f.shape, [done[k, c] for c in range(len(f.quantisers))])
+            continue
+        s = f.shape
+        step = max(1, BAND // 2 * s.my // sum(s.blocks))
+        for r in range(0, s.my, step):
+            rows = min(step, s.my - r)
+            part = Shape(s.width, min(8 * s.v * rows, s.height - 8 * s.v * r), s.factors)
+            planes = [samples(p[r * v * wide : (r + rows) * v * wide], q) for p, (_, v), wide, q in zip(found[k], s.factors, s.wide, f.quantisers, strict=True)]
+            yield k, planes_to_rgb(part, planes)
+
+
+def tensors(files: list[File], found: list[list[np.ndarray]]) -> list[np.ndarray]:
+    out = [np.empty((f.shape.height, f.shape.width, 3), np.uint8) for f in files]
+    filled = [0] * len(files)
+    for k, rgb in bands(files, found):
+        out[k][filled[k] : filled[k] + len(rgb)] = rgb
+        filled[k] += len(rgb)
+    return out
 
 
 def payload_of(f: File, planes: list[np.ndarray]) -> bytes:
@@ -630,10 +671,13 @@ def payload_of(f: File, planes: list[np.ndarray]) -> bytes:
     return (mcus + 128).astype(np.uint8).tobytes()[:n]
 
 
-def feature(rgb: np.ndarray) -> str:
-    """Size and the sums of each channel and of its squares."""
-    flat = rgb.reshape(-1, 3).astype(np.int64)
-    return "x".join(map(str, rgb.shape)) + " " + " ".join(map(str, [*flat.sum(0), *(flat * flat).sum(0)]))
+def features(files: list[File], found: list[list[np.ndarray]]) -> list[str]:
+    """Size, and the sums of each channel and of its squares, of the tensors."""
+    sums = np.zeros((len(files), 6), np.int64)
+    for k, rgb in bands(files, found):
+        flat = rgb.reshape(-1, 3).astype(np.int64)
+        sums[k] += np.concatenate([flat.sum(0), (flat * flat).sum(0)])
+    return [f"{f.shape.height}x{f.shape.width}x3 " + " ".join(map(str, s)) for f, s in zip(files, sums.tolist(), strict=True)]
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -645,7 +689,7 @@ def to_jpeg(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     """key and jpeg, the text's bytes as a progressive JPEG file."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             done = 0
             for part in chunks(batch.column(1), CHUNK):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(encode([padded(t)[1] for t in part.to_pylist()]), pa.binary())], [key, "jpeg"])
@@ -658,7 +702,7 @@ def to_tensors(files: DataFrame, jpeg: str = "jpeg", key: str = "doc_id") -> Dat
     """key, height, width and rgb, the bytes of the full-resolution tensor, of progressive JPEG files."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             done = 0
             for part in chunks(batch.column(1), CHUNK):
                 parsed = [File(x) for x in part.to_pylist()]
@@ -671,27 +715,27 @@ def to_tensors(files: DataFrame, jpeg: str = "jpeg", key: str = "doc_id") -> Dat
 
 
 def media_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Stores each text as a file, reads the file back, and gives what op2 returns. Both steps run in one pass, so the
-    files needn't be shuffled or written to be checked."""
+    """What op2 returns. Each text is stored as a file in a table of the shared folder; all that follows is made of what is
+    read back from there."""
+    sizes = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    stored = cut(to_jpeg(docs.select(F.struct(F.col(key).alias("doc_id"), sizes.alias("n_bytes")).alias("doc_id"), F.col(text).alias("text"))), compression="zstd")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             done = 0
-            for part in chunks(batch.column(1), CHUNK):
-                sizes, payloads = zip(*map(padded, part.to_pylist()), strict=True)
-                stored = encode(list(payloads))
-                files = [File(x) for x in stored]
+            for part in chunks(batch.column(2), CHUNK):
+                media = part.to_pylist()
+                files = [File(x) for x in media]
                 found = coefficients(files)
                 back = [payload_of(f, c) for f, c in zip(files, found, strict=True)]
                 columns = [
-                    pa.array(sizes, pa.int64()), pa.array([len(b) for b in back], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in back]),
-                    pa.array([zlib.crc32(b[-16:]) for b in back], pa.int64()), pa.array([len(x) for x in stored], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in stored]),
-                    pa.array([feature(t) for t in tensors(files, found)]),
+                    pa.array([len(b) for b in back], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([zlib.crc32(b[-16:]) for b in back], pa.int64()),
+                    pa.array([len(x) for x in media], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in media]), pa.array(features(files, found)),
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), *columns], NAMES)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(done, len(part)) for k in (0, 1)), *columns], NAMES)
                 done += len(part)
 
-    return docs.select(F.col(key).alias("doc_id"), text).mapInArrow(rows, f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id.doc_id", "doc_id.n_bytes", "jpeg").mapInArrow(rows, f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
