@@ -130,9 +130,16 @@ def feature_stack_long(spark, sf_dir):
 # ---- the loader: parts and vectors are written as CDL files to the shared folder and loaded from there
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
 def grids(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of files: ncsteps is p_size of part; label and embedding are those of the vectors. p_partkey and vec_id
-    modulo 3, plus 1, are the timesteps, and their order that of the grid points."""
+    """The folder of files, written once an application for each folder of tables: ncsteps is p_size of part; label and
+    embedding are those of the vectors. p_partkey and vec_id modulo 3, plus 1, are the timesteps, and their order that of
+    the grid points."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _written:
+        return _written[key]
     part = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3 + 1).cast("int").alias("timestep"), "p_size")
     steps = placed(part, "p_partkey").select(F.lit("ncsteps").alias("variable"), "timestep", "x", F.lit(None).cast("int").alias("y"), F.col("p_size").cast("float").alias("value"))
     points = cut(placed(read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 3 + 1).cast("int").alias("timestep"), "label", "embedding"), "vec_id"))
@@ -140,6 +147,7 @@ def grids(spark: SparkSession, sf_dir: str) -> str:
     two = points.select(F.lit("embedding").alias("variable"), "timestep", "x", F.posexplode("embedding").alias("y", "value"))
     folder = new_path(spark)
     write_cdl(steps.unionByName(one).unionByName(two), folder)
+    _written[key] = folder
     return folder
 
 
