@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,10 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches of a task, with memory that Arrow holds for later given back after each."""
+    """The batches of a task, with memory that Arrow and the C library hold for later given back after each."""
     for batch in batches:
         yield batch
+        del batch
         pa.default_memory_pool().release_unused()
+        _give_back(0)
+
+
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def _give_back(keep: int) -> None:
+    _trim()(keep)
 
 
 def ascii_lower(c: Column) -> Column:

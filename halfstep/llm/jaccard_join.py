@@ -50,7 +50,7 @@ WORDS, PERCENT, GROUPS, FINE, MARKS, BUCKETS = 4, 85, 128, 512, 8, 1 << 18
 LEAF, CHUNK, LONG = 32, 1_000_000, 512
 #: Points, texts, and bytes of sets that a task holds at once, and how often a shingle must occur to be dealt to several
 #: tasks.
-TREE_ROWS, BLOCK_ROWS, BLOCK_BYTES, HOT = 32_768, 4_096, 16 << 20, 1_000_000
+TREE_ROWS, BLOCK_ROWS, BLOCK_BYTES, HOT = 32_768, 4_096, 6 << 20, 1_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -549,7 +549,8 @@ def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
         lengths = pc.fill_null(pc.binary_length(whole.column(5)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         for batch, edges in _blocks(whole, lengths):
             side, node, root = (batch.column(k).to_numpy() for k in range(2, 5))
-            yield from _solved(Lot.of_sets(shingle_sets(batch.column(5).to_pylist(), words), node, root, side, percent), edges)
+            sets = [s for part in chunks(batch.column(5), CHUNK) for s in shingle_sets(part.to_pylist(), words)]
+            yield from _solved(Lot.of_sets(sets, node, root, side, percent), edges)
 
 
 def forest(members: DataFrame, most: int, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:

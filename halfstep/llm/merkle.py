@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, occurrences, small, table
 
-LEAF_RECORDS, STEP, FILE_BITS = 16, 4, 12
+#: Records of a leaf, bits from one level to the next, bits of the leaves of a file, and bits of the files' number at most.
+LEAF_RECORDS, STEP, LEAF_BITS, FILE_BITS = 16, 4, 8, 12
 DATE = "1970-01-01T00:00:00Z"
 KEY = ["page_id", "url", "nth"]
 
@@ -64,7 +65,7 @@ class Tree:
     last level is the root."""
 
     def __init__(self, rows: DataFrame, bits: int):
-        self.bits, self.file_bits = bits, min(bits, FILE_BITS)
+        self.bits, self.file_bits = bits, file_bits_for(bits)
         slim = rows.select(*KEY, "k", "length", F.col("digest").alias("hash"), top("k", bits).alias("node"), top("k", self.file_bits).alias("file"))
         self.records = cut(slim, by="file")
         leaf = F.array_sort(F.collect_list(F.struct("k", *KEY, "length", "hash")))  # about LEAF_RECORDS, as keys differ
@@ -92,6 +93,10 @@ def bits_for(count: int) -> int:
     return bits
 
 
+def file_bits_for(bits: int) -> int:
+    return min(FILE_BITS, max(0, bits - LEAF_BITS))
+
+
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     """The records in which two replicas differ, from rows (page_id, url, length, digest) of each: page_id, url, nth, file,
     start (offset in the first replica's file, null where it lacks the record), hash_a, hash_b (null where the replica

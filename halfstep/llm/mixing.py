@@ -119,9 +119,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         same = alike.select(*named)
         rows = every.join(small(same), match(same), "left_anti")
     t = plan.rows(rows, F.lit(0).cast("long"))
-    out = plan.sure(t).select("_whole_row", "copies")
-    taken = cut(plan.close.filter("copies > 0").select(*named, F.col("copies").alias("copies")))
-    out = out.unionByName(t.filter("_bin = _edge_bin").join(small(taken), match(taken)).select("_whole_row", "copies"))
+    taken = cut(plan.close.filter("copies > 0").select(*named, "copies"))
+    near = small(taken)
+    if near is not taken:  # few rows are where words run out: one pass tells all
+        at_edge = F.coalesce(F.col("_bin") == F.col("_edge_bin"), F.lit(False))
+        told = t.withColumn("_edge", at_edge).join(near.withColumnRenamed("copies", "_given"), F.col("_edge") & match(near), "left")
+        more = (F.col("_bin").isNotNull() & (F.col("_edge_bin").isNull() | (F.col("_bin") < F.col("_edge_bin")))).cast("long")
+        out = told.select("_whole_row", F.when(F.col("_edge"), F.coalesce("_given", F.lit(0))).otherwise(F.col("_whole") + more).alias("copies"))
+    else:
+        out = plan.sure(t).select("_whole_row", "copies")
+        out = out.unionByName(t.filter("_bin = _edge_bin").join(taken, match(taken)).select("_whole_row", "copies"))
     if repeated:
         # rows alike in id, source and text share their copies: each gets as many, the first ones one more
         picks = plan.sure(plan.rows(plan.base, F.col("_nth"))).unionByName(plan.close).join(small(same), match(same), "left_semi")

@@ -211,8 +211,10 @@ def recorded(spark, rows):
     return spark.createDataFrame([(d, u, len(t), digest(t)) for d, u, t in rows], "page_id long, url string, length long, digest binary")
 
 
-def test_audit_finds_just_the_records_that_differ(spark):
+@pytest.mark.parametrize("leaf_bits", [8, 4])
+def test_audit_finds_just_the_records_that_differ(spark, monkeypatch, leaf_bits):
     """Lost, added, changed and swapped records, among repeated ones and null ids."""
+    monkeypatch.setattr(M, "LEAF_BITS", leaf_bits)
     rows = [(k, f"u{k}", f"text {k}" * (1 + k % 3)) for k in range(700)] + [(None, None, "same")] * 40 + [(900, "u", f"version {k}") for k in range(5)]
     other = list(rows)
     other[17] = (17, "u17", "other bytes")
@@ -228,7 +230,8 @@ def test_audit_finds_just_the_records_that_differ(spark):
     keys = M.keyed(recorded(spark, rows)).collect()
     bits = M.bits_for(len(rows))
     for r in sorted(keys, key=lambda r: r["k"] & (2**64 - 1)):
-        by_file.setdefault((r["k"] & (2**64 - 1)) >> (64 - min(bits, M.FILE_BITS)), []).append(r)
+        by_file.setdefault((r["k"] & (2**64 - 1)) >> (64 - M.file_bits_for(bits)), []).append(r)
+    assert len(by_file) == 1 << (8 - leaf_bits)
     place = {}
     for f, part in by_file.items():
         at = 0
