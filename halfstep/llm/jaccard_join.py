@@ -8,8 +8,8 @@ Each class has tokens, so chosen that linked sets share one. Of a set of under L
 (1 - percent / 100) n + 1 rarest ones. A longer set, in which some of those would be shared by chance, is cut by the
 hashes of its shingles into more parts than linked sets can differ in; one part at least is then the same in both, and the
 parts, hashed, are its tokens (see parts_of). Classes that share a token form a group, named by the least class of the
-token. How often shingles occur, which only sets their order, is counted over all documents in BUCKETS counters. Shingles are hashed into GROUPS groups, and the counts by group are a class's point. The
-overlap of two sets is at most the sum of the coordinate minima of their points, and with a box of points at most that of
+token. How often shingles occur, which only sets their order, is counted over all documents in BUCKETS counters. Shingles are hashed into GROUPS groups, and the counts by group are a class's point (long sets
+have more groups, and points with fewer when they are packed into the tree). The overlap of two sets is at most the sum of the coordinate minima of their points, and with a box of points at most that of
 the minima with its upper corner.
 
 First the points of each group meet in a task, where an R-tree over them is joined with itself under that bound; it gives a
@@ -133,12 +133,22 @@ def point(s: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
 
 
+def groups_for(n: int) -> int:
+    """GROUPS, or for sets of 1,024 shingles and more the power of two from their number on."""
+    return GROUPS if n < 1024 else 1 << (n - 1).bit_length()
+
+
 def packed(s: np.ndarray) -> bytes:
     """A point with one, two or four bytes for a count, as its largest one needs."""
-    p = point(s, GROUPS)
+    p = point(s, groups_for(len(s)))
     return p.astype(np.min_scalar_type(int(p.max()))).tobytes()
 
 
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts by fewer groups."""
+    return p if len(p) == groups else p.reshape(groups, -1).sum(1)
+
+
 def key_of(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -201,8 +211,11 @@ def intervals(long: int, percent: int) -> np.ndarray:
 def _parts(label: int, long: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
     """In how many shingles linked sets of the intervals label and label + 1 can differ at most, where in the range of
     hashes each of a few more parts than that begins, and the parts' names."""
-    differ = 2 * (int(intervals(long, percent)[label + 2]) - 1) * (100 - percent) // (100 + percent)
-    m = differ + 1 + max(2, differ // 40)
+    edges = intervals(long, percent)
+    differ = 2 * (int(edges[label + 2]) - 1) * (100 - percent) // (100 + percent)
+    m, most = differ + 1, differ + 1 + max(2, differ // 2)
+    while m < most and m * np.exp(-edges[label] / m) + 6 * (m * np.exp(-edges[label] / m)) ** 0.5 + 2 > m - differ:  # parts that are empty by chance
+        m += max(1, differ // 100)
     return differ, np.arange(m, dtype=np.uint64) * np.uint64((1 << 64) // m), mixed(np.arange(m, dtype=np.uint64) + np.uint64(label + 1 << 40))
 
 
@@ -320,7 +333,8 @@ class Lot:
     """The classes of whole blocks, and pairs that join their components: verified on the sets, or without sets all that
     the bound allows."""
 
-    def __init__(self, n: np.ndarray, points: np.ndarray, node: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray] | None = None, percent: int = PERCENT):
+    def __init__(self, n: np.ndarray, points: np.ndarray, node: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray] | None = None, percent: int = PERCENT, fine: dict[int, np.ndarray] | None = None):
+        self.fine = fine or {}  # points with more groups, of long sets
         self.n, self.points, self.node, self.side, self.sets, self.percent = n, points, node, side, sets, percent
         _, self.label = np.unique(root, return_inverse=True)
         self.parent = list(range(int(self.label.max(initial=-1)) + 1))
@@ -386,7 +400,14 @@ class Lot:
         """Verifies pairs that the bound allows: the best one for each two components as long as that joins some, then
         all that are left."""
         near = bounded(self.points[x], self.points[y])
-        ok = near >= needed(self.n[x], self.n[y], self.percent)
+        least = needed(self.n[x], self.n[y], self.percent)
+        ok = near >= least
+        if self.fine:
+            for k in np.flatnonzero(ok).tolist():
+                p, q = self.fine.get(int(x[k])), self.fine.get(int(y[k]))
+                if p is not None and q is not None:
+                    g = min(len(p), len(q))
+                    ok[k] = np.minimum(folded(p, g), folded(q, g)).sum(dtype=np.int64) >= least[k]
         x, y, near = x[ok], y[ok], near[ok]
         going = True
         while len(x):
@@ -533,14 +554,15 @@ def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     allows, between classes with different roots. Rows of side 2 are joined with each other, those of sides 0 and 1 with
     the other side."""
     for whole in lean(runs(batches, 2)):
-        for batch, edges in _blocks(whole, np.full(whole.num_rows, GROUPS)):
+        lengths = pc.binary_length(whole.column(7)).to_numpy(zero_copy_only=False).astype(np.int64)
+        for batch, edges in _blocks(whole, lengths):
             side, node, root, n, mark = (batch.column(k).to_numpy() for k in range(2, 7))
             raw = batch.column(7).to_pylist()
-            width = np.array([len(r) // GROUPS for r in raw])
-            points = np.zeros((len(raw), GROUPS), f"u{width.max()}")
-            for w in np.unique(width).tolist():
-                points[width == w] = np.frombuffer(b"".join(r for r, k in zip(raw, width, strict=True) if k == w), f"u{w}").reshape(-1, GROUPS)
-            yield from _solved(Lot(n, points, node, root, side, None, percent), edges, mark)
+            groups = [groups_for(k) for k in n.tolist()]
+            full = [np.frombuffer(r, f"u{len(r) // g}") for r, g in zip(raw, groups, strict=True)]
+            points = np.stack([folded(p, GROUPS) for p in full])
+            points = points.astype(np.min_scalar_type(int(points.max())))
+            yield from _solved(Lot(n, points, node, root, side, None, percent, {k: p for k, p in enumerate(full) if len(p) > GROUPS}), edges, mark)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -618,7 +640,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = cut(heads.select("key", F.col("_h.row").alias("node"), "_h.k", "_h.th", F.col("_h.doc_id").alias("id"), "_h.n", "_h.mark", "_h.point"))
     dealt = entries(docs, text, counters, words, percent, HOT, LONG).repartition(F.col("token"), F.col("salt")).sortWithinPartitions("token", "salt", "k")
     grouped = cut(dealt.mapInArrow(_grouped, "g long, k long").distinct())
-    pointed = classes.select("k", "node", "n", "mark", "point", F.lit(GROUPS).cast("long").alias("size"))
+    pointed = classes.select("k", "node", "n", "mark", "point", F.octet_length("point").cast("long").alias("size"))
     members = cut(grouped.join(pointed, "k").drop("k"))
     near = forest(members, TREE_ROWS, lambda b: cut(in_blocks(b).mapInArrow(bound(_near, percent=percent), "a long, b long")))
     done(grouped, members)
