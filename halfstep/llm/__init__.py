@@ -1,4 +1,4 @@
-"""Operations of a training-data pipeline: one module for each of the ten operators.
+"""Operations of a training-data pipeline: one module for each operator.
 
 Nothing outside this subpackage imports it.
 """
