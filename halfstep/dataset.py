@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import one_hot
-from .operators import feature_names, max_nhsteps, stack_ranges, with_nhsteps
-from .sources import read_grid, read_ranges, variable_shape
-from .storage import cut
+from .operators import feature_names, stack_ranges, with_nhsteps
+from .sources import feature_rows, grid_rows, read_grid, read_ranges, variable_shape
+from .sources.ranges import SCHEMES, scheme
+from .storage import cut, ship
 
 TARGET = "ncsteps"
 DTYPES = {"float": "float", "float32": "float", "double": "double", "float64": "double", "int": "int", "int32": "int"}
@@ -31,6 +32,12 @@ class NetCDFDataLoader:
         if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             raise OSError(f"Data directory '{data_dir}' does not exist.")
         self.data_dir = data_dir
+        ship(self.spark)
+
+    @property
+    def _by_ranges(self) -> bool:
+        """Whether the folder is in a store from which tasks read byte ranges; others are read by Spark's binary source."""
+        return scheme(self.data_dir) in SCHEMES
 
     @property
     def max_nhsteps(self) -> int:
@@ -48,9 +55,12 @@ class NetCDFDataLoader:
 
     def load_target_data(self) -> DataFrame:
         """timestep, x, nhsteps, and target, the one-hot array over classes 0 to max_nhsteps, which this sets. The files
-        are parsed once: their classes are kept as a table in the shared folder."""
-        steps = cut(with_nhsteps(read_grid(self.spark, self.data_dir, {TARGET: 1}, self.num_timesteps), "value").select("timestep", "x", "nhsteps"))
-        self._max_nhsteps = max_nhsteps(steps)
+        are parsed once: their classes are kept as a table in the shared folder, and the largest one is observed as that is
+        written."""
+        given = grid_rows(self.spark, self.data_dir, TARGET, 1, self.num_timesteps) if self._by_ranges else read_grid(self.spark, self.data_dir, {TARGET: 1}, self.num_timesteps)
+        seen = Observation()
+        steps = cut(with_nhsteps(given, "value").select("timestep", "x", "nhsteps").observe(seen, F.max("nhsteps").alias("most")))
+        self._max_nhsteps = seen.get["most"]
         return steps.withColumn("target", one_hot(F.col("nhsteps"), self._max_nhsteps))
 
     def load_feature_data(self, dtype: str = "float") -> DataFrame:
@@ -68,6 +78,8 @@ class NetCDFDataLoader:
         if clash or len(ranks) < len(self._features_1d) + len(self._features_2d):
             raise ValueError(f"features, timestep and x must have different names: {', '.join(clash) or 'a variable is given twice'}")
         self._features = names
+        if self._by_ranges:
+            return feature_rows(self.spark, self.data_dir, self._features_1d, components, self.num_timesteps, DTYPES[dtype])
         return stack_ranges(read_ranges(self.spark, self.data_dir, ranks, self.num_timesteps), self._features_1d, components, DTYPES[dtype])
 
     def load(self, dtype: str = "float") -> DataFrame:

@@ -1,12 +1,14 @@
 """The one-hidden-layer classifier: dense, ReLU, dense, softmax.
 
 `FCNN` scores Arrow batches by numpy, which needs no shuffle and no more memory than a batch; the relational forms of
-the same layers, for weights in tables, are for layers too wide to broadcast and for checks.
+the same layers, for weights in tables, are for layers too wide to broadcast and for checks. `native` gives the
+probabilities as one expression on arrays, without Python workers and without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import relu
+
 
 class Dense:
     """Weights (out by in) and biases of a layer."""
@@ -112,6 +116,13 @@ class FCNN:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
+    def native(self, x: Column) -> Column:
+        """Probabilities from an array column; arrays of another width, null, or with nulls in them are errors."""
+        n = self.hidden.in_features
+        fits = (F.size(x) == n) & ~F.exists(x, F.isnull)
+        given = F.when(F.coalesce(fits, F.lit(False)), x.cast("array<double>")).otherwise(F.raise_error(F.lit(f"inputs must be arrays of {n} numbers without nulls")))
+        return let(given, lambda v: let(F.transform(layer_native(v, self.hidden), relu), lambda a: let(layer_native(a, self.output), softmax_native)))
+
     def __call__(self, data: DataFrame | np.ndarray, column: str = "features", name: str = "probabilities"):
         """Probabilities of a matrix, or a DataFrame with them as an array column."""
         if isinstance(data, DataFrame):
@@ -119,6 +130,23 @@ class FCNN:
         return self.probabilities(np.atleast_2d(np.asarray(data, np.float64)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for each row, also where use has it inside of lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def layer_native(x: Column, layer: Dense) -> Column:
+    """An array of the layer's outputs. The weights are a constant of the plan."""
+    rows = [{"w": w, "b": b} for w, b in zip(layer.weight.tolist(), layer.bias.tolist(), strict=True)]
+    weights = F.from_json(F.lit(json.dumps(rows)), "array<struct<w:array<double>,b:double>>", {"allowNonNumericNumbers": "true"})
+    return F.transform(weights, lambda r: F.aggregate(F.zip_with(x, r["w"], lambda a, w: a * w), F.lit(0.0), lambda total, v: total + v) + r["b"])
+
+
+def softmax_native(z: Column) -> Column:
+    exps = let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(v - top)))
+    return let(exps, lambda e: let(F.aggregate(e, F.lit(0.0), lambda total, v: total + v), lambda total: F.transform(e, lambda v: v / total)))
+
+
 def dense_relational(values: DataFrame, weights: DataFrame, biases: DataFrame, key: str) -> DataFrame:
     """values (key, i, v), weights (o, i, w), biases (o, b) to (key, o, v): a join and a sum for each output."""
     products = values.join(weights, "i").groupBy(key, "o").agg(F.sum(F.col("v") * F.col("w")).alias("_s"))

@@ -1,5 +1,5 @@
 """The text form of NetCDF files (CDL), as far as gridded variables need it: dimensions, numeric variables, data,
-attributes (`_FillValue` is used, others are passed over) and comments."""
+attributes (`_FillValue`, `scale_factor` and `add_offset` are used, others passed over) and comments."""
 
 from __future__ import annotations
 
@@ -8,31 +8,68 @@ import re
 import numpy as np
 
 TYPES = {"byte": "i1", "ubyte": "u1", "short": "i2", "ushort": "u2", "int": "i4", "long": "i4", "uint": "u4", "int64": "i8", "uint64": "u8", "float": "f4", "real": "f4", "double": "f8"}
+#: A string, or a comment to the line's end, whichever begins first.
+ASIDE = re.compile(r'"(?:\\.|[^"\\])*"|//[^\n]*', re.S)
+#: A number with the letters that tell its type.
+NUMBER = re.compile(r"([+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?))[a-zA-Z]*")
+ODD = re.compile(r"([+-]?(?:nan|inf(?:inity)?))[fd]?", re.I)
+
+
+def _plain(content: bytes) -> str:
+    """Text without comments, strings emptied."""
+    return ASIDE.sub(lambda m: '""' if m[0][0] == '"' else "", content.decode("utf-8", "replace"))
+
+
+def number(item: str) -> float:
+    m = ODD.fullmatch(item) or NUMBER.fullmatch(item)
+    if not m:
+        raise ValueError(f"'{item}' is not a number in a CDL file")
+    return float(m[1])
 
 
 def _section(text: str, name: str, after: str) -> str:
-    m = re.search(rf"\b{name}\s*:(.*?)(?=\b(?:{after})\s*:|\}}\s*$)", text, re.S)
+    m = re.search(rf"\b{name}\s*:(.*?)(?=\b(?:{after})\s*:|\}}\s*$|\Z)", text, re.S)
     return m[1] if m else ""
 
 
-def parse(content: bytes) -> dict[str, np.ma.MaskedArray]:
-    """The variables of a CDL file, masked where they have the fill value or `_`."""
-    text = re.sub(r"//[^\n]*", "", content.decode("utf-8"))
+def _declared(text: str) -> dict[str, tuple[str, list[int]]]:
+    """Type and shape of each variable, -1 for a length that only the data tell."""
     if not re.match(r"\s*netcdf\b", text):
         raise ValueError("not a CDL file")
-    sizes = {name: size for name, size in re.findall(r"([\w.\-]+)\s*=\s*(\d+|UNLIMITED)", _section(text, "dimensions", "variables|data"))}
-    declared = _section(text, "variables", "data")
+    sizes = dict(re.findall(r"([\w.\-]+)\s*=\s*(\d+|UNLIMITED)", _section(text, "dimensions", "variables|data")))
+    found = re.findall(rf"\b({'|'.join(TYPES)})\s+([\w.\-]+)\s*(?:\(([^)]*)\))?\s*;", _section(text, "variables", "data"))
+    return {name: (kind, [-1 if sizes[d] == "UNLIMITED" else int(sizes[d]) for d in re.split(r"[\s,]+", dims.strip()) if d]) for kind, name, dims in found}
+
+
+def has_header(content: bytes) -> bool:
+    """Whether these first bytes of a file hold all its declarations."""
+    return bool(re.search(r"\bdata\s*:", _plain(content)))
+
+
+def shape(content: bytes, variable: str) -> tuple[int, ...] | None:
+    """The declared shape of a variable, None if it isn't declared."""
+    declared = _declared(_plain(content)).get(variable)
+    return tuple(declared[1]) if declared else None
+
+
+def parse(content: bytes) -> dict[str, np.ma.MaskedArray]:
+    """The variables of a CDL file, masked where they have the fill value or `_`, unpacked by scale_factor and add_offset."""
+    text = _plain(content)
+    declared = _declared(text)
     data = dict(re.findall(r"([\w.\-]+)\s*=\s*([^;]*);", _section(text, "data", "$^")))
-    fills = dict(re.findall(r"([\w.\-]+):_FillValue\s*=\s*([^;\s]+)", declared))
+    used = re.findall(r"([\w.\-]+):(_FillValue|scale_factor|add_offset)\s*=\s*([^;\s,]+)", _section(text, "variables", "data"))
+    attributes = {(name, what): number(value) for name, what, value in used}
     out = {}
-    for kind, name, dims in re.findall(rf"\b({'|'.join(TYPES)})\s+([\w.\-]+)\s*(?:\(([^)]*)\))?\s*;", declared):
+    for name, (kind, size) in declared.items():
         if name not in data:
             continue
-        items = [re.sub(r"(?<=[\d.])[a-zA-Z]+$", "", v) if not re.search(r"[eE][+-]?\d+$", v) else v for v in re.split(r"[\s,]+", data[name].strip()) if v]
-        shape = [-1 if sizes[d] == "UNLIMITED" else int(sizes[d]) for d in re.split(r"[\s,]+", dims.strip()) if d]
-        hidden = np.array([v == "_" for v in items])
-        values = np.array([0 if v == "_" else float(v) for v in items]).astype(TYPES[kind])
-        if name in fills:
-            hidden |= values == np.array(float(re.sub(r"[a-zA-Z]+$", "", fills[name]))).astype(TYPES[kind])
-        out[name] = np.ma.MaskedArray(values, hidden).reshape(shape)
+        items = [v for v in re.split(r"[\s,]+", data[name].strip()) if v]
+        hidden = np.array([v == "_" for v in items], bool)
+        values = np.array([0 if v == "_" else number(v) for v in items]).astype(TYPES[kind])
+        if (name, "_FillValue") in attributes:
+            hidden |= values == np.array(attributes[name, "_FillValue"]).astype(TYPES[kind])
+        v = np.ma.MaskedArray(values, hidden).reshape(size)
+        if {(name, "scale_factor"), (name, "add_offset")} & attributes.keys():
+            v = v * attributes.get((name, "scale_factor"), 1.0) + attributes.get((name, "add_offset"), 0.0)
+        out[name] = v
     return out

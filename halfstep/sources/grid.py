@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import cdl, classic, nc4
+from .names import FORMATS, SCHEMA, file_name
+from .datasource import absolute, shape_of
+from .ranges import SCHEMES, found, scheme
 
-#: Extensions, in the order in which a folder is searched for them.
-FORMATS = ("nc", "cdl")
-SCHEMA = "variable string, timestep int, x int, y int, value float"
 #: Grid points whose values go in one array when variables are brought together.
 RANGE = 8_192
 
@@ -30,20 +30,13 @@ def parse(content: bytes) -> dict[str, np.ma.MaskedArray]:
     return nc4.parse(content) if content[:4] == b"\x89HDF" else cdl.parse(content)
 
 
-def file_name(folder: str, variable: str, timestep: int, extension: str) -> str:
-    return f"{folder.rstrip('/')}/{variable}_{timestep}.{extension}"
-
-
 def _named(path: str) -> tuple[str, int]:
     variable, _, timestep = path.rpartition("/")[2].rpartition(".")[0].rpartition("_")
     return variable, int(timestep)
 
 
 def values_of(content: bytes, variable: str) -> np.ma.MaskedArray:
-    found = parse(content)
-    if variable not in found:
-        raise ValueError(f"the file of '{variable}' has no variable of that name, only {sorted(found)}")
-    return found[variable]
+    return found(parse(content), variable)
 
 
 def _values(batches: Iterator[pa.RecordBatch], ranks: dict[str, int]) -> Iterator[tuple[str, int, np.ma.MaskedArray]]:
@@ -57,7 +50,7 @@ def _values(batches: Iterator[pa.RecordBatch], ranks: dict[str, int]) -> Iterato
             yield variable, timestep, v
 
 
-def _rows(ranks: dict[str, int]):
+def rows_of(ranks: dict[str, int]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for variable, timestep, v in _values(batches, ranks):
             n = v.shape[-1]
@@ -102,7 +95,7 @@ def _files(spark: SparkSession, folder: str, ranks: dict[str, int], num_timestep
 
 def read_grid(spark: SparkSession, folder: str, ranks: dict[str, int], num_timesteps: int) -> DataFrame:
     """Rows of the variables (name: rank, 1 or 2) for timesteps 1 to num_timesteps."""
-    return _files(spark, folder, ranks, num_timesteps).mapInArrow(_rows(dict(ranks)), SCHEMA)
+    return _files(spark, folder, ranks, num_timesteps).mapInArrow(rows_of(dict(ranks)), SCHEMA)
 
 
 def read_ranges(spark: SparkSession, folder: str, ranks: dict[str, int], num_timesteps: int) -> DataFrame:
@@ -112,7 +105,10 @@ def read_ranges(spark: SparkSession, folder: str, ranks: dict[str, int], num_tim
 
 
 def variable_shape(spark: SparkSession, folder: str, variable: str) -> tuple[int, ...]:
-    """The shape of a variable at its first timestep; two numbers at most leave the task that reads the file."""
+    """The shape of a variable at its first timestep, from the file's header; in stores that only Spark reads, from the whole
+    file, by a task."""
+    if scheme(folder) in SCHEMES:
+        return shape_of(absolute(folder), variable)
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

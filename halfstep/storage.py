@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -12,6 +14,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_sent: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package's modules importable in Python workers, also where it isn't installed: by the path on this machine,
+    and elsewhere by an archive that Spark sends to executors once an application."""
+    sc, here = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in path:
+        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, *path]))
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", sc.master) and sc.applicationId not in _sent:
+        file = os.path.join(tempfile.mkdtemp(prefix="halfstep-"), "halfstep-modules.zip")
+        with zipfile.ZipFile(file, "w") as z:
+            for folder, _, names in os.walk(os.path.join(here, "halfstep")):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, here))
+            if os.path.exists(os.path.join(here, "corpus_pipeline.py")):
+                z.write(os.path.join(here, "corpus_pipeline.py"), "corpus_pipeline.py")
+        sc.addPyFile(file)
+        _sent[sc.applicationId] = file
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where the session names none, one of our own, but on this machine's
     cores only: elsewhere executors wouldn't see the driver's folder."""

@@ -1,5 +1,6 @@
-"""Scoring of gridded rows as they arrive."""
+"""Scoring of gridded rows, and widths of targets, as they arrive."""
 
 from .scoring import class_counts, halving_stream, score_stream
+from .widths import arriving, class_widths, widened
 
-__all__ = ["class_counts", "halving_stream", "score_stream"]
+__all__ = ["arriving", "class_counts", "class_widths", "halving_stream", "score_stream", "widened"]
