@@ -2,24 +2,26 @@
 
 `part` stands in for the target: p_size is the number of steps, p_partkey % 3 + 1 the timestep. `embeddings` stands in
 for a 2D variable and for the network's input. The weights are a formula, which the SQL repeats. The queries of the loader
-and of its source write both as files first, and read those.
+and of the data sources write both as classic files first, those of the binary source as text (CDL), and read those.
 """
 
 from __future__ import annotations
 
-import inspect
-
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import NetCDFDataLoader
 from ..functions import one_hot, relu, softmax
-from ..operators import FCNN, Dense, class_histogram, dense, dense_relational, max_nhsteps, onehot_long, onehot_wide, slice_unpack, slices_wide, softmax_relational, stack_features, with_nhsteps
+from ..operators import FCNN, Dense, HalvingClassifier, class_histogram, dense, dense_relational, feature_vector, max_nhsteps, onehot_long, onehot_vector, onehot_wide, slice_unpack, slices_wide, softmax_relational, stack_features, with_nhsteps
 from ..operators.network import argmax
-from ..sources import read_grid, variable_shape, write_cdl
+from ..sources import grid_rows, read_grid, variable_shape, write_cdl, write_classic
+from ..sources.datasource import PUSHDOWN
 from ..sources.grid import paths, with_row_numbers
 from ..storage import cut, new_path, numbered
+from ..streaming import arriving, class_widths
 
 INPUTS, HIDDEN, CLASSES, DIGITS = 64, 50, 10, 6
 
@@ -127,30 +129,54 @@ def feature_stack_long(spark, sf_dir):
     return stack_features(one.unionByName(two), ["label"], {"embedding": INPUTS}).select(F.col("x").cast("long").alias("vec_id"), "label", *(f"embedding_{j}" for j in range(INPUTS)))
 
 
-# ---- the loader: parts and vectors are written as CDL files to the shared folder and loaded from there
+# ---- the loader: parts and vectors are written as files to the shared folder and loaded from there
+
 
+_written: dict[tuple, str] = {}
 
-_written: dict[tuple[str, str], str] = {}
 
+def state(spark: SparkSession, path: str) -> tuple:
+    """Length and time of a table's files, so that files made of a changed table aren't taken for those of this one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.getFileStatus(at)
+    files = fs.listStatus(at) if found.isDirectory() else [found]
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
-def grids(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of files, written once an application for each folder of tables: ncsteps is p_size of part; label and
+
+def grids(spark: SparkSession, sf_dir: str, form: str = "nc") -> str:
+    """The folder of files, written once an application for each state of the tables: ncsteps is p_size of part; label and
     embedding are those of the vectors. p_partkey and vec_id modulo 3, plus 1, are the timesteps, and their order that of
     the grid points."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, form, *(state(spark, f"{sf_dir}/{t}.parquet") for t in ("part", "embeddings")))
     if key in _written:
         return _written[key]
-    part = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3 + 1).cast("int").alias("timestep"), "p_size")
-    steps = placed(part, "p_partkey").select(F.lit("ncsteps").alias("variable"), "timestep", "x", F.lit(None).cast("int").alias("y"), F.col("p_size").cast("float").alias("value"))
-    points = cut(placed(read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 3 + 1).cast("int").alias("timestep"), "label", "embedding"), "vec_id"))
+    steps = part_points(spark, sf_dir).select(F.lit("ncsteps").alias("variable"), "timestep", "x", F.lit(None).cast("int").alias("y"), F.col("p_size").cast("float").alias("value"))
+    points = cut(vector_points(spark, sf_dir))
     one = points.select(F.lit("label").alias("variable"), "timestep", "x", F.lit(None).cast("int").alias("y"), F.col("label").cast("float").alias("value"))
     two = points.select(F.lit("embedding").alias("variable"), "timestep", "x", F.posexplode("embedding").alias("y", "value"))
     folder = new_path(spark)
-    write_cdl(steps.unionByName(one).unionByName(two), folder)
+    write(steps.unionByName(one).unionByName(two), folder, form)
     _written[key] = folder
     return folder
 
 
+def write(grid: DataFrame, folder: str, form: str = "nc", kind: str = "float") -> None:
+    if form == "nc":
+        write_classic(cut(grid), folder, kind)
+    else:
+        write_cdl(grid, folder)
+
+
+def part_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3 + 1).cast("int").alias("timestep"), "p_size", "p_retailprice")
+    return placed(part, "p_partkey")
+
+
+def vector_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 3 + 1).cast("int").alias("timestep"), "label", "embedding"), "vec_id")
+
+
 def loader(spark: SparkSession, folder: str, timesteps: int = 3) -> NetCDFDataLoader:
     return NetCDFDataLoader(["label"], ["embedding"], timesteps, data_dir=folder, spark=spark)
 
@@ -190,54 +216,98 @@ def loader_feature_names(spark, sf_dir):
 
 def loader_aligned(spark, sf_dir):
     """Targets and features of each grid point, both of the vectors (a label l counts as 2 to the power l modulo 5)."""
-    points = placed(read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 3 + 1).cast("int").alias("timestep"), "label"), "vec_id")
-    rows = points.select("timestep", "x", F.lit(None).cast("int").alias("y"), F.explode(F.array(F.struct(F.lit("ncsteps").alias("variable"), F.pow(F.lit(2.0), F.col("label") % 5).cast("float").alias("value")), F.struct(F.lit("label").alias("variable"), F.col("label").cast("float").alias("value")))).alias("_v"))
+    rows = vector_points(spark, sf_dir).select("timestep", "x", F.lit(None).cast("int").alias("y"), F.explode(F.array(F.struct(F.lit("ncsteps").alias("variable"), F.pow(F.lit(2.0), F.col("label") % 5).cast("float").alias("value")), F.struct(F.lit("label").alias("variable"), F.col("label").cast("float").alias("value")))).alias("_v"))
     folder = new_path(spark)
-    write_cdl(rows.select("_v.variable", "timestep", "x", "y", "_v.value"), folder)
+    write(rows.select("_v.variable", "timestep", "x", "y", "_v.value"), folder)
     return NetCDFDataLoader(["label"], [], 3, data_dir=folder, spark=spark).load().select("timestep", "x", "nhsteps", "label")
 
 
 def source_rows_1d(spark, sf_dir):
     """One variable of rank 1 as rows, over all timesteps, with its place in all."""
-    grid = read_grid(spark, grids(spark, sf_dir), {"ncsteps": 1}, 3)
+    grid = read_grid(spark, grids(spark, sf_dir, "cdl"), {"ncsteps": 1}, 3)
     return with_row_numbers(cut(grid)).select("variable", "timestep", "x", "value", "row")
 
 
 def source_rows_2d(spark, sf_dir):
     """One variable of rank 2 as rows: components by grid points, joined over the timesteps along the grid."""
-    grid = read_grid(spark, grids(spark, sf_dir), {"embedding": 2}, 3)
+    grid = read_grid(spark, grids(spark, sf_dir, "cdl"), {"embedding": 2}, 3)
     return with_row_numbers(cut(grid)).select("timestep", "x", F.col("y").alias("component"), "value", "row")
 
 
 def source_files(spark, sf_dir):
     """The files that a loader of two timesteps reads, and the shape that the first one of each variable has."""
-    folder = grids(spark, sf_dir)
+    folder = grids(spark, sf_dir, "cdl")
     names = [(v, t, path.rpartition("/")[2]) for v in ("embedding", "label", "ncsteps") for t, path in enumerate(paths(spark, folder, [v], range(1, 3)), 1)]
     shapes = {v: "x".join(map(str, variable_shape(spark, folder, v))) for v in ("embedding", "label", "ncsteps")}
     return spark.createDataFrame([(v, t, f, shapes[v]) for v, t, f in names], "variable string, timestep int, file string, shape string")
 
 
-def loader_state(spark, sf_dir):
-    """What the loader says before it has loaded, of a missing folder, and of ranks it doesn't know; and its defaults."""
-    load = loader(spark, grids(spark, sf_dir))
+def loader_price_double(spark, sf_dir):
+    """A feature of doubles that 32-bit floats can't hold, from files of doubles, loaded as doubles."""
+    prices = part_points(spark, sf_dir).select(F.lit("price").alias("variable"), "timestep", "x", F.lit(None).cast("int").alias("y"), F.col("p_retailprice").alias("value"))
+    folder = new_path(spark)
+    write(prices, folder, kind="double")
+    return NetCDFDataLoader(["price"], [], 3, data_dir=folder, spark=spark).load_feature_data("double")
+
+
+def grid_source_1d(spark, sf_dir):
+    """One variable of rank 1 through the data source, with its place in all timesteps."""
+    return with_row_numbers(grid_rows(spark, grids(spark, sf_dir), "ncsteps", 1, 3)).select("variable", "timestep", "x", "value", "row")
+
+
+def grid_source_2d(spark, sf_dir):
+    """One variable of rank 2 through the data source, in parts of a file."""
+    grid = with_row_numbers(grid_rows(spark, grids(spark, sf_dir), "embedding", 2, 3, values=1 << 16))
+    return grid.select("timestep", "x", F.col("y").alias("component"), "value", "row")
+
+
+def grid_pushdown(spark, sf_dir):
+    """The second timestep alone, by a filter that the data source takes: other timesteps' files aren't read."""
+    spark.conf.set(PUSHDOWN, "true")
+    grid = grid_rows(spark, grids(spark, sf_dir), "embedding", 2, 3, pushdown=True).filter("timestep = 2")
+    return grid.select("timestep", "x", F.col("y").alias("component"), "value")
+
+
+def stream_prefixes(spark, sf_dir):
+    """Rows and the largest class after each timestep of a stream of files."""
+    folder, out, checkpoint = grids(spark, sf_dir), new_path(spark), new_path(spark)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        widths = class_widths(arriving(spark, folder, files=1_000))
+        query = widths.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(widths.schema).parquet(out)
+
+
+def onehot_vector_query(spark, sf_dir):
+    """The vector form of targets, as one string for each row."""
+    digits = F.transform(vector_to_array("target"), lambda v: v.cast("int").cast("string"))
+    return onehot_vector(steps(spark, sf_dir)).select("p_partkey", F.concat_ws("", digits).alias("target"))
+
+
+def feature_vector_query(spark, sf_dir):
+    """label and the components of each vector, assembled as one vector and taken out of it again."""
+    names = ["label", *(f"embedding_{j}" for j in range(INPUTS))]
+    base = feature_vector(feature_stack(spark, sf_dir), names, "_v").select("vec_id", vector_to_array("_v", "float32").alias("_v"))
+    return base.select("vec_id", *(F.get("_v", F.lit(k)).alias(n) for k, n in enumerate(names)))
+
+
+def fcnn_native(spark, sf_dir):
+    """The forward pass by expressions alone."""
+    out = vectors(spark, sf_dir).select("vec_id", model().native(F.col("embedding")).alias("p"))
+    return exploded(out, "p", "cls", "p_cls").select("vec_id", "cls", F.round("p_cls", DIGITS).alias("p"))
+
 
-    def said(call) -> str:
-        try:
-            return str(call())
-        except (OSError, RuntimeError, AssertionError) as e:
-            return str(e)
-
-    rows = {
-        "features": lambda: load.features,
-        "max_nhsteps": lambda: load.max_nhsteps,
-        "missing folder": lambda: NetCDFDataLoader([], [], 1, data_dir="/no/such/folder", spark=spark),
-        "rank": lambda: read_grid(spark, load.data_dir, {"label": 3}, 1),
-        "num_timesteps": lambda: load.num_timesteps,
-        "default folder": lambda: inspect.signature(NetCDFDataLoader).parameters["data_dir"].default,
-        "default classes": lambda: FCNN(4).output.out_features,
-        "default hidden": lambda: FCNN(4).hidden.out_features,
-    }
-    return spark.createDataFrame([(k, said(v)) for k, v in rows.items()], "what string, said string")
+def fcnn_pipeline(spark, sf_dir):
+    """The forward pass as a stage of a pipeline that was saved and loaded again."""
+    path = new_path(spark)
+    df = vectors(spark, sf_dir)
+    Pipeline(stages=[HalvingClassifier(model(), "embedding", "p")]).fit(df).write().save(path)
+    return exploded(PipelineModel.load(path).transform(df), "p", "cls", "p_cls").select("vec_id", "cls", F.round("p_cls", DIGITS).alias("p"))
 
 
 def fcnn_from_table(spark, sf_dir):
@@ -324,7 +394,15 @@ QUERIES = {
     "source_rows_1d": source_rows_1d,
     "source_rows_2d": source_rows_2d,
     "source_files": source_files,
-    "loader_state": loader_state,
+    "loader_price_double": loader_price_double,
+    "grid_source_1d": grid_source_1d,
+    "grid_source_2d": grid_source_2d,
+    "grid_pushdown": grid_pushdown,
+    "stream_prefixes": stream_prefixes,
+    "onehot_vector": onehot_vector_query,
+    "feature_vector": feature_vector_query,
+    "fcnn_native": fcnn_native,
+    "fcnn_pipeline": fcnn_pipeline,
     "fcnn_from_table": fcnn_from_table,
     "dense_hidden": dense_hidden,
     "relu_hidden": relu_hidden,

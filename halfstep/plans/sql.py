@@ -22,7 +22,7 @@ p AS (SELECT vec_id, k, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM x)
 FORWARD = f"WITH {NET} SELECT vec_id, k AS cls, round(p, {DIGITS}) AS p FROM p"
 
 POINTS = "SELECT vec_id, label, embedding, CAST(vec_id % 3 + 1 AS INTEGER) AS timestep, CAST(row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id) - 1 AS INTEGER) AS x, row_number() OVER (ORDER BY vec_id % 3, vec_id) - 1 AS row FROM embeddings"
-PARTS = "SELECT p_size, CAST(p_partkey % 3 + 1 AS INTEGER) AS timestep, CAST(row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) - 1 AS INTEGER) AS x, row_number() OVER (ORDER BY p_partkey % 3, p_partkey) - 1 AS row, CAST(round_even(log2(CAST(p_size AS DOUBLE)), 0) AS INTEGER) AS nhsteps FROM part"
+PARTS = "SELECT p_size, p_retailprice, CAST(p_partkey % 3 + 1 AS INTEGER) AS timestep, CAST(row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) - 1 AS INTEGER) AS x, row_number() OVER (ORDER BY p_partkey % 3, p_partkey) - 1 AS row, CAST(round_even(log2(CAST(p_size AS DOUBLE)), 0) AS INTEGER) AS nhsteps FROM part"
 
 SQL = {
     "loader_targets": f"WITH s AS ({PARTS}), m AS (SELECT max(nhsteps) AS m FROM s) SELECT timestep, x, nhsteps, repeat('0', nhsteps) || '1' || repeat('0', m - nhsteps) AS target, m AS max_nhsteps FROM s, m",
@@ -34,7 +34,15 @@ SQL = {
     "source_rows_1d": f"SELECT 'ncsteps' AS variable, timestep, x, CAST(p_size AS FLOAT) AS value, row FROM ({PARTS})",
     "source_rows_2d": f"SELECT timestep, x, CAST(i AS INTEGER) AS component, embedding[i + 1] AS value, row FROM ({POINTS}), range({INPUTS}) t(i)",
     "source_files": f"WITH p AS ({POINTS}), q AS ({PARTS}), s AS (SELECT 'embedding' AS variable, {INPUTS} || 'x' || count(*) AS shape FROM p WHERE timestep = 1 UNION ALL SELECT 'label', CAST(count(*) AS VARCHAR) FROM p WHERE timestep = 1 UNION ALL SELECT 'ncsteps', CAST(count(*) AS VARCHAR) FROM q WHERE timestep = 1) SELECT variable, CAST(t AS INTEGER) AS timestep, variable || '_' || t || '.cdl' AS file, shape FROM s, range(1, 3) r(t)",
-    "loader_state": "SELECT what, said FROM (VALUES ('features', 'Features have not been loaded. Call load_feature_data() first.'), ('max_nhsteps', 'Max halving steps have not been set. Call load_target_data() first.'), ('missing folder', 'Data directory ''/no/such/folder'' does not exist.'), ('rank', 'Only feature data with 1 or 2 dimensions are supported.'), ('num_timesteps', '3'), ('default folder', 'data'), ('default classes', '6'), ('default hidden', '50')) t(what, said)",
+    "loader_price_double": f"SELECT timestep, x, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS price FROM ({PARTS})",
+    "grid_source_1d": f"SELECT 'ncsteps' AS variable, timestep, x, CAST(p_size AS FLOAT) AS value, row FROM ({PARTS})",
+    "grid_source_2d": f"SELECT timestep, x, CAST(i AS INTEGER) AS component, embedding[i + 1] AS value, row FROM ({POINTS}), range({INPUTS}) t(i)",
+    "grid_pushdown": f"SELECT timestep, x, CAST(i AS INTEGER) AS component, embedding[i + 1] AS value FROM ({POINTS}), range({INPUTS}) t(i) WHERE timestep = 2",
+    "stream_prefixes": f"SELECT CAST(n AS INTEGER) AS num_timesteps, count(*) AS n_rows, max(nhsteps) AS max_nhsteps FROM ({PARTS}) JOIN range(1, 4) t(n) ON timestep <= n GROUP BY n",
+    "onehot_vector": f"WITH s AS ({STEPS}), m AS (SELECT max(nhsteps) AS m FROM s) SELECT p_partkey, repeat('0', nhsteps) || '1' || repeat('0', m - nhsteps) AS target FROM s, m",
+    "feature_vector": "SELECT vec_id, CAST(label AS FLOAT) AS label, " + ", ".join(f"embedding[{j + 1}] AS embedding_{j}" for j in range(INPUTS)) + " FROM embeddings",
+    "fcnn_native": FORWARD,
+    "fcnn_pipeline": FORWARD,
     "fcnn_from_table": FORWARD,
     "nhsteps": f"SELECT p_partkey, p_size, nhsteps FROM ({STEPS})",
     "max_nhsteps": f"SELECT max(nhsteps) AS max_nhsteps FROM ({STEPS})",
