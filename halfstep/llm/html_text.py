@@ -23,7 +23,7 @@ import html
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,41 +57,91 @@ NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 PIECES = re.compile(r"[a-z]+")
 
 
+class Node:
+    """An open element. Nodes share their parents, and also the columns of path features where they add none."""
+
+    __slots__ = ("parent", "names", "depth", "columns")
+
+    def __init__(self, parent: Node | None, names: tuple[str, ...]):
+        self.parent, self.names, self.depth = parent, names, parent.depth + 1 if parent else 1
+        held = parent.columns if parent else frozenset()
+        own = {bucket("n:" + x, PATHS) if j else bucket("t:" + x, PATHS) for j, x in enumerate(names)}
+        self.columns = held if own <= held else held | own
+
+
 class Block:
-    __slots__ = ("path", "text", "links")
+    __slots__ = ("node", "text", "links")
+
+    def __init__(self, node: Node | None, text: str, links: int):
+        self.node, self.text, self.links = node, text, links
+
+    @property
+    def path(self) -> tuple[tuple[str, ...], ...]:
+        """Tag, classes and ids of each element from the outermost."""
+        out, node = [], self.node
+        while node:
+            out.append(node.names)
+            node = node.parent
+        return tuple(reversed(out))
+
 
-    def __init__(self, path: tuple[tuple[str, ...], ...], text: str, links: int):
-        self.path, self.text, self.links = path, text, links
+class Open:
+    """Open elements from the outermost, and where those of each tag are, so that none is searched for."""
+
+    def __init__(self):
+        self.items: list = []
+        self.places: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+
+    def push(self, tag: str, item) -> None:
+        self.places.setdefault(tag, []).append(len(self.items))
+        if tag in BARRIER:
+            self.barriers.append(len(self.items))
+        self.items.append((tag, item))
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost element of these tags, -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at this place and those in it."""
+        while len(self.items) > place:
+            tag, _ = self.items.pop()
+            self.places[tag].pop()
+            if tag in BARRIER:
+                self.barriers.pop()
+
+    def count(self, tag: str) -> int:
+        return len(self.places.get(tag, ()))
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with white space made single and character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    stack, unshown = Open(), Open()  # unshown: elements whose content isn't shown
     parts: list[str] = []
     links = in_link = at = 0
 
-    unshown: list[str] = []  # open elements whose content isn't shown, from the outermost
-
     def flush() -> None:
         nonlocal parts, links
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(stack), text, links))
+            out.append(Block(stack.items[-1][1] if stack.items else None, text, links))
         parts, links = [], 0
 
     def said(text: str) -> None:
         nonlocal links
-        if text and not unshown:
+        if text and not unshown.items:
             parts.append(text)
             links += len(text) if in_link else 0
 
-    ends: dict[str, int] = {}  # how many end tags of an element that isn't shown are still to come
+    to_come: dict[str, int] = {}  # how many end tags of an element that isn't shown are still to come
+    never: set[str] = set()  # elements of text of which no end tag is left
 
     def closed_later(tag: str) -> bool:
-        if tag not in ends:
-            ends[tag] = len(re.findall(rf"</{tag}(?=[\s/>])", page[at:], re.I))
-        return ends[tag] > unshown.count(tag)
+        if tag not in to_come:
+            to_come[tag] = len(re.findall(rf"</{tag}(?=[\s/>])", page[at:], re.I))
+        return to_come[tag] > unshown.count(tag)
 
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -100,7 +150,7 @@ def blocks(page: str) -> list[Block]:
             break
         said(html.unescape(page[at : m.start()]))
         at = m.end()
-        if m["cdata"] is not None and any(tag in ("svg", "math") for tag in unshown):
+        if m["cdata"] is not None and (unshown.count("svg") or unshown.count("math")):
             continue
         if m["cdata"] is not None:  # outside svg and math it is a comment, up to the first >
             at = page.find(">", m.start()) + 1 or len(page)
@@ -108,19 +158,22 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing = m["tag"].lower(), bool(m["close"])
         if tag in UNSHOWN:
+            foreign = tag in ("svg", "math") or unshown.count("svg") or unshown.count("math")
             if closing:
-                ends[tag] = ends.get(tag, 1) - 1
-                if tag in unshown:
-                    del unshown[len(unshown) - 1 - unshown[::-1].index(tag) :]
-            elif not (m["rest"].rstrip().endswith("/") and (tag in ("svg", "math") or "svg" in unshown or "math" in unshown)) and closed_later(tag):
-                unshown.append(tag)
+                to_come[tag] = to_come.get(tag, 1) - 1
+                if unshown.count(tag):
+                    unshown.cut(unshown.last((tag,)))
+            elif not (m["rest"].rstrip().endswith("/") and foreign) and closed_later(tag):
+                unshown.push(tag, None)
             continue
         if tag in RAW:
             if not closing:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                end = None if tag in never else re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                if end is None:
+                    never.add(tag)
                 at = end.end() if end else len(page) if tag in ("script", "style") else at
             continue
-        if unshown:
+        if unshown.items:
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -131,26 +184,23 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            ends = HEADINGS if tag in HEADINGS else {tag}
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ends), None)
-            if k is not None:
-                del stack[k:]
+            place = stack.last(HEADINGS if tag in HEADINGS else (tag,))
+            if place >= 0:
+                stack.cut(place)
             continue
         if tag == "hr":
             continue
-        if stack and ((tag in CLOSE_P and stack[-1][0] == "p") or (tag in HEADINGS and stack[-1][0] in HEADINGS)):
-            stack.pop()
+        top = stack.items[-1][0] if stack.items else ""
+        if (tag in CLOSE_P and top == "p") or (tag in HEADINGS and top in HEADINGS):
+            stack.cut(len(stack.items) - 1)
         if tag in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BARRIER:
-                    break
+            place = stack.last(CLOSES[tag])
+            if place > (stack.barriers[-1] if stack.barriers else -1):
+                stack.cut(place)
         if tag in VOID:
             continue
         names = {piece for _, *v in NAMES.findall(m["rest"]) for piece in PIECES.findall("".join(v).lower())} if m["rest"] else ()
-        stack.append((tag, *sorted(names)))
+        stack.push(tag, Node(stack.items[-1][1] if stack.items else None, (tag, *sorted(names))))
     flush()
     return out
 
@@ -175,8 +225,8 @@ def feature_lots(pages: list[list[Block]]) -> Iterator[np.ndarray]:
 def _features(some: list[tuple[Block, int, int]]) -> np.ndarray:
     at, column, times, figures = [], [], [], np.zeros((len(some), FIGURES), np.float32)
     for row, (b, k, of) in enumerate(some):
-        f = {bucket("n:" + x, PATHS) if j else bucket("t:" + x, PATHS): 1 for names in b.path for j, x in enumerate(names)}
-        f[PATHS + bucket(b.path[-1][0] if b.path else "", LEAVES)] = 1
+        f = dict.fromkeys(b.node.columns, 1) if b.node else {}
+        f[PATHS + bucket(b.node.names[0] if b.node else "", LEAVES)] = 1
         words = b.text.lower().split()
         for x in words:
             w = PATHS + LEAVES + bucket(x.strip(".,;:!?()\"'"), WORDS)
@@ -185,7 +235,7 @@ def _features(some: list[tuple[Block, int, int]]) -> np.ndarray:
         column.append(np.fromiter(f, np.int64, len(f)))
         times.append(np.fromiter(f.values(), np.float32, len(f)))
         n, letters = len(b.text), sum(map(str.isalpha, b.text))
-        figures[row] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1, b.links / n), min(1, sum(map(b.text.count, ".,;!?")) / (1 + len(words))), letters / n, b.text[-1] in ".!?", k / of, len(b.path) / 8)
+        figures[row] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1, b.links / n), min(1, sum(map(b.text.count, ".,;!?")) / (1 + len(words))), letters / n, b.text[-1] in ".!?", k / of, (b.node.depth if b.node else 0) / 8)
     x = np.zeros((len(some), WIDTH), np.float32)
     x[np.concatenate(at), np.concatenate(column)] = np.concatenate(times)
     words = x[:, PATHS + LEAVES : PATHS + LEAVES + WORDS]

@@ -1,5 +1,6 @@
 import html
 import os
+import random
 import re
 import time
 import zlib
@@ -265,6 +266,47 @@ def test_long_pages_go_in_lots(monkeypatch):
     assert len(H.main_texts(model, ["<p>a b</p>" * 60_000])) == 1 and time.time() - start < 120
 
 
+@pytest.mark.parametrize("tag", sorted(H.UNSHOWN))
+def test_unshown_elements_beside_blocks(tag):
+    for page in (f"<p>a</p><{tag}>x</{tag}>b<p>c</p>", f"<{tag}></{tag}><p>a</p>b<p>c</p><{tag}></{tag}>", f"<h1>a</h1></{tag}>b<h2>c</h2></{tag}>", f"<p>a</p><{tag}>b<div>c</div>"):
+        assert [b.text for b in H.blocks(page)] == ["a", "b", "c"]
+
+
+def test_unshown_elements_through_the_operator(spark):
+    df = spark.createDataFrame([(1, "u", "<p>hello</p><svg></svg>"), (2, "u", "<p>a</p></svg>"), (3, "u", PAGE.replace("</p>", "</p><video>x</video></canvas>"))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert len(got) == 3 and got[3] == H.main_texts(H.trained(), [PAGE])[0]
+
+
+def test_no_markup_is_an_error():
+    r = random.Random(8)
+    pieces = [*(f"<{x}>" for x in sorted(H.BLOCK | H.RAW | H.UNSHOWN | H.VOID)), *(f"</{x}>" for x in sorted(H.BLOCK | H.RAW | H.UNSHOWN)), "<", ">", "</", "<!--", "-->", "<![CDATA[", "]]>", "<p class='a b'", "/>", "&amp;", "text ", " ", "<a href=x>", "</a>", "<div id=\"q"]
+    for _ in range(1500):
+        for b in H.blocks("".join(r.choice(pieces) for _ in range(r.randint(0, 60)))):
+            assert b.text and len(b.path) == (b.node.depth if b.node else 0)
+
+
+@pytest.mark.parametrize("unit,end", [("<div>", ""), ("<textarea>", ""), ("<svg>", ""), ("<svg>", "</svg>"), ("<ul><center>", "<li></li>"), ("<div class=a>", "</p>"), ("<title>", ""), ("</div>", "")])
+def test_long_odd_pages_take_linear_time(unit, end):
+    n = 1_000_000 // len(unit + end)
+    page, start = "<li>" + unit * n + "x" + end * n, time.time()
+    found = H.blocks(page)
+    H.features([found])
+    assert len(found) <= 2 and time.time() - start < 10
+
+
+def test_deep_blocks_share_their_paths():
+    import tracemalloc
+
+    page = "<div class='a b'>word " * 16_000
+    tracemalloc.start()
+    found, start = H.blocks(page), time.time()
+    rows = sum(len(lot) for lot in H.feature_lots([found]))
+    assert rows == len(found) == 16_000 and found[-1].path == (("div", "a", "b"),) * 16_000
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20 and time.time() - start < 20
+    tracemalloc.stop()
+
+
 def by_template(page: str) -> str:
     """The articles of pages in the given tables, by a rule for their markup."""
     inside = "".join(re.findall(r"<article>(.*?)</article>", page, re.S)).replace("<br>", " ")
