@@ -2,20 +2,20 @@
 
 For each language a suffix automaton of labelled text is built. A text is parsed against it from left to right into the
 longest phrases that occur in the labelled text. A phrase costs the logarithm of the labelled text's length, as it is
-named by a place there; the language in which the text costs least wins (the first in code-point order if equal). The
-automaton with its restarts is one table of states by characters, so many texts are parsed in step by numpy. The LETTERS
-most common letters have columns in that table; the edges of all others are in one sorted list, looked up where a text has
-such a letter, so every letter of the labelled text counts.
+named by a place there; the language in which the text costs least wins (the first in code-point order if equal). Many texts
+are parsed in step by numpy: an automaton with its restarts is a table of states by the language's letters, or, where the
+tables of a worker come to DENSE bytes, its edges in order, in which a state's are searched.
 
 Text is lower-cased letters with one space for each run of anything else. Long texts are parsed in blocks side by side;
 blocks are parsed again from the state in which the one before them ends until no such state changes, so a text has just
 the phrases of one parse from its beginning to its end. Null texts and texts without a letter give `und` with score 0. The
 score is 1 - least / second least cost. With no labelled row every text with a letter is `und`.
 
-Labelled text is a bounded sample of labelled rows, read whole: for each of the MOST_LANGUAGES labels that most rows have,
-the different texts of least hash, up to ROWS of them and until they have SAMPLE_CHARS characters; texts of over LONG
-characters come after all others, and those of over LONGEST are not learned from. Rows that repeat a text count once, so
-neither they nor another language take a language's place.
+Labelled text is a bounded sample of labelled rows: for each label the different texts of least hash, up to ROWS of them and
+until they have its share of characters, SAMPLE_CHARS, or SAMPLE_TOTAL over the number of labels if that is less; texts of
+over LONG characters come after all others, the shorter ones first. Every label is learned; a text of more characters than
+the share is learned from as far as that goes. So the driver gets twice SAMPLE_TOTAL characters at most. Rows that repeat a
+text count once, so neither they nor another language take a language's place.
 """
 
 from __future__ import annotations
@@ -30,37 +30,37 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, table
+from .common import lean, small, table
 
 #: Bounds of the sample, and the length that a phrase's cost is at least taken from.
-ROWS, SAMPLE_CHARS, LONG, LONGEST, MOST_LANGUAGES, LEAST_CHARS = 48, 24_576, 4_096, 65_536, 256, 4_096
-#: Characters in a block, characters parsed at once, and letters with a column of their own in the table (this only
-#: affects memory and speed).
-BLOCK, CHUNK, LETTERS = 2_048, 2_000_000, 250
+ROWS, SAMPLE_CHARS, SAMPLE_TOTAL, LONG, LEAST_CHARS = 48, 24_576, 16 << 20, 4_096, 4_096
+#: Characters in a block, characters parsed at once, and bytes of tables in a worker (this only affects memory and speed).
+BLOCK, CHUNK, DENSE = 2_048, 2_000_000, 128 << 20
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Labelled text for each language, from rows that aren't held out. Hashes are ranked for each language where the rows
-    are, so at most `rows` texts a language come to the driver."""
+def sample(docs: DataFrame, rows: int = ROWS, chars: int = SAMPLE_CHARS, total: int = SAMPLE_TOTAL) -> dict[str, str]:
+    """Labelled text for each language, from rows that aren't held out. Hashes are ranked and texts chosen by running length
+    where the rows are; only the chosen ones come to the driver."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text")
-    names = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not names:
+    usable = usable.withColumns({"n": F.length("text"), "h": F.xxhash64(F.lit(3), "text")}).filter("n > 0")
+    labels = usable.select("lang").distinct().count()
+    if not labels:
         return {}
-    usable = usable.filter(F.col("lang").isin(names)).withColumns({"n": F.length("text"), "h": F.xxhash64(F.lit(3), "text")})
-    usable = usable.filter(F.col("n").between(1, LONGEST))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.when(F.col("n") > LONG, F.col("n")).otherwise(0), "h"))
-    chosen = usable.select("lang", "n", "h").distinct().withColumn("nth", rank).filter(F.col("nth") <= rows).collect()
-    few = docs.sparkSession.createDataFrame([(r["lang"], r["h"], r["nth"]) for r in chosen], "lang string, h long, nth int")
-    texts = usable.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
+    share = min(chars, max(1, total // labels))
+    by = Window.partitionBy("lang")
+    rank = F.row_number().over(by.orderBy(F.when(F.col("n") > LONG, F.col("n")).otherwise(0), "h"))
+    ranked = usable.select("lang", "n", "h").distinct().withColumn("nth", rank).filter(F.col("nth") <= rows)
+    before = F.coalesce(F.sum("n").over(by.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = [(r["lang"], r["h"], r["nth"]) for r in ranked.withColumn("before", before).filter(F.col("before") < share).collect()]
+    few = docs.sparkSession.createDataFrame(chosen, "lang string, h long, nth int")
+    texts = usable.join(small(few), ["lang", "h"]).groupBy("lang", "nth").agg(F.min(F.substring("text", 1, share)).alias("text"))
     kept: dict[str, list[str]] = {}
     for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["nth"])):
-        part = kept.setdefault(r["lang"], [])
-        if sum(map(len, part)) < chars:
-            part.append(r["text"])
+        kept.setdefault(r["lang"], []).append(r["text"])
     return {lang: " ".join(part) for lang, part in kept.items()}
 
 
@@ -94,58 +94,67 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return step
 
 
+class Automaton:
+    """One language's suffix automaton with its restarts, by steps of many texts at once. A step gives the next state times
+    4, plus the phrases that end: 0 where a phrase goes on, 1 where another begins with this character, 2 where one ends and
+    the character, which the labelled text lacks, is one too. States are multiplied by width, in a table the row's length."""
+
+    def __init__(self, codes: np.ndarray, kinds: int, room: int):
+        own = np.unique(codes)
+        self.local = np.full(kinds, len(own), np.int32)  # letters of other languages have the last code
+        self.local[own] = np.arange(len(own))
+        step = suffix_automaton(self.local[codes].tolist())
+        degree = np.array([len(e) for e in step])
+        state = np.repeat(np.arange(len(step)), degree)
+        letter = np.fromiter((c for e in step for c in e), np.int32, len(state))
+        to = np.fromiter((t for e in step for t in e.values()), np.int64, len(state))
+        restart = np.full(len(own) + 1, -1, np.int64)
+        restart[list(step[0])] = list(step[0].values())
+        self.bytes = 4 * len(step) * len(restart)
+        self.table = None
+        if self.bytes <= min(room, 1 << 29):  # entries stay below 2^31
+            self.width = len(restart)
+            t = np.broadcast_to(np.where(restart >= 0, (restart * self.width) << 2 | 1, 2), (len(step), self.width)).astype(np.int32)
+            t[0, restart < 0] = 1
+            t[state, letter] = (to * self.width) << 2
+            self.table = t.ravel()
+            return
+        order = np.lexsort((letter, state))
+        self.width, self.letter, self.to, self.restart = 1, letter[order], to[order].astype(np.int32), restart
+        self.first = np.concatenate([[0], np.cumsum(degree)])
+        self.bytes = 0
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[state + code]
+        low, end = self.first[state], self.first[state + 1]
+        n, last = end - low, len(self.letter) - 1
+        while n.any():  # the first edge of a state whose letter isn't less
+            half = n >> 1
+            less = (n > 0) & (self.letter[np.minimum(low + half, last)] < code)
+            low, n = np.where(less, low + half + 1, low), np.where(less, n - half - 1, half)
+        at = np.minimum(low, last)
+        again = self.restart[code]
+        other = np.where(again >= 0, again << 2 | 1, np.where(state == 0, 1, 2))
+        return np.where((low < end) & (self.letter[at] == code), self.to[at].astype(np.int64) << 2, other)
+
+
 class Parser:
-    """The parsing table of several languages."""
+    """The automata of several languages."""
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         self.cost = np.log2([max(LEAST_CHARS, len(texts[lang])) for lang in self.languages])
         #: 0: no letter; 1: a letter that no labelled text has; above: letters of the labelled texts.
         folded = {cp: low for cp in range(0x110000) if (ch := chr(cp)).isalpha() for low in [ch.lower() if len(ch.lower()) == 1 else ch]}
-        common: dict[str, int] = {}
-        for t in texts.values():
-            for ch in t:
-                if ch.isalpha():
-                    low = folded[ord(ch)]
-                    common[low] = common.get(low, 0) + 1
-        letters = {ch: k + 2 for k, ch in enumerate(sorted(common, key=lambda ch: (-common[ch], ch)))}
-        self.kinds = len(letters) + 2
-        self.kind = np.zeros(0x110000, np.min_scalar_type(self.kinds - 1))
+        letters = {ch: k + 2 for k, ch in enumerate(sorted({folded[ord(ch)] for t in texts.values() for ch in set(t) if ch.isalpha()}))}
+        self.kind = np.zeros(0x110000, np.min_scalar_type(len(letters) + 1))
         self.kind[list(folded)] = [letters.get(low, 1) for low in folded.values()]
-        self.width = min(len(letters), LETTERS) + 2
-        tables, starts, at = [], [], 0
-        rare: list[tuple[int, int]] = []  # of letters without a column: state and letter as one number, and the next state
+        self.automata, room = [], DENSE
         for lang in self.languages:
             codes, _ = self.normalised(texts[lang])
-            step = suffix_automaton(codes.tolist())
-            t = np.full((len(step), self.width), -1, np.int64)
-            for s, edges in enumerate(step):
-                rare += [((at + s) * self.kinds + c, at + to) for c, to in edges.items() if c >= self.width]
-                edges = {c: to for c, to in edges.items() if c < self.width}
-                t[s, list(edges)] = list(edges.values())
-            first = t[0].copy()
-            again, ends = np.where(first < 0, 0, first), np.where(first < 0, 2, 1)  # an unread character is a phrase too
-            t = np.where(t >= 0, ((t + at) * self.width) << 2, (((again + at) * self.width) << 2) | ends)
-            t[0] = np.where(first < 0, (at * self.width << 2) | 1, t[0])
-            tables.append(t.astype(np.int32))
-            starts.append(at * self.width)
-            at += len(step)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.starts = np.array(starts, np.int64)
-        self.rare = np.array(sorted(rare), np.int64).reshape(-1, 2)
-
-    def rare_steps(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """The entries that the table would have for letters without a column, by states of each language (rows)."""
-
-        def step(state: np.ndarray) -> np.ndarray:
-            key = state // self.width * self.kinds + code
-            found = np.minimum(np.searchsorted(self.rare[:, 0], key), len(self.rare) - 1)
-            return np.where(self.rare[found, 0] == key, self.rare[found, 1] * self.width, -1)
-
-        start = np.broadcast_to(self.starts[:, None], state.shape)
-        on, first = step(state), step(start)
-        again = np.where(first >= 0, first << 2 | 1, start << 2 | np.where(state == start, 1, 2))
-        return np.where(on >= 0, on << 2, again)
+            self.automata.append(Automaton(codes, len(letters) + 2, room))
+            room -= self.automata[-1].bytes
 
     def normalised(self, text: str, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The kinds of the characters of texts that stand one after another, runs without letters made one; how many
@@ -169,41 +178,34 @@ class Parser:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = (np.cumsum(lengths) - lengths)[owner] + nth * BLOCK
         size = np.minimum(BLOCK, lengths[owner] - nth * BLOCK)
-        enter = np.repeat(self.starts[:, None], len(size), 1)
-        count, leave = self.parsed(codes, begin, size, enter)
-        while True:
-            again = np.flatnonzero((nth > 0) & (np.roll(leave, 1, 1) != enter).any(0))
-            if not len(again):
-                break
-            enter[:, again] = leave[:, again - 1]
-            count[:, again], leave[:, again] = self.parsed(codes, begin[again], size[again], enter[:, again])
         last = np.ones(len(owner), bool)
         last[:-1] = owner[1:] != owner[:-1]
-        count += (leave != self.starts[:, None]) & last
         out = np.zeros((len(lengths), len(self.languages)), np.int64)
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(owner, count[k], len(lengths))
+        for k, automaton in enumerate(self.automata):
+            mine = automaton.local[codes]
+            enter = np.zeros(len(size), np.int64)
+            count, leave = self.parsed(automaton, mine, begin, size, enter)
+            while True:
+                again = np.flatnonzero((nth > 0) & (np.roll(leave, 1) != enter))
+                if not len(again):
+                    break
+                enter[again] = leave[again - 1]
+                count[again], leave[again] = self.parsed(automaton, mine, begin[again], size[again], enter[again])
+            out[:, k] = np.bincount(owner, count + ((leave != 0) & last), len(lengths))
         return out
 
-    def parsed(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases that end in each block, and the states after it, from the states before it (languages by blocks)."""
+    def parsed(self, automaton: Automaton, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each block, and the states after it, from the states before it."""
         order = np.argsort(-size, kind="stable")
-        begin, size, state = begin[order], size[order], enter[:, order]
-        count = np.zeros(state.shape, np.int32)
-        many = self.kinds > self.width
+        begin, size, state = begin[order], size[order], enter[order]
+        count = np.zeros(len(state), np.int64)
         active = len(size) - np.searchsorted(size[::-1], np.arange(size[0] if len(size) else 0), side="right")
-        for t, n in enumerate(active):
-            code = codes[begin[:n] + t]
-            if many and len(at := np.flatnonzero(code >= self.width)):
-                rare = self.rare_steps(state[:, at], code[at].astype(np.int64))
-                x = self.table[state[:, :n] + np.where(code < self.width, code, 1)]
-                x[:, at] = rare
-            else:
-                x = self.table[state[:, :n] + code]
-            count[:, :n] += x & 3
-            state[:, :n] = x >> 2
+        for t, n in enumerate(active.tolist()):
+            x = automaton.step(state[:n], codes[begin[:n] + t])
+            count[:n] += x & 3
+            state[:n] = x >> 2
         back = np.argsort(order)
-        return count[:, back], state[:, back]
+        return count[back], state[back]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Languages, scores, phrases in the language that wins (0 for `und`), and how many characters were parsed."""

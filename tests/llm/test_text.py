@@ -182,7 +182,7 @@ def test_no_label_is_starved_by_repeated_rows(spark):
     rows = [(k, "one text that very many rows repeat", "en") for k in range(3000)] + [(5000 + k, f"un autre texte numéro {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}", "fr") for k in range(600)]
     rows += [*((9200 + k, "lang " * 30_000, "xx") for k in range(9)), *((9100 + k, "kurz", "yy") for k in range(9)), *((9300 + k, "long " * 2_000, "zz") for k in range(9))]
     known = sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert sorted(known) == ["en", "fr", "yy", "zz"] and known["en"].count("repeat") == 1 and known["zz"] == "long " * 2_000
+    assert sorted(known) == ["en", "fr", "xx", "yy", "zz"] and known["xx"] == ("lang " * 30_000)[:24_576] and known["en"].count("repeat") == 1 and known["zz"] == "long " * 2_000
     assert known["fr"].count("autre") == 48
 
 
@@ -327,8 +327,8 @@ def test_environment_leaves_no_threads():
     assert os.environ.get("TOKENIZERS_PARALLELISM", "false") in ("false", "0")
 
 
-def test_letters_beyond_the_common_ones_count(monkeypatch):
-    """Parses of scripts of many letters are those of a table with a column for each letter."""
+def test_tables_and_searched_edges_give_the_same(monkeypatch):
+    """Also of scripts of many letters."""
     from halfstep.llm import langid as L
 
     r = np.random.default_rng(5)
@@ -340,12 +340,33 @@ def test_letters_beyond_the_common_ones_count(monkeypatch):
 
     texts = {"a": some(4000, 0), "b": some(4000, 400), "c": "plain words of another script " * 20}
     probes = [texts["a"][500:900], texts["b"][3:2900], some(300, 0), some(300, 400), "plain words", "一", "龠" * 9, ""]
-    capped = L.Parser(texts)
-    assert capped.kinds > capped.width
-    got = capped.predict(probes)
-    monkeypatch.setattr(L, "LETTERS", 100_000)
-    want = L.Parser(texts).predict(probes)
+    tables = L.Parser(texts)
+    assert all(a.table is not None for a in tables.automata)
+    got = tables.predict(probes)
+    monkeypatch.setattr(L, "DENSE", 0)
+    edges = L.Parser(texts)
+    assert all(a.table is None for a in edges.automata)
+    want = edges.predict(probes)
     assert got[0] == want[0] and got[0][:5] == ["a", "b", "a", "b", "c"]
     assert all((g == w).all() for g, w in zip(got[1:], want[1:], strict=True))
     assert got[2][0] == 1  # the labelled text itself is one phrase
 
+
+def test_many_labels_in_many_scripts(spark):
+    """All of 300 labels are learned, and predicted as searching does, with the tables' bytes bounded."""
+    from halfstep.llm import langid as L
+
+    r, rows = np.random.default_rng(6), []
+    for k in range(300):
+        script = [chr(0x4E00 + 40 * k + j) for j in range(60)] if k % 3 else [chr(97 + (k + j) % 26) for j in range(14)]
+        rows += [(1000 * k + 10 * j + 1, "".join(r.choice([*script, " "], 150)), f"l{k:03d}") for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = L.sample(docs)
+    usable = docs.filter(~L.held_out(F.col("doc_id")))
+    assert sorted(known) == sorted({r["lang"] for r in usable.select("lang").distinct().collect()}) and len(known) > 290
+    parser = L.Parser(known)
+    assert sum(a.bytes for a in parser.automata) <= L.DENSE
+    probes = [rows[4 * k][1] for k in range(0, 300, 29)]
+    for text, lang in zip(probes, parser.predict(probes)[0], strict=True):
+        assert lang == by_search(text, known)[0]
+    assert set(L.sample(docs, total=300 * 100).keys()) == set(known) and max(map(len, L.sample(docs, total=300 * 100).values())) <= 201
