@@ -1,12 +1,14 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked (each to the hub of its group). Shards start from a hash of the document; then
-every group names the shard that holds most of it (by a hash of group and shard if several do), and its members ask to
-be there. Groups are let in whole, the larger ones first, up to the quota of the shard, its even share of all rows; a
-group whose shard is full names the shard with most room, if that has room for all of it. Only numbers of groups by
-named shard and size come to the driver. After one round every group that was let in is whole and in the shard that it
-names, so a further round would move nothing.
-
+Documents with equal texts are linked (each to the hub of its group). Shards start from a hash of the document; then rounds of
+joins move linked documents towards their neighbours' shards. In a round, the labels of each group are counted; a group that
+is in several shards names the one that holds most of it (by a hash of group, shard and round if several do), and its members
+elsewhere wish to be there. Wishes from one shard to another are granted as far as as many go the other way, and beyond that
+as far as the shard has room, its even share of all rows less the linked rows in it; those of larger groups come first. Only
+counts of wishes by shards and size of the group come to the driver. Each move takes a document from a smaller or equal part
+of its group to a larger or equal one, so rounds come to an end: with one that moves nothing, or after `rounds` of them.
+
+Groups that are still cut then are packed: the larger groups first, into the shards they name, or the ones with most room.
 Groups larger than a shard fill empty shards and go on in another one; what fits nowhere is cut last, when all other
 groups are placed. Then each shard has less room than any such group has rows, so there are fewer of them than shards,
 groups larger than a shard apart. At the end surplus unlinked rows go to the shards that lack some, so that counts are
@@ -24,10 +26,12 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, occurrences, ranked, small, table, unit
+from .common import cut, done, occurrences, ranked, small, table, unit
 
 #: Rows that one window of the ranking holds, on average, at most, and rows of ranges of groups that are broadcast.
 WINDOW_ROWS, BROADCAST_RANGES = 50_000, 500_000
+#: Rounds of propagation, at most.
+ROUNDS = 8
 
 
 def deal(classes: dict[tuple[int, int], int], want: list[int]) -> tuple[list[tuple], list[tuple]]:
@@ -84,8 +88,60 @@ def deal(classes: dict[tuple[int, int], int], want: list[int]) -> tuple[list[tup
     return whole, parts
 
 
-def propagate(linked: DataFrame, want: list[int]) -> DataFrame:
-    """_row and shard of linked (_row, doc_id, _nth, _key, shard), after label propagation; no shard has more rows than it is to have."""
+def quotas(wishes: dict[tuple[int, int, int], int], room: list[int]) -> dict[tuple[int, int, int], int]:
+    """How many of the wishes by (from, to, size of the group) are granted: between two shards as many as go the other way,
+    then as many as there is room for; the larger groups first."""
+    both: dict[tuple[int, int], int] = {}
+    for (a, b, _), n in wishes.items():
+        both[a, b] = both.get((a, b), 0) + n
+    free, granted = list(room), {}
+    for (a, b), n in sorted(both.items()):
+        granted[a, b] = min(n, both.get((b, a), 0))
+        more = max(0, min(n - granted[a, b], free[b]))
+        granted[a, b], free[b] = granted[a, b] + more, free[b] - more
+    out = {}
+    for (a, b, size), n in sorted(wishes.items(), key=lambda w: (w[0][:2], -w[0][2])):
+        out[a, b, size] = min(n, granted[a, b])
+        granted[a, b] -= out[a, b, size]
+    return {k: n for k, n in out.items() if n}
+
+
+def propagated(linked: DataFrame, want: list[int], rounds: int) -> tuple[DataFrame, list[int]]:
+    """linked (_row, doc_id, _nth, _key, shard) with new shards after so many rounds, or the first one that moves nothing;
+    and the cut, the number of parts of groups beyond one each, before each round and at the end."""
+    cuts: list[int] = []
+    for r in range(rounds + 1):
+        held = linked.groupBy("_key", "shard").agg(F.count(F.lit(1)).alias("_n")).withColumn("_tie", unit("_key", "shard", seed=100 + r))
+        named = held.groupBy("_key").agg(F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_parts"), F.max_by("shard", F.struct("_n", "_tie")).alias("_named"))
+        named = cut(named.filter("_parts > 1"))
+        cuts.append(named.agg(F.coalesce(F.sum(F.col("_parts") - 1), F.lit(0))).first()[0])
+        if r == rounds or not cuts[-1]:
+            done(named)
+            break
+        wishing = cut(linked.join(small(named.select("_key", "_size", "_named")), "_key").filter("shard <> _named"))
+        wishes = {(x["shard"], x["_named"], x["_size"]): x["count"] for x in wishing.groupBy("shard", "_named", "_size").count().collect()}
+        filled = {x["shard"]: x["count"] for x in linked.groupBy("shard").count().collect()}
+        granted = quotas(wishes, [max(0, n - filled.get(s, 0)) for s, n in enumerate(want)])
+        if not granted:
+            done(named, wishing)
+            break
+        told = linked.sparkSession.createDataFrame([(*k, n, n == wishes[k]) for k, n in granted.items()], "_f int, _t int, _s long, _quota long, _every boolean")
+        asked = wishing.join(F.broadcast(told), (F.col("shard") == F.col("_f")) & (F.col("_named") == F.col("_t")) & (F.col("_size") == F.col("_s")))  # a row for two shards and a size
+        buckets = max(32, sum(wishes.values()) // WINDOW_ROWS + 1)
+        some = ranked(asked.filter("not _every"), ["_f", "_t", "_s"], F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"), [F.col("_key"), F.col("doc_id"), F.col("_nth")], "_place").filter(F.col("_place") < F.col("_quota"))
+        moves = cut(asked.filter("_every").select("_row", "_named").union(some.select("_row", "_named")))
+        before = linked
+        moved = before.join(small(moves.toDF("_moved", "_to")), F.col("_row") == F.col("_moved"), "left")
+        linked = cut(moved.select("_row", "doc_id", "_nth", "_key", F.coalesce("_to", "shard").alias("shard")))
+        done(named, wishing, moves)
+        if r:
+            done(before)
+    return linked, cuts
+
+
+def packed(linked: DataFrame, want: list[int]) -> DataFrame:
+    """_row and shard of linked (_row, doc_id, _nth, _key, shard), with groups whole where they fit; no shard has more rows
+    than it is to have."""
     spark = linked.sparkSession
     held = linked.groupBy("_key", "shard").agg(F.count(F.lit(1)).alias("_n"))
     named = held.withColumn("_tie", unit("_key", "shard", seed=100)).groupBy("_key").agg(F.sum("_n").alias("_size"), F.max_by("shard", F.struct("_n", "_tie")).alias("_named"))
@@ -107,9 +163,8 @@ def propagate(linked: DataFrame, want: list[int]) -> DataFrame:
     return there.filter("_to is not null").select("_row", F.col("_to").alias("shard")).union(torn.select("_row", F.col("_part").alias("shard")))
 
 
-def balanced_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", rounds: int = 3) -> DataFrame:
-    """A row for each document: doc_id, size, text_crc32, shard, slot. One round of propagation is all there is to do; with
-    none, rows stay where their hash puts them."""
+def balanced_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """A row for each document: doc_id, size, text_crc32, shard, slot. With no rounds, rows stay where their hash puts them."""
     whole = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).cast("long").alias("text_crc32"), F.unhex(F.md5(whole)).alias("_key"))
     base = occurrences(cut(base), ["doc_id", "_key"], "_nth").withColumn("_row", F.monotonically_increasing_id())
@@ -118,7 +173,11 @@ def balanced_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     linked = cut(base.select("_row", "doc_id", "_nth", "_key", "shard").join(cut(groups.select("_key")), "_key", "left_semi"))
     total = base.count()
     want = [total // shards + (s < total % shards) for s in range(shards)]
-    moved = (propagate(linked, want) if rounds else linked).select("_row", F.col("shard").alias("_home"))
+    moved, cuts = propagated(linked, want, rounds)
+    filled = {r["shard"]: r["count"] for r in moved.groupBy("shard").count().collect()}
+    if rounds and (cuts[-1] or any(filled.get(s, 0) > n for s, n in enumerate(want))):
+        moved = packed(moved, want)
+    moved = moved.select("_row", F.col("shard").alias("_home"))
     now = base.join(moved, "_row", "left").withColumn("_linked", F.col("_home").isNotNull()).withColumn("shard", F.coalesce("_home", "shard")).drop("_home")
     # _home is null in rows without an equal, and they may be moved first
     buckets = max(32, total // (shards * WINDOW_ROWS) + 1)

@@ -11,6 +11,7 @@ from halfstep.llm import merkle as M
 from halfstep.llm import progressive_jpeg as J
 from halfstep.llm.common import unit
 from halfstep.llm.mixing import mix, pareto_mix, targets
+from halfstep.llm import sharding
 from halfstep.llm.sharding import balanced_shards
 
 
@@ -386,6 +387,61 @@ def test_shards(spark, docs, empty, clashing):
     assert balanced_shards(docs.limit(3)).count() == 3
 
 
+def by_plain_rounds(rows, ties, want, rounds):
+    """Shards and cuts of (row, key, shard, order) after rounds, row by row; ties by (key, shard, round)."""
+    shard, cuts = {r: s for r, _, s, _ in rows}, []
+    for k in range(rounds + 1):
+        parts = {}
+        for r, key, _, _ in rows:
+            parts.setdefault(key, {}).setdefault(shard[r], []).append(r)
+        cuts.append(sum(len(p) - 1 for p in parts.values()))
+        wishes = {}
+        for r, key, _, order in rows:
+            named = max(parts[key], key=lambda s: (len(parts[key][s]), ties[key, s, k]))
+            if named != shard[r]:
+                wishes.setdefault((shard[r], named), []).append((-sum(map(len, parts[key].values())), order, r))
+        if k == rounds or not cuts[-1]:
+            break
+        filled = [list(shard.values()).count(s) for s in range(len(want))]
+        free, moves = [max(0, w - f) for w, f in zip(want, filled)], []
+        for a, b in sorted(wishes):
+            n = min(len(wishes[a, b]), len(wishes.get((b, a), [])))
+            more = min(len(wishes[a, b]) - n, free[b])
+            free[b] -= more
+            moves += [(r, b) for *_, r in sorted(wishes[a, b])[: n + more]]
+        if not moves:
+            break
+        shard |= dict(moves)
+    return shard, cuts
+
+
+@pytest.mark.parametrize("kind", ["pairs", "groups", "hot"])
+def test_rounds_equal_plain_ones(spark, kind):
+    """Each round's cut, and all rows' shards, against rounds made row by row."""
+    from halfstep.llm.common import cut, unit
+
+    if kind == "pairs":
+        given = [(k, f"pair {k // 2}") for k in range(600)]
+    else:
+        given = [(k, f"group {k * k % 97 % (5 if kind == 'hot' else 60)}") for k in range(500)] + [(700 + k, f"pair {k // 2}") for k in range(120)]
+    want = [len(given) // 4 + (2 if kind != "pairs" else 0)] * 4
+    df = spark.createDataFrame([(k, k, 0, t.encode()) for k, t in given], "_row long, doc_id long, _nth long, _key binary").withColumn("shard", F.pmod(F.xxhash64("_row"), F.lit(4)).cast("int"))
+    df = cut(df)
+    keys = df.select("_key").distinct().crossJoin(spark.range(4).select(F.col("id").cast("int").alias("shard")))
+    ties = {(bytes(r["_key"]), r["shard"], k): r["t"] for k in range(6) for r in keys.select("*", unit("_key", "shard", seed=100 + k).alias("t")).collect()}
+    rows = [(r["_row"], bytes(r["_key"]), r["shard"], (r["b"], bytes(r["_key"]), r["_row"])) for r in df.withColumn("b", F.pmod(F.xxhash64("_key"), F.lit(32))).collect()]
+    shard, cuts = by_plain_rounds(rows, ties, want, 5)
+    out, got = sharding.propagated(df, want, 5)
+    assert got == cuts and {r["_row"]: r["shard"] for r in out.collect()} == shard
+    assert len(cuts) > 1 and sorted(cuts, reverse=True) == cuts and cuts[-1] < 0.8 * cuts[0]
+    assert sharding.propagated(df, want, 1)[1] == cuts[:2]
+
+
+def test_quotas():
+    assert sharding.quotas({(0, 1, 2): 5, (1, 0, 2): 3, (0, 2, 9): 4, (0, 2, 2): 4}, [0, 1, 5]) == {(0, 1, 2): 4, (1, 0, 2): 3, (0, 2, 9): 4, (0, 2, 2): 1}
+    assert sharding.quotas({(0, 1, 2): 5}, [0, 0]) == {} == sharding.quotas({}, [3])
+
+
 def test_groups_stay_together(spark):
     rows = [(k, f"group {k // 5}") for k in range(400)] + [(1000 + k, f"single {k}") for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
