@@ -26,7 +26,7 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from .common import cut, done, lean, small, table
 from .langid import chunks
 
-#: Pairs of the first tier; segments handled at once; characters of a segment that is kept; bytes kept in a worker; pairs
-#: that a task sums before it hands them on.
-HEAD, LOT, KEPT_CHARS, CACHE, PAIRS = 1 << 20, 50_000, 64, 48 << 20, 1 << 20
+#: Pairs of the first tier; segments of a text handled at once; characters of segments that are encoded side by side;
+#: segments that a worker knows before it forgets all; pairs that a task sums before it hands them on.
+HEAD, LOT, KEPT_CHARS, SEGMENTS, PAIRS = 1 << 20, 50_000, 64, 200_000, 1 << 20
+#: Characters after which a space doesn't begin a segment.
+SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() or c == "\u180e")
 #: A space and what follows, up to the next space that comes after something other than white space.
 SEGMENT = re.compile(r" [^ ]*(?:(?<=[\s᠎]) [^ ]*)*")
 
@@ -71,12 +73,18 @@ class Aligner:
         spec = json.loads(first)
         own_pattern = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True)
         self.in_segments = own_pattern and not any("▁" in p.lstrip("▁") for p in pieces)
+        self.a_length = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_length[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
+        self.b_length = np.array(list(map(len, self.b_bytes)), np.int64)
+        self.a_text, self.b_text = list(map(str, range(len(self.a_length)))), list(map(str, range(len(pieces))))
         self.reset()
 
     def reset(self) -> None:
+        """No segment is known: place tells a segment's number, -1 if a tokenizer doesn't give back its bytes."""
         self.place: dict[str, int] = {}
-        self.found: list[tuple] = []
-        self.held = 0
+        self.groups: list[str] = []
+        self.numbers = [np.zeros(0, np.int64)] * 4
+        self.codes, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def encoded(self, segments: list[str]) -> list[tuple[list[int], list[int], bool]]:
         """Ids of A and B of strings that begin with a space, and whether both give back the bytes."""
@@ -114,43 +122,90 @@ class Aligner:
         codes = np.fromiter(pairs, np.int64, len(pairs))
         return len(x), len(y), len(groups), links, ";".join(groups), codes, np.fromiter(pairs.values(), np.int64, len(pairs))
 
-    def looked_up(self, segments: list[str]) -> list[tuple | None]:
-        """The alignment of each segment; None where a tokenizer doesn't give back the bytes."""
-        new = list(dict.fromkeys(s for s in segments if s not in self.place))
-        own: dict[str, tuple | None] = {}
-        for s, (x, y, ok) in zip(new, self.encoded(new) if new else [], strict=True):
-            one = self.aligned(x, y) if ok else None
-            if len(s) > KEPT_CHARS:
-                own[s] = one
-                continue
-            self.place[s] = len(self.found)
-            self.found.append(one)
-            self.held += 400 + 2 * len(s) + (len(one[4]) + 16 * len(one[5]) if one else 0)
-        place, found = self.place, self.found
-        return [own[s] if s in own else found[place[s]] for s in segments] if own else [found[place[s]] for s in segments]
-
-    def measured(self, text: str) -> tuple | None:
-        """n_a, n_b, n_groups, n_links, SHA-256 of the groups, distinct pairs and how often each links; None without tokens."""
-        whole, sums, sha, codes, times = " " + text, [0] * 4, hashlib.sha256(), [], []
-        segments = SEGMENT.findall(whole) if self.in_segments else [whole]
+    def learn(self, segments: Iterable[str]) -> None:
+        """Aligns segments that aren't known. Short ones that end in something other than white space are encoded side by
+        side, as one text."""
+        joint, apart = [], []
+        for s in dict.fromkeys(s for s in segments if s not in self.place):
+            (joint if len(s) <= KEPT_CHARS and s[-1] not in SPACES else apart).append(s)
+        if joint and not self._side_by_side(joint):
+            apart += joint
+        for k in range(0, len(apart), 256):
+            some = apart[k : k + 256]
+            new = [(s, self.aligned(x, y)) if ok else (s, None) for s, (x, y, ok) in zip(some, self.encoded(some), strict=True)]
+            self.place |= {s: -1 for s, one in new if one is None}
+            kept = [(s, one) for s, one in new if one is not None]
+            if kept:
+                codes = [np.repeat(one[5], one[6]) for _, one in kept]
+                self._keep([s for s, _ in kept], [one[4] for _, one in kept], [np.array([one[m] for _, one in kept], np.int64) for m in range(4)], np.concatenate(codes), np.cumsum([len(c) for c in codes]))
+
+    def _keep(self, segments: list[str], groups: list[str], numbers: list[np.ndarray], codes: np.ndarray, ends: np.ndarray) -> None:
+        self.place.update(zip(segments, range(len(self.groups), len(self.groups) + len(segments)), strict=True))
+        self.groups += groups
+        self.numbers = [np.concatenate([x, y]) for x, y in zip(self.numbers, numbers, strict=True)]
+        self.starts = np.concatenate([self.starts, ends + len(self.codes)])
+        self.codes = np.concatenate([self.codes, codes])
+
+    def _side_by_side(self, segments: list[str]) -> bool:
+        """Aligns segments as one text; False if a tokenizer doesn't give back its bytes."""
+        text = "".join(segments)
+        raw = text.encode()
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        if not b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)):
+            return False
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        to_x, to_y = np.cumsum(self.a_length[x]), np.cumsum(self.b_length[y])
+        cuts = np.intersect1d(to_x, to_y, assume_unique=True)
+        end_x, end_y = np.searchsorted(to_x, cuts, side="right"), np.searchsorted(to_y, cuts, side="right")
+        of_x, of_y = np.diff(end_x, prepend=0), np.diff(end_y, prepend=0)
+        ends = np.searchsorted(cuts, np.cumsum([len(s.encode()) for s in segments]), side="right")  # groups up to each segment's end
+        first, second = [self.a_text[i] for i in a], [self.b_text[i] for i in b]
+        groups, i, j = [], 0, 0
+        for m, n in zip(end_x.tolist(), end_y.tolist(), strict=True):
+            groups.append(f"{first[i]}|{second[j]}" if m - i == n - j == 1 else ",".join(first[i:m]) + "|" + ",".join(second[j:n]))
+            i, j = m, n
+        links = of_x * of_y
+        of = np.repeat(np.arange(len(cuts)), links)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(links) - links, links)
+        codes = x[(end_x - of_x)[of] + nth // of_y[of]] << 32 | y[(end_y - of_y)[of] + nth % of_y[of]]
+        begins = [0, *ends[:-1].tolist()]
+        total = [np.diff(np.concatenate([[0], np.cumsum(z)])[ends], prepend=0) for z in (of_x, of_y, np.ones(len(cuts), np.int64), links)]
+        self._keep(segments, [";".join(groups[m:n]) for m, n in zip(begins, ends.tolist(), strict=True)], total, codes, np.cumsum(total[3]))
+        return True
+
+    def measured(self, texts: list[str]) -> list[tuple | None]:
+        """Of each text n_a, n_b, n_groups, n_links, SHA-256 of the groups, distinct pairs and how often each links; None for
+        texts without tokens."""
+        cut_up = [SEGMENT.findall(f" {t}") if self.in_segments else [f" {t}"] for t in texts]
+        if len(self.place) > SEGMENTS:
+            self.reset()
+        self.learn(s for segments in cut_up if len(segments) <= LOT for s in segments)
+        out = [self._text(segments) if len(segments) <= LOT else None for segments in cut_up]
+        return [self._text(segments) if len(segments) > LOT else known for segments, known in zip(cut_up, out, strict=True)]
+
+    def _text(self, segments: list[str]) -> tuple | None:
+        sums, sha, codes, times = np.zeros(4, np.int64), hashlib.sha256(), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for k in range(0, len(segments), LOT):
-            if self.held > CACHE:
-                self.reset()
-            got = self.looked_up(segments[k : k + LOT])
-            if None in got:
-                x, y, ok = self.encoded([whole])[0]
+            some = segments[k : k + LOT]
+            if len(segments) > LOT:  # a text so long is learned by lots
+                if len(self.place) > SEGMENTS:
+                    self.reset()
+                self.learn(some)
+            at = list(map(self.place.__getitem__, some))
+            if -1 in at:
+                whole = "".join(segments)
+                ((x, y, ok),) = self.encoded([whole])
                 if not ok:
                     return None
-                *sums, groups, pairs, n = self.aligned(x, y)
-                return *sums, hashlib.sha256(groups.encode()).digest(), pairs, n
-            sha.update((";" if k else "").encode() + ";".join([g[4] for g in got]).encode())
-            for m in range(4):
-                sums[m] += sum([g[m] for g in got])
-            codes += [g[5] for g in got]
-            times += [g[6] for g in got]
-            if len(segments) > LOT:
-                codes, times = ([z] for z in summed(np.concatenate(codes), np.concatenate(times)))
-        return *sums, sha.digest(), *summed(np.concatenate(codes), np.concatenate(times))
+                *numbers, groups, codes, times = self.aligned(x, y)
+                return *numbers, hashlib.sha256(groups.encode()).digest(), codes, times
+            sha.update(((";" if k else "") + ";".join([self.groups[i] for i in at])).encode())
+            i = np.array(at)
+            sums += [n[i].sum() for n in self.numbers]
+            sizes = self.starts[i + 1] - self.starts[i]
+            new = self.codes[np.arange(sizes.sum()) + np.repeat(self.starts[i] - (np.cumsum(sizes) - sizes), sizes)]
+            codes, times = summed(np.concatenate([codes, new]), np.concatenate([times, np.ones(len(new), np.int64)]))
+        return *sums.tolist(), sha.digest(), codes, times
 
 
 def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,12 +242,9 @@ def alignments(docs: DataFrame, first: str, second: str, text: str = "text") ->
         tool = aligner(files.value)
         for batch in lean(batches):
             at = 0
-            for part in chunks(batch.column(2), 2_000_000):
-                some, out = [], []
-                for k, t in enumerate(part.to_pylist()):
-                    if (m := tool.measured(t)) is not None:
-                        some.append(at + k)
-                        out.append(m)
+            for part in chunks(batch.column(2), 1_000_000):
+                found = tool.measured(part.to_pylist())
+                some, out = [at + k for k, m in enumerate(found) if m is not None], [m for m in found if m is not None]
                 take = pa.array(some, pa.int64())
                 columns = [batch.column(0).take(take), batch.column(1).take(take), *(pa.array([m[k] for m in out], pa.int64()) for k in range(4)), pa.array([m[4] for m in out], pa.binary())]
                 columns += [_lists([m[5] >> 32 for m in out]), _lists([m[5] & 0xFFFFFFFF for m in out]), _lists([m[6] for m in out])]

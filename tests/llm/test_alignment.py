@@ -67,14 +67,16 @@ def test_alignment_equals_brute_force(docs, libraries, head):
     assert any(r[0] == 1000 and r[1] == 0 for r in got)  # U+2581 comes back as a space
 
 
-def test_short_lots_and_a_full_cache(docs, libraries, monkeypatch):
+def test_short_lots_and_forgotten_segments(monkeypatch):
     tool = A.Aligner(open(FIRST, encoding="utf-8").read(), open(SECOND, "rb").read())
     text = " ".join(f"w{k} it's Ünïcode  🙂{k}\n" for k in range(300))
-    whole = tool.measured(text)
+    (whole,) = tool.measured([text])
     monkeypatch.setattr(A, "LOT", 7)
-    monkeypatch.setattr(A, "CACHE", 2_000)
-    again = tool.measured(text)
-    assert whole[:5] == again[:5] and whole[5].tolist() == again[5].tolist() and whole[6].tolist() == again[6].tolist()
+    monkeypatch.setattr(A, "SEGMENTS", 20)
+    few = tool.measured([text, "a few words", text])
+    assert few[1][0] == 3
+    for again in (few[0], few[2]):
+        assert whole[:5] == again[:5] and whole[5].tolist() == again[5].tolist() and whole[6].tolist() == again[6].tolist()
 
 
 def test_largest_counts_are_the_first_tier(spark):
