@@ -19,7 +19,13 @@ def slice_unpack(df: DataFrame, keys: list[str], array: str) -> DataFrame:
 def slices_wide(df: DataFrame, keys: list[str], array: str, n: int, prefix: str, dtype: str = "float") -> DataFrame:
     """A column for each of n components; rows with another number of them are errors."""
     size = F.when(F.size(array) == n, F.col(array)).otherwise(F.raise_error(F.concat(F.lit(f"'{array}' must have {n} components, not "), F.size(array).cast("string"))))
-    return df.select(*keys, size.alias("_a")).select(*keys, *(F.get("_a", F.lit(j)).cast("float").cast(dtype).alias(f"{prefix}_{j}") for j in range(n)))
+    return columns_of(df.select(*keys, size.alias("_a")), keys, "_a", [f"{prefix}_{j}" for j in range(n)], dtype)
+
+
+def columns_of(df: DataFrame, keys: list[str], array: str, names: list[str], dtype: str) -> DataFrame:
+    """keys, and the elements of an array as columns, through 32-bit floats. One call to the JVM plans all of them."""
+    quoted = ["`" + n.replace("`", "``") + "`" for n in [*keys, *names]]
+    return df.selectExpr(*quoted[: len(keys)], *(f"CAST(CAST({array}[{k}] AS FLOAT) AS {dtype}) AS {n}" for k, n in enumerate(quoted[len(keys) :])))
 
 
 def _positions(features_1d: list[str], components: dict[str, int]) -> Column:
@@ -37,7 +43,7 @@ def _checked(found: Column, names: list[str], where: Column, value: Column) -> C
     want = F.sequence(F.lit(0), F.lit(len(names) - 1))
     lacks = F.get(F.array_except(want, found), F.lit(0))
     twice = F.get(F.filter(want, lambda k: F.size(F.filter(found, lambda p: p == k)) > 1), F.lit(0))
-    name = F.get(F.array(*map(F.lit, names)), F.coalesce(lacks, twice))
+    name = _named(names, F.coalesce(lacks, twice))
     return (
         F.when(found == want, value)
         .when(F.exists(found, F.isnull), F.raise_error(F.concat(F.lit("a 2D feature has more components than at the first timestep"), where)))
@@ -45,6 +51,11 @@ def _checked(found: Column, names: list[str], where: Column, value: Column) -> C
     )
 
 
+def _named(names: list[str], k: Column) -> Column:
+    """The kth name; names have no line breaks, as files are named after them."""
+    return F.get(F.split(F.lit("\n".join(names)), "\n"), k)
+
+
 def _at(x: Column) -> Column:
     return F.concat(F.lit(" at timestep "), F.col("timestep").cast("string"), F.lit(", x "), x.cast("string"))
 
@@ -56,7 +67,7 @@ def stack_features(grid: DataFrame, features_1d: list[str], components: dict[str
     # as many values as there are features meet at a grid point
     points = grid.groupBy("timestep", "x").agg(F.array_sort(F.collect_list(F.struct(_positions(features_1d, components).alias("p"), "value"))).alias("_f"))
     wide = points.select("timestep", "x", _checked(F.col("_f.p"), names, _at(F.col("x")), F.col("_f.value")).alias("_v"))
-    return wide.select("timestep", "x", *(F.get("_v", F.lit(k)).cast("float").cast(dtype).alias(n) for k, n in enumerate(names)))
+    return columns_of(wide, ["timestep", "x"], "_v", names, dtype)
 
 
 def stack_ranges(ranges: DataFrame, features_1d: list[str], components: dict[str, int], dtype: str = "float") -> DataFrame:
@@ -68,13 +79,11 @@ def stack_ranges(ranges: DataFrame, features_1d: list[str], components: dict[str
     sizes = F.transform("_v", F.size)
     short = F.array_position(F.transform(sizes, lambda n: n < F.array_max(sizes)), F.lit(True)).cast("int") - 1
     where = F.get(sizes, short) + F.col("start")
-    even = F.when(short < 0, F.col("_v")).otherwise(F.raise_error(F.concat(F.lit("feature '"), F.get(F.array(*map(F.lit, names)), short), F.lit("' has not exactly one value"), _at(where))))
-    parts = parts.select("timestep", "start", arrays.alias("_v")).withColumn("_v", even)
-    rows = parts.select("timestep", "start", F.posexplode(F.arrays_zip(*(F.get("_v", F.lit(k)).alias(f"_{k}") for k in range(len(names))))).alias("_i", "_row"))
-    x = (F.col("start") + F.col("_i")).cast("int")
-
-    def filled(k: int, name: str) -> Column:
-        value = F.col("_row").getField(f"_{k}")
-        return F.when(value.isNull(), F.raise_error(F.concat(F.lit(f"feature '{name}' is null"), _at(x)))).otherwise(value).cast("float").cast(dtype).alias(name)
-
-    return rows.select("timestep", x.alias("x"), *(filled(k, n) for k, n in enumerate(names)))
+    even = F.when(short < 0, F.col("_v")).otherwise(F.raise_error(F.concat(F.lit("feature '"), _named(names, short), F.lit("' has not exactly one value"), _at(where))))
+    gaps = F.transform("_v", lambda values: F.array_position(F.transform(values, F.isnull), F.lit(True)).cast("int") - 1)
+    gap = F.array_position(F.transform(gaps, lambda k: k >= 0), F.lit(True)).cast("int") - 1
+    full = F.when(gap < 0, F.col("_v")).otherwise(F.raise_error(F.concat(F.lit("feature '"), _named(names, gap), F.lit("' is null"), _at(F.get(gaps, gap) + F.col("start")))))
+    parts = parts.select("timestep", "start", arrays.alias("_v")).withColumn("_v", even).withColumn("_v", full)
+    rows = parts.selectExpr("timestep", "start", f"posexplode(arrays_zip({', '.join(f'_v[{k}]' for k in range(len(names)))})) AS (_i, _row)")
+    quoted = ("`" + n.replace("`", "``") + "`" for n in names)
+    return rows.selectExpr("timestep", "CAST(start + _i AS INT) AS x", *(f"CAST(CAST(_row.`{k}` AS FLOAT) AS {dtype}) AS {n}" for k, n in enumerate(quoted)))

@@ -12,6 +12,13 @@ def folder(request, tmp_path):
     return write(tmp_path, request.param)
 
 
+@pytest.fixture(params=["ranges", "whole files"])
+def reader(request, monkeypatch):
+    """Files read by ranges, and as in stores that only Spark reads."""
+    if request.param != "ranges":
+        monkeypatch.setattr("halfstep.dataset.SCHEMES", ())
+
+
 @pytest.fixture
 def text_folder(tmp_path):
     return write(tmp_path)
@@ -46,7 +53,7 @@ def test_target(spark, text_folder, t):
     assert counts == {1: [8, 0, 1, 1], 2: [16, 0, 2, 1, 1], 3: [24, 0, 3, 1, 1, 1]}[t]
 
 
-def test_features(spark, folder):
+def test_features(spark, folder, reader):
     given = (["one"], ["two"])
     loader = NetCDFDataLoader(*given, 3, data_dir=folder, spark=spark)
     for _ in range(2):  # loading again gives the same, and the caller's lists stay as they are
@@ -57,7 +64,7 @@ def test_features(spark, folder):
     assert rows == [(t, x, *(float(k) for k in (10 * (t - 1) + x, 30 * (t - 1) + x, 30 * (t - 1) + 10 + x, 30 * (t - 1) + 20 + x))) for t in (1, 2, 3) for x in range(10)]
 
 
-def test_target_of_classic_files(spark, folder):
+def test_target_of_classic_files(spark, folder, reader):
     loader = NetCDFDataLoader(["one"], ["two"], 3, data_dir=folder, spark=spark)
     assert [r["nhsteps"] for r in loader.load_target_data().orderBy("timestep", "x").collect()] == [0, 0, 0, 2, 0, 0, 0, 0, 3, 0, 4, 0, 0, 0, 0, 0, 2, 0, 0, 0, 0, 0, 0, 0, 5, 0, 2, 0, 0, 0]
 
@@ -78,7 +85,7 @@ def test_features_and_targets_must_cover_the_same_points(spark, text_folder, tmp
         loader.load().collect()
 
 
-def test_timesteps_of_other_sizes(spark, tmp_path):
+def test_timesteps_of_other_sizes(spark, tmp_path, reader):
     for t, n in ((1, 4), (2, 7)):
         (tmp_path / f"one_{t}.cdl").write_text(cdl_text("one", t, np.arange(n, dtype=np.float32)))
         (tmp_path / f"two_{t}.cdl").write_text(cdl_text("two", t, np.zeros((2, n), np.float32)))
@@ -86,7 +93,7 @@ def test_timesteps_of_other_sizes(spark, tmp_path):
     assert loader.load_feature_data().groupBy("timestep").count().orderBy("timestep").collect() == [(1, 4), (2, 7)]
 
 
-def test_components_must_be_as_many_at_all_timesteps(spark, tmp_path):
+def test_components_must_be_as_many_at_all_timesteps(spark, tmp_path, reader):
     for t, n in ((1, 2), (2, 3)):
         (tmp_path / f"two_{t}.cdl").write_text(cdl_text("two", t, np.zeros((n, 5), np.float32)))
     loader = NetCDFDataLoader([], ["two"], 2, data_dir=str(tmp_path), spark=spark)
@@ -94,7 +101,7 @@ def test_components_must_be_as_many_at_all_timesteps(spark, tmp_path):
         loader.load_feature_data().collect()
 
 
-def test_points_that_lack_a_feature(spark, tmp_path):
+def test_points_that_lack_a_feature(spark, tmp_path, reader):
     (tmp_path / "a_1.cdl").write_text(cdl_text("a", 1, np.zeros(3, np.float32)))
     (tmp_path / "b_1.cdl").write_text(cdl_text("b", 1, np.zeros(2, np.float32)))
     loader = NetCDFDataLoader(["a", "b"], [], 1, data_dir=str(tmp_path), spark=spark)
@@ -102,7 +109,7 @@ def test_points_that_lack_a_feature(spark, tmp_path):
         loader.load_feature_data().collect()
 
 
-def test_declared_rank_is_checked(spark, text_folder):
+def test_declared_rank_is_checked(spark, text_folder, reader):
     with pytest.raises(Exception, match="'two' was declared with 1"):
         NetCDFDataLoader(["two"], [], 1, data_dir=text_folder, spark=spark).load_feature_data().collect()
 
@@ -115,7 +122,7 @@ def test_arguments_of_the_source(spark, text_folder):
     assert variable_shape(spark, text_folder, "two") == (3, 10)
 
 
-def test_missing_file(spark, text_folder):
+def test_missing_file(spark, text_folder, reader):
     with pytest.raises(Exception, match="one_4"):
         NetCDFDataLoader(["one"], [], 4, data_dir=text_folder, spark=spark).load_feature_data().collect()
 
@@ -145,7 +152,7 @@ def test_rows_in_order(spark, text_folder):
     assert [r["row"] for r in df.orderBy("timestep", "x").select(F.col("row")).collect()] == list(range(30))
 
 
-def test_written_files_are_read_back(spark, tmp_path):
+def test_written_files_are_read_back(spark, tmp_path, reader):
     from halfstep.sources import write_cdl
 
     rows = [("one", t, x, None, None if (t, x) == (2, 3) else t + x / 8) for t in (1, 2) for x in range(30)] + [("two", 1, x, y, x * 1e-9 + y * 1e20) for y in range(3) for x in range(5)]
@@ -158,7 +165,7 @@ def test_written_files_are_read_back(spark, tmp_path):
         NetCDFDataLoader(["one"], [], 2, data_dir=str(tmp_path), spark=spark).load_feature_data().collect()
 
 
-def test_grids_of_many_ranges(spark, tmp_path, monkeypatch):
+def test_grids_of_many_ranges(spark, tmp_path, reader):
     n = 20_000
     (tmp_path / "a_1.nc").write_bytes(classic.write({"a": (["x"], np.arange(n, dtype=np.float32))}))
     (tmp_path / "b_1.nc").write_bytes(classic.write({"b": (["y", "x"], np.arange(2 * n, dtype=np.float32).reshape(2, n))}))
@@ -182,3 +189,15 @@ def test_records_of_a_file_written_as_a_stream():
     raw[at : at + 4] = bytes(4)  # dimension t is the record dimension,
     raw[4:8] = b"\xff" * 4  # and the number of records isn't told
     assert classic.parse(bytes(raw))["v"].tolist() == [0, 1, 2, 3]
+
+
+def test_many_features_of_whole_files_are_planned_quickly(spark, tmp_path, monkeypatch):
+    import time
+
+    monkeypatch.setattr("halfstep.dataset.SCHEMES", ())
+    (tmp_path / "v_1.nc").write_bytes(classic.write({"v": (["y", "x"], np.arange(256 * 50, dtype=np.float32).reshape(256, 50))}))
+    load = NetCDFDataLoader([], ["v"], 1, data_dir=str(tmp_path), spark=spark)
+    load.load_feature_data()
+    began = time.perf_counter()
+    df = load.load_feature_data()
+    assert time.perf_counter() - began < 2 and df.filter("v_255 = 255 * 50 + x").count() == 50
