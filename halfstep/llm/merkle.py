@@ -5,8 +5,8 @@ its first bits name the file, more of them the leaf (about LEAF_RECORDS records)
 above, up to one root. A node's SHA-256 covers, in order, the offset ranges of its children within it and their hashes; a
 record's is that of its bytes. So a lost, added or changed record changes the nodes on its own path and no others.
 
-Replicas are laid out each on its own. They are compared at their roots; only children of nodes that differ are read
-below, and of the tables of records only the files with such nodes. Within a leaf that differs, records are compared by
+Replicas are laid out each on its own. They are compared at their roots; only children of nodes that differ are compared
+below, and of the tables of records and of the levels below the files' own nodes only the files with such nodes are read. Within a leaf that differs, records are compared by
 key, so one of them makes one difference.
 
 A record's key is its page_id, url and, among records alike in these, its place by digest (a change among those may show
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, occurrences, small, table
 
-#: Records of a leaf, bits from one level to the next, bits of the leaves of a file, and bits of the files' number at most.
-LEAF_RECORDS, STEP, LEAF_BITS, FILE_BITS = 16, 4, 8, 12
+#: Records of a leaf, bits from one level to the next, and bits of the files' number at most: half of the leaves' bits, so a
+#: file has as many leaves as there are files, until there are the most files.
+LEAF_RECORDS, STEP, FILE_BITS = 16, 4, 12
 DATE = "1970-01-01T00:00:00Z"
 KEY = ["page_id", "url", "nth"]
 
@@ -48,7 +49,9 @@ def top(k: Column | str, bits: int, of: int = 64) -> Column:
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    """Records with nth and k, the hash of their key."""
+    """Records with nth and k, the hash of their key; rows that have them already stay as they are."""
+    if "k" in rows.columns:
+        return rows
     first_byte = F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int")
     return occurrences(cut(rows), ["page_id", "url"], "nth", [F.col("digest")], first_byte).withColumn("k", F.xxhash64(*KEY))
 
@@ -69,19 +72,27 @@ class Tree:
         slim = rows.select(*KEY, "k", "length", F.col("digest").alias("hash"), top("k", bits).alias("node"), top("k", self.file_bits).alias("file"))
         self.records = cut(slim, by="file")
         leaf = F.array_sort(F.collect_list(F.struct("k", *KEY, "length", "hash")))  # about LEAF_RECORDS, as keys differ
-        self.levels = [cut(self.records.groupBy("node").agg(hashed(leaf).alias("_n")).select("node", "_n.*"))]
+        self.levels = [self.kept(self.records.groupBy("node").agg(hashed(leaf).alias("_n")).select("node", "_n.*"), bits)]
         while bits:
             bits -= STEP
             level = self.levels[-1].withColumn("_up", F.shiftrightunsigned("node", STEP))
             nodes = F.array_sort(F.collect_list(F.struct("node", "length", "hash")))
-            self.levels.append(cut(level.groupBy("_up").agg(hashed(nodes).alias("_n")).select(F.col("_up").alias("node"), "_n.*")))
+            self.levels.append(self.kept(level.groupBy("_up").agg(hashed(nodes).alias("_n")).select(F.col("_up").alias("node"), "_n.*"), bits))
+
+    def kept(self, level: DataFrame, bits: int) -> DataFrame:
+        """A level of nodes of so many bits, as a table in folders by file where a file has several of them."""
+        return cut(level.withColumn("file", self.file_of(bits)), by="file") if bits > self.file_bits > 0 else cut(level)
+
+    def file_of(self, bits: int) -> Column:
+        """The file of a node of at least as many bits as files' names have."""
+        return top("node", self.file_bits, bits) if bits else F.lit(0).cast("long")
 
     def places(self, files: list[int]) -> DataFrame:
         """Offsets of the records of these files."""
         of = self.records.filter(F.col("file").isin(files))
         before = Window.partitionBy("file").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
         within = Window.partitionBy("node").orderBy("k", *KEY).rowsBetween(Window.unboundedPreceding, -1)
-        starts = self.levels[0].withColumn("file", top("node", self.file_bits, self.bits) if self.bits else F.lit(0).cast("long")).filter(F.col("file").isin(files))
+        starts = self.levels[0].withColumn("file", self.file_of(self.bits)).filter(F.col("file").isin(files))
         starts = starts.select("node", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("_before"))
         return of.join(starts, "node").withColumn("start", F.col("_before") + F.coalesce(F.sum("length").over(within), F.lit(0))).drop("_before")
 
@@ -94,7 +105,7 @@ def bits_for(count: int) -> int:
 
 
 def file_bits_for(bits: int) -> int:
-    return min(FILE_BITS, max(0, bits - LEAF_BITS))
+    return min(FILE_BITS, bits // 2)
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -103,8 +114,11 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     lacks it)."""
     bits = bits_for(max(a.count(), b.count()))
     trees = [Tree(keyed(x), bits) for x in (a, b)]
-    suspects = None
+    suspects, depth = None, 0
     for x, y in reversed(list(zip(*(t.levels for t in trees), strict=True))):
+        if "file" in x.columns and depth - STEP >= trees[0].file_bits:  # a node above that differs tells one file
+            files = [r["file"] for r in suspects.select(trees[0].file_of(depth - STEP).alias("file")).distinct().collect()]  # two to the power FILE_BITS at most
+            x, y = (z.filter(F.col("file").isin(files)) for z in (x, y))
         if suspects is not None:
             above = small(suspects.withColumnRenamed("node", "_up"))
             x, y = (z.withColumn("_up", F.shiftrightunsigned("node", STEP)).join(above, "_up", "left_semi") for z in (x, y))
@@ -112,8 +126,8 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
         suspects = cut(both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("node"))
         if suspects.isEmpty():
             break
-    file = top("node", trees[0].file_bits, bits) if bits else F.lit(0).cast("long")
-    files = [r["file"] for r in suspects.select(file.alias("file")).distinct().collect()]  # two to the power FILE_BITS at most
+        depth += STEP
+    files = [r["file"] for r in suspects.select(trees[0].file_of(bits).alias("file")).distinct().collect()]  # two to the power FILE_BITS at most
     mine = trees[0].places(files).join(small(suspects), "node", "left_semi").select("node", *KEY, "file", "start", F.col("hash").alias("hash_a"))
     other = trees[1].records.filter(F.col("file").isin(files)).join(small(suspects), "node", "left_semi").select(*(F.col(c).alias(f"_{c}") for c in ("node", *KEY, "file")), F.col("hash").alias("hash_b"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("node", *KEY)]
@@ -128,13 +142,12 @@ def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     record_sha256, replica_sha256 (null if lost) and corrupt of every page."""
     pages = table(spark, sf_dir, "pages")
     mark = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2)
-    sound = cut(records(pages))
+    sound = cut(keyed(records(pages)))
     record = F.concat(F.when(mark == "00", F.lit("w")).otherwise(F.lit("W")), F.substring(warc_record(), 2, 2**31 - 1))
     replica = pages.filter(mark != "01").select("page_id", "url", record.alias("_record"))
     replica = cut(replica.select("page_id", "url", F.octet_length("_record").cast("long").alias("length"), F.unhex(F.sha2("_record", 256)).alias("digest")))
     broken = audit(sound, replica).filter("hash_a is not null").select(*(F.col(c).alias(f"_{c}") for c in KEY), "hash_b", F.lit(True).alias("_broken"))
-    rows = keyed(sound)
-    out = rows.join(small(cut(broken)), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY], "left")
+    out = sound.join(small(cut(broken)), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY], "left")
     corrupt = F.coalesce("_broken", F.lit(False))
     return out.select("page_id", "length", F.lower(F.hex("digest")).alias("record_sha256"), F.lower(F.hex(F.when(corrupt, F.col("hash_b")).otherwise(F.col("digest")))).alias("replica_sha256"), corrupt.alias("corrupt"))
 

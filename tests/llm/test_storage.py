@@ -212,10 +212,10 @@ def recorded(spark, rows):
     return spark.createDataFrame([(d, u, len(t), digest(t)) for d, u, t in rows], "page_id long, url string, length long, digest binary")
 
 
-@pytest.mark.parametrize("leaf_bits", [8, 4])
-def test_audit_finds_just_the_records_that_differ(spark, monkeypatch, leaf_bits):
+@pytest.mark.parametrize("file_bits", [0, 3])
+def test_audit_finds_just_the_records_that_differ(spark, monkeypatch, file_bits):
     """Lost, added, changed and swapped records, among repeated ones and null ids."""
-    monkeypatch.setattr(M, "LEAF_BITS", leaf_bits)
+    monkeypatch.setattr(M, "file_bits_for", lambda _: file_bits)
     rows = [(k, f"u{k}", f"text {k}" * (1 + k % 3)) for k in range(700)] + [(None, None, "same")] * 40 + [(900, "u", f"version {k}") for k in range(5)]
     other = list(rows)
     other[17] = (17, "u17", "other bytes")
@@ -232,7 +232,7 @@ def test_audit_finds_just_the_records_that_differ(spark, monkeypatch, leaf_bits)
     bits = M.bits_for(len(rows))
     for r in sorted(keys, key=lambda r: r["k"] & (2**64 - 1)):
         by_file.setdefault((r["k"] & (2**64 - 1)) >> (64 - M.file_bits_for(bits)), []).append(r)
-    assert len(by_file) == 1 << (8 - leaf_bits)
+    assert len(by_file) == 1 << file_bits
     place = {}
     for f, part in by_file.items():
         at = 0
@@ -243,6 +243,10 @@ def test_audit_finds_just_the_records_that_differ(spark, monkeypatch, leaf_bits)
     assert M.audit(recorded(spark, rows), recorded(spark, rows[::-1])).count() == 0
 
 
+def test_files_grow_with_the_records():
+    assert [M.file_bits_for(M.bits_for(n)) for n in (10, 250, 3000, 60_000, 10**9, 10**12)] == [0, 2, 4, 6, 12, 12]
+
+
 def test_audit_of_lost_copies_and_of_nothing(spark):
     rows = [(None, None, "same")] * 50 + [(1, "a", "x")]
     got = M.audit(recorded(spark, rows), recorded(spark, rows[3:])).collect()
