@@ -44,14 +44,17 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     best = F.max(F.struct("doc_id", "_row"))
     groups = rows.filter("_sha is not null").groupBy("_sha").agg(best.alias("_best"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     # a table of its own: its join may broadcast, and else Spark can split a key that has very many rows
-    out = rows.join(small(cut(groups)), "_sha", "left")
+    out = rows.filter("_sha is not null").join(small(cut(groups)), "_sha", "left")
     columns = {
         "keep_id": F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_best.doc_id")),
         "group_size": F.coalesce("_n", F.lit(1)).cast("long"),
         "kept": F.col("_n").isNull() | (F.col("_best._row") == F.col("_row")),
     }
-    columns |= {"text_sha256": F.lower(F.hex("_digest"))} if digest else {}
-    return out.withColumns(columns).select("doc_id", *columns)
+    more = {"text_sha256": F.lower(F.hex("_digest"))} if digest else {}
+    # rows that surely have no equal need no join
+    alone = rows.filter("_sha is null").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)} | more)
+    names = ["doc_id", *columns, *more]
+    return out.withColumns(columns | more).select(names).unionByName(alone.select(names))
 
 
 def drop_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
