@@ -30,8 +30,8 @@ from .common import cut, done, occurrences, ranked, small, table, unit
 
 #: Rows that one window of the ranking holds, on average, at most, and rows of ranges of groups that are broadcast.
 WINDOW_ROWS, BROADCAST_RANGES = 50_000, 500_000
-#: Rounds of propagation, at most.
-ROUNDS = 8
+#: Rounds of propagation, at most, and rows of groups whose wishes are ranked row by row, not group by group.
+ROUNDS, SPREAD = 8, 1_000
 
 
 def deal(classes: dict[tuple[int, int], int], want: list[int]) -> tuple[list[tuple], list[tuple]]:
@@ -128,7 +128,8 @@ def propagated(linked: DataFrame, want: list[int], rounds: int) -> tuple[DataFra
         told = linked.sparkSession.createDataFrame([(*k, n, n == wishes[k]) for k, n in granted.items()], "_f int, _t int, _s long, _quota long, _every boolean")
         asked = wishing.join(F.broadcast(told), (F.col("shard") == F.col("_f")) & (F.col("_named") == F.col("_t")) & (F.col("_size") == F.col("_s")))  # a row for two shards and a size
         buckets = max(32, sum(wishes.values()) // WINDOW_ROWS + 1)
-        some = ranked(asked.filter("not _every"), ["_f", "_t", "_s"], F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"), [F.col("_key"), F.col("doc_id"), F.col("_nth")], "_place").filter(F.col("_place") < F.col("_quota"))
+        dealt = F.when(F.col("_s") > SPREAD, F.xxhash64("doc_id", "_nth")).otherwise(F.xxhash64("_key"))
+        some = ranked(asked.filter("not _every"), ["_f", "_t", "_s"], F.pmod(dealt, F.lit(buckets)).cast("int"), [F.col("_key"), F.col("doc_id"), F.col("_nth")], "_place").filter(F.col("_place") < F.col("_quota"))
         moves = cut(asked.filter("_every").select("_row", "_named").union(some.select("_row", "_named")))
         before = linked
         moved = before.join(small(moves.toDF("_moved", "_to")), F.col("_row") == F.col("_moved"), "left")
