@@ -313,11 +313,12 @@ _known: set[str] = set()
 
 def registered(spark: SparkSession) -> SparkSession:
     """The session with both sources; call it once before reading or writing by format name."""
-    if spark.sparkContext.applicationId not in _known:
+    session = spark._jsparkSession.sessionUUID()
+    if session not in _known:
         ship(spark)
         for source in (GridSource, FeatureSource):
             spark.dataSource.register(source)
-        _known.add(spark.sparkContext.applicationId)
+        _known.add(session)
     return spark
 
 
