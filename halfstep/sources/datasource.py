@@ -312,13 +312,13 @@ _known: set[str] = set()
 
 
 def registered(spark: SparkSession) -> SparkSession:
-    """The session with both sources; call it once before reading or writing by format name."""
-    session = spark._jsparkSession.sessionUUID()
-    if session not in _known:
+    """The session, with both sources known to its application; call it once before reading or writing by format name. Spark knows Python sources by session: with more than one in an
+    application, this one is the only one that does."""
+    if spark.sparkContext.applicationId not in _known:
         ship(spark)
         for source in (GridSource, FeatureSource):
             spark.dataSource.register(source)
-        _known.add(session)
+        _known.add(spark.sparkContext.applicationId)
     return spark
 
 

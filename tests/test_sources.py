@@ -42,11 +42,6 @@ def test_rows_by_format_name(spark, folder):
     assert wide.filter("one <> 10 * (timestep - 1) + x or two_2 <> 30 * (timestep - 1) + 20 + x").count() == 0 and wide.count() == 30
 
 
-def test_another_session(spark, tmp_path):
-    folder = write(tmp_path, "1", 1)
-    assert grid_rows(spark, folder, "one", 1, 1).count() == grid_rows(spark.newSession(), folder, "one", 1, 1).count() == 10
-
-
 @pytest.mark.parametrize("values", [1, 7, 10, 1000])
 def test_variables_in_parts(spark, tmp_path, values):
     folder = write(tmp_path, "2")
