@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lean, table
-from .langid import chunks
+from .langid import chunks, forget
 
 SHORT, CACHE, NONE = 128, 48 << 20, 1 << 60
 
@@ -154,6 +154,7 @@ def coder(file: str) -> Bpe:
     """Built once in each worker."""
     if file not in _coders:
         _coders.clear()
+        forget()  # a worker of a pipeline holds one stage's tables at a time
         _coders[file] = Bpe(file)
     return _coders[file]
 

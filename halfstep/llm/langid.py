@@ -35,7 +35,7 @@ from .common import lean, small, table
 #: Bounds of the sample, and the length that a phrase's cost is at least taken from.
 ROWS, SAMPLE_CHARS, SAMPLE_TOTAL, LONG, LEAST_CHARS = 48, 24_576, 16 << 20, 4_096, 4_096
 #: Characters in a block, characters parsed at once, and bytes of tables in a worker (this only affects memory and speed).
-BLOCK, CHUNK, DENSE = 2_048, 2_000_000, 128 << 20
+BLOCK, CHUNK, DENSE = 2_048, 1_000_000, 128 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -101,7 +101,7 @@ class Automaton:
 
     def __init__(self, codes: np.ndarray, kinds: int, room: int):
         own = np.unique(codes)
-        self.local = np.full(kinds, len(own), np.int32)  # letters of other languages have the last code
+        self.local = np.full(kinds, len(own), np.min_scalar_type(len(own)))  # letters of other languages have the last code
         self.local[own] = np.arange(len(own))
         step = suffix_automaton(self.local[codes].tolist())
         degree = np.array([len(e) for e in step])
@@ -234,6 +234,11 @@ def parser(texts: bytes) -> Parser:
     return _parsers[texts]
 
 
+def forget() -> None:
+    """Lets go of the parser that a worker holds; the next batch that needs it builds it again."""
+    _parsers.clear()
+
+
 def chunks(texts: pa.Array, chars: int) -> Iterator[pa.Array]:
     """Slices of texts with about this many characters, at least one text each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
