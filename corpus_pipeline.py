@@ -25,10 +25,20 @@ FOREIGN_RATE, SLACK, MARGIN, MOST_RATE = 0.6, 8, 1.5, 0.99
 #: Near copies share this many in a hundred of their shingles of so many words, at least. (op8 has numbers of its own.)
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
+#: Rows and bytes of a batch that goes to a Python worker, at most: each running task holds one in the JVM and one in Python.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def _small_batches(spark: SparkSession) -> None:
+    for name, most in BATCH.items():
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages; those without a letter (or null) and those in none of them go. Repeated
     rows share their fate; with no labelled row at all none stays."""
+    _small_batches(spark)
     texts, names = sample(docs), ("_stage_lang", "_stage_score", "_stage_phrases", "_stage_letters")
     found = identify(docs, texts, names=names)
     apart = docs.select("doc_id", "lang", "text").filter(held_out(F.col("doc_id")) & F.col("lang").isin(*texts))
@@ -47,23 +57,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (null counts as empty) the document with the largest doc_id, null being less than any."""
+    _small_batches(spark)
     return drop_exact(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links connect: a Jaccard similarity of 0.8 or more of the sets of five-word
     shingles. Texts without a word all stay."""
+    _small_batches(spark)
     return drop_near(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, which may be never; texts without a word go with certain copies only."""
+    _small_batches(spark)
     return mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the SHA-256 of the text that the ids decode to, for every row; null counts
     as empty and has no ids."""
+    _small_batches(spark)
     coded = with_ids(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
