@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, done, numbered, scratch
 
-__all__ = ["ascii_lower", "bitmaps", "cut", "done", "drop_rows", "lean", "numbered", "occurrences", "ranked", "scratch", "small", "table", "unit", "with_maybe"]
+__all__ = ["ascii_lower", "bitmaps", "bits_for", "cut", "done", "drop_rows", "lean", "numbered", "occurrences", "ranked", "scratch", "small", "table", "unit", "with_maybe"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a table that may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Bits of a broadcast filter (8 MB).
-BITS = 1 << 26
+#: Bits of a broadcast filter, at least (8 MB) and at most (256 MB), and how many there are for each key in between.
+BITS, MOST_BITS, KEY_BITS = 1 << 26, 1 << 31, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,16 +76,23 @@ def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[Column]
     return df.join(starts, same).drop(*(f"_of_{k}" for k in keys)).withColumn(name, F.col("_start") + inner - 1).drop("_bucket", "_start")
 
 
-def bitmaps(df: DataFrame, *keys: Column | str) -> DataFrame:
-    """A filter of the keys of df: (_b, _bits), bits by the keys' hash modulo BITS, in BITS / 8 bytes at most."""
-    at = df.select(F.pmod(F.xxhash64(*keys), F.lit(BITS)).alias("_at"))
+def bits_for(keys: int) -> int:
+    """Bits of a filter of so many keys: a power of two, with which one in KEY_BITS of other rows passes at most, up to
+    MOST_BITS."""
+    return max(BITS, min(MOST_BITS, 1 << (KEY_BITS * keys - 1).bit_length()))
+
+
+def bitmaps(df: DataFrame, *keys: Column | str, bits: int | None = None) -> DataFrame:
+    """A filter of the keys of df: (_b, _bits), bits by the keys' hash modulo `bits` (BITS unless told otherwise), in an
+    eighth as many bytes at most."""
+    at = df.select(F.pmod(F.xxhash64(*keys), F.lit(bits or BITS).cast("long")).alias("_at"))
     return at.groupBy(F.bitmap_bucket_number("_at").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
 
 
-def with_maybe(df: DataFrame, marks: DataFrame, name: str, *keys: Column | str) -> DataFrame:
-    """df with a boolean: false only where the keys are surely not among those of marks, which bitmaps() gave. That is
-    told where the rows are; nothing but the marks is sent."""
-    hashed = df.withColumn("_marks_at", F.pmod(F.xxhash64(*keys), F.lit(BITS)))
+def with_maybe(df: DataFrame, marks: DataFrame, name: str, *keys: Column | str, bits: int | None = None) -> DataFrame:
+    """df with a boolean: false only where the keys are surely not among those of marks, which bitmaps() gave with as many
+    bits. That is told where the rows are; nothing but the marks is sent."""
+    hashed = df.withColumn("_marks_at", F.pmod(F.xxhash64(*keys), F.lit(bits or BITS).cast("long")))
     both = hashed.join(F.broadcast(marks.toDF("_marks_of", "_marks_bits")), F.bitmap_bucket_number("_marks_at") == F.col("_marks_of"), "left")
     place = F.bitmap_bit_position("_marks_at")
     byte = F.conv(F.hex(F.substring("_marks_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -120,7 +127,9 @@ def drop_rows(docs: DataFrame, key: Column, doc_id: str, lost: DataFrame, twice:
     rows = docs.select(F.struct("*").alias("_row"), key.alias("_whole"), F.col(doc_id).alias("_own"))
     away, sure = small(lost), None
     if away is lost:
-        rows = with_maybe(rows, cut(bitmaps(lost.select("_key").union(twice.select("_key")), "_key")), "_maybe", "_whole")
+        keys = lost.select("_key").union(twice.select("_key"))
+        bits = bits_for(keys.count())
+        rows = with_maybe(rows, cut(bitmaps(keys, "_key", bits=bits)), "_maybe", "_whole", bits=bits)
         sure, rows = rows.filter("not _maybe").drop("_maybe"), rows.filter("_maybe").drop("_maybe")
     left = rows.join(away, match(lost), "left_anti")
     if not twice.isEmpty():

@@ -42,12 +42,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmaps, cut, done, drop_rows, lean, small, table, with_maybe
+from .common import bitmaps, bits_for, cut, done, drop_rows, lean, small, table, with_maybe
 from .components import components
 from .langid import chunks
 
-WORDS, PERCENT, GROUPS, FINE, MARKS, BUCKETS = 4, 85, 128, 512, 8, 1 << 18
-LEAF, CHUNK, LONG = 32, 1_000_000, 512
+WORDS, PERCENT, GROUPS, FINE, COARSE, MARKS, BUCKETS = 4, 85, 128, 512, 32, 8, 1 << 18
+LEAF, SPLIT, CHUNK, LONG = 32, 1_024, 1_000_000, 512
 #: Points, texts, and bytes of sets that a task holds at once, and how often a shingle must occur to be dealt to several
 #: tasks.
 TREE_ROWS, BLOCK_ROWS, BLOCK_BYTES, HOT = 32_768, 4_096, 6 << 20, 1_000_000
@@ -207,12 +207,17 @@ def intervals(long: int, percent: int) -> np.ndarray:
     return np.array(edges, np.int64)
 
 
+def may_differ(label: int, long: int, percent: int) -> int:
+    """In how many members linked sets of the intervals label and label + 1 can differ at most."""
+    return 2 * (int(intervals(long, percent)[label + 2]) - 1) * (100 - percent) // (100 + percent)
+
+
 @functools.lru_cache(256)
 def _parts(label: int, long: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
     """In how many shingles linked sets of the intervals label and label + 1 can differ at most, where in the range of
     hashes each of a few more parts than that begins, and the parts' names."""
     edges = intervals(long, percent)
-    differ = 2 * (int(edges[label + 2]) - 1) * (100 - percent) // (100 + percent)
+    differ = may_differ(label, long, percent)
     m, most = differ + 1, differ + 1 + max(2, differ // 2)
     while m < most and m * np.exp(-edges[label] / m) + 6 * (m * np.exp(-edges[label] / m)) ** 0.5 + 2 > m - differ:  # parts that are empty by chance
         m += max(1, differ // 100)
@@ -336,11 +341,13 @@ class Lot:
     def __init__(self, n: np.ndarray, points: np.ndarray, node: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray] | None = None, percent: int = PERCENT, fine: dict[int, np.ndarray] | None = None):
         self.fine = fine or {}  # points with more groups, of long sets
         self.n, self.points, self.node, self.side, self.sets, self.percent = n, points, node, side, sets, percent
+        # sums of coordinates: a looser bound of a quarter of the work or less, which unlike points seldom pass
+        self.coarse = self.folded(points, COARSE)
         _, self.label = np.unique(root, return_inverse=True)
         self.parent = list(range(int(self.label.max(initial=-1)) + 1))
         self.ids: dict[int, np.ndarray] = {}
         self.links: list[tuple[int, int]] = []
-        self.verified = 0
+        self.verified, self.told = 0, -1
 
     @classmethod
     def of_sets(cls, sets: list[np.ndarray], node: np.ndarray, root: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> Lot:
@@ -348,11 +355,18 @@ class Lot:
         kind = np.min_scalar_type(int(n.max(initial=0)))
         return cls(n, np.stack([point(s, FINE).astype(kind) for s in sets]), node, root, side, sets, percent)
 
+    @staticmethod
+    def folded(points: np.ndarray, groups: int) -> np.ndarray:
+        sums = points.reshape(len(points), groups, -1).sum(-1, dtype=np.int64)
+        return sums.astype(np.min_scalar_type(int(sums.max(initial=0))))
+
     def component(self) -> np.ndarray:
-        p = np.array(self.parent)
-        while (p[p] != p).any():
-            p = p[p]
-        return p[self.label]
+        if self.told != len(self.links):  # made anew only after a link
+            p = np.array(self.parent)
+            while (p[p] != p).any():
+                p = p[p]
+            self.components, self.told = p[self.label], len(self.links)
+        return self.components
 
     def find(self, x: int) -> int:
         parent = self.parent
@@ -399,8 +413,10 @@ class Lot:
     def join(self, x: np.ndarray, y: np.ndarray) -> None:
         """Verifies pairs that the bound allows: the best one for each two components as long as that joins some, then
         all that are left."""
-        near = bounded(self.points[x], self.points[y])
         least = needed(self.n[x], self.n[y], self.percent)
+        ok = bounded(self.coarse[x], self.coarse[y]) >= least
+        x, y, least = x[ok], y[ok], least[ok]
+        near = bounded(self.points[x], self.points[y])
         ok = near >= least
         if self.fine:
             for k in np.flatnonzero(ok).tolist():
@@ -452,9 +468,48 @@ class Lot:
             order = np.lexsort((self.n[rows], least[:, k]))
             same = least[order[1:], k] == least[order[:-1], k]
             self.join(*self.fits(rows[order[:-1][same]], rows[order[1:][same]]))
-        self.tree(rows)
+        if len(rows) > SPLIT:
+            self.like(rows)
+        else:
+            self.tree(rows)
         self.ids = {}
 
+    def like(self, rows: np.ndarray) -> None:
+        """What tree() joins, for many rows. Points that the bound allows differ by no more than sets that link, so of more
+        ranges of coordinates than that one at least is the same in both: only rows alike in a range meet in a tree. Sizes
+        go by intervals, each with the next one; a pair of intervals with about as many differences as coordinates has one
+        tree."""
+        label = np.searchsorted(intervals(1, self.percent), self.n[rows], side="right") - 1
+        for least in np.unique(np.concatenate([label, label - 1])).tolist():
+            some = rows[(label == least) | (label == least + 1)]
+            differ = may_differ(max(least, 0), 1, self.percent)
+            if len(some) <= SPLIT or 2 * differ >= self.points.shape[1]:
+                self.tree(some)
+                continue
+            edges = np.linspace(0, self.points.shape[1], differ + 2).astype(np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                names = mixed(np.arange(a, b, dtype=np.uint64) + np.uint64(1))
+                alike = (self.points[some, a:b].astype(np.uint64) * names).sum(1, dtype=np.uint64)
+                order = np.argsort(alike, kind="stable")
+                mine, alike = some[order], alike[order]
+                begins = np.flatnonzero(np.append(True, alike[1:] != alike[:-1]))
+                sizes = np.diff(np.append(begins, len(mine)))
+                few = np.repeat(sizes <= LEAF, sizes)
+                for lag in range(1, LEAF):
+                    at = np.flatnonzero(few[lag:] & (alike[lag:] == alike[:-lag]))
+                    if not len(at):
+                        break
+                    for k in range(0, len(at), 16_384):
+                        self.join(*self.apart(*self.fits(mine[at[k : k + 16_384] + lag], mine[at[k : k + 16_384]])))
+                for begin, size in zip(begins[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+                    self.tree(mine[begin : begin + size])
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of two components."""
+        c = self.component()
+        ok = c[x] != c[y]
+        return x[ok], y[ok]
+
     def tree(self, rows: np.ndarray) -> None:
         """Rows are packed into leaves by size and leading counts; leaves, then upper boxes, have the maxima of their
         points as corner. Boxes are joined with boxes from the top."""
@@ -614,7 +669,8 @@ def with_texts(blocks: DataFrame, docs: DataFrame, doc_id: str, text: str, twice
     blocks = cut(blocks)
     given = docs.select(text_hash(text).alias("_th"), F.col(doc_id).alias("_of"), F.col(text).alias("text"))
     if small(blocks) is blocks:
-        given = with_maybe(given, cut(bitmaps(blocks, "th")), "_maybe", "_th").filter("_maybe").drop("_maybe")
+        bits = bits_for(blocks.count())
+        given = with_maybe(given, cut(bitmaps(blocks, "th", bits=bits)), "_maybe", "_th", bits=bits).filter("_maybe").drop("_maybe")
     columns = ["g", "block", "side", "node", "root", "text"]
 
     def told(some: DataFrame) -> DataFrame:

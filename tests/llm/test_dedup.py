@@ -246,6 +246,64 @@ def test_the_bound_alone_joins_all_that_links_would():
     assert roots_of(n, lot.links) == roots_of(n, allowed) and 12 <= len(set(roots_of(n, allowed))) < n
 
 
+@pytest.mark.parametrize("percent,seed", [(85, 1), (80, 2)])
+def test_ranges_of_coordinates_lose_no_pair_that_the_bound_allows(monkeypatch, percent, seed):
+    """Blocks over SPLIT rows against all pairs, by the bound alone and verified on sets, with sizes about intervals' ends."""
+    monkeypatch.setattr(J, "SPLIT", 20)
+    r = np.random.default_rng(seed)
+    sets = sets_of_groups(seed, 10, 20)
+    for n in (1, 2, 3, 5, 6, 7, 8, 13, 14, 40, 47, 48, 100, 117, 118):
+        base = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+        for _ in range(6):
+            keep = base[r.random(len(base)) > r.choice([0, 0.05, 0.1])]
+            sets.append(np.unique(np.concatenate([keep if len(keep) else base, r.integers(0, 1 << 63, n // 12, dtype=np.uint64) << np.uint64(1)])))
+    n = len(sets)
+    sizes, points = np.array([len(s) for s in sets]), np.stack([J.point(s, J.GROUPS) for s in sets])
+    near = np.minimum(points[:, None], points[None]).sum(-1)
+    fit = percent * np.maximum.outer(sizes, sizes) <= 100 * np.minimum.outer(sizes, sizes)
+    allowed = np.argwhere(np.triu(fit & (near >= J.needed(sizes[:, None], sizes[None], percent)), 1)).tolist()
+    lot = J.Lot(sizes, points, np.arange(n), np.arange(n), np.full(n, 2), percent=percent)
+    lot.large_block(np.arange(n), np.array([int(s.min() >> np.uint64(1)) for s in sets]))
+    assert roots_of(n, lot.links) == roots_of(n, allowed)
+    whole = J.Lot.of_sets(sets, np.arange(n), np.arange(n), np.full(n, 2), percent)
+    whole.large_block(np.arange(n))
+    both = [(i, j, len(np.intersect1d(sets[i], sets[j]))) for i, j in allowed]
+    linked = [(i, j) for i, j, k in both if 100 * k >= percent * (sizes[i] + sizes[j] - k)]
+    assert roots_of(n, whole.links) == roots_of(n, linked) and len(linked) > 500
+
+
+def test_unlike_texts_with_a_common_shingle_seldom_meet(monkeypatch):
+    """Points compared for each text, when their number doubles: far fewer than all pairs."""
+    looked = [0]
+
+    def counted(p, q, of=J.bounded):
+        looked[0] += len(p)
+        return of(p, q)
+
+    monkeypatch.setattr(J, "bounded", counted)
+    for rows in (4096, 8192):
+        r = np.random.default_rng(rows)
+        sets = [np.unique(np.append(r.integers(0, 1 << 63, 99, dtype=np.uint64) << np.uint64(1), np.uint64(12345))) for _ in range(rows)]
+        lot = J.Lot(np.array([len(s) for s in sets]), np.stack([J.point(s, J.GROUPS) for s in sets]).astype(np.uint8), np.arange(rows), np.arange(rows), np.full(rows, 2))
+        looked[0] = 0
+        lot.large_block(np.arange(rows), np.array([int(s[-1] >> np.uint64(1)) for s in sets]))
+        assert not lot.links and looked[0] < rows * rows / 2 / 15
+
+
+def test_filters_grow_with_their_keys(spark, monkeypatch):
+    """Beyond the least size a filter has bits by its keys, so few other rows pass; rows go the same way whatever its size."""
+    monkeypatch.setattr(common, "BITS", 1 << 16)
+    assert common.bits_for(0) == 1 << 16 and common.bits_for(5000) == 1 << 18 and common.bits_for(10**10) == common.MOST_BITS
+    df, bits = spark.range(20_000), common.bits_for(5000)
+    marks = common.cut(common.bitmaps(df.filter("id % 4 = 0"), "id", bits=bits))
+    got = common.with_maybe(df, marks, "m", "id", bits=bits).collect()
+    assert all(r["m"] for r in got if r["id"] % 4 == 0) and sum(r["m"] for r in got if r["id"] % 4) < 15_000 / 25
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    lost = df.filter("id % 4 = 0").select(F.col("id").alias("_key"), F.col("id").alias("_id"))
+    left = common.drop_rows(df.withColumn("text", F.lit("t")), F.col("id"), "id", lost, lost.limit(0))
+    assert sorted(r["id"] for r in left.collect()) == [k for k in range(20_000) if k % 4]
+
+
 def test_what_is_verified_and_written_grows_with_the_copies():
     """Groups of near copies: links one fewer than copies, and pairs looked at in proportion to them."""
     looked = []
