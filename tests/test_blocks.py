@@ -125,3 +125,12 @@ def test_lines_written_where_no_folder_is_mounted(spark, tmp_path):
     _write_lines(rows.repartition(3), str(tmp_path / "out"), hadoop.Path(str(tmp_path)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
     got = read_grid(spark, str(tmp_path / "out"), {"v": 2}, 1)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, rows.collect())))
+
+
+def test_values_of_any_length_take_their_cell():
+    raw = np.random.default_rng(3).integers(0, 2**32, 200_000, dtype=np.uint32).view(np.float32)
+    v = np.concatenate([raw[~np.isnan(raw)], np.array([np.inf, -np.inf, 0, -0.0, 1e-45, -3.4028235e38, -0.0000018703921], np.float32)])
+    text = cdl.head("v_1", "v", v.shape) + cdl.cells(pa.array(v), np.arange(len(v)), len(v) - 1).tobytes() + cdl.END
+    assert (cdl.parse(text)["v"].data == v).all() and text.endswith(b";\n}\n")
+    hidden = cdl.cells(pa.array([None, float("nan")], pa.float32()), np.arange(2), 1).tobytes()
+    assert hidden.split() == [b"_,", b"nan", b";"]
